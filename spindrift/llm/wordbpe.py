@@ -1,38 +1,61 @@
-"""Word-level BPE with a bounded memo: whole texts to little-endian uint32 ids.
+"""Word-level BPE with a bounded memo of pre-tokens: whole texts to little-endian uint32 ids.
 
-The vocabulary's normaliser and pre-tokeniser never join text across ASCII white space, so a text's ids
-are the ids of its white-space chunks one after another.  A chunk's ids come from the tokenizers library
-and are kept in two bounded memos: by raw chunk, and (for chunks of Latin letters, whose lower-casing and
-composition are the identity or one-to-one) by pre-token, so that case and punctuation do not cost again.
+The vocabulary's pre-tokeniser never joins text across ASCII white space, and each pre-token is merged by itself.  So a
+text's ids are its pre-tokens' ids one after another, and a pre-token costs the library's merging only when the memo
+has forgotten it.  Stretches whose characters are printable ASCII or Latin (where normalising is lower-casing and
+nothing else) are cut by an equivalent pattern of the re module; chunks with any other character go to the library.
 """
 
 from __future__ import annotations
 
-import json
 import os
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import regex
 
 _LOADED: dict[tuple, WordBpe] = {}
+#: Characters outside the plain range; U+0130 lower-cases to two characters.
+_OTHER = re.compile("[^\t-\r -~¡-įı-ɏ]")
+#: The vocabulary's pre-token pattern, for that range: letters are word characters but for digits, _ and these numbers.
+_PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_²³¹¼½¾]+|[\\d²³¹¼½¾]|(?:[^\\s\\w]|_)+")
+_SPACE = re.compile("[\t-\r ]+")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte: itself, or the next from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    table, spare = {b: chr(b) for b in own}, 0x100
+    for b in range(256):
+        if b not in table:
+            table[b], spare = chr(spare), spare + 1
+    return table
+
+
+class _Memo(dict):
+    """Pre-token to its ids as bytes, learned when first asked for."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.alphabet = model.tokenize, _byte_alphabet()
+
+    def __missing__(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        ids = self[piece] = np.array([t.id for t in self.tokenize(spelled)], "<u4").tobytes()
+        return ids
 
 
 class WordBpe:
-    def __init__(self, path: str, memo_limit: int = 350_000, specials_as_text: bool = True):
+    def __init__(self, path: str, memo_limit: int = 600_000, specials_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_as_text
-        spec = json.loads(self.tokenizer.to_str())
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.chunked = specials_as_text
+        self.by_pieces = specials_as_text  # special strings could span pre-tokens
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.limit = memo_limit
-        self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.memo = _Memo(self.tokenizer.model)
 
     @classmethod
     def load(cls, path: str, **options) -> WordBpe:
@@ -42,33 +65,14 @@ class WordBpe:
             _LOADED[key] = cls(path, **options)
         return _LOADED[key]
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: set[bytes]) -> None:
-        if len(self.chunks) + len(missing) > self.limit:
-            self.chunks.clear()
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        plain, other, new = [], [], set()
-        for chunk in missing:
-            s = chunk.decode("utf-8", "replace")
-            if max(s) < "ɐ":
-                found = self.split.findall(s.lower())
-                plain.append((chunk, found))
-                new.update(found)
-            else:
-                other.append((chunk, s))
-        new.difference_update(self.pieces)
-        todo = list(new)
-        self.pieces.update(zip(todo, self._library(todo), strict=True))
-        get = self.pieces.__getitem__
-        for chunk, found in plain:
-            self.chunks[chunk] = b"".join(map(get, found))
-        self.chunks.update(zip((c for c, _ in other), self._library([s for _, s in other]), strict=True))
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.memo.__getitem__, _PRE_TOKENS.findall(text.lower())))
 
     @staticmethod
-    def _stretches(text: bytes, size: int = 4 << 20) -> Iterator[bytes]:
+    def _stretches(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
         """Cuts of a long text, each at ASCII white space."""
         at = 0
         while len(text) - at > size:
@@ -79,19 +83,24 @@ class WordBpe:
             at = end
         yield text[at:] if at else text
 
-    def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of each whole text as little-endian uint32 bytes; a null text has none."""
-        if not self.chunked:  # special strings may hold white space
-            return self._library([(t or b"").decode("utf-8", "replace") for t in texts])
+    def encode(self, text: bytes | None) -> bytes:
+        """Ids of a whole text as little-endian uint32 bytes; a null text has none."""
+        if not text:
+            return b""
+        if not self.by_pieces:
+            return self._library(text.decode("utf-8", "replace"))
         out = []
-        lists = [[s.split() for s in self._stretches(t or b"")] for t in texts]
-        missing = set(chain.from_iterable(chain.from_iterable(lists)))
-        missing.difference_update(self.chunks)
-        if missing:
-            if len(self.chunks) + len(missing) > self.limit:  # a cleared memo must hold this batch whole
-                missing = set(chain.from_iterable(chain.from_iterable(lists)))
-            self._learn(missing)
-        get = self.chunks.__getitem__
-        for stretches in lists:
-            out.append(b"".join(chain.from_iterable(map(get, s) for s in stretches)))
-        return out
+        for stretch in self._stretches(text):
+            if len(self.memo) > self.limit:
+                self.memo.clear()
+            s = stretch.decode("utf-8", "replace")
+            if not _OTHER.search(s):
+                out.append(self._plain(s))
+                continue
+            for chunk in _SPACE.split(s):
+                if chunk:
+                    out.append(self._library(chunk) if _OTHER.search(chunk) else self._plain(chunk))
+        return b"".join(out)
+
+    def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
+        return [self.encode(t) for t in texts]
