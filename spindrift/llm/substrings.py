@@ -11,95 +11,143 @@ then compact into spans along such paths.  A span is removed after the text itse
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, doc_texts, materialize, slices
 
 MINIMIZER_WORDS = 5
-_MEMO_LIMIT = 400_000
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+_BYTE = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_STRETCH = 1 << 20
+_POWERS: list[np.ndarray] = []
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def _mix(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
 
 
-_MEMO = _WordHashes()
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        runs = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(max(n, _STRETCH + 4096), base, np.uint64)
+            steps[0] = 1
+            runs.append(np.multiply.accumulate(steps))
+        _POWERS[:] = runs
+    return _POWERS
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_MEMO) > _MEMO_LIMIT:
-        _MEMO.clear()
-    return np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts): a 64-bit hash and the first byte of every word; no Python object per word.
+
+    A word's hash is its stretch of a running polynomial over all bytes, shifted back to the word's own start.
+    """
+    buf, at, hashes, starts = np.frombuffer(data, np.uint8), 0, [], []
+    while at < len(buf):
+        end = min(len(buf), at + _STRETCH)
+        while end < len(buf) and not _SPACE[buf[end]]:
+            end += 1
+        part = buf[at:end]
+        power, inverse = _powers(len(part))
+        step = np.diff(~_SPACE[part], prepend=False, append=False).nonzero()[0]
+        first, last = step[::2], step[1::2]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * power[: len(part)], out=sums[1:])
+        hashes.append(_mix((sums[last] - sums[first]) * inverse[first]))
+        starts.append(first + at)
+        at = end
+    empty = np.zeros(0, np.uint64)
+    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (empty, empty.astype(np.int64))
 
 
 def gram_hashes(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
     """64-bit hashes of all runs of n words: multilinear in the word hashes, then mixed."""
     size = max(0, len(hashes) - n + 1)
     out = np.zeros(size, np.uint64)
-    for j, a in enumerate(np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)):
+    for j, a in enumerate(_factors(n, seed)):
         out += a * hashes[j : j + size]
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0x9E3779B97F4A7C15)
-    out ^= out >> np.uint64(29)
-    return out
+    return _mix(out)
 
 
-def minimizers(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Of each window of words, the smallest hash among its runs of MINIMIZER_WORDS."""
-    grams = gram_hashes(hashes, min(MINIMIZER_WORDS, window), 1)
-    n = len(hashes) - window + 1
-    out = grams[:n].copy()
-    for j in range(1, window - min(MINIMIZER_WORDS, window) + 1):
-        np.minimum(out, grams[j : j + n], out=out)
-    return out
+def _factors(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class _Rows:
+    """The words of several texts in one array: hashes, their row, and where each row's windows begin."""
+
+    def __init__(self, texts: list[bytes | None], window: int):
+        sizes = np.array([len(t or b"") + 1 for t in texts], np.int64)
+        self.hashes, starts = word_hashes(b"\n".join(t or b"" for t in texts))
+        self.row = np.searchsorted(np.cumsum(sizes), starts, side="right")
+        self.first = np.searchsorted(self.row, np.arange(len(texts)))  # first word of each row
+        n = max(0, len(self.hashes) - window + 1)
+        self.whole = self.row[:n] == self.row[window - 1 :] if n else np.zeros(0, bool)  # windows inside one row
+
+    def runs(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, minimizer) of runs of whole windows that share a minimizer: the smallest hash among a window's
+        runs of MINIMIZER_WORDS words."""
+        m = min(MINIMIZER_WORDS, window)
+        grams, n = gram_hashes(self.hashes, m, 1), len(self.whole)
+        low = grams[:n].copy()
+        for j in range(1, window - m + 1):
+            np.minimum(low, grams[j : j + n], out=low)
+        at = np.flatnonzero(self.whole)
+        if not len(at):
+            return at, at, np.zeros(0, np.uint64)
+        new = np.ones(len(at), bool)
+        new[1:] = (low[at[1:]] != low[at[:-1]]) | (at[1:] != at[:-1] + 1) | (self.row[at[1:]] != self.row[at[:-1]])
+        heads = np.flatnonzero(new)
+        return at[heads], np.diff(np.append(heads, len(at))), low[at[heads]]
 
 
 def _shared_minimizers(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, minis): minimizers of each document that another document has too."""
+    """(doc_id, minis): minimizers of each document that another document has too.
+
+    Rows meet by minimizer in one sorted shuffle; each knows the smallest document of its minimizer from the rows before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            ids, minis = [], []
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = data.split() if data and doc_id is not None else ()
-                if len(words) >= window:
-                    own = np.unique(minimizers(word_hashes(words), window))
-                    minis.append(own)
-                    ids.append(np.full(len(own), doc_id, np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(minis).view(np.int64)), pa.array(np.concatenate(ids))], ["mini", "doc_id"])
-
-    held = docs.mapInArrow(run, "mini long, doc_id long").repartition("mini")  # one shuffle for the count and the join
-    shared = held.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("mini")
-    return held.join(shared, "mini", "left_semi").groupBy("doc_id").agg(F.collect_set("mini").alias("minis"))
+        for batch in slices(batches, 1, 2 << 20):
+            rows = _Rows(batch.column(1).to_pylist(), window)
+            start, _, mini = rows.runs(window)
+            yield pa.RecordBatch.from_arrays([pa.array(mini.view(np.int64)), pa.array(batch.column(0).to_numpy()[rows.row[start]], pa.int64())], ["mini", "doc_id"])
+
+    held = docs.where("doc_id is not null").mapInArrow(run, "mini long, doc_id long")
+    along = Window.partitionBy("mini").orderBy("doc_id")
+    found = held.select("mini", "doc_id", F.first("doc_id").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("low"), F.lag("doc_id").over(along).alias("prior")).where("doc_id > low")
+    both = found.select("mini", F.explode(F.when(F.col("prior") == F.col("low"), F.array("low", "doc_id")).otherwise(F.array("doc_id"))).alias("doc_id"))
+    return both.groupBy("doc_id").agg(F.collect_set("mini").alias("minis"))
 
 
 def _edges(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     """(src, dst, doc_id, pos): windows under a shared minimizer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for row, (doc_id, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                words = data.split() if data else ()
-                if len(words) < window:
-                    continue
-                hashes = word_hashes(words)
-                minis = batch.column(2)[row].values.to_numpy().view(np.uint64)
-                pos = np.flatnonzero(np.isin(minimizers(hashes, window), minis))
-                nodes = gram_hashes(hashes, window - 1, 2).view(np.int64)
-                for column, values in zip(out, (nodes[pos], nodes[pos + 1], np.full(len(pos), doc_id, np.int64), pos.astype(np.int32)), strict=True):
-                    column.append(values)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["src", "dst", "doc_id", "pos"])
+        for batch in slices(batches, 1, 2 << 20):
+            rows = _Rows(batch.column(1).to_pylist(), window)
+            start, length, mini = rows.runs(window)
+            lists = batch.column(2)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            known = lists.flatten().to_numpy().view(np.uint64)
+            tag = lambda row: _mix(row.astype(np.uint64) + np.uint64(1))  # noqa: E731  one stray match only costs an edge
+            hit = np.isin(mini ^ tag(rows.row[start]), known ^ tag(owner))
+            start, length = start[hit], length[hit]
+            at = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+            nodes, row = gram_hashes(rows.hashes, window - 1, 2).view(np.int64), rows.row[at]
+            columns = [nodes[at], nodes[at + 1], batch.column(0).to_numpy()[row], (at - rows.first[row]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["src", "dst", "doc_id", "pos"])
 
     return docs.join(shared, "doc_id").select("doc_id", "data", "minis").mapInArrow(run, "src long, dst long, doc_id long, pos int")
 
@@ -110,16 +158,17 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     docs has doc_id and data (binary).  node is the hash of the first window - 1 words at start.
     """
     shared = materialize(_shared_minimizers(docs, window), "minimizers")
-    edges = _edges(docs, shared, window).repartition("src")  # one shuffle for owners and occurrences
-    owned = edges.groupBy("src", "dst").agg(F.min(F.struct("doc_id", "pos")).alias("own"), F.max("doc_id").alias("hi")).where(F.col("own.doc_id") < F.col("hi"))
-    owned = owned.select("src", "dst", F.col("own.doc_id").alias("odoc"), F.col("own.pos").alias("opos"))
-    found = edges.join(owned, ["src", "dst"])
-    first = (F.col("doc_id") == F.col("odoc")) & (F.col("pos") == F.col("opos"))
-    kept = found.where(first | (F.col("doc_id") > F.col("odoc"))).select("src", F.when(first, F.col("dst")).alias("dst"), "doc_id", "pos", "odoc", "opos")
+    # Edges meet in one sorted shuffle: the first row of an edge is its owner, and the first row of a later document
+    # carries the edge's nodes on, once.
+    along = Window.partitionBy("src", "dst").orderBy("doc_id", "pos")
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = _edges(docs, shared, window).select("*", F.first("doc_id").over(so_far).alias("odoc"), F.first("pos").over(so_far).alias("opos"), F.lag("doc_id").over(along).alias("prior"))
+    later = met.where("doc_id > odoc")
+    kept = later.select("src", F.when(F.col("prior") == F.col("odoc"), F.col("dst")).alias("dst"), "doc_id", "pos", "odoc", "opos")
     kept = materialize(kept, "edges")
     discard(shared)
     # Nonbranching nodes: one way in, one way out, and consecutive source coordinates.
-    graph = kept.where("dst is not null").select("src", "dst", "odoc", "opos").distinct()
+    graph = kept.where("dst is not null").select("src", "dst", "odoc", "opos")
     ways_out = graph.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("odoc"), F.min("opos").alias("opos")).where("n = 1")
     ways_in = graph.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("idoc"), F.min("opos").alias("ipos")).where("n = 1")
     inner = ways_out.join(ways_in.drop("n"), "node").where("odoc = idoc and opos = ipos + 1").select("odoc", "opos", F.lit(0).alias("head"))
@@ -130,7 +179,7 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     marks = marks.withColumn("starts", F.when((F.col("head") == 1) & ~continues, F.col("opos")))
     paths = marks.select("odoc", "opos", "head", F.last("starts", ignorenulls=True).over(along).alias("path")).where("head = 1").drop("head")
     # Windows of later documents compact into runs along one path at one distance from the source coordinates.
-    later = kept.where("doc_id > odoc").select("doc_id", "pos", "src", "odoc", "opos").join(paths, ["odoc", "opos"])
+    later = kept.select("doc_id", "pos", "src", "odoc", "opos").join(paths, ["odoc", "opos"])
     runs = later.repartition("doc_id").groupBy("doc_id", "odoc", "path", (F.col("pos") - F.col("opos")).alias("shift"))
     at = runs.agg(F.array_sort(F.collect_set(F.struct("pos", "src"))).alias("at"))
     pos = lambda k: F.get(F.col("at"), k)["pos"]
@@ -142,35 +191,46 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     return out
 
 
-def _cut(data: bytes | None, spans, window: int, layout: bool) -> tuple[int, int, str]:
-    """(words, words removed, what is kept): the kept words by single spaces, or with their own white space (layout)."""
-    words = data.split() if data else []
-    covered = np.zeros(len(words) + 1, np.int64)
-    if spans is not None and len(spans) and len(words) >= window:
-        nodes = gram_hashes(word_hashes(words), window - 1, 2).view(np.int64)
-        for s in spans:
-            if s["last"] + window <= len(words) and nodes[s["start"]] == s["node"]:  # the text confirms the span
-                covered[s["start"]] += 1
-                covered[s["last"] + window] -= 1
-    keep = np.cumsum(covered)[:-1] == 0
-    removed = len(words) - int(keep.sum())
+def _kept(data: bytes | None, keep: np.ndarray | None, layout: bool) -> str:
+    """The words that stay: by single spaces, or with the white space before them (layout)."""
+    data = data or b""
     if layout:
-        if not removed:
-            return len(words), 0, (data or b"").decode("utf-8", "replace")
+        if keep is None:
+            return data.decode("utf-8", "replace")
         out, at = [], 0
-        for word, stays in zip(words, keep.tolist(), strict=True):
-            start = data.index(word, at)
+        for word, stays in zip(data.split(), keep.tolist(), strict=True):
+            end = data.index(word, at) + len(word)
             if stays:
-                out.append(data[at:start] + word)
-            at = start + len(word)
-        return len(words), removed, b"".join(out).strip().decode("utf-8", "replace")
-    return len(words), removed, b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k).decode("utf-8", "replace")
+                out.append(data[at:end])
+            at = end
+        return b"".join(out).strip().decode("utf-8", "replace")
+    words = data.split()
+    return b" ".join(words if keep is None else compress(words, keep.tolist())).decode("utf-8", "replace")
 
 
 def _trim(window: int, layout: bool):
+    factors = _factors(window - 1, 2)
+
     @F.pandas_udf("n_words long, n_removed long, kept string")
-    def run(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_cut(d, s, window, layout) for d, s in zip(data, spans, strict=True)], columns=["n_words", "n_removed", "kept"])
+    def run(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        out = []
+        for data, own in zip(texts, spans, strict=True):
+            if own is None or not len(own) or not data:
+                out.append((len(data.split()) if data else 0, 0, _kept(data, None, layout)))
+                continue
+            hashes, _ = word_hashes(data)
+            start, last, node = (np.array([s[k] for s in own], np.int64) for k in ("start", "last", "node"))
+            fits = last + window <= len(hashes)
+            start, last, node = start[fits], last[fits], node[fits]
+            seen = _mix(sum((a * hashes[start + j] for j, a in enumerate(factors)), np.zeros(len(start), np.uint64))).view(np.int64)
+            true = seen == node  # the text confirms the span
+            covered = np.zeros(len(hashes) + 1, np.int64)
+            np.add.at(covered, start[true], 1)
+            np.add.at(covered, last[true] + window, -1)
+            keep = np.cumsum(covered)[:-1] == 0
+            removed = len(keep) - int(keep.sum())
+            out.append((len(keep), removed, _kept(data, keep if removed else None, layout)))
+        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
     return run
 
