@@ -132,7 +132,10 @@ def _shared_minimizers(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _edges(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
-    """(src, dst, doc_id, pos): windows under a shared minimizer."""
+    """(mini, src, dst, doc_id, pos): windows under a shared minimizer, dealt by minimizer.
+
+    A run of windows travels as one row with its chain of nodes and becomes edges after the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 2 << 20):
@@ -143,28 +146,32 @@ def _edges(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
             known = lists.flatten().to_numpy().view(np.uint64)
             tag = lambda row: _mix(row.astype(np.uint64) + np.uint64(1))  # noqa: E731  one stray match only costs an edge
             hit = np.isin(mini ^ tag(rows.row[start]), known ^ tag(owner))
-            start, length = start[hit], length[hit]
-            at = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
-            nodes, row = gram_hashes(rows.hashes, window - 1, 2).view(np.int64), rows.row[at]
-            columns = [nodes[at], nodes[at + 1], batch.column(0).to_numpy()[row], (at - rows.first[row]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["src", "dst", "doc_id", "pos"])
+            start, size, mini = start[hit], length[hit] + 1, mini[hit]  # a chain has a node more than windows
+            at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+            nodes, row = gram_hashes(rows.hashes, window - 1, 2).view(np.int64), rows.row[start]
+            chains = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(nodes[at]))
+            columns = [pa.array(mini.view(np.int64)), pa.array(batch.column(0).to_numpy()[row]), pa.array((start - rows.first[row]).astype(np.int32)), chains]
+            yield pa.RecordBatch.from_arrays(columns, ["mini", "doc_id", "pos", "nodes"])
 
-    return docs.join(shared, "doc_id").select("doc_id", "data", "minis").mapInArrow(run, "src long, dst long, doc_id long, pos int")
+    chains = docs.join(shared, "doc_id").select("doc_id", "data", "minis").mapInArrow(run, "mini long, doc_id long, pos int, nodes array<long>").repartition("mini")
+    steps = chains.select("mini", "doc_id", "pos", "nodes", F.posexplode(F.slice("nodes", 1, F.size("nodes") - 1)).alias("k", "src"))
+    return steps.select("mini", "src", F.get("nodes", F.col("k") + 1).alias("dst"), "doc_id", (F.col("pos") + F.col("k")).alias("pos"))
 
 
 def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, spans array<struct<start, last, node>>): windows start..last of doc_id repeat a smaller document's path.
+    """(doc_id, spans array<struct<start, last, mark>>): windows start..last of doc_id repeat a smaller document's path.
 
-    docs has doc_id and data (binary).  node is the hash of the first window - 1 words at start.
+    docs has doc_id and data (binary).  mark is part of the hash of the first window - 1 words at start.
     """
     shared = materialize(_shared_minimizers(docs, window), "minimizers")
     # Edges meet in one sorted shuffle: the first row of an edge is its owner, and the first row of a later document
     # carries the edge's nodes on, once.
-    along = Window.partitionBy("src", "dst").orderBy("doc_id", "pos")
+    along = Window.partitionBy("mini", "src", "dst").orderBy("doc_id", "pos")
     so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = _edges(docs, shared, window).select("*", F.first("doc_id").over(so_far).alias("odoc"), F.first("pos").over(so_far).alias("opos"), F.lag("doc_id").over(along).alias("prior"))
     later = met.where("doc_id > odoc")
-    kept = later.select("src", F.when(F.col("prior") == F.col("odoc"), F.col("dst")).alias("dst"), "doc_id", "pos", "odoc", "opos")
+    once = F.col("prior") == F.col("odoc")
+    kept = later.select(F.when(once, F.col("src")).alias("src"), F.when(once, F.col("dst")).alias("dst"), (F.col("src") % (1 << 31)).cast("int").alias("mark"), "doc_id", "pos", "odoc", "opos")
     kept = materialize(kept, "edges")
     discard(shared)
     # Nonbranching nodes: one way in, one way out, and consecutive source coordinates.
@@ -179,15 +186,17 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     marks = marks.withColumn("starts", F.when((F.col("head") == 1) & ~continues, F.col("opos")))
     paths = marks.select("odoc", "opos", "head", F.last("starts", ignorenulls=True).over(along).alias("path")).where("head = 1").drop("head")
     # Windows of later documents compact into runs along one path at one distance from the source coordinates.
-    later = kept.select("doc_id", "pos", "src", "odoc", "opos").join(paths, ["odoc", "opos"])
+    paths = materialize(paths, "paths")
+    later = kept.select("doc_id", "pos", "mark", "odoc", "opos").join(paths, ["odoc", "opos"])
     runs = later.repartition("doc_id").groupBy("doc_id", "odoc", "path", (F.col("pos") - F.col("opos")).alias("shift"))
-    at = runs.agg(F.array_sort(F.collect_set(F.struct("pos", "src"))).alias("at"))
+    at = runs.agg(F.array_sort(F.collect_set(F.struct("pos", "mark"))).alias("at"))
     pos = lambda k: F.get(F.col("at"), k)["pos"]
     starts = F.filter("at", lambda x, k: (k == 0) | (pos(k - 1) < x["pos"] - 1))
     lasts = F.filter("at", lambda x, k: (k == F.size("at") - 1) | (pos(k + 1) > x["pos"] + 1))
-    spans = at.select("doc_id", F.zip_with(starts, lasts, lambda a, b: F.struct(a["pos"].alias("start"), b["pos"].alias("last"), a["src"].alias("node"))).alias("s"))
+    spans = at.select("doc_id", F.zip_with(starts, lasts, lambda a, b: F.struct(a["pos"].alias("start"), b["pos"].alias("last"), a["mark"].alias("mark"))).alias("s"))
     out = materialize(spans.groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
     discard(kept)
+    discard(paths)
     return out
 
 
@@ -219,11 +228,11 @@ def _trim(window: int, layout: bool):
                 out.append((len(data.split()) if data else 0, 0, _kept(data, None, layout)))
                 continue
             hashes, _ = word_hashes(data)
-            start, last, node = (np.array([s[k] for s in own], np.int64) for k in ("start", "last", "node"))
+            start, last, mark = (np.array([s[k] for s in own], np.int64) for k in ("start", "last", "mark"))
             fits = last + window <= len(hashes)
-            start, last, node = start[fits], last[fits], node[fits]
+            start, last, mark = start[fits], last[fits], mark[fits]
             seen = _mix(sum((a * hashes[start + j] for j, a in enumerate(factors)), np.zeros(len(start), np.uint64))).view(np.int64)
-            true = seen == node  # the text confirms the span
+            true = np.fmod(seen, 1 << 31) == mark  # the text confirms the span
             covered = np.zeros(len(hashes) + 1, np.int64)
             np.add.at(covered, start[true], 1)
             np.add.at(covered, last[true] + window, -1)
