@@ -46,7 +46,7 @@ class _Memo(dict):
 
 
 class WordBpe:
-    def __init__(self, path: str, memo_limit: int = 600_000, specials_as_text: bool = True):
+    def __init__(self, path: str, memo_limit: int = 300_000, specials_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
