@@ -82,7 +82,6 @@ class ByteBpe:
         self.hash = PerfectHash(keys)
         self.slot_key = [keys[i] for i in self.hash.order.tolist()]
         self.slot_id = ids[self.hash.order]
-        self.bytes_of = dict(zip(ids.tolist(), keys, strict=True))
         self._prepare()
 
     @classmethod
@@ -92,10 +91,14 @@ class ByteBpe:
 
     def _prepare(self) -> None:
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.rank_of = dict(zip(self.slot_key, self.slot_id.tolist(), strict=True))
+        self.bytes_of = [b""] * (max(self.rank_of.values()) + 1)
+        for key, i in self.rank_of.items():
+            self.bytes_of[i] = key
         self.find = regex.compile(self.pattern).findall
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "find")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "find", "rank_of", "bytes_of")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -109,30 +112,39 @@ class ByteBpe:
         return [int(self.slot_id[s]) if self.slot_key[s] == k else -1 for s, k in zip(slots, keys, strict=True)]
 
     def merge(self, word: bytes) -> tuple[int, ...]:
-        """Lowest-rank merging, leftmost among equals: a heap of candidate pairs over a doubly linked list of parts."""
-        n = len(word)
-        left, right, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
-        alive = [True] * n
-        heap = [(r, i, i + 2) for i, r in enumerate(self.ranks([word[i : i + 2] for i in range(n - 1)])) if r >= 0]
+        """Lowest-rank merging, leftmost among equals: a heap of candidate pairs over doubly linked parts of the word.
+
+        A part begins at i and ends where the next begins; pair[i] is the rank of the pair that begins at i, -1 without
+        one.  A heap entry is rank * n + i, and is stale unless it agrees with pair[i].
+        """
+        n, rank = len(word), self.rank_of.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = [rank(word[i : i + 2], -1) for i in range(n - 1)]
+        pair.append(-1)
+        heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = right[i] if alive[i] else n
-            if j >= n or end[j] != stop:
-                continue  # one of its parts has been merged since
-            end[i], right[i], alive[j] = stop, right[j], False
-            if right[i] < n:
-                left[right[i]] = i
-            pairs = [(k, end[right[k]]) for k in (left[i], i) if k >= 0 and right[k] < n]
-            heap_items = self.ranks([word[k:e] for k, e in pairs])
-            for (k, e), r in zip(pairs, heap_items, strict=True):
+            r, i = divmod(heapq.heappop(heap), n)
+            if pair[i] != r:
+                continue
+            j = after[i]
+            k = after[i] = after[j]
+            pair[j] = pair[i] = -1
+            if k < n:
+                before[k] = i
+                if (r := rank(word[i : after[k]], -1)) >= 0:
+                    pair[i] = r
+                    heapq.heappush(heap, r * n + i)
+            p = before[i]
+            if p >= 0:
+                r = pair[p] = rank(word[p:k], -1)
                 if r >= 0:
-                    heapq.heappush(heap, (r, k, e))
+                    heapq.heappush(heap, r * n + p)
         parts, i = [], 0
         while i < n:
-            parts.append(word[i : end[i]])
-            i = right[i]
-        return tuple(self.ranks(parts))
+            parts.append(self.rank_of[word[i : after[i]]])
+            i = after[i]
+        return tuple(parts)
 
     def _learn(self, words: list[str]) -> None:
         data = [w.encode("utf-8", "replace") for w in words]
@@ -141,13 +153,12 @@ class ByteBpe:
 
     def encode(self, text: str) -> list[int]:
         words = self.find(text)
-        missing = set(words)
-        missing.difference_update(self.memo)
-        if missing:
-            if len(self.memo) + len(missing) > self.limit:
-                self.memo.clear()
-                missing = set(words)
-            self._learn(list(missing))
+        distinct, memo = set(words), self.memo
+        if missing := [w for w in distinct if w not in memo]:
+            if len(memo) + len(missing) > self.limit:
+                memo.clear()
+                missing = list(distinct)
+            self._learn(missing)
         return list(chain.from_iterable(map(self.memo.__getitem__, words)))
 
     def decode(self, ids: list[int]) -> bytes:
@@ -165,7 +176,7 @@ def round_trip(df: DataFrame, model: ByteBpe, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared.value
-        text_of = list(map(str, range(max(bpe.bytes_of) + 1)))
+        text_of = list(map(str, range(len(bpe.bytes_of))))
         for batch in slices(batches, 1):
             n, ids_hash, text_hash = [], [], []
             for data in batch.column(1).to_pylist():
