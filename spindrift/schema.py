@@ -5,7 +5,9 @@ Flags are 0/1 integers, so that rule SQL can compare them with numbers; ids are
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+import re
+
+from pyspark.sql import types as T
 
 DDL = {
     "files": "file_id long, rel_path string, file_hash string, language string, line_count int, parse_error string, indexed_at timestamp_ntz",
@@ -27,7 +29,24 @@ DDL = {
 }
 
 SCHEMA_VERSION = 1
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in DDL.items()}
+_PLAIN = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
+def _type(ddl: str) -> T.DataType:
+    if ddl.startswith("array<"):
+        return T.ArrayType(_type(ddl[6:-1]))
+    if ddl.startswith("struct<"):
+        return T.StructType([T.StructField(*(f(x) for f, x in zip((str, _type), pair.split(":"), strict=True))) for pair in ddl[7:-1].split(",")])
+    return _PLAIN[ddl]
+
+
+def _schema(ddl: str) -> T.StructType:
+    """The declared types, without the session that Spark's own parser needs."""
+    fields = re.findall(r"(\w+) ((?:array<.*?>>)|\w+)(?:, |$)", ddl)
+    return T.StructType([T.StructField(name, _type(kind)) for name, kind in fields])
+
+
+SCHEMAS: dict[str, T.StructType] = {name: _schema(ddl) for name, ddl in DDL.items()}
 #: Relations that belong to a file and go when it goes.
 FILE_RELATIONS = ("symbols", "calls", "refs", "imports", "diagnostics")
 
