@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,17 @@ class Project:
         if run_rules:
             self.run_rules()
 
+    @contextmanager
+    def _built(self, sources: DataFrame):
+        """An index of sources; they and their parsed rows are kept only while it is in use, or later scans would see
+        these files again."""
+        parsed = {k: v.persist() for k, v in source_files.parse(sources).items()}
+        try:
+            yield source_files.build(sources, parsed)
+        finally:
+            for df in parsed.values():
+                df.unpersist()
+
     def _after(self, facts: dict, now: datetime) -> None:
         known = history.set_knowledge(self.store.read("knowledge"), "last_rebuild", facts, now)
         for key, value in project_config.instruction_facts(self.root).items():
@@ -47,7 +59,10 @@ class Project:
     def rebuild(self, now: datetime | None = None) -> dict:
         """Index every file anew.  Annotations stay: they are kept by path and name."""
         began, now = time.time(), now or datetime.now()
-        self._write(source_files.build(self.scan().persist()))
+        sources = self.scan().persist()
+        with self._built(sources) as ix:
+            self._write(ix)
+        sources.unpersist()
         facts = summary.stats(self.index).first().asDict() | {"elapsed_seconds": round(time.time() - began, 2)}
         self._after(facts, now)
         return facts | {"parse_error_sample": [r.asDict() for r in self.index.files.where("parse_error is not null").orderBy("rel_path").select("rel_path", "parse_error").limit(5).collect()]}
@@ -67,8 +82,11 @@ class Project:
         if any(counts.values()):
             stale = found.where("change_type <> 'added'").select("rel_path")
             fresh = sources.join(found.where("change_type <> 'deleted'").select("rel_path"), "rel_path", "left_semi")
-            self._write(merged(without_files(self.index, stale), source_files.build(fresh)))
+            with self._built(fresh) as ix:
+                self._write(merged(without_files(self.index, stale), ix))
             self._after(counts, now or datetime.now())
+        found.unpersist()
+        sources.unpersist()
         return counts
 
     # -- rules ---------------------------------------------------------------------------------------------------
@@ -140,8 +158,10 @@ class Project:
 
     def record_changes(self, session_id: int, now: datetime | None = None) -> int:
         rows = history.record_changes(self.changes(), session_id, now or datetime.now()).persist()
+        n = rows.count()
         self.store.append("change_log", rows, "change_id")
-        return rows.count()
+        rows.unpersist()
+        return n
 
     def session_history(self, limit: int = 10) -> DataFrame:
         return history.session_history(self.store.read("sessions"), self.store.read("change_log"), limit)

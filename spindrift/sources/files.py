@@ -43,7 +43,7 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> Dat
     found = raw.select(F.substring_index(path, f"{plain}/", -1).alias("rel_path"), "content")
     suffix = F.lower(F.regexp_extract("rel_path", r"(\.[^./]+)$", 1))
     kept = found.where(suffix.isin(supported_suffixes()) & ~in_skipped_folder(F.col("rel_path")) & ~is_ignored(F.col("rel_path"), ignore or []))
-    return kept.select("rel_path", F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("file_hash"))
+    return kept.select("rel_path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("file_hash"))
 
 
 def parse(sources: DataFrame) -> dict[str, DataFrame]:
@@ -84,8 +84,11 @@ def _numbered(df: DataFrame, *order: str, name: str) -> DataFrame:
 
 
 def build(sources: DataFrame, parsed: dict[str, DataFrame] | None = None) -> Index:
-    """An index of sources (rel_path, content, file_hash): parents, callers and owners are linked by (path, ordinal)."""
-    parsed = parsed or {k: v.persist() for k, v in parse(sources).items()}
+    """An index of sources (rel_path, content, file_hash): parents, callers and owners are linked by (path, ordinal).
+
+    A caller that writes several relations persists sources and parsed for that long, or each relation parses anew.
+    """
+    parsed = parsed or parse(sources)
     suffix = F.lower(F.regexp_extract("rel_path", r"(\.[^./]+)$", 1))
     language = F.create_map(*[F.lit(x) for s, (name, _) in PARSERS.items() for x in (s, name)])[suffix]
     lines = (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).cast("int")

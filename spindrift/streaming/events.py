@@ -14,7 +14,7 @@ def watch_sources(spark: SparkSession, folder: str, checkpoint: str, apply: Call
     """Hand new source files (path, content, file_hash) to apply, batch by batch, and stop when none are left."""
     schema = StructType.fromDDL("path string, modificationTime timestamp, length long, content binary")
     raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(folder)
-    found = raw.select("path", F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("file_hash"))
+    found = raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("file_hash"))
     return found.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: apply(df)).start()
 
 
@@ -24,6 +24,7 @@ def read_events(spark: SparkSession, folder: str, schema: StructType) -> DataFra
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Events and their value per type and window, with a watermark for late ones."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     timed = events.withWatermark("ts", late) if events.isStreaming else events
     grouped = timed.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
     return grouped.select(F.col("window.start").alias("start"), "event_type", "n", "value")
@@ -31,6 +32,7 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1
 
 def activity_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Runs of a user's events with gaps below ``gap``."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     timed = events.withWatermark("ts", late) if events.isStreaming else events
     grouped = timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return grouped.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
