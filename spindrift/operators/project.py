@@ -190,7 +190,8 @@ class Project:
             chosen = taken.where(F.col("git_commit") == full)
         else:
             chosen = taken.where((F.col("name") == str(snapshot)) | (F.col("snapshot_id").cast("string") == str(snapshot)))
-        chosen = chosen.orderBy(F.desc("created_at")).limit(1)
+        # Of several snapshots of a commit the first is nearest to it: later ones hold edits on top.
+        chosen = chosen.orderBy("created_at" if commit else F.desc("created_at")).limit(1)
         if not chosen.isEmpty():
             old = chosen.select(F.explode("symbols").alias("x")).select("x.*"), chosen.select(F.explode("calls").alias("x")).select("x.*")
         elif commit:
