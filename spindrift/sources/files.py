@@ -16,10 +16,10 @@ from ..functions import text
 from ..functions.patterns import in_skipped_folder, is_ignored
 from ..operators.index import Index
 from ..schema import SCHEMAS
-from . import python_source
+from . import brace_source, python_source
 
 #: Parsers by file suffix: source text and path to the tagged rows of python_source.ROW.
-PARSERS: dict[str, tuple[str, Callable[[str, str], list[dict]]]] = {".py": ("python", python_source.parse)}
+PARSERS: dict[str, tuple[str, Callable[[str, str], list[dict]]]] = {".py": ("python", python_source.parse), **brace_source.PARSERS}
 
 
 def register_parser(suffix: str, language: str, parse: Callable[[str, str], list[dict]]) -> None:
