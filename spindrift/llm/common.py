@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows of two longs that one task of an iterative join writes.
+ROWS_A_TASK = 1_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -91,13 +95,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return row["n"], row["h"]
 
     last = mark(cur)
+    parts = 1 + last[0] // ROWS_A_TASK  # few links need no more tasks and files than that
     for _ in range(max_rounds if last[0] else 0):
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        cur = materialize(small, "links")
+        old, cur = cur, materialize(small.coalesce(parts), "links")
+        discard(old)
         now = mark(cur)
         if now == last:
             break
