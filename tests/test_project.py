@@ -254,3 +254,20 @@ def test_null_callers_survive_exclusion_q12(project):
     ix = project.index
     sites = ix.call_sites().where(F.col("caller_name").isNull())
     assert sites.count() >= 1
+
+
+def test_server_and_command_line(project, spark, capsys):
+    import io
+    import json
+
+    from spindrift.__main__ import main, serve
+
+    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "callers", "arguments": {"name": "main"}}},
+             {"id": 4, "method": "nothing"}, {"id": 5, "method": "tools/call", "params": {"name": "no_tool"}}]
+    out = io.StringIO()
+    serve(project, io.StringIO("\n".join(json.dumps(x) for x in asked) + "\nnot json\n"), out)
+    replies = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [r.get("error", {}).get("code") for r in replies] == [None, None, None, -32601, -32603, -32700]
+    assert len(replies[1]["result"]["tools"]) == 12
+    main(["--root", project.root, "--store", project.store.root, "search", "main"], spark)
+    assert json.loads(capsys.readouterr().out)[0]["name"] == "main"
