@@ -89,7 +89,17 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(fold_accents(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens word_tokens finds; neither case nor folded accents move their bounds."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))
+
+
 def fold_accents(text: Column) -> Column:
+    """Latin letters without accents; texts that have none are not walked through."""
+    return F.when(text.rlike("[À-ÿ]"), _folded(text)).otherwise(text)
+
+
+def _folded(text: Column) -> Column:
     return F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
 
 

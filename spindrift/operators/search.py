@@ -48,7 +48,7 @@ def postings(docs: DataFrame, key: str, columns: list[str], stemmed: bool = True
 
 def collection(docs: DataFrame, columns: list[str]) -> dict:
     """Number of rows and their average length in tokens, as one small row."""
-    length = sum((F.size(text.word_tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0))
+    length = sum((text.token_count(F.coalesce(F.col(c), F.lit(""))) for c in columns), F.lit(0))
     row = docs.agg(F.count("*").alias("n"), F.avg(length).alias("mean")).first()
     return row.asDict()
 
@@ -56,12 +56,15 @@ def collection(docs: DataFrame, columns: list[str]) -> dict:
 def bm25(docs: DataFrame, key: str, columns: list[str], query: str, limit: int | None = 20, stemmed: bool = True) -> DataFrame:
     """(key, score) of rows that hold a term of the query.
 
-    Only postings of the query's terms leave the scan: the filter runs before the shuffle.  Terms in half of the rows or
-    more weigh next to nothing, but not nothing.
+    Only postings of the query's terms leave the scan: the filter runs before the shuffle, and rows without any term as
+    a substring are not cut into tokens.  Terms in half of the rows or more weigh next to nothing, but not nothing.
     """
     terms = sorted({stem(t) if stemmed else t for t in _tokens_of(query)})
     facts = collection(docs, columns)
     tokens: Column = F.concat(*[text.word_tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns])
+    if not stemmed:  # a stem need not be a substring of its word
+        low = [text.fold_accents(F.lower(F.coalesce(F.col(c), F.lit("")))) for c in columns]
+        docs = docs.where(text.any_of([F.contains(x, F.lit(t)) for t in terms for x in low]))
     tokens = stem_tokens(tokens) if stemmed else tokens
     listed = docs.select(F.col(key).alias("key"), tokens.alias("t"))
     counts = F.transform(F.array(*[F.lit(t) for t in terms]), lambda q: F.struct(q.alias("term"), F.size(F.filter("t", lambda x: x == q)).alias("tf")))

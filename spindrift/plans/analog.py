@@ -156,6 +156,17 @@ def oracle(body: str, *views: str, thin: int = 1) -> str:
     return f"WITH {ctes},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes}\n{body}"
 
 
+_SIZES: dict[tuple[str, str, str], int] = {}
+
+
+def rows_of(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """A table's row count, asked once per application: the driver's tables do not change."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SIZES:
+        _SIZES[key] = read(spark, sf_dir, name).count()
+    return _SIZES[key]
+
+
 def index(spark: SparkSession, sf_dir: str, thin: int = 1) -> Index:
-    n_files, n_parts = read(spark, sf_dir, "supplier").count(), read(spark, sf_dir, "part").count()
+    n_files, n_parts = rows_of(spark, sf_dir, "supplier"), rows_of(spark, sf_dir, "part")
     return Index(files(spark, sf_dir), symbols(spark, sf_dir, n_files), calls(spark, sf_dir, n_parts, thin), refs(spark, sf_dir), imports(spark, sf_dir, n_files), diagnostics(spark, sf_dir, n_files))
