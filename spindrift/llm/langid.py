@@ -245,7 +245,8 @@ def predict(text: Column, model: ByteTagger | None) -> Column:
                 score[known] = np.clip(prob.max(axis=1), 0, 1)
             yield pd.DataFrame({"lang": lang, "score": score})
 
-    return run(F.when(text.rlike(HAS_LETTER), text.cast("binary")))
+    # Marked nondeterministic: a filter on the result must not run the network a second time.
+    return run.asNondeterministic()(F.when(text.rlike(HAS_LETTER), text.cast("binary")))
 
 
 def identify(df: DataFrame, per_class: int = 1200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -241,7 +241,7 @@ def _trim(window: int, layout: bool):
             out.append((len(keep), removed, _kept(data, keep if removed else None, layout)))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
-    return run
+    return run.asNondeterministic()  # once a row, whatever reads the result
 
 
 def deduplicate(df: DataFrame, window: int = 13, layout: bool = False, id_col: str = "doc_id", text_col: str = "text", result: str = "substrings") -> DataFrame:
