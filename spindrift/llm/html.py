@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: Unquoted parts of a tag hold no <, and quoted ones end within 64 K: so unclosed tags do not make the scan start over and over.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object noframes xmp".split())
@@ -38,6 +39,7 @@ DROPPED_WORDS = frozenset(
 FAVOURED_WORDS = frozenset("article content post entry story main text body page blog news".split())
 #: Elements that an opening tag closes, up to the nearest ancestor that contains them.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+MAX_DEPTH = 512
 P_CLOSERS = BLOCKS - {"br", "option", "body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 
@@ -114,6 +116,10 @@ def parse(page: str) -> tuple[Element, list[Element]]:
             if tag in BLOCKS:
                 stack[-1].items.append(" ")
             continue
+        if len(stack) >= MAX_DEPTH:  # deeper elements lend their text to this one, as browsers have it
+            if tag in BLOCKS:
+                stack[-1].items.append(" ")
+            continue
         parent, words, path, dropped = stack[-1], frozenset(), "", stack[-1].dropped or tag in DROPPED
         block = tag in BLOCKS
         if m[3].strip(" /\n\t\r"):
@@ -177,13 +183,13 @@ def text_of(elements: list[Element]) -> str:
     while todo:
         x = todo.pop()
         if x.__class__ is str:
-            out.append(x)
+            out.append(entities.unescape(x) if "&" in x else x)
         elif not x.dropped:
             if x.tag in BLOCKS:
                 out.append(" ")
                 todo.append(" ")
             todo.extend(reversed(x.items))
-    return " ".join(entities.unescape("".join(out)).split())
+    return " ".join("".join(out).split())
 
 
 def vote(page: str) -> tuple[str, float] | None:
