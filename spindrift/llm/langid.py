@@ -138,25 +138,28 @@ class ByteTagger:
         x = np.zeros((t_max, s), np.uint8)
         for t in range(t_max):
             x[t, : active[t]] = data[start[: active[t]] + t]
-        forward = np.empty((t_max, s, len(self.langs)), np.float32)
+        forward, k = np.empty((t_max, len(self.langs), s), np.float32), len(self.langs)  # languages by stretches
+        vf, vb, o = self.p["Vf"].T, self.p["Vb"].T, self.p["o"][:, None]
         h = np.zeros((s, self.hidden), np.float32)
         for t in range(t_max):
             a = active[t]
             h = self._step("f", x[t, :a], h[:a])[0]
-            forward[t, :a] = h @ self.p["Vf"] + self.p["o"]
-        sums, h = np.zeros((s, len(self.langs)), np.float32), np.zeros((0, self.hidden), np.float32)
+            np.add(vf @ h.T, o, out=forward[t, :, :a])
+        sums, h = np.zeros((k, s), np.float32), np.zeros((0, self.hidden), np.float32)
         for t in range(t_max - 1, -1, -1):
             a = active[t]
             if a > len(h):
                 h = np.concatenate([h, np.zeros((a - len(h), self.hidden), np.float32)])
             h = self._step("b", x[t, :a], h)[0]
-            score = forward[t, :a] + h @ self.p["Vb"]
-            score -= score.max(axis=1, keepdims=True)
+            score = vb @ h.T
+            score += forward[t, :, :a]
+            score -= score.max(axis=0)
             np.exp(score, out=score)
-            score /= score.sum(axis=1, keepdims=True)
-            sums[:a] += score
+            score /= score.sum(axis=0)
+            sums[:, :a] += score
             if labels is not None:
-                labels[start[:a] + t] = score.argmax(axis=1)
+                labels[start[:a] + t] = score.argmax(axis=0)
+        sums = sums.T
         return sums
 
     def _run(self, texts: list[bytes], labels: np.ndarray | None = None, block: int = 3072) -> np.ndarray:
