@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, doc_texts, materialize, slices
+from .common import ROWS_A_TASK, discard, doc_texts, materialize, slices
 
 MINIMIZER_WORDS = 5
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
@@ -174,6 +174,7 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     kept = later.select(F.when(once, F.col("src")).alias("src"), F.when(once, F.col("dst")).alias("dst"), (F.col("src") % (1 << 31)).cast("int").alias("mark"), "doc_id", "pos", "odoc", "opos")
     kept = materialize(kept, "edges")
     discard(shared)
+    parts = 1 + kept.count() // ROWS_A_TASK  # few edges need no more tasks and files than that
     # Nonbranching nodes: one way in, one way out, and consecutive source coordinates.
     graph = kept.where("dst is not null").select("src", "dst", "odoc", "opos")
     ways_out = graph.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("odoc"), F.min("opos").alias("opos")).where("n = 1")
@@ -186,7 +187,7 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     marks = marks.withColumn("starts", F.when((F.col("head") == 1) & ~continues, F.col("opos")))
     paths = marks.select("odoc", "opos", "head", F.last("starts", ignorenulls=True).over(along).alias("path")).where("head = 1").drop("head")
     # Windows of later documents compact into runs along one path at one distance from the source coordinates.
-    paths = materialize(paths, "paths")
+    paths = materialize(paths.coalesce(parts), "paths")
     later = kept.select("doc_id", "pos", "mark", "odoc", "opos").join(paths, ["odoc", "opos"])
     runs = later.repartition("doc_id").groupBy("doc_id", "odoc", "path", (F.col("pos") - F.col("opos")).alias("shift"))
     at = runs.agg(F.array_sort(F.collect_set(F.struct("pos", "mark"))).alias("at"))
@@ -194,7 +195,7 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     starts = F.filter("at", lambda x, k: (k == 0) | (pos(k - 1) < x["pos"] - 1))
     lasts = F.filter("at", lambda x, k: (k == F.size("at") - 1) | (pos(k + 1) > x["pos"] + 1))
     spans = at.select("doc_id", F.zip_with(starts, lasts, lambda a, b: F.struct(a["pos"].alias("start"), b["pos"].alias("last"), a["mark"].alias("mark"))).alias("s"))
-    out = materialize(spans.groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
+    out = materialize(spans.groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("spans")).coalesce(parts), "spans")
     discard(kept)
     discard(paths)
     return out
