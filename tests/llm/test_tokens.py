@@ -15,8 +15,6 @@ from spindrift.llm import bytebpe, packing, records
 from spindrift.llm.wordbpe import WordBpe
 from tokenizers import Tokenizer
 
-from .conftest import ODD
-
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -43,12 +41,9 @@ TEXT = st.text(alphabet=st.one_of(st.characters(max_codepoint=0x250, exclude_cat
 
 
 @settings(max_examples=300, deadline=None)
-@given(TEXT)
-def test_word_bpe_is_the_library(text):
-    t = Tokenizer.from_file(WORDS) if not hasattr(test_word_bpe_is_the_library, "t") else test_word_bpe_is_the_library.t
-    t.encode_special_tokens = True
-    test_word_bpe_is_the_library.t = t
-    assert np.frombuffer(WordBpe.load(WORDS).encode(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+@given(text=TEXT)
+def test_word_bpe_is_the_library(library, text):
+    assert np.frombuffer(WordBpe.load(WORDS).encode(text.encode()), "<u4").tolist() == library(text)
 
 
 @settings(max_examples=300, deadline=None)
@@ -87,9 +82,8 @@ def test_round_trip(request, byte_model, reference, source):
     assert found == sorted(want, key=repr)
 
 
-def checked_packing(rows, by_id):
-    for doc_id, ids in by_id:
-        assert any(sorted((r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == doc_id) is not None for _ in [0])
+def checked_packing(rows):
+    """The number of sequences, each gapless from 0 and at most full."""
     bins = {}
     for r in rows:
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -111,7 +105,7 @@ def test_packing(request, library, source):
         ids = np.array([*library(r["text"]), 1], "<u4")
         want += [(r["doc_id"], k, k * 4096, len(c := ids[k * 4096 : (k + 1) * 4096]), zlib.crc32(c.tobytes())) for k in range(-(-len(ids) // 4096))]
     assert sorted((tuple(r)[:5] for r in rows), key=repr) == sorted(want, key=repr)
-    assert checked_packing(rows, []) == len(greedy([r["length"] for r in rows], 4096))
+    assert checked_packing(rows) == len(greedy([r["length"] for r in rows], 4096))
 
 
 def greedy(lengths, capacity):
@@ -191,4 +185,4 @@ def test_empty_tables(docs_of, spark, byte_model, tmp_path):
 def test_clashing_columns(spark, byte_model, library):
     df = spark.createDataFrame([(1, "a b", 5, "x", 7)], "doc_id long, text string, length long, data string, part int")
     assert packing.pack(df, WORDS).first()["length"] == len(library("a b")) + 1
-    assert bytebpe.round_trip(df, byte_model).count() == 1 and len(ODD) == 10
+    assert bytebpe.round_trip(df, byte_model).count() == 1
