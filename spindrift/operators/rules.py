@@ -54,7 +54,7 @@ def dead_symbols(ix: Index, compat: bool = False) -> DataFrame:
 
 def large_symbols(ix: Index, max_lines: int = 50, max_complexity: int = 15) -> DataFrame:
     big = F.col("kind").isin("function", "method") & ((F.col("line_end") - F.col("line_start") > max_lines) | (F.col("complexity") > max_complexity))
-    return ix.with_tables(symbols=ix.symbols).located_symbols().where(big).select("symbol_id", "name", "kind", "line_start", "line_end", "complexity", "rel_path", "file_id", "parent_name")
+    return ix.located_symbols().where(big).select("symbol_id", "name", "kind", "line_start", "line_end", "complexity", "rel_path", "file_id", "parent_name")
 
 
 def circular_imports(ix: Index, compat: bool = False) -> DataFrame:
@@ -121,8 +121,7 @@ def findings(ix: Index, rule: Rule, now: datetime | None = None) -> DataFrame:
     if "file_id" not in rows.columns:
         rows = rows.withColumn("file_id", F.lit(None).cast("long"))
     at = F.lit(now or datetime.now()).cast("timestamp_ntz")
-    kept = rows.where("file_id is not null and (file_id <> 0 or true)") if rule.is_builtin else rows.where("file_id is not null")
-    return kept.select(
+    return rows.where("file_id is not null").select(
         F.col("file_id").cast("long").alias("file_id"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"), message(rule, rows).alias("message"),
         _column(rows, "int", "line_start", "line_no").alias("line_no"), _column(rows, "string", "rel_path").alias("context"), F.lit(0).alias("is_resolved"), at.alias("first_seen"), at.alias("last_seen"),
     )
