@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROWS_A_TASK, discard, doc_texts, materialize, slices
+from .common import discard, doc_texts, materialize, slices
 
 MINIMIZER_WORDS = 5
+#: Repeated windows that one task turns into paths and spans.
+EDGES_A_TASK = 250_000
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 _BYTE = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -174,7 +176,7 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     kept = later.select(F.when(once, F.col("src")).alias("src"), F.when(once, F.col("dst")).alias("dst"), (F.col("src") % (1 << 31)).cast("int").alias("mark"), "doc_id", "pos", "odoc", "opos")
     kept = materialize(kept, "edges")
     discard(shared)
-    parts = 1 + kept.count() // ROWS_A_TASK  # few edges need no more tasks and files than that
+    parts = 1 + kept.count() // EDGES_A_TASK  # few edges need no more tasks and files than that
     # Nonbranching nodes: one way in, one way out, and consecutive source coordinates.
     graph = kept.where("dst is not null").select("src", "dst", "odoc", "opos")
     ways_out = graph.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("odoc"), F.min("opos").alias("opos")).where("n = 1")
