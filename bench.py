@@ -30,6 +30,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     from spindrift.plans.queries import QUERIES
+    from spindrift.ship import ship
+
+    ship(spark)
 
     def once(name: str) -> float:
         began = time.perf_counter()
