@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
-#: Unquoted parts of a tag hold no <, and quoted ones end within 64 K: so unclosed tags do not make the scan start over and over.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*)>|([^<]+|<)", re.S)
+#: A tag up to the end of its name; tag_end finds the rest.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)|([^<]+|<)", re.S)
+SPECIAL = re.compile(r"[<>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object noframes xmp".split())
@@ -53,24 +54,52 @@ class Element:
         self.own = self.linked = 0  # characters of text below (not in dropped elements), and of those inside links
 
 
+def tag_end(page: str, at: int, dead: set[int]) -> int:
+    """The position after the > that ends a tag, read on from ``at`` outside quotes; -1 if a < or the page's end comes first.
+
+    Quoted values may have any length.  ``dead`` keeps the opening quotes from which no > was found, so that no part of a
+    page is scanned twice in vain, whatever its tags leave open.
+    """
+    seen = []
+    while m := SPECIAL.search(page, at):
+        k = m.start()
+        if page[k] == ">":
+            return k + 1
+        if page[k] == "<" or k in dead:
+            break
+        seen.append(k)
+        at = page.find(page[k], k + 1) + 1
+        if not at:
+            break
+    dead.update(seen)
+    return -1
+
+
 def parse(page: str) -> tuple[Element, list[Element]]:
     """The root element and all containers of a page; never fails, whatever the markup."""
     root = Element("html", None, "", frozenset(), False)
     stack, containers, lower = [root], [], None
-    at, match = 0, TOKEN.match
+    at, match, dead = 0, TOKEN.match, set()
     while at < len(page):
         m = match(page, at)
-        if m is None:  # an unclosed tag at the end
-            stack[-1].items.append("" if re.match(r"</?[a-zA-Z!?]", page[at : at + 3]) else page[at:])
-            break
         at = m.end()
-        text = m[4]
+        text = m[3]
         if text is not None:
             stack[-1].items.append(text)
             continue
         tag = m[2]
         if tag is None:
             continue  # comment, declaration
+        name = at
+        at = tag_end(page, name, dead)
+        while at < 0 and (cut := max(tag.rfind('"'), tag.rfind("'"))) > 0:  # a quote that follows the name at once
+            tag, name = tag[:cut], m.start(2) + cut
+            at = tag_end(page, name, dead)
+        if at < 0:  # an unclosed tag is text
+            stack[-1].items.append("<")
+            at = m.start() + 1
+            continue
+        attributes = page[name : at - 1]
         tag = tag.lower()
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
@@ -85,7 +114,7 @@ def parse(page: str) -> tuple[Element, list[Element]]:
         if tag in ("html", "head"):
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 lower = page.lower() if lower is None else lower
                 end = lower.find(f"</{tag}", at)
                 close = page.find(">", end) if end >= 0 else -1
@@ -122,8 +151,8 @@ def parse(page: str) -> tuple[Element, list[Element]]:
             continue
         parent, words, path, dropped = stack[-1], frozenset(), "", stack[-1].dropped or tag in DROPPED
         block = tag in BLOCKS
-        if m[3].strip(" /\n\t\r"):
-            found = {a[0].lower(): entities.unescape(a[1] or a[2] or a[3]) for a in ATTRIBUTE.findall(m[3])}
+        if attributes.strip(" /\n\t\r"):
+            found = {a[0].lower(): entities.unescape(a[1] or a[2] or a[3]) for a in ATTRIBUTE.findall(attributes)}
             names = f"{found.get('class', '')} {found.get('id', '')}".lower()
             words = frozenset(re.split(r"[^a-z]+", names)) if names.strip() else words
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)

@@ -3,6 +3,7 @@
 import html as entities
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -57,6 +58,22 @@ def test_deep_and_long_pages():
     assert len(html.extract("<article>" + "<p>word word</p>" * 50_000, None).split()) == 100_000
 
 
+@pytest.mark.parametrize("n", [65_000, 70_000, 1_000_000])
+@pytest.mark.parametrize("quote", "\"'")
+def test_long_attributes(n, quote):
+    value = quote + "data:image/png;base64," + "A<b>" * (n // 4) + quote
+    page = f"<nav data-x={value}><p>menu</p></nav><article data-y={value}><p>Before <img src={value} alt=x> and after.</p></article><p>end</p>"
+    assert html.extract(page, None) == "Before and after."
+    assert html.vote(page)[0] == ">article"
+
+
+@pytest.mark.parametrize("part", ["<a \"", "<a '\"", "<a \"x", "<a href='", "<a\"'", "<a '\"' \"'"])
+def test_unclosed_quotes_take_linear_time(part):
+    began = time.process_time()
+    html.parse(part * 100_000)
+    assert time.process_time() - began < 10
+
+
 # -- chat
 
 
