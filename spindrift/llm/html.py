@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -40,7 +42,9 @@ DROPPED_WORDS = frozenset(
 FAVOURED_WORDS = frozenset("article content post entry story main text body page blog news".split())
 #: Elements that an opening tag closes, up to the nearest ancestor that contains them.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Paths of deeper elements are digests, so that a page's paths take space in proportion to its elements.
 MAX_DEPTH = 512
+CELLS, TABLE_PARTS = ("td", "th", "table"), frozenset("table tr tbody thead tfoot td th".split())
 P_CLOSERS = BLOCKS - {"br", "option", "body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 
@@ -54,6 +58,33 @@ class Element:
         self.own = self.linked = 0  # characters of text below (not in dropped elements), and of those inside links
 
 
+class Stack(list):
+    """Open elements, with the places of each tag, so that what an end tag closes is found at once at any depth."""
+
+    def __init__(self, root: Element):
+        super().__init__([root])
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.tag, []).append(len(self))
+        if element.tag in BLOCKS:
+            self.blocks.append(len(self))
+        self.append(element)
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags, 0 without one."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def cut(self, k: int) -> None:
+        """Close the element at place k and all within it."""
+        while len(self) > k:
+            tag = self.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+
 def tag_end(page: str, at: int, dead: set[int]) -> int:
     """The position after the > that ends a tag, read on from ``at`` outside quotes; -1 if a < or the page's end comes first.
 
@@ -78,7 +109,7 @@ def tag_end(page: str, at: int, dead: set[int]) -> int:
 def parse(page: str) -> tuple[Element, list[Element]]:
     """The root element and all containers of a page; never fails, whatever the markup."""
     root = Element("html", None, "", frozenset(), False)
-    stack, containers, lower = [root], [], None
+    stack, containers, lower = Stack(root), [], None
     at, match, dead = 0, TOKEN.match, set()
     while at < len(page):
         m = match(page, at)
@@ -102,12 +133,9 @@ def parse(page: str) -> tuple[Element, list[Element]]:
         attributes = page[name : at - 1]
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-                    break  # a stray end tag does not leave its cell
+            k = stack.last(tag)
+            if k and (tag in TABLE_PARTS or k > stack.last(*CELLS)):  # a stray end tag does not leave its cell
+                stack.cut(k)
             if tag in BLOCKS:
                 stack[-1].items.append(" ")
             continue
@@ -120,35 +148,23 @@ def parse(page: str) -> tuple[Element, list[Element]]:
                 close = page.find(">", end) if end >= 0 else -1
                 at = close + 1 if close >= 0 else len(page)
             continue
-        if tag == "body":
-            if any(e.tag == "body" for e in stack):
-                continue
-        if tag in P_CLOSERS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
+        if tag == "body" and stack.last("body"):
+            continue
+        if tag in P_CLOSERS and stack.blocks and stack[stack.blocks[-1]].tag == "p":
+            stack.cut(stack.blocks[-1])
         if tag in CLOSES:
             own, within = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in own:
-                    del stack[k:]
-                    if tag != "tr":
-                        break
-                elif stack[k].tag in within:
-                    break
-                if k >= len(stack):
-                    continue
+            fence = stack.last(*within)
+            if tag == "tr":  # all open rows and cells of the table
+                k = min((p[i] for t in own if (p := stack.places.get(t)) and (i := bisect_right(p, fence)) < len(p)), default=0)
+            else:
+                k = stack.last(*own)
+            if k > fence:
+                stack.cut(k)
         if tag in VOID:
             if tag in BLOCKS:
                 stack[-1].items.append(" ")
             continue
-        if len(stack) >= MAX_DEPTH:  # deeper elements lend their text to this one, as browsers have it
-            if tag in BLOCKS:
-                stack[-1].items.append(" ")
-            continue
         parent, words, path, dropped = stack[-1], frozenset(), "", stack[-1].dropped or tag in DROPPED
         block = tag in BLOCKS
         if attributes.strip(" /\n\t\r"):
@@ -159,9 +175,12 @@ def parse(page: str) -> tuple[Element, list[Element]]:
             role = frozenset(found.get("role", "").lower().split())
             dropped = dropped or bool(hidden or role & DROPPED_ROLES or (block and tag != "body" and words & DROPPED_WORDS))
             path = "." + ".".join(sorted({re.sub(r"\d+", "0", c) for c in found["class"].lower().split()})) if found.get("class", "").strip() else ""
-        element = Element(tag, parent, f"{parent.path}>{tag}{path}" if block else parent.path, words, dropped)
+        path = f"{parent.path}>{tag}{path}" if block else parent.path
+        if block and len(stack) >= MAX_DEPTH:
+            path = "#" + blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        element = Element(tag, parent, path, words, dropped)
         parent.items.append(element)
-        stack.append(element)
+        stack.push(element)
         if tag in CONTAINERS and not dropped:
             containers.append(element)
     return root, containers

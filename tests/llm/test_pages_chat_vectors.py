@@ -58,6 +58,21 @@ def test_deep_and_long_pages():
     assert len(html.extract("<article>" + "<p>word word</p>" * 50_000, None).split()) == 100_000
 
 
+@pytest.mark.parametrize("depth", [5, 600, 5000])
+def test_text_after_deep_elements(depth):
+    inner = "<div>" * depth + "<nav><p>deep menu</p></nav><ul><li class=ad>deep advert<li>deep</ul>" + "</div>" * depth
+    page = f"<body><div><article><p>first</p>{inner}<p>last words of the story</p></article><p>outside</p></div></body>"
+    assert html.extract(page, None) == "first deep last words of the story"
+    assert html.extract("<div>" * depth + f"<article>{'<p>word</p>' * 9}</article><p>x</p>" + "</div>" * depth, None) == " ".join(["word"] * 9)
+
+
+@pytest.mark.parametrize("part", ["</b>", "<tr>", "<option>", "<hr>", "<li>", "<p>"])
+def test_deep_pages_take_linear_time(part):
+    began = time.process_time()
+    html.extract("<b><table><tr>" + "<div>" * 50_000 + part * 50_000, None)
+    assert time.process_time() - began < 10
+
+
 @pytest.mark.parametrize("n", [65_000, 70_000, 1_000_000])
 @pytest.mark.parametrize("quote", "\"'")
 def test_long_attributes(n, quote):
