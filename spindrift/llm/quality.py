@@ -84,10 +84,10 @@ def frequent_lines(df: DataFrame, max_docs: int, max_share: float, text_col: str
 
 def judge(
     df: DataFrame, max_docs: int = 20, max_share: float = 0.10, min_kept: float = 0.2, min_words: int = 20,
-    max_repeat_percent: int = 30, text_col: str = "text", host_col: str = "source", prefix: str = "quality",
+    max_repeat_percent: int = 30, text_col: str = "text", host_col: str = "source", prefix: str = "quality", held: bool = False,
 ) -> DataFrame:
     """df with one more column, named prefix: struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, n_kept_words, kept).
+    base_failed, n_kept_words, kept), and with held also held_lines, the hashes of the frequent lines in the text.
 
     Null and empty texts have no words and fail the base rules.  A null host is a host of its own.  Repeated rows are one
     document in the line counts and keep one verdict.  The per-host lists of frequent lines are written first, so that
@@ -105,10 +105,29 @@ def judge(
     verdict = F.struct(
         n.alias("n_words"), F.col("__m.word_chars").alias("word_chars"), F.col("__m.n_symbols").alias("n_symbols"), F.col("__m.n_dup_lines").alias("n_dup_lines"), r.alias("n_repeat_words"),
         failed.alias("base_failed"), F.col("__k").cast("long").alias("n_kept_words"), (~failed & (F.col("__k") >= n * min_kept)).alias("kept"),
+        *([F.coalesce(F.array_intersect(F.transform(normalised_lines(text), lambda x: x["h"]), F.col("__lines")), F.array().cast("array<long>")).alias("held_lines")] if held else []),
     )
     return joined.withColumn("__m", base_measures(text)).withColumn("__k", kept_words).select(*[df[f"`{c}`"] for c in df.columns], verdict.alias(prefix))
 
 
+def passing(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
+    """The rows of df that judge keeps, and representatives of the depleted ones.
+
+    Lines that more than ``max_share`` of a host's documents hold may be template output or the body of many near copies.
+    So for each frequent line of a host that no kept document holds, the depleted document of smallest id that holds it
+    stays (one without an id only where no other does); thus no line is lost with all of its documents.
+    """
+    judged = judge(df, text_col=text_col, host_col=host_col, prefix="__q", held=True, **options).where("not __q.base_failed")
+    judged = materialize(judged.select(*[df[f"`{c}`"] for c in df.columns], F.col("__q.kept").alias("__kept"), F.col("__q.held_lines").alias("__held")), "judged")
+    key = F.struct(F.col(f"`{id_col}`").isNull().alias("unnamed"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("t"))
+    held = judged.select(F.col(f"`{host_col}`").alias("host"), "__kept", key.alias("key"), F.explode("__held").alias("h"))
+    first = held.groupBy("host", "h").agg(F.max("__kept").alias("safe"), F.min("key").alias("key")).where("not safe")
+    first = first.select(F.col("host").alias("__host"), F.col("key.id").alias("__id"), F.col("key.t").alias("__t")).distinct()
+    same = F.col(f"`{host_col}`").eqNullSafe(F.col("__host")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(f"`{text_col}`") == F.col("__t"))
+    rows = judged.where("__kept").unionByName(judged.where("not __kept").join(first, same, "left_semi"))
+    return rows.drop("__kept", "__held")
+
+
 def quality_rules(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """doc_id, the five measures, base_failed, n_kept_words and kept, one row per row of df (see judge)."""
     q = "quality"

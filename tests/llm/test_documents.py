@@ -114,6 +114,26 @@ def test_frequent_lines_of_a_host(spark):
     assert found[210]["kept"] and found[210]["n_kept_words"] == 60
 
 
+def test_near_copies_in_a_third_of_a_host_keep_one(spark, documents):
+    import corpus_pipeline
+
+    letters = str.maketrans("0123456789", "abcdefghij")
+    own = lambda i, n=12: " ".join(f"w{i}x{k}" for k in range(n)).translate(letters)
+    shared = [" ".join(f"s{chr(97 + j)}{chr(97 + k)}" for k in range(12)) for j in range(9)]
+    rows = [(i, "\n".join([own(i), *shared]), "h") for i in range(5000, 5300)]
+    rows += [(i, own(i, 60), "h") for i in range(600)]
+    rows += [(7000 + i, f"menu home news sport\n{own(i + 7000, 40)}", "m") for i in range(60)]  # template lines of kept documents
+    rows += [(8000 + i, "menu home news sport\n" + "menu about the site and its makers today with all of their many names and deeds\n" + own(i, 1), "m") for i in range(40)]
+    rows += [(None, "\n".join([own(i), *shared]), None) for i in range(30)]
+    docs = spark.createDataFrame([(i, t, None, h, len(t)) for i, t, h in rows], documents.schema)
+    verdict = quality.quality_rules(docs.where("source = 'h'")).where("doc_id >= 5000").collect()
+    assert len(verdict) == 300 and not any(r["kept"] for r in verdict)
+    found = corpus_pipeline.quality_stage(spark, docs, DATA).collect()
+    assert sorted(r["doc_id"] for r in found if r["source"] == "h") == [*range(600), 5000]
+    assert sorted(r["doc_id"] for r in found if r["source"] == "m") == [*range(7000, 7060), 8000]
+    assert [r["doc_id"] for r in found if r["source"] is None] == [None]
+
+
 def test_quality_of_odd_rows(odd, docs_of):
     found = quality.quality_rules(odd).collect()
     assert len(found) == len(ODD) and all(r["base_failed"] for r in found)
