@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,15 +69,49 @@ def circular_imports(ix: Index, compat: bool = False) -> DataFrame:
     return onward.join(back, ["file_id_b", "module_a"]).where("file_a < file_b").select("file_a", "file_id", "file_b", F.col("module").alias("a_imports")).distinct()
 
 
-def import_cycles(ix: Index, max_length: int = 6) -> DataFrame:
-    """(rel_path): files on an import cycle of at most max_length files; bounded path doubling over distinct edges."""
+def import_cycles(ix: Index) -> DataFrame:
+    """(rel_path): files on an import cycle of any length.
+
+    Files without an importer or an import left are trimmed until none is.  Then each file takes the largest id that
+    reaches it, and the files of that color from which its owner is reached are the owner's strong component.  These are
+    cut out, and the rest goes again.  Steps are joins over distinct edges, written to the checkpoint folder.
+    """
     files = ix.files.select("file_id", text.module_key(F.col("rel_path")).alias("module"))
     edges = ix.imports.join(files.select(F.col("file_id").alias("dst"), "module"), "module").select(F.col("file_id").alias("src"), "dst").where("src <> dst").distinct()
-    paths = reached = edges
-    for _ in range(max_length - 1):
-        paths = paths.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct()
-        reached = reached.union(paths)
-    return reached.where("src = dst").select(F.col("src").alias("file_id")).distinct().join(ix.files, "file_id").select("rel_path").orderBy("rel_path")
+    edges, cyclic = edges.checkpoint(), []
+    while left := _trimmed(edges):
+        edges = left
+        colors = _colors(edges)
+        alike = edges.join(colors.select(F.col("file_id").alias("src"), "color"), "src").join(colors.select(F.col("file_id").alias("dst"), F.col("color").alias("other")), "dst").where("color = other").select("src", "dst").checkpoint()
+        found = frontier = colors.where("file_id = color").select("file_id").checkpoint()
+        while not frontier.isEmpty():
+            frontier = alike.join(frontier.withColumnRenamed("file_id", "dst"), "dst").select(F.col("src").alias("file_id")).distinct().join(found, "file_id", "left_anti").checkpoint()
+            found = found.unionByName(frontier).checkpoint()
+        cyclic.append(alike.join(found.withColumnRenamed("file_id", "src"), "src", "left_semi").join(found.withColumnRenamed("file_id", "dst"), "dst", "left_semi").select(F.col("src").alias("file_id")))
+        edges = edges.join(found.withColumnRenamed("file_id", "src"), "src", "left_anti").join(found.withColumnRenamed("file_id", "dst"), "dst", "left_anti").checkpoint()
+    on = reduce(DataFrame.unionByName, cyclic, edges.select(F.col("src").alias("file_id")).limit(0))
+    return on.distinct().join(ix.files, "file_id").select("rel_path").orderBy("rel_path")
+
+
+def _trimmed(edges: DataFrame) -> DataFrame | None:
+    """edges without those that no cycle can hold for lack of a way in or out; None if none is left."""
+    n, last = edges.count(), None
+    while n and n != last:
+        sources, targets = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
+        edges = edges.join(targets, "src", "left_semi").join(sources, "dst", "left_semi").select("src", "dst").checkpoint()
+        n, last = edges.count(), n
+    return edges if n else None
+
+
+def _colors(edges: DataFrame) -> DataFrame:
+    """(file_id, color): the largest id from which each file is reached, its own included."""
+    colors = edges.select(F.col("src").alias("file_id")).union(edges.select("dst")).distinct().withColumn("color", F.col("file_id")).checkpoint()
+    while True:
+        sent = edges.join(colors.withColumnRenamed("file_id", "src"), "src").groupBy(F.col("dst").alias("file_id")).agg(F.max("color").alias("sent"))
+        after = colors.join(sent, "file_id", "left").select("file_id", F.greatest("color", "sent").alias("color"), (F.col("sent") > F.col("color")).alias("moved")).checkpoint()
+        colors = after.select("file_id", "color")
+        if after.where("moved").isEmpty():
+            return colors
 
 
 NATIVE = {"DEAD_SYMBOL": dead_symbols, "LARGE_SYMBOL": large_symbols, "CIRCULAR_IMPORT": circular_imports}

@@ -322,7 +322,7 @@ def rule_circular_compat(spark, sf_dir):
 p2 AS (SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src), p3 AS (SELECT DISTINCT a.src, b.dst FROM p2 a JOIN e b ON a.dst = b.src)
 SELECT rel_path FROM files WHERE file_id IN (SELECT src FROM p2 WHERE src = dst UNION SELECT src FROM p3 WHERE src = dst)""", "files", "imports")
 def import_cycles(spark, sf_dir):
-    return rules.import_cycles(index(spark, sf_dir), 3)
+    return rules.import_cycles(index(spark, sf_dir))
 
 
 USER_RULE = "SELECT s.file_id, s.name, s.kind, s.line_start, f.rel_path FROM symbols s JOIN files f ON s.file_id = f.file_id WHERE s.name LIKE '%GEAR%' AND s.is_async = 1 AND s.complexity > 18 -- long names"
