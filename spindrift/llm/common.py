@@ -26,10 +26,12 @@ ROWS_A_TASK = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session without that setting (a local test) gets a temporary folder of its own.
+    Only a local session (a test) without that setting gets a temporary folder of its own; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -82,37 +84,38 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int = 8 <<
         yield batch.slice(at)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b) of longs: rows (node, root), root the smallest node.
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of written edges (a, b) of longs, in any order and repeated or not: rows (node, root), root the
+    smallest node.
 
-    Alternates large-star and small-star rounds, each a join and an aggregate on node keys.
-    Every round is written to the shared folder; only a row count and a checksum reach the driver.
+    Alternates large-star and small-star rounds, each a join and an aggregate on node keys, until every node has one edge,
+    to a root.  Each step shortens paths or ends, so no limit on rounds is needed.  Two rounds are written at a time, and
+    only whether they are done reaches the driver.
     """
-    cur = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
 
-    def mark(df: DataFrame) -> tuple:
-        row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        return row["n"], row["h"]
-
-    last = mark(cur)
-    parts = 1 + last[0] // ROWS_A_TASK  # few links need no more tasks and files than that
-    for _ in range(max_rounds if last[0] else 0):
+    def round_of(cur: DataFrame) -> DataFrame:
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        old, cur = cur, materialize(small.coalesce(parts), "links")
-        discard(old)
-        now = mark(cur)
-        if now == last:
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        return small.where("a <> b").distinct()
+
+    def done(cur: DataFrame) -> bool:
+        """Every node is the end of one edge at most, or only the start of edges to it."""
+        ends = cur.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e")).select("e.*")
+        return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").isEmpty()
+
+    cur = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    parts, ours = 1 + cur.count() // ROWS_A_TASK, False  # few links need no more tasks and files than that
+    while True:
+        new = materialize(round_of(round_of(cur)).coalesce(parts), "links")
+        if ours:
+            discard(cur)
+        cur, ours = new, True
+        if done(cur):
             break
-        last = now
-    else:
-        if last[0]:
-            raise RuntimeError("components did not converge")
-    roots = cur.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def discard(df: DataFrame) -> None:

@@ -3,13 +3,19 @@
 Fingerprints within k bits, cut into k // 2 + 1 segments, have a segment that differs in one bit at most.  Every
 fingerprint is indexed once per bit under the segment with that bit left out, and fingerprints that are equal on
 such a signature are verified.  Only distinct fingerprints are indexed, so exact copies cost nothing, and a
-signature's group yields a spanning forest of its verified links (at most one row per member), never its pairs.
+signature's group yields a spanning forest of its verified links (at most a few rows per member), never its pairs.
 Groups beyond ``group_limit`` are dealt out again by pieces of the rest of the fingerprint, which loses no link:
 the rest differs in k bits at most, so of its k + 1 pieces one is equal.
+
+Three of 64 bits are far stricter than a similarity of 0.8, whose pairs differ in ten bits on average.  For a stated
+similarity (``distinct_documents``) a document therefore also has a wide fingerprint (1,024 bits, which measure the
+similarity) and several fingerprints of parts of its shingles, the parts chosen by hash; documents with an equal part
+meet and are verified on the wide fingerprint, and on their shingles where it is too near the threshold to tell.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,98 +24,225 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, doc_texts, materialize
+from .common import ROWS_A_TASK, components, discard, doc_texts, materialize, slices
 
 SEED = 42
+#: Parts of a document's shingles, shingles in each, and 64-bit words of the wide fingerprint.
+PARTS, PART_SIZE, WIDE = 8, 4, 16
+#: Fingerprints that one group of a signature, or one chunk of the wide ones, may hold before it is dealt out again.
+GROUP_LIMIT, CHUNK = 8192, 2048
+MOST_TASKS = 100_000
 
 
-def fingerprint(data: bytes | None, words: int = 3, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash of the word shingles, repeats included; 0 without a word."""
-    if not data:
-        return 0
-    tokens = data.lower().split()  # bytes: A-Z only, ASCII white space only
+def shingle_hashes(data: bytes | None, words: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the space-joined word shingles, repeats included; of the whole sequence if it has fewer words."""
+    tokens = data.lower().split() if data else []  # bytes: A-Z only, ASCII white space only
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = len(tokens) - words + 1
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):  # unpacked bits of a stretch at a time
-        block = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Bits set in over half of the rows of hashes (n, w) of 64-bit words: w words."""
+    n, counts = len(hashes), np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, n, 255):  # sums of so few bits fit a byte
+        block = np.ascontiguousarray(hashes[at : at + 255]).view(np.uint8).reshape(-1, 8 * hashes.shape[1])
+        counts += np.add.reduce(np.unpackbits(block, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > n, bitorder="little").view(np.uint64)
+
+
+def fingerprint(data: bytes | None, words: int = 3, seed: int = SEED) -> int:
+    """Unsigned 64-bit SimHash of the word shingles, repeats included; 0 without a word."""
+    return int(majority(shingle_hashes(data, words, seed)[:, None])[0])
+
+
+def _odd(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """(n, len(factors)): further 64-bit hashes of each hash."""
+    x = (hashes[:, None] ^ (hashes[:, None] >> np.uint64(31))) * factors
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+def sketch(data: bytes | None, words: int) -> tuple[int, np.ndarray, bytes]:
+    """(64-bit fingerprint, part fingerprints, wide fingerprint).
+
+    Part p is the PART_SIZE shingles of least p-th hash, so texts of Jaccard similarity s share it with probability
+    s ** PART_SIZE; its fingerprint is its own SimHash.
+    """
+    hashes = shingle_hashes(data, words)
+    if not len(hashes):
+        return 0, np.zeros(PARTS, np.uint64), bytes(8 * WIDE)
+    wide = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 255):
+        block = _mixed(hashes[at : at + 255], _odd(WIDE, 3)).view(np.uint8)
+        wide += np.add.reduce(np.unpackbits(block, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    wide = np.packbits(2 * wide > len(hashes), bitorder="little")
+    single = np.unique(hashes)
+    order = _mixed(single, _odd(PARTS, 4))
+    size = min(PART_SIZE, len(single))
+    low = np.argpartition(order, size - 1, axis=0)[:size]  # (size, PARTS)
+    keys = majority(single[low])
+    return int(majority(hashes[:, None])[0]), keys, wide.tobytes()
 
 
 def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             fps = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return doc_texts(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def spanning_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links (node, root) of a spanning forest over distinct fingerprints at most ``distance`` bits apart."""
-    rest, links = np.sort(fps.view(np.uint64)), []
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, t, fp, keys, wide) of docs (doc_id, t, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            found = [sketch(x.as_py(), words) for x in batch.column(2)]
+            keys = pa.array([k.view(np.int64) for _, k, _ in found], pa.list_(pa.int64()))
+            fps = np.array([f for f, _, _ in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), keys, pa.array([w for _, _, w in found], pa.binary())], ["doc_id", "t", "fp", "keys", "wide"])
+
+    return docs.mapInArrow(run, "doc_id long, t long, fp long, keys array<long>, wide binary")
+
+
+# -- links within a group -------------------------------------------------------------------------------------------------
+
+
+def spanning_links(bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(found, by, root): places of a spanning forest's links over fingerprints (n, w words) at most ``distance`` bits
+    apart, every link a verified pair, and for each place the root of its tree."""
+    rest, found, by, root = np.arange(len(bits)), [], [], np.arange(len(bits))
     while len(rest):
-        root, rest = rest[0], rest[1:]
-        frontier = [root]
+        first, rest = rest[0], rest[1:]
+        frontier = [first]
         while frontier and len(rest):
-            near = np.bitwise_count(rest ^ frontier.pop()) <= distance
+            at = frontier.pop()
+            near = np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1) <= distance
             if near.any():
-                found = rest[near]
+                new = rest[near]
                 rest = rest[~near]
-                frontier.extend(found)
-                links.extend((int(x), int(root)) for x in found.view(np.int64))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [(a, signed(b)) for a, b in links]
+                frontier.extend(new)
+                found.append(new)
+                by.append(np.full(len(new), at))
+                root[new] = first
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(found), np.concatenate(by), root) if found else (empty, empty, root)
 
 
-def _group_links(distance: int, group_limit: int | None):
-    """Streams rows (key..., fp) sorted by key; links of each group, or its rows again (over = true) beyond the limit."""
+def doubtful_links(bits: np.ndarray, root: np.ndarray, distance: int, stretch: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): for each tree but the first, its closest pair with any earlier tree, if within ``distance`` bits."""
+    order = np.argsort(root, kind="stable")
+    cuts = np.flatnonzero(np.diff(root[order])) + 1
+    a, b = [], []
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=False):
+        before, best = bits[order[:lo]], (distance + 1, 0, 0)
+        for at in range(lo, hi, stretch):
+            own = order[at : min(hi, at + stretch)]
+            d = np.bitwise_count(bits[own][:, None] ^ before[None]).sum(axis=2)
+            k = int(d.argmin())
+            best = min(best, (int(d.flat[k]), int(own[k // lo]), int(order[k % lo])))
+        if best[0] <= distance:
+            a.append(best[1])
+            b.append(best[2])
+    return np.array(a, np.int64), np.array(b, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_key, spill = [], None, False
-
-        def flush(out: list) -> None:
-            if held and not spill:
-                fps = np.unique(np.concatenate(held))
-                if len(fps) > 1:
-                    out.extend((a, b, None) for a, b in spanning_links(fps, distance))
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.column_stack([c.to_numpy() for c in batch.columns[:-1]])
-            fps = batch.column(batch.num_columns - 1).to_numpy()
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            bounds = np.concatenate([[0], cuts, [len(fps)]])
-            sizes = np.diff(bounds)
-            out: list = []
-            for i in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
-                key, part = tuple(keys[bounds[i]]), fps[bounds[i] : bounds[i + 1]]
-                if key != held_key:
-                    flush(out)
-                    held, held_key, spill = [], key, False
+
+def exact_links(fps: np.ndarray, distance: int, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): links with the components of all pairs of distinct fps within ``distance`` bits.
+
+    Beyond ``most`` fps the bits in which any two of them differ are cut into distance + 1 pieces: linked ones agree on a
+    piece, so each piece's groups are taken on their own, and further by the bits that still differ.
+    """
+    varying = int(np.bitwise_or.reduce(fps ^ fps[:1])) if len(fps) else 0
+    bits = [b for b in range(64) if varying >> b & 1]
+    if len(fps) <= most or len(bits) <= distance:
+        found, by, _ = spanning_links(fps[:, None], distance)
+        return fps[found], fps[by]
+    a, b = [], []
+    for k in range(distance + 1):
+        piece = np.uint64(sum(1 << x for x in bits[len(bits) * k // (distance + 1) : len(bits) * (k + 1) // (distance + 1)]))
+        value = fps & piece
+        order = np.argsort(value, kind="stable")
+        cuts = np.flatnonzero(np.diff(value[order])) + 1
+        for group in np.split(order, cuts):
+            if len(group) > 1:
+                x, y = exact_links(fps[group], distance, most)
+                a.append(x)
+                b.append(y)
+    empty = np.zeros(0, np.uint64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], n_keys: int, limit: int | None) -> Iterator[tuple[tuple, pa.Table, bool]]:
+    """(key, rows, whole) of each group of two rows or more in batches sorted by their first n_keys columns of longs.
+
+    A group beyond the limit comes in several stretches that are not whole.
+    """
+    held, held_key, size, cut = [], None, 0, False
+    table = lambda: pa.Table.from_batches(held)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(n_keys)])
+        bounds = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [batch.num_rows]])
+        sizes = np.diff(bounds)
+        ends = np.isin(np.arange(len(sizes)), (0, len(sizes) - 1))
+        for i in np.flatnonzero((sizes > 1) | ends).tolist():
+            key, rows = tuple(keys[bounds[i]].tolist()), batch.slice(int(bounds[i]), int(sizes[i]))
+            if key != held_key:
+                if size > 1 or (cut and size):
+                    yield held_key, table(), not cut
+                held, held_key, size, cut = [], key, 0, False
+            for at in range(0, rows.num_rows, limit or rows.num_rows):
+                part = rows.slice(at, limit or rows.num_rows)
+                if limit and size + part.num_rows > limit and size:
+                    cut = True
+                    yield held_key, table(), False
+                    held, size = [], 0
                 held.append(part)
-                if group_limit and (spill or sum(map(len, held)) > group_limit):
-                    out.extend((int(f), None, int(key[0])) for p in held for f in p)
-                    held, spill = [], True
-            if out:
-                a, b, bit = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bit, pa.int32())], ["a", "b", "bit"])
-        out = []
-        flush(out)
-        if out:
-            a, b, bit = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bit, pa.int32())], ["a", "b", "bit"])
+                size += part.num_rows
+    if size > 1 or (cut and size):
+        yield held_key, table(), not cut
+
+
+def _out(columns: list[tuple[np.ndarray, ...]], names: str) -> Iterator[pa.RecordBatch]:
+    """Record batches of longs; a None column is null."""
+    heads = [f.split()[0] for f in names.split(", ")]
+    for part in columns:
+        n = max(len(c) for c in part if c is not None)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c.astype(np.int64) if c.dtype != np.uint64 else c.view(np.int64), pa.int64()) for c in part], heads)
+
+
+LINKS = "a long, b long, bit long"
+
+
+def _signature_links(n_keys: int, distance: int, limit: int | None):
+    """Links of each signature's group; the rows of a group beyond the limit come back with b null and their bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows, whole in _runs(batches, n_keys, limit):
+            fps = np.unique(rows.column(n_keys).to_numpy()).view(np.uint64)
+            if whole:
+                a, b = exact_links(fps, distance)
+                yield from _out([(a, b, None)], LINKS)
+            else:
+                yield from _out([(fps, None, np.full(len(fps), key[0]))], LINKS)
 
     return run
 
@@ -118,8 +251,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame, distance: int = 3, group_limit: int = 8192) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of distinct fps (column fp) within ``distance`` bits."""
+def _tasks(rows: int) -> int:
+    return min(MOST_TASKS, 1 + rows // ROWS_A_TASK)
+
+
+def links(fps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT, n_fps: int | None = None) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of distinct fps (column fp) within ``distance`` bits.
+
+    Written to the shared folder.  n_fps, at most so many fingerprints, sets the number of tasks: each becomes 64 rows.
+    """
     segments = distance // 2 + 1
     edges = [64 * i // segments for i in range(segments + 1)]
     masks = [0] * 64  # by bit: its segment without it
@@ -127,11 +267,13 @@ def links(fps: DataFrame, distance: int = 3, group_limit: int = 8192) -> DataFra
         for bit in range(lo, hi):
             masks[bit] = _signed(((1 << hi) - (1 << lo)) & ~(1 << bit))
     signatures = F.explode(F.array(*[F.struct(F.lit(bit).alias("bit"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("sig")) for bit, m in enumerate(masks)])).alias("s")
-    keyed = fps.select(signatures, "fp").select("s.bit", "s.sig", "fp")
-    first = keyed.repartition("bit", "sig").sortWithinPartitions("bit", "sig").mapInArrow(_group_links(distance, group_limit), "a long, b long, bit int")
+    keyed = (fps.repartition(_tasks(64 * n_fps), "fp") if n_fps else fps).select("fp").distinct().select(signatures, "fp").select("s.bit", "s.sig", "fp")
+    first = keyed.repartition("bit", "sig").sortWithinPartitions("bit", "sig").mapInArrow(_signature_links(2, distance, group_limit), LINKS)
     first = materialize(first, "near")
+    over = first.where("b is null")
+    if over.isEmpty():
+        return first.select("a", "b")
     # Large groups: the bits outside the wildcard segment, in distance + 1 pieces of which linked members share one.
-    over = first.where("b is null").select("bit", F.col("a").alias("fp")).distinct()
     parts = []
     for lo, hi in zip(edges, edges[1:], strict=False):
         rest = [b for b in range(64) if not lo <= b < hi]
@@ -139,14 +281,130 @@ def links(fps: DataFrame, distance: int = 3, group_limit: int = 8192) -> DataFra
             piece = sum(1 << b for b in rest[len(rest) * k // (distance + 1) : len(rest) * (k + 1) // (distance + 1)])
             in_segment = F.col("bit").between(lo, hi - 1)
             parts.append(F.when(in_segment, F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(piece)).cast("long")).alias("val"))))
-    mask = F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), F.col("bit") + 1)
+    mask = F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), F.col("bit").cast("int") + 1)
+    over = over.select("bit", F.col("a").alias("fp")).distinct()
     again = over.select("bit", F.col("fp").bitwiseAND(mask).alias("sig"), "fp", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p"))
     again = again.select("bit", "sig", F.col("p.k").alias("k"), F.col("p.val").alias("val"), "fp")
-    second = again.repartition("bit", "sig", "k", "val").sortWithinPartitions("bit", "sig", "k", "val").mapInArrow(_group_links(distance, None), "a long, b long, bit int")
-    return first.where("b is not null").select("a", "b").unionByName(second.select("a", "b"))
+    # Such a group agrees on 39 bits or more, so it has at most 2 ** 25 members of eight bytes.
+    second = again.repartition("bit", "sig", "k", "val").sortWithinPartitions("bit", "sig", "k", "val").mapInArrow(_signature_links(4, distance, None), LINKS)
+    return materialize(first.where("b is not null").select("a", "b").unionByName(second.select("a", "b")), "near")
+
+
+# -- similarity of whole documents ----------------------------------------------------------------------------------------
+
 
+def wide_distance(similarity: float, deviations: float = 0.0) -> int:
+    """Bits of the wide fingerprint in which texts of this Jaccard similarity differ, plus so many standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * WIDE
+    return max(0, round(n * p + deviations * math.sqrt(n * p * (1 - p))))
 
-def near_duplicates(df: DataFrame, distance: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+WIDE_LINKS = "a long, b long, part long, key long, sure boolean"
+
+
+def _wide_links(n_keys: int, similarity: float, chunk: int):
+    """Rows (key..., fp, wide) sorted by key: links of each group; with a salted key also its roots, b null.
+
+    A group is taken in chunks, and the roots of a chunk stay for the next one.
+    """
+    sure, loose = wide_distance(similarity, -3), wide_distance(similarity, 2.5)
+    heads = [f.split()[0] for f in WIDE_LINKS.split(", ")]
+
+    def batch(a, b, key, certain) -> pa.RecordBatch:
+        n, long = len(a), pa.int64()
+        keys = [pa.array(np.full(n, k), long) for k in key[:2]] if b is None else [pa.nulls(n, long)] * 2
+        return pa.RecordBatch.from_arrays([pa.array(a, long), pa.nulls(n, long) if b is None else pa.array(b, long), *keys, pa.array(np.full(n, certain))], heads)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, kept_key = None, None
+        salted = lambda: kept is not None and n_keys == 4 and kept_key[3] > 1
+        for key, rows, _ in _runs(batches, n_keys, chunk):
+            fps = rows.column(n_keys).to_numpy()
+            bits = np.frombuffer(b"".join(rows.column(n_keys + 1).to_pylist()), np.uint64).reshape(-1, WIDE)
+            if key != kept_key:
+                if salted():
+                    yield batch(kept[0], None, kept_key, False)
+                kept, kept_key = None, key
+            if kept is not None:
+                fps, bits = np.concatenate([kept[0], fps]), np.concatenate([kept[1], bits])
+            found, by, root = spanning_links(bits, sure)
+            for a, b, certain in ((found, by, True), (*doubtful_links(bits, root, loose), False)):
+                other = fps[a] != fps[b]
+                if other.any():
+                    yield batch(fps[a][other], fps[b][other], key, certain)
+            roots = root == np.arange(len(root))
+            kept = fps[roots], bits[roots]
+        if salted():
+            yield batch(kept[0], None, kept_key, False)
+
+    return run
+
+
+def part_links(docs: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """(a, b, sure): links between fingerprints of docs (fp, keys, wide) that share a part and are similar by the wide bits.
+
+    Parts are counted before any group meets.  One that many documents hold is salted into chunks of about ``chunk``
+    rows; then only the chunks' roots meet, again by every pair of parts.  Nothing is dropped from large groups.  Links
+    that are not sure lie within a few standard deviations of the similarity.
+    """
+    names = ["part", "key", "salt", "salts"]
+    nodes = materialize(docs.select("fp", "keys", "wide").distinct(), "sketches")
+    keyed = nodes.select("fp", "wide", F.posexplode("keys").alias("part", "key")).withColumn("part", F.col("part").cast("long"))
+    counts = nodes.select(F.posexplode("keys").alias("part", "key")).groupBy(F.col("part").cast("long").alias("part"), "key").agg(F.count("*").alias("n"))
+    shared = counts.where("n > 1").select("part", "key", F.ceil(F.col("n") / chunk).cast("long").alias("salts"))
+    met = keyed.join(shared, ["part", "key"]).withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")))
+    first = met.select(*names, "fp", "wide").repartition(*names).sortWithinPartitions(*names).mapInArrow(_wide_links(4, similarity, chunk), WIDE_LINKS)
+    first = materialize(first, "near")
+    over, found = first.where("b is null"), first.where("b is not null").select("a", "b", "sure")
+    if over.isEmpty():
+        discard(nodes)
+        return found
+    pairs = over.select(F.col("a").alias("fp"), "part", "key").distinct().join(nodes, "fp").select("part", "key", F.posexplode("keys").alias("part2", "key2"), "fp", "wide")
+    names = ["part", "key", "other"]
+    packed = pairs.where("part2 <> part").select("part", "key", F.xxhash64("part2", "key2").alias("other"), "fp", "wide")
+    second = packed.repartition(*names).sortWithinPartitions(*names).mapInArrow(_wide_links(3, similarity, chunk), WIDE_LINKS)
+    out = materialize(found.unionByName(second.select("a", "b", "sure")), "near")
+    discard(nodes)
+    discard(first)
+    return out
+
+
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets, each without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def verified(links: DataFrame, sketched: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(a, b): the links (a, b, sure) that are sure, or whose texts have this similarity.
+
+    sketched has (doc_id, t, fp), texts (doc_id, t, data).  A fingerprint's text is that of its smallest document.
+    """
+    doubtful = materialize(links.where("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "doubtful")
+    wanted = doubtful.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
+    holders = sketched.join(wanted, "fp").groupBy("fp").agg(F.min(place).alias("p")).select("fp", F.col("p.id").alias("id"), F.col("p.t").alias("pt"))
+    held = texts.join(holders, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("pt"))).groupBy("fp").agg(F.first("data").alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            shingles = lambda text: np.unique(shingle_hashes(text, words))
+            rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            near = np.array([_similarity(shingles(x), shingles(y)) >= similarity for x, y in rows], bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], ["a", "b"])
+
+    left = doubtful.join(held.select(F.col("fp").alias("b"), F.col("data").alias("data_b")), "b")
+    both = left.join(held.select(F.col("fp").alias("a"), F.col("data").alias("data_a")), "a").select("a", "b", "data_a", "data_b")
+    out = materialize(links.where("sure").select("a", "b").unionByName(both.mapInArrow(run, "a long, b long")), "near")
+    discard(doubtful)
+    return out
+
+
+# -- documents --------------------------------------------------------------------------------------------------------------
+
+
+def near_duplicates(df: DataFrame, distance: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
     """One row per row of df: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
 
     Texts that are null, empty or without a word have fingerprint zero and link as any other.  Repeated rows come back
@@ -154,9 +412,51 @@ def near_duplicates(df: DataFrame, distance: int = 3, words: int = 3, id_col: st
     it has none).  Other columns of df are ignored; an empty df gives no rows.
     """
     docs = materialize(fingerprints(df, words, id_col, text_col), "fingerprints")
+    near = links(docs.select("fp"), distance, group_limit, docs.count())
+    roots = components(near)
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(nodes.select("fp"), distance))
     owned = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"))
     named = owned.join(lowest, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _verdicts(docs: DataFrame, similarity: float, words: int, distance: int) -> DataFrame:
+    """(__id, __t, first, n): per id and text digest of docs (doc_id, t, data) that is repeated or not the first of its class."""
+    texts, docs = docs, materialize(sketches(docs, words), "fingerprints")
+    near = [links(docs.select("fp"), distance, n_fps=docs.count()), part_links(docs, similarity, CHUNK)]
+    near.append(verified(near[0].withColumn("sure", F.lit(False)).unionByName(near[1]), docs, texts, similarity, words))
+    roots = components(near[2])
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
+    nodes = docs.groupBy("fp").agg(F.min(place).alias("low"))
+    owned = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lowest = owned.groupBy("root").agg(F.min("low").alias("low"))
+    named = owned.select("fp", "root").join(lowest, "root").select("fp", "low")
+    rows = docs.groupBy("doc_id", "t", "fp").agg(F.count("*").alias("n")).join(named, "fp")
+    found = rows.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), (place == F.col("low")).alias("first"), "n").where("n > 1 or not first")
+    found = materialize(found, "verdicts")
+    for table in (docs, roots, *near):
+        discard(table)
+    return found
+
+
+def distinct_documents(df: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df without near duplicates: of each class the row of smallest id (of smallest text digest among equals).
+
+    Documents meet if their 64-bit fingerprints differ in ``distance`` bits at most or if a part of their shingles is equal,
+    and link if the Jaccard similarity of their shingles of ``words`` words is ``similarity`` or more; classes are the
+    components of all links found.  Of texts of just that similarity, 1 - (1 - similarity ** PART_SIZE) ** PARTS meet by
+    parts (98.5 % at 0.8).  Equal fingerprints always link.  Texts that are null, empty or without a word are one class.  Rows that share an id but not
+    their text are documents of their own.  A row without an id stays only where its class has none with one.  Of rows
+    with equal id and text one stays, the least by its other columns.  Other columns are kept, whatever their names; an
+    empty df gives no rows.
+    """
+    text = df[f"`{text_col}`"].cast("string")
+    ids, t = df[f"`{id_col}`"].cast("long"), F.xxhash64(F.coalesce(text, F.lit("")))
+    verdicts = _verdicts(df.select(ids.alias("doc_id"), t.alias("t"), text.cast("binary").alias("data")), similarity, words, distance)
+    same = lambda v: ids.eqNullSafe(v["__id"]) & (t == v["__t"])
+    single = df.join(verdicts, same(verdicts), "left_anti")
+    repeated = verdicts.where("first")
+    rows = df.join(repeated, same(repeated), "left_semi").select(ids.alias("__id"), t.alias("__t"), F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("__row"))
+    once = rows.groupBy("__id", "__t").agg(F.min("__row").alias("__row")).select("__row.*")
+    return single.unionByName(once)
