@@ -267,7 +267,8 @@ def links(fps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT, n_f
         for bit in range(lo, hi):
             masks[bit] = _signed(((1 << hi) - (1 << lo)) & ~(1 << bit))
     signatures = F.explode(F.array(*[F.struct(F.lit(bit).alias("bit"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("sig")) for bit, m in enumerate(masks)])).alias("s")
-    keyed = (fps.repartition(_tasks(64 * n_fps), "fp") if n_fps else fps).select("fp").distinct().select(signatures, "fp").select("s.bit", "s.sig", "fp")
+    single = fps.select("fp").distinct()  # before it is dealt: copies are one row a task
+    keyed = (single.repartition(_tasks(64 * n_fps), "fp") if n_fps else single).select(signatures, "fp").select("s.bit", "s.sig", "fp")
     first = keyed.repartition("bit", "sig").sortWithinPartitions("bit", "sig").mapInArrow(_signature_links(2, distance, group_limit), LINKS)
     first = materialize(first, "near")
     over = first.where("b is null")

@@ -1,11 +1,14 @@
 """Exact substring deduplication on a compacted De Bruijn graph of word windows.
 
 A window of k words is an edge between its first and its last k - 1 words; the pair of their 64-bit hashes names it.
-Windows that two documents share have the same minimizer, so first only minimizers are compared (a fifth of the
-windows), and only windows under a minimizer that two documents share become edges.  Every repeated edge is owned by
-the smallest document that holds it and has a source coordinate there.  Edges chain into a path where the node
-between them has one way in and one way out and their source coordinates are consecutive; windows of later documents
-then compact into spans along such paths.  A span is removed after the text itself confirms the hash at its start.
+Windows that two texts share have the same minimizer, so first only minimizers are compared (a fifth of the windows),
+and only windows under a minimizer that two texts share become edges.  Every repeated edge is owned by the smallest
+document that holds it and has a source coordinate there.  Edges chain into a path where the node between them has one
+way in and one way out and their source coordinates are consecutive; windows of later documents then compact into spans
+along such paths.  A span is removed after its words equal the words at its source coordinates.
+
+Copies of a text are one text in the graph; a copy of a smaller document's text is a span of the whole text.  What many
+documents share is combined before every shuffle on a minimizer or an edge, so that it is a row a slice or a task there.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from itertools import compress
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,92 +118,132 @@ class _Rows:
         return at[heads], np.diff(np.append(heads, len(at))), low[at[heads]]
 
 
+def _coordinates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tag, t, t2, data): tag (30 bits, so that places differ by a long) tells rows of one id apart, t and t2 name the text."""
+    docs = doc_texts(df, id_col, text_col).where("doc_id is not null and data is not null")
+    t = F.xxhash64("data")
+    return docs.select("doc_id", F.shiftright(t, 34).cast("int").alias("tag"), t.alias("t"), F.xxhash64(F.lit(7), "data").alias("t2"), "data")
+
+
 def _shared_minimizers(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, minis): minimizers of each document that another document has too.
+    """(t, minis): minimizers of each text that another text has too.
 
-    Rows meet by minimizer in one sorted shuffle; each knows the smallest document of its minimizer from the rows before.
+    A slice of rows knows at once which of its minimizers several of its texts have, and sends one row for each
+    minimizer; so one that very many documents share arrives once a slice.
     """
+    names = ["mini", "salt", "t", "low", "high", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 2 << 20):
             rows = _Rows(batch.column(1).to_pylist(), window)
             start, _, mini = rows.runs(window)
-            yield pa.RecordBatch.from_arrays([pa.array(mini.view(np.int64)), pa.array(batch.column(0).to_numpy()[rows.row[start]], pa.int64())], ["mini", "doc_id"])
-
-    held = docs.where("doc_id is not null").mapInArrow(run, "mini long, doc_id long")
-    along = Window.partitionBy("mini").orderBy("doc_id")
-    found = held.select("mini", "doc_id", F.first("doc_id").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("low"), F.lag("doc_id").over(along).alias("prior")).where("doc_id > low")
-    both = found.select("mini", F.explode(F.when(F.col("prior") == F.col("low"), F.array("low", "doc_id")).otherwise(F.array("doc_id"))).alias("doc_id"))
-    return both.groupBy("doc_id").agg(F.collect_set("mini").alias("minis"))
-
-
-def _edges(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
-    """(mini, src, dst, doc_id, pos): windows under a shared minimizer, dealt by minimizer.
-
-    A run of windows travels as one row with its chain of nodes and becomes edges after the shuffle.
-    """
+            held = np.unique(np.column_stack([mini.view(np.int64), batch.column(0).to_numpy()[rows.row[start]]]), axis=0) if len(start) else np.zeros((0, 2), np.int64)
+            mini, t = held[:, 0], held[:, 1]
+            new = np.ones(len(mini), bool)
+            new[1:] = mini[1:] != mini[:-1]
+            heads = np.flatnonzero(new)
+            size = np.diff(np.append(heads, len(mini)))
+            known = np.repeat(size > 1, size)
+            lasts = heads + size - 1
+            zero = np.zeros(len(heads), np.int64)
+            columns = [(mini[heads], mini[known]), (zero, t[known]), (t[heads], t[known]), (t[heads], t[known]), (t[lasts], t[known])]
+            arrays = [pa.array(np.concatenate(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate([np.zeros(len(heads), bool), np.ones(int(known.sum()), bool)]))], names)
+
+    held = docs.select("t", "data").mapInArrow(run, "mini long, salt long, t long, low long, high long, known boolean")
+    met = Window.partitionBy("mini", "salt")
+    found = held.select("mini", "t", "known", F.min("low").over(met).alias("low"), F.max("high").over(met).alias("high")).where("known or low < high")
+    return found.groupBy("t").agg(F.collect_set("mini").alias("minis"))
+
+
+def _chains(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
+    """(doc_id, at, nodes): runs of windows under shared minimizers, at the tag and the place of the first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 2 << 20):
-            rows = _Rows(batch.column(1).to_pylist(), window)
+        for batch in slices(batches, 2, 2 << 20):
+            rows = _Rows(batch.column(2).to_pylist(), window)
             start, length, mini = rows.runs(window)
-            lists = batch.column(2)
+            lists = batch.column(3)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             known = lists.flatten().to_numpy().view(np.uint64)
             tag = lambda row: _mix(row.astype(np.uint64) + np.uint64(1))  # noqa: E731  one stray match only costs an edge
             hit = np.isin(mini ^ tag(rows.row[start]), known ^ tag(owner))
-            start, size, mini = start[hit], length[hit] + 1, mini[hit]  # a chain has a node more than windows
+            start, size = start[hit], length[hit] + 1  # a chain has a node more than windows
             at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
             nodes, row = gram_hashes(rows.hashes, window - 1, 2).view(np.int64), rows.row[start]
             chains = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(nodes[at]))
-            columns = [pa.array(mini.view(np.int64)), pa.array(batch.column(0).to_numpy()[row]), pa.array((start - rows.first[row]).astype(np.int32)), chains]
-            yield pa.RecordBatch.from_arrays(columns, ["mini", "doc_id", "pos", "nodes"])
+            place = (batch.column(1).to_numpy()[row].astype(np.int64) << 32) + start - rows.first[row]
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row]), pa.array(place), chains], ["doc_id", "at", "nodes"])
 
-    chains = docs.join(shared, "doc_id").select("doc_id", "data", "minis").mapInArrow(run, "mini long, doc_id long, pos int, nodes array<long>").repartition("mini")
-    steps = chains.select("mini", "doc_id", "pos", "nodes", F.posexplode(F.slice("nodes", 1, F.size("nodes") - 1)).alias("k", "src"))
-    return steps.select("mini", "src", F.get("nodes", F.col("k") + 1).alias("dst"), "doc_id", (F.col("pos") + F.col("k")).alias("pos"))
+    return docs.join(shared, ["doc_id", "t"]).select("doc_id", "tag", "data", "minis").mapInArrow(run, "doc_id long, at long, nodes array<long>")
+
+
+def _sources(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """(odoc, oat, n, digest): digests of the n words at the source coordinates wanted (odoc, oat, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            out: list = []
+            for doc_id, data, places in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words = data.split()
+                out.extend((doc_id, p["oat"], p["n"], run_digest(words, p["oat"] & 0xFFFFFFFF, p["n"])) for p in places)
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["odoc", "oat", "n", "digest"])
+
+    places = wanted.groupBy("odoc", F.shiftright("oat", 32).cast("int").alias("otag")).agg(F.collect_set(F.struct("oat", "n")).alias("places"))
+    own = docs.join(places, (F.col("doc_id") == F.col("odoc")) & (F.col("tag") == F.col("otag"))).select("doc_id", "data", "places")
+    return own.mapInArrow(run, "odoc long, oat long, n int, digest long").distinct()
+
+
+def run_digest(words: list[bytes], start: int, n: int) -> int:
+    """A signed 64-bit hash of n words by single spaces, from their bytes alone."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words[start : start + n])) - (1 << 63)
 
 
 def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, spans array<struct<start, last, mark>>): windows start..last of doc_id repeat a smaller document's path.
+    """(doc_id, tag, spans array<struct<start, n, digest>>, copy) of documents that repeat a smaller one.
 
-    docs has doc_id and data (binary).  mark is part of the hash of the first window - 1 words at start.
+    docs as _coordinates gives them.  The n words from start are those at a smaller document's source coordinates, which
+    have this digest; copy says that the whole text is a smaller document's.
     """
-    shared = materialize(_shared_minimizers(docs, window), "minimizers")
-    # Edges meet in one sorted shuffle: the first row of an edge is its owner, and the first row of a later document
-    # carries the edge's nodes on, once.
-    along = Window.partitionBy("mini", "src", "dst").orderBy("doc_id", "pos")
-    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = _edges(docs, shared, window).select("*", F.first("doc_id").over(so_far).alias("odoc"), F.first("pos").over(so_far).alias("opos"), F.lag("doc_id").over(along).alias("prior"))
-    later = met.where("doc_id > odoc")
-    once = F.col("prior") == F.col("odoc")
-    kept = later.select(F.when(once, F.col("src")).alias("src"), F.when(once, F.col("dst")).alias("dst"), (F.col("src") % (1 << 31)).cast("int").alias("mark"), "doc_id", "pos", "odoc", "opos")
-    kept = materialize(kept, "edges")
-    discard(shared)
-    parts = 1 + kept.count() // EDGES_A_TASK  # few edges need no more tasks and files than that
+    texts = docs.groupBy("t", "t2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    copied = texts.where("low < high").select("t", "t2", "low")
+    copies = docs.select("doc_id", "tag", "t", "t2").join(copied, ["t", "t2"]).where("doc_id > low").select("doc_id", "tag").distinct()
+    shared = _shared_minimizers(docs, window).join(texts.select("t", F.col("low").alias("doc_id")), "t")
+    chains = materialize(_chains(docs, shared, window), "chains")
+    parts = 1 + chains.select(F.sum(F.size("nodes"))).first()[0] // EDGES_A_TASK if chains.head(1) else 1
+    # Every edge's smallest document owns it.  The sum before the shuffle leaves one row a task of what many share.
+    steps = chains.select("doc_id", "at", "nodes", F.posexplode(F.slice("nodes", 1, F.size("nodes") - 1)).alias("k", "src"))
+    steps = steps.select("src", F.get("nodes", F.col("k") + 1).alias("dst"), "doc_id", (F.col("at") + F.col("k")).alias("at"))
+    owners = steps.groupBy("src", "dst").agg(F.min("doc_id").alias("odoc"), F.min_by("at", "doc_id").alias("oat"), F.max("doc_id").alias("high")).where("odoc < high").drop("high")
+    owners = materialize(owners, "edges")
     # Nonbranching nodes: one way in, one way out, and consecutive source coordinates.
-    graph = kept.where("dst is not null").select("src", "dst", "odoc", "opos")
-    ways_out = graph.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("odoc"), F.min("opos").alias("opos")).where("n = 1")
-    ways_in = graph.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("idoc"), F.min("opos").alias("ipos")).where("n = 1")
-    inner = ways_out.join(ways_in.drop("n"), "node").where("odoc = idoc and opos = ipos + 1").select("odoc", "opos", F.lit(0).alias("head"))
+    ways_out = owners.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("odoc"), F.min("oat").alias("oat")).where("n = 1")
+    ways_in = owners.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("idoc"), F.min("oat").alias("iat")).where("n = 1")
+    inner = ways_out.join(ways_in.drop("n"), "node").where("odoc = idoc and oat = iat + 1").select("odoc", "oat", F.lit(0).alias("head"), F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"))
     # Paths: an edge continues the one before it if the node between them is nonbranching; islands in the owner's text.
-    marks = graph.select("odoc", "opos", F.lit(1).alias("head")).unionByName(inner)
-    along = Window.partitionBy("odoc").orderBy("opos", "head")
-    continues = F.coalesce((F.lag("opos").over(along) == F.col("opos")) & (F.lag("head").over(along) == 0), F.lit(False))
-    marks = marks.withColumn("starts", F.when((F.col("head") == 1) & ~continues, F.col("opos")))
-    paths = marks.select("odoc", "opos", "head", F.last("starts", ignorenulls=True).over(along).alias("path")).where("head = 1").drop("head")
+    marks = owners.select("odoc", "oat", F.lit(1).alias("head"), "src", "dst").unionByName(inner)
+    along = Window.partitionBy("odoc").orderBy("oat", "head")
+    continues = F.coalesce((F.lag("oat").over(along) == F.col("oat")) & (F.lag("head").over(along) == 0), F.lit(False))
+    marks = marks.withColumn("starts", F.when((F.col("head") == 1) & ~continues, F.col("oat")))
+    paths = marks.select("src", "dst", "odoc", "oat", "head", F.last("starts", ignorenulls=True).over(along).alias("path")).where("head = 1").drop("head")
     # Windows of later documents compact into runs along one path at one distance from the source coordinates.
-    paths = materialize(paths.coalesce(parts), "paths")
-    later = kept.select("doc_id", "pos", "mark", "odoc", "opos").join(paths, ["odoc", "opos"])
-    runs = later.repartition("doc_id").groupBy("doc_id", "odoc", "path", (F.col("pos") - F.col("opos")).alias("shift"))
-    at = runs.agg(F.array_sort(F.collect_set(F.struct("pos", "mark"))).alias("at"))
-    pos = lambda k: F.get(F.col("at"), k)["pos"]
-    starts = F.filter("at", lambda x, k: (k == 0) | (pos(k - 1) < x["pos"] - 1))
-    lasts = F.filter("at", lambda x, k: (k == F.size("at") - 1) | (pos(k + 1) > x["pos"] + 1))
-    spans = at.select("doc_id", F.zip_with(starts, lasts, lambda a, b: F.struct(a["pos"].alias("start"), b["pos"].alias("last"), a["mark"].alias("mark"))).alias("s"))
-    out = materialize(spans.groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("spans")).coalesce(parts), "spans")
-    discard(kept)
-    discard(paths)
+    later = steps.join(paths, ["src", "dst"]).where("doc_id > odoc")
+    runs = later.groupBy("doc_id", "odoc", "path", (F.col("at") - F.col("oat")).alias("shift")).agg(F.array_sort(F.collect_set("at")).alias("at"))
+    before, after = (lambda k: F.get(F.col("at"), k - 1)), (lambda k: F.get(F.col("at"), k + 1))
+    starts = F.filter("at", lambda x, k: (k == 0) | (before(k) < x - 1))
+    lasts = F.filter("at", lambda x, k: (k == F.size("at") - 1) | (after(k) > x + 1))
+    spans = runs.select("doc_id", "odoc", "shift", F.explode(F.arrays_zip(starts.alias("a"), lasts.alias("b"))).alias("s"))
+    spans = spans.select("doc_id", F.col("s.a").alias("at"), (F.col("s.b") - F.col("s.a") + window).cast("int").alias("n"), "odoc", (F.col("s.a") - F.col("shift")).alias("oat"))
+    spans = materialize(spans.coalesce(parts), "spans")
+    discard(owners)
+    discard(chains)
+    # The words at the source coordinates, read once for every distinct span there, confirm the spans.
+    digests = _sources(docs, spans.select("odoc", "oat", "n").distinct(), window)
+    confirmed = spans.join(digests, ["odoc", "oat", "n"]).select("doc_id", F.shiftright("at", 32).cast("int").alias("tag"), F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"), "n", "digest").alias("s"))
+    marked = confirmed.select("doc_id", "tag", "s", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "tag", F.lit(None).cast("struct<start:int,n:int,digest:bigint>").alias("s"), F.lit(True).alias("copy")))
+    out = materialize(marked.groupBy("doc_id", "tag").agg(F.collect_set("s").alias("spans"), F.max("copy").alias("copy")), "spans")
+    discard(spans)
     return out
 
 
@@ -221,25 +265,18 @@ def _kept(data: bytes | None, keep: np.ndarray | None, layout: bool) -> str:
 
 
 def _trim(window: int, layout: bool):
-    factors = _factors(window - 1, 2)
-
     @F.pandas_udf("n_words long, n_removed long, kept string")
-    def run(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series, spans: pd.Series, copies: pd.Series) -> pd.DataFrame:
         out = []
-        for data, own in zip(texts, spans, strict=True):
-            if own is None or not len(own) or not data:
-                out.append((len(data.split()) if data else 0, 0, _kept(data, None, layout)))
-                continue
-            hashes, _ = word_hashes(data)
-            start, last, mark = (np.array([s[k] for s in own], np.int64) for k in ("start", "last", "mark"))
-            fits = last + window <= len(hashes)
-            start, last, mark = start[fits], last[fits], mark[fits]
-            seen = _mix(sum((a * hashes[start + j] for j, a in enumerate(factors)), np.zeros(len(start), np.uint64))).view(np.int64)
-            true = np.fmod(seen, 1 << 31) == mark  # the text confirms the span
-            covered = np.zeros(len(hashes) + 1, np.int64)
-            np.add.at(covered, start[true], 1)
-            np.add.at(covered, last[true] + window, -1)
-            keep = np.cumsum(covered)[:-1] == 0
+        for data, own, copy in zip(texts, spans, copies, strict=True):
+            words = data.split() if data else []
+            keep = np.ones(len(words), bool)
+            if copy and len(words) >= window:
+                keep[:] = False
+            elif own is not None:
+                for s in own:  # the source's words confirm the span
+                    if run_digest(words, s["start"], s["n"]) == s["digest"] and s["start"] + s["n"] <= len(words):
+                        keep[s["start"] : s["start"] + s["n"]] = False
             removed = len(keep) - int(keep.sum())
             out.append((len(keep), removed, _kept(data, keep if removed else None, layout)))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
@@ -254,9 +291,11 @@ def deduplicate(df: DataFrame, window: int = 13, layout: bool = False, id_col: s
     the input.  Null and empty texts have no words; texts of fewer words than the window keep all.  A row without an id
     owns nothing and loses nothing.  Rows that share an id are one document: none removes the other's words.
     """
-    spans = repeated_spans(doc_texts(df, id_col, text_col), window).withColumnRenamed("doc_id", "__id").withColumnRenamed("spans", "__spans")
-    joined = df.join(spans, df[f"`{id_col}`"].cast("long") == F.col("__id"), "left")
-    value: Column = _trim(window, layout)(F.col(f"`{text_col}`").cast("binary"), F.col("__spans"))
+    spans = repeated_spans(_coordinates(df, id_col, text_col), window).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"), F.col("copy").alias("__copy"))
+    text = df[f"`{text_col}`"].cast("string").cast("binary")
+    same = (df[f"`{id_col}`"].cast("long") == F.col("__id")) & (F.shiftright(F.xxhash64(text), 34).cast("int") == F.col("__tag"))
+    joined = df.join(spans, same, "left")
+    value: Column = _trim(window, layout)(text, F.col("__spans"), F.coalesce("__copy", F.lit(False)))
     return joined.select(*[df[f"`{c}`"] for c in df.columns], value.alias(result))
 
 

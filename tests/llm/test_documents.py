@@ -330,6 +330,27 @@ def test_branching_and_repeats(docs_of):
     assert digest(substrings.substring_dedup(docs_of(rows))) == brute_removed(rows)
 
 
+def test_passage_in_every_document(docs_of):
+    rng = np.random.default_rng(2)
+    passage = " ".join(f"p{k}" for k in range(50))
+    rows = [(int(i), f"own{i} a{i} {passage} b{i} " + " ".join(f"t{rng.integers(30)}" for _ in range(30))) for i in rng.permutation(150)]
+    rows += [(200 + i, rows[0][1]) for i in range(40)] + [(300, passage), (5, "row of an id " + passage), (5, rows[1][1])]
+    df = docs_of(rows)
+    assert digest(substrings.substring_dedup(df)) == brute_removed(rows)
+    # A minimizer that all documents share arrives once a slice, not once a document.
+    minis = substrings._shared_minimizers(substrings._coordinates(df, "doc_id", "text"), 13)
+    assert minis.count() >= 150
+
+
+def test_sources_confirm_spans(docs_of):
+    docs = substrings._coordinates(docs_of([(1, " ".join(f"w{k}" for k in range(40)))]), "doc_id", "text")
+    tag = docs.first()["tag"]
+    wanted = docs.sparkSession.createDataFrame([(1, (tag << 32) + 3, 15), (1, (tag << 32) + 4, 15), (2, 3, 15)], "odoc long, oat long, n int")
+    found = {r["oat"] & 0xFFFFFFFF: r["digest"] for r in substrings._sources(docs, wanted, 13).collect()}
+    words = [f"w{k}".encode() for k in range(40)]
+    assert found == {k: substrings.run_digest(words, k, 15) for k in (3, 4)}
+
+
 def test_layout_and_columns(docs_of):
     text = " ".join(f"a{k}" for k in range(20))
     df = docs_of([(1, text), (2, f"Mine,\n\n  own   words.\n{text}\nand the end"), (3, "  kept   as it is \n")]).withColumn("spans", F.lit("x"))
