@@ -5,9 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep df's rows on the executors' disks, for what is read in a few actions and soon given up by ``unpersist``.
+
+    What a lost executor held is computed again from its inputs.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+@contextmanager
+def holding() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``hold`` within a with statement, at whose end all is given up."""
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(hold(df))
+        return held[-1]
+
+    try:
+        yield keep
+    finally:
+        for df in held:
+            df.unpersist()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished plans now rather than at some later collection.
 

@@ -16,7 +16,7 @@ meet and are verified on the wide fingerprint, and on their shingles where it is
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_A_TASK, components, discard, doc_texts, materialize, slices
+from .common import ROWS_A_TASK, components, discard, doc_texts, hold, holding, materialize, slices
 
 SEED = 42
 #: Parts of a document's shingles, shingles in each, and 64-bit words of the wide fingerprint.
@@ -255,10 +255,10 @@ def _tasks(rows: int) -> int:
     return min(MOST_TASKS, 1 + rows // ROWS_A_TASK)
 
 
-def links(fps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT, n_fps: int | None = None) -> DataFrame:
+def links(fps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT, n_fps: int | None = None, hold: Callable = hold) -> DataFrame:
     """(a, b): links whose components are those of all pairs of distinct fps (column fp) within ``distance`` bits.
 
-    Written to the shared folder.  n_fps, at most so many fingerprints, sets the number of tasks: each becomes 64 rows.
+    They are held, for the caller to give up.  n_fps, at most so many fingerprints, sets the number of tasks: each becomes 64 rows.
     """
     segments = distance // 2 + 1
     edges = [64 * i // segments for i in range(segments + 1)]
@@ -270,10 +270,10 @@ def links(fps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT, n_f
     single = fps.select("fp").distinct()  # before it is dealt: copies are one row a task
     keyed = (single.repartition(_tasks(64 * n_fps), "fp") if n_fps else single).select(signatures, "fp").select("s.bit", "s.sig", "fp")
     first = keyed.repartition("bit", "sig").sortWithinPartitions("bit", "sig").mapInArrow(_signature_links(2, distance, group_limit), LINKS)
-    first = materialize(first, "near")
+    first = hold(first)
     over = first.where("b is null")
     if over.isEmpty():
-        return first.select("a", "b")
+        return first.drop("bit")
     # Large groups: the bits outside the wildcard segment, in distance + 1 pieces of which linked members share one.
     parts = []
     for lo, hi in zip(edges, edges[1:], strict=False):
@@ -288,7 +288,7 @@ def links(fps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT, n_f
     again = again.select("bit", "sig", F.col("p.k").alias("k"), F.col("p.val").alias("val"), "fp")
     # Such a group agrees on 39 bits or more, so it has at most 2 ** 25 members of eight bytes.
     second = again.repartition("bit", "sig", "k", "val").sortWithinPartitions("bit", "sig", "k", "val").mapInArrow(_signature_links(4, distance, None), LINKS)
-    return materialize(first.where("b is not null").select("a", "b").unionByName(second.select("a", "b")), "near")
+    return hold(first.where("b is not null").select("a", "b").unionByName(second.select("a", "b")))
 
 
 # -- similarity of whole documents ----------------------------------------------------------------------------------------
@@ -342,7 +342,7 @@ def _wide_links(n_keys: int, similarity: float, chunk: int):
     return run
 
 
-def part_links(docs: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
+def part_links(docs: DataFrame, similarity: float, chunk: int = CHUNK, hold: Callable = hold) -> DataFrame:
     """(a, b, sure): links between fingerprints of docs (fp, keys, wide) that share a part and are similar by the wide bits.
 
     Parts are counted before any group meets.  One that many documents hold is salted into chunks of about ``chunk``
@@ -350,25 +350,21 @@ def part_links(docs: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFr
     that are not sure lie within a few standard deviations of the similarity.
     """
     names = ["part", "key", "salt", "salts"]
-    nodes = materialize(docs.select("fp", "keys", "wide").distinct(), "sketches")
+    nodes = hold(docs.select("fp", "keys", "wide").distinct())
     keyed = nodes.select("fp", "wide", F.posexplode("keys").alias("part", "key")).withColumn("part", F.col("part").cast("long"))
     counts = nodes.select(F.posexplode("keys").alias("part", "key")).groupBy(F.col("part").cast("long").alias("part"), "key").agg(F.count("*").alias("n"))
     shared = counts.where("n > 1").select("part", "key", F.ceil(F.col("n") / chunk).cast("long").alias("salts"))
     met = keyed.join(shared, ["part", "key"]).withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")))
     first = met.select(*names, "fp", "wide").repartition(*names).sortWithinPartitions(*names).mapInArrow(_wide_links(4, similarity, chunk), WIDE_LINKS)
-    first = materialize(first, "near")
+    first = hold(first)
     over, found = first.where("b is null"), first.where("b is not null").select("a", "b", "sure")
     if over.isEmpty():
-        discard(nodes)
         return found
     pairs = over.select(F.col("a").alias("fp"), "part", "key").distinct().join(nodes, "fp").select("part", "key", F.posexplode("keys").alias("part2", "key2"), "fp", "wide")
     names = ["part", "key", "other"]
     packed = pairs.where("part2 <> part").select("part", "key", F.xxhash64("part2", "key2").alias("other"), "fp", "wide")
     second = packed.repartition(*names).sortWithinPartitions(*names).mapInArrow(_wide_links(3, similarity, chunk), WIDE_LINKS)
-    out = materialize(found.unionByName(second.select("a", "b", "sure")), "near")
-    discard(nodes)
-    discard(first)
-    return out
+    return found.unionByName(second.select("a", "b", "sure"))
 
 
 def _similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -377,12 +373,13 @@ def _similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def verified(links: DataFrame, sketched: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+def verified(links: DataFrame, sketched: DataFrame, texts: DataFrame, similarity: float, words: int, hold: Callable = hold) -> DataFrame:
     """(a, b): the links (a, b, sure) that are sure, or whose texts have this similarity.
 
     sketched has (doc_id, t, fp), texts (doc_id, t, data).  A fingerprint's text is that of its smallest document.
     """
-    doubtful = materialize(links.where("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "doubtful")
+    links = hold(links)
+    doubtful = links.where("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     wanted = doubtful.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
     holders = sketched.join(wanted, "fp").groupBy("fp").agg(F.min(place).alias("p")).select("fp", F.col("p.id").alias("id"), F.col("p.t").alias("pt"))
@@ -397,9 +394,7 @@ def verified(links: DataFrame, sketched: DataFrame, texts: DataFrame, similarity
 
     left = doubtful.join(held.select(F.col("fp").alias("b"), F.col("data").alias("data_b")), "b")
     both = left.join(held.select(F.col("fp").alias("a"), F.col("data").alias("data_a")), "a").select("a", "b", "data_a", "data_b")
-    out = materialize(links.where("sure").select("a", "b").unionByName(both.mapInArrow(run, "a long, b long")), "near")
-    discard(doubtful)
-    return out
+    return hold(links.where("sure").select("a", "b").unionByName(both.mapInArrow(run, "a long, b long")))
 
 
 # -- documents --------------------------------------------------------------------------------------------------------------
@@ -413,8 +408,8 @@ def near_duplicates(df: DataFrame, distance: int = 3, words: int = 3, id_col: st
     it has none).  Other columns of df are ignored; an empty df gives no rows.
     """
     docs = materialize(fingerprints(df, words, id_col, text_col), "fingerprints")
-    near = links(docs.select("fp"), distance, group_limit, docs.count())
-    roots = components(near)
+    with holding() as hold:
+        roots = components(links(docs.select("fp"), distance, group_limit, docs.count(), hold))
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("low"))
     owned = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -424,20 +419,20 @@ def near_duplicates(df: DataFrame, distance: int = 3, words: int = 3, id_col: st
 
 def _verdicts(docs: DataFrame, similarity: float, words: int, distance: int) -> DataFrame:
     """(__id, __t, first, n): per id and text digest of docs (doc_id, t, data) that is repeated or not the first of its class."""
-    texts, docs = docs, materialize(sketches(docs, words), "fingerprints")
-    near = [links(docs.select("fp"), distance, n_fps=docs.count()), part_links(docs, similarity, CHUNK)]
-    near.append(verified(near[0].withColumn("sure", F.lit(False)).unionByName(near[1]), docs, texts, similarity, words))
-    roots = components(near[2])
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
-    nodes = docs.groupBy("fp").agg(F.min(place).alias("low"))
-    owned = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = owned.groupBy("root").agg(F.min("low").alias("low"))
-    named = owned.select("fp", "root").join(lowest, "root").select("fp", "low")
-    rows = docs.groupBy("doc_id", "t", "fp").agg(F.count("*").alias("n")).join(named, "fp")
-    found = rows.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), (place == F.col("low")).alias("first"), "n").where("n > 1 or not first")
-    found = materialize(found, "verdicts")
-    for table in (docs, roots, *near):
-        discard(table)
+    with holding() as hold:
+        texts, docs = docs, hold(sketches(docs, words))
+        n = docs.count()
+        met = links(docs.select("fp"), distance, n_fps=n, hold=hold).withColumn("sure", F.lit(False)).unionByName(part_links(docs, similarity, CHUNK, hold))
+        roots = components(verified(met, docs, texts, similarity, words, hold))
+        place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
+        nodes = docs.groupBy("fp").agg(F.min(place).alias("low"))
+        owned = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+        lowest = owned.groupBy("root").agg(F.min("low").alias("low"))
+        named = owned.select("fp", "root").join(lowest, "root").select("fp", "low")
+        rows = docs.groupBy("doc_id", "t", "fp").agg(F.count("*").alias("n")).join(named, "fp")
+        found = rows.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), (place == F.col("low")).alias("first"), "n").where("n > 1 or not first")
+        found = materialize(found.coalesce(_tasks(n)), "verdicts")
+    discard(roots)
     return found
 
 

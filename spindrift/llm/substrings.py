@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, doc_texts, materialize, slices
+from .common import discard, doc_texts, hold, materialize, slices
 
 MINIMIZER_WORDS = 5
 #: Repeated windows that one task turns into paths and spans.
-EDGES_A_TASK = 250_000
+EDGES_A_TASK = 1_000_000
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 _BYTE = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -210,13 +210,13 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     copied = texts.where("low < high").select("t", "t2", "low")
     copies = docs.select("doc_id", "tag", "t", "t2").join(copied, ["t", "t2"]).where("doc_id > low").select("doc_id", "tag").distinct()
     shared = _shared_minimizers(docs, window).join(texts.select("t", F.col("low").alias("doc_id")), "t")
-    chains = materialize(_chains(docs, shared, window), "chains")
-    parts = 1 + chains.select(F.sum(F.size("nodes"))).first()[0] // EDGES_A_TASK if chains.head(1) else 1
+    chains = hold(_chains(docs, shared, window))
+    parts = 1 + (chains.select(F.sum(F.size("nodes"))).first()[0] or 0) // EDGES_A_TASK
     # Every edge's smallest document owns it.  The sum before the shuffle leaves one row a task of what many share.
     steps = chains.select("doc_id", "at", "nodes", F.posexplode(F.slice("nodes", 1, F.size("nodes") - 1)).alias("k", "src"))
     steps = steps.select("src", F.get("nodes", F.col("k") + 1).alias("dst"), "doc_id", (F.col("at") + F.col("k")).alias("at"))
     owners = steps.groupBy("src", "dst").agg(F.min("doc_id").alias("odoc"), F.min_by("at", "doc_id").alias("oat"), F.max("doc_id").alias("high")).where("odoc < high").drop("high")
-    owners = materialize(owners, "edges")
+    owners = hold(owners)
     # Nonbranching nodes: one way in, one way out, and consecutive source coordinates.
     ways_out = owners.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("odoc"), F.min("oat").alias("oat")).where("n = 1")
     ways_in = owners.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("idoc"), F.min("oat").alias("iat")).where("n = 1")
@@ -236,13 +236,13 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     spans = runs.select("doc_id", "odoc", "shift", F.explode(F.arrays_zip(starts.alias("a"), lasts.alias("b"))).alias("s"))
     spans = spans.select("doc_id", F.col("s.a").alias("at"), (F.col("s.b") - F.col("s.a") + window).cast("int").alias("n"), "odoc", (F.col("s.a") - F.col("shift")).alias("oat"))
     spans = materialize(spans.coalesce(parts), "spans")
-    discard(owners)
-    discard(chains)
+    owners.unpersist()
+    chains.unpersist()
     # The words at the source coordinates, read once for every distinct span there, confirm the spans.
     digests = _sources(docs, spans.select("odoc", "oat", "n").distinct(), window)
     confirmed = spans.join(digests, ["odoc", "oat", "n"]).select("doc_id", F.shiftright("at", 32).cast("int").alias("tag"), F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"), "n", "digest").alias("s"))
     marked = confirmed.select("doc_id", "tag", "s", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "tag", F.lit(None).cast("struct<start:int,n:int,digest:bigint>").alias("s"), F.lit(True).alias("copy")))
-    out = materialize(marked.groupBy("doc_id", "tag").agg(F.collect_set("s").alias("spans"), F.max("copy").alias("copy")), "spans")
+    out = materialize(marked.groupBy("doc_id", "tag").agg(F.collect_set("s").alias("spans"), F.max("copy").alias("copy")).coalesce(parts), "spans")
     discard(spans)
     return out
 
