@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, doc_texts, hold, materialize, slices
+from .common import discard, doc_texts, materialize, slices
 
 MINIMIZER_WORDS = 5
 #: Repeated windows that one task turns into paths and spans.
-EDGES_A_TASK = 1_000_000
+EDGES_A_TASK = 500_000
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 _BYTE = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -131,33 +131,40 @@ def _shared_minimizers(docs: DataFrame, window: int) -> DataFrame:
     A slice of rows knows at once which of its minimizers several of its texts have, and sends one row for each
     minimizer; so one that very many documents share arrives once a slice.
     """
-    names = ["mini", "salt", "t", "low", "high", "known"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 2 << 20):
             rows = _Rows(batch.column(1).to_pylist(), window)
             start, _, mini = rows.runs(window)
-            held = np.unique(np.column_stack([mini.view(np.int64), batch.column(0).to_numpy()[rows.row[start]]]), axis=0) if len(start) else np.zeros((0, 2), np.int64)
-            mini, t = held[:, 0], held[:, 1]
-            new = np.ones(len(mini), bool)
-            new[1:] = mini[1:] != mini[:-1]
-            heads = np.flatnonzero(new)
+            t = batch.column(0).to_numpy()[rows.row[start]]
+            order = np.lexsort((t, mini))
+            mini, t = mini[order].view(np.int64), t[order]
+            single = np.ones(len(mini), bool)
+            single[1:] = (mini[1:] != mini[:-1]) | (t[1:] != t[:-1])
+            mini, t = mini[single], t[single]
+            heads = np.flatnonzero(np.append(True, mini[1:] != mini[:-1])) if len(mini) else np.zeros(0, np.int64)
             size = np.diff(np.append(heads, len(mini)))
             known = np.repeat(size > 1, size)
-            lasts = heads + size - 1
-            zero = np.zeros(len(heads), np.int64)
-            columns = [(mini[heads], mini[known]), (zero, t[known]), (t[heads], t[known]), (t[heads], t[known]), (t[lasts], t[known])]
-            arrays = [pa.array(np.concatenate(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate([np.zeros(len(heads), bool), np.ones(int(known.sum()), bool)]))], names)
-
-    held = docs.select("t", "data").mapInArrow(run, "mini long, salt long, t long, low long, high long, known boolean")
-    met = Window.partitionBy("mini", "salt")
-    found = held.select("mini", "t", "known", F.min("low").over(met).alias("low"), F.max("high").over(met).alias("high")).where("known or low < high")
+            other = pa.concat_arrays([pa.array(t[heads + size - 1], mask=size == 1), pa.nulls(int(known.sum()), pa.int64())])
+            columns = [pa.array(np.concatenate(c)) for c in ((mini[heads], mini[known] ^ t[known]), (t[heads], t[known]))]
+            yield pa.RecordBatch.from_arrays([*columns, other, pa.array(np.repeat([False, True], [len(heads), int(known.sum())]))], ["key", "t", "other", "known"])
+
+    # A minimizer that is known to be shared travels under a key of its own text, so that nothing meets there.
+    held = docs.select("t", "data").mapInArrow(run, "key long, t long, other long, known boolean")
+    met = Window.partitionBy("key", "known")
+    found = held.select("key", "t", "known", F.min("t").over(met).alias("low"), F.max(F.greatest("t", "other")).over(met).alias("high")).where("known or low < high")
+    found = found.select(F.when(F.col("known"), F.col("key").bitwiseXOR(F.col("t"))).otherwise(F.col("key")).alias("mini"), "t")
     return found.groupBy("t").agg(F.collect_set("mini").alias("minis"))
 
 
-def _chains(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
-    """(doc_id, at, nodes): runs of windows under shared minimizers, at the tag and the place of the first word."""
+EDGES = "edge long, nodes long, doc_id long, at long, members array<struct<doc_id: long, at: long>>"
+
+
+def _edges(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
+    """EDGES: windows under shared minimizers, one row for each edge of a slice of rows.
+
+    doc_id and at (the tag and the place of the first word) are the least, members the others of the slice.  nodes has
+    32 bits of either node: enough to see where the graph branches, as a collision only parts a path in two.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, 2 << 20):
@@ -168,14 +175,23 @@ def _chains(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
             known = lists.flatten().to_numpy().view(np.uint64)
             tag = lambda row: _mix(row.astype(np.uint64) + np.uint64(1))  # noqa: E731  one stray match only costs an edge
             hit = np.isin(mini ^ tag(rows.row[start]), known ^ tag(owner))
-            start, size = start[hit], length[hit] + 1  # a chain has a node more than windows
-            at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-            nodes, row = gram_hashes(rows.hashes, window - 1, 2).view(np.int64), rows.row[start]
-            chains = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(nodes[at]))
-            place = (batch.column(1).to_numpy()[row].astype(np.int64) << 32) + start - rows.first[row]
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row]), pa.array(place), chains], ["doc_id", "at", "nodes"])
-
-    return docs.join(shared, ["doc_id", "t"]).select("doc_id", "tag", "data", "minis").mapInArrow(run, "doc_id long, at long, nodes array<long>")
+            start, size = start[hit], length[hit]
+            first = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())  # every window's first word
+            grams = gram_hashes(rows.hashes, window - 1, 2)
+            src, dst = grams[first], grams[first + 1]
+            edge = _mix(src * np.uint64(_BASE) ^ (dst + (src >> np.uint64(32)))).view(np.int64)
+            nodes = (src & np.uint64(0xFFFFFFFF00000000) | dst >> np.uint64(32)).view(np.int64)
+            row = rows.row[first]
+            doc_id, at = batch.column(0).to_numpy()[row], (batch.column(1).to_numpy()[row].astype(np.int64) << 32) + first - rows.first[row]
+            order = np.lexsort((at, doc_id, edge))
+            edge, nodes, doc_id, at = edge[order], nodes[order], doc_id[order], at[order]
+            new = np.append(True, edge[1:] != edge[:-1])[: len(edge)]
+            others = np.append(0, np.cumsum(np.diff(np.append(np.flatnonzero(new), len(edge))) - 1)).astype(np.int32)
+            rest = pa.StructArray.from_arrays([pa.array(doc_id[~new]), pa.array(at[~new])], ["doc_id", "at"])
+            members = pa.ListArray.from_arrays(pa.array(others), rest)
+            yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (edge, nodes, doc_id, at)] + [members], ["edge", "nodes", "doc_id", "at", "members"])
+
+    return docs.join(shared, ["doc_id", "t"]).select("doc_id", "tag", "data", "minis").mapInArrow(run, EDGES)
 
 
 def _sources(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -209,26 +225,29 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     texts = docs.groupBy("t", "t2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     copied = texts.where("low < high").select("t", "t2", "low")
     copies = docs.select("doc_id", "tag", "t", "t2").join(copied, ["t", "t2"]).where("doc_id > low").select("doc_id", "tag").distinct()
-    shared = _shared_minimizers(docs, window).join(texts.select("t", F.col("low").alias("doc_id")), "t")
-    chains = hold(_chains(docs, shared, window))
-    parts = 1 + (chains.select(F.sum(F.size("nodes"))).first()[0] or 0) // EDGES_A_TASK
-    # Every edge's smallest document owns it.  The sum before the shuffle leaves one row a task of what many share.
-    steps = chains.select("doc_id", "at", "nodes", F.posexplode(F.slice("nodes", 1, F.size("nodes") - 1)).alias("k", "src"))
-    steps = steps.select("src", F.get("nodes", F.col("k") + 1).alias("dst"), "doc_id", (F.col("at") + F.col("k")).alias("at"))
-    owners = steps.groupBy("src", "dst").agg(F.min("doc_id").alias("odoc"), F.min_by("at", "doc_id").alias("oat"), F.max("doc_id").alias("high")).where("odoc < high").drop("high")
-    owners = hold(owners)
+    shared = materialize(_shared_minimizers(docs, window).join(texts.select("t", F.col("low").alias("doc_id")), "t"), "minimizers")
+    # Edges meet in one shuffle; the smallest document that holds an edge owns it.
+    met = Window.partitionBy("edge")
+    own, high = F.min(F.struct("doc_id", "at")).over(met), F.max(F.greatest("doc_id", F.array_max("members")["doc_id"])).over(met)
+    kept = _edges(docs, shared, window).withColumns({"own": own, "high": high}).where("own.doc_id < high")
+    kept = materialize(kept.select("nodes", "doc_id", "at", "members", F.col("own.doc_id").alias("odoc"), F.col("own.at").alias("oat")), "edges")
+    discard(shared)
+    parts = 1 + kept.count() // EDGES_A_TASK  # few edges need no more tasks and files than that
     # Nonbranching nodes: one way in, one way out, and consecutive source coordinates.
-    ways_out = owners.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("odoc"), F.min("oat").alias("oat")).where("n = 1")
-    ways_in = owners.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("idoc"), F.min("oat").alias("iat")).where("n = 1")
-    inner = ways_out.join(ways_in.drop("n"), "node").where("odoc = idoc and oat = iat + 1").select("odoc", "oat", F.lit(0).alias("head"), F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"))
+    graph = kept.where("doc_id = odoc and at = oat").select(F.shiftrightunsigned("nodes", 32).alias("src"), F.col("nodes").bitwiseAND(F.lit(0xFFFFFFFF)).alias("dst"), "odoc", "oat").distinct()
+    ways_out = graph.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("odoc"), F.min("oat").alias("oat")).where("n = 1")
+    ways_in = graph.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("idoc"), F.min("oat").alias("iat")).where("n = 1")
+    inner = ways_out.join(ways_in.drop("n"), "node").where("odoc = idoc and oat = iat + 1").select("odoc", "oat", F.lit(0).alias("head"))
     # Paths: an edge continues the one before it if the node between them is nonbranching; islands in the owner's text.
-    marks = owners.select("odoc", "oat", F.lit(1).alias("head"), "src", "dst").unionByName(inner)
+    marks = graph.select("odoc", "oat", F.lit(1).alias("head")).unionByName(inner)
     along = Window.partitionBy("odoc").orderBy("oat", "head")
     continues = F.coalesce((F.lag("oat").over(along) == F.col("oat")) & (F.lag("head").over(along) == 0), F.lit(False))
     marks = marks.withColumn("starts", F.when((F.col("head") == 1) & ~continues, F.col("oat")))
-    paths = marks.select("src", "dst", "odoc", "oat", "head", F.last("starts", ignorenulls=True).over(along).alias("path")).where("head = 1").drop("head")
+    paths = marks.select("odoc", "oat", "head", F.last("starts", ignorenulls=True).over(along).alias("path")).where("head = 1").drop("head")
+    paths = materialize(paths.coalesce(parts), "paths")
     # Windows of later documents compact into runs along one path at one distance from the source coordinates.
-    later = steps.join(paths, ["src", "dst"]).where("doc_id > odoc")
+    every = F.concat(F.array(F.struct("doc_id", "at")), "members")
+    later = kept.join(paths, ["odoc", "oat"]).select("odoc", "oat", "path", F.explode(every).alias("m")).select("odoc", "oat", "path", "m.doc_id", "m.at").where("doc_id > odoc")
     runs = later.groupBy("doc_id", "odoc", "path", (F.col("at") - F.col("oat")).alias("shift")).agg(F.array_sort(F.collect_set("at")).alias("at"))
     before, after = (lambda k: F.get(F.col("at"), k - 1)), (lambda k: F.get(F.col("at"), k + 1))
     starts = F.filter("at", lambda x, k: (k == 0) | (before(k) < x - 1))
@@ -236,8 +255,8 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     spans = runs.select("doc_id", "odoc", "shift", F.explode(F.arrays_zip(starts.alias("a"), lasts.alias("b"))).alias("s"))
     spans = spans.select("doc_id", F.col("s.a").alias("at"), (F.col("s.b") - F.col("s.a") + window).cast("int").alias("n"), "odoc", (F.col("s.a") - F.col("shift")).alias("oat"))
     spans = materialize(spans.coalesce(parts), "spans")
-    owners.unpersist()
-    chains.unpersist()
+    discard(kept)
+    discard(paths)
     # The words at the source coordinates, read once for every distinct span there, confirm the spans.
     digests = _sources(docs, spans.select("odoc", "oat", "n").distinct(), window)
     confirmed = spans.join(digests, ["odoc", "oat", "n"]).select("doc_id", F.shiftright("at", 32).cast("int").alias("tag"), F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"), "n", "digest").alias("s"))
