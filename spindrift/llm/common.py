@@ -53,6 +53,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def in_fewer_files(df: DataFrame) -> DataFrame:
+    """df in a quarter of the session's shuffle partitions, for a table to write: fewer and larger files."""
+    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Keep df's rows on the executors' disks, for what is read in a few actions and soon given up by ``unpersist``.
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_fewer_files, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -118,7 +118,7 @@ def passing(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     stays (one without an id only where no other does); thus no line is lost with all of its documents.
     """
     judged = judge(df, text_col=text_col, host_col=host_col, prefix="__q", held=True, **options).where("not __q.base_failed")
-    judged = materialize(judged.select(*[df[f"`{c}`"] for c in df.columns], F.col("__q.kept").alias("__kept"), F.col("__q.held_lines").alias("__held")), "judged")
+    judged = materialize(in_fewer_files(judged.select(*[df[f"`{c}`"] for c in df.columns], F.col("__q.kept").alias("__kept"), F.col("__q.held_lines").alias("__held"))), "judged")
     key = F.struct(F.col(f"`{id_col}`").isNull().alias("unnamed"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("t"))
     held = judged.select(F.col(f"`{host_col}`").alias("host"), "__kept", key.alias("key"), F.explode("__held").alias("h"))
     first = held.groupBy("host", "h").agg(F.max("__kept").alias("safe"), F.min("key").alias("key")).where("not safe")

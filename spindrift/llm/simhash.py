@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_A_TASK, components, discard, doc_texts, hold, holding, materialize, slices
+from .common import ROWS_A_TASK, components, discard, doc_texts, hold, holding, in_fewer_files, materialize, slices
 
 SEED = 42
 #: Parts of a document's shingles, shingles in each, and 64-bit words of the wide fingerprint.
@@ -407,7 +407,7 @@ def near_duplicates(df: DataFrame, distance: int = 3, words: int = 3, id_col: st
     as often as they occur.  Rows of null doc_id link and get the smallest non-null doc_id of their component (null if
     it has none).  Other columns of df are ignored; an empty df gives no rows.
     """
-    docs = materialize(fingerprints(df, words, id_col, text_col), "fingerprints")
+    docs = materialize(in_fewer_files(fingerprints(df, words, id_col, text_col)), "fingerprints")
     with holding() as hold:
         roots = components(links(docs.select("fp"), distance, group_limit, docs.count(), hold))
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("low"))

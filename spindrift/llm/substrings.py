@@ -23,11 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, doc_texts, materialize, slices
+from .common import discard, doc_texts, in_fewer_files, materialize, slices
 
 MINIMIZER_WORDS = 5
-#: Repeated windows that one task turns into paths and spans.
-EDGES_A_TASK = 500_000
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 _BYTE = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -225,14 +223,13 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     texts = docs.groupBy("t", "t2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     copied = texts.where("low < high").select("t", "t2", "low")
     copies = docs.select("doc_id", "tag", "t", "t2").join(copied, ["t", "t2"]).where("doc_id > low").select("doc_id", "tag").distinct()
-    shared = materialize(_shared_minimizers(docs, window).join(texts.select("t", F.col("low").alias("doc_id")), "t"), "minimizers")
+    shared = materialize(in_fewer_files(_shared_minimizers(docs, window).join(texts.select("t", F.col("low").alias("doc_id")), "t")), "minimizers")
     # Edges meet in one shuffle; the smallest document that holds an edge owns it.
     met = Window.partitionBy("edge")
     own, high = F.min(F.struct("doc_id", "at")).over(met), F.max(F.greatest("doc_id", F.array_max("members")["doc_id"])).over(met)
     kept = _edges(docs, shared, window).withColumns({"own": own, "high": high}).where("own.doc_id < high")
-    kept = materialize(kept.select("nodes", "doc_id", "at", "members", F.col("own.doc_id").alias("odoc"), F.col("own.at").alias("oat")), "edges")
+    kept = materialize(in_fewer_files(kept.select("nodes", "doc_id", "at", "members", F.col("own.doc_id").alias("odoc"), F.col("own.at").alias("oat"))), "edges")
     discard(shared)
-    parts = 1 + kept.count() // EDGES_A_TASK  # few edges need no more tasks and files than that
     # Nonbranching nodes: one way in, one way out, and consecutive source coordinates.
     graph = kept.where("doc_id = odoc and at = oat").select(F.shiftrightunsigned("nodes", 32).alias("src"), F.col("nodes").bitwiseAND(F.lit(0xFFFFFFFF)).alias("dst"), "odoc", "oat").distinct()
     ways_out = graph.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("odoc"), F.min("oat").alias("oat")).where("n = 1")
@@ -244,7 +241,7 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     continues = F.coalesce((F.lag("oat").over(along) == F.col("oat")) & (F.lag("head").over(along) == 0), F.lit(False))
     marks = marks.withColumn("starts", F.when((F.col("head") == 1) & ~continues, F.col("oat")))
     paths = marks.select("odoc", "oat", "head", F.last("starts", ignorenulls=True).over(along).alias("path")).where("head = 1").drop("head")
-    paths = materialize(paths.coalesce(parts), "paths")
+    paths = materialize(in_fewer_files(paths), "paths")
     # Windows of later documents compact into runs along one path at one distance from the source coordinates.
     every = F.concat(F.array(F.struct("doc_id", "at")), "members")
     later = kept.join(paths, ["odoc", "oat"]).select("odoc", "oat", "path", F.explode(every).alias("m")).select("odoc", "oat", "path", "m.doc_id", "m.at").where("doc_id > odoc")
@@ -254,14 +251,14 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     lasts = F.filter("at", lambda x, k: (k == F.size("at") - 1) | (after(k) > x + 1))
     spans = runs.select("doc_id", "odoc", "shift", F.explode(F.arrays_zip(starts.alias("a"), lasts.alias("b"))).alias("s"))
     spans = spans.select("doc_id", F.col("s.a").alias("at"), (F.col("s.b") - F.col("s.a") + window).cast("int").alias("n"), "odoc", (F.col("s.a") - F.col("shift")).alias("oat"))
-    spans = materialize(spans.coalesce(parts), "spans")
+    spans = materialize(in_fewer_files(spans), "spans")
     discard(kept)
     discard(paths)
     # The words at the source coordinates, read once for every distinct span there, confirm the spans.
     digests = _sources(docs, spans.select("odoc", "oat", "n").distinct(), window)
     confirmed = spans.join(digests, ["odoc", "oat", "n"]).select("doc_id", F.shiftright("at", 32).cast("int").alias("tag"), F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"), "n", "digest").alias("s"))
     marked = confirmed.select("doc_id", "tag", "s", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "tag", F.lit(None).cast("struct<start:int,n:int,digest:bigint>").alias("s"), F.lit(True).alias("copy")))
-    out = materialize(marked.groupBy("doc_id", "tag").agg(F.collect_set("s").alias("spans"), F.max("copy").alias("copy")).coalesce(parts), "spans")
+    out = materialize(in_fewer_files(marked.groupBy("doc_id", "tag").agg(F.collect_set("s").alias("spans"), F.max("copy").alias("copy"))), "spans")
     discard(spans)
     return out
 
