@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from .common import materialize, slices
 
 #: A tag up to the end of its name; tag_end finds the rest.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)|([^<]+|<)", re.S)
-SPECIAL = re.compile(r"[<>\"']")
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)|([^<]+|<)", re.S)
+SPECIAL, NEXT, VALUE_END = re.compile("[=>]"), re.compile(r"\s*"), re.compile(r"[\s>]|\Z")
+ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'][^\s]*)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object noframes xmp".split())
+#: Elements without text of the page; only those of another markup may close themselves.
+RAW = frozenset("script style noscript template textarea title iframe svg object noframes".split())
+END_OF = {tag: re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I) for tag in (*RAW, "xmp")}
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option optgroup p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -33,12 +35,18 @@ CONTAINERS = frozenset("article main section div td body center".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td dd dt figcaption".split())
 DROPPED = frozenset("nav header footer aside form menu button select dialog input label fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
+#: A container of which a class or id has one of these words is dropped; a paragraph only if the word is all of it.
 DROPPED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promotion nav navbar navigation navi menu menus breadcrumb breadcrumbs "
-    "footer foot header masthead topbar sidebar sidebars aside widget widgets related recommended recommendations share sharing social comment comments commentlist disqus "
-    "respond replies reply cookie cookies consent gdpr notice notices alert banner popup modal overlay subscribe subscription newsletter signup login search searchform "
-    "pagination pager pagenav toolbar skip copyright disclaimer form".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox sponsored sponsors nav navbar navigation navi menu menus breadcrumb breadcrumbs "
+    "footer topbar sidebar sidebars widget widgets related recommended recommendations sharing comment comments commentlist disqus replies "
+    "cookie cookies consent gdpr newsletter pagination pager pagenav toolbar".split()
 )
+#: These words may also be about the text, so they count only in names of nothing but such words and words for places.
+DOUBTFUL_WORDS = frozenset(
+    "sponsor promo promotion foot header masthead aside share social respond reply notice notices alert banner popup modal overlay subscribe subscription signup login "
+    "search searchform skip copyright disclaimer form".split()
+)
+PLACE_WORDS = frozenset("top bottom left right upper lower first last outer inner site page global main box bar area block wrap wrapper container section list links link buttons button icons icon media strip panel group row col message messages".split())
 FAVOURED_WORDS = frozenset("article content post entry story main text body page blog news".split())
 #: Elements that an opening tag closes, up to the nearest ancestor that contains them.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -85,32 +93,49 @@ class Stack(list):
                 self.blocks.pop()
 
 
-def tag_end(page: str, at: int, dead: set[int]) -> int:
-    """The position after the > that ends a tag, read on from ``at`` outside quotes; -1 if a < or the page's end comes first.
+def tag_end(page: str, at: int, unclosed: set[str]) -> int:
+    """The position after the > that ends a tag, read on from ``at``; -1 if the page ends first.
 
-    Quoted values may have any length.  ``dead`` keeps the opening quotes from which no > was found, so that no part of a
-    page is scanned twice in vain, whatever its tags leave open.
+    Only a quote right after = opens a value, which may have any length; other values end at white space or >.
+    ``unclosed`` keeps quotes that do not occur any more, so that no part of a page is scanned twice in vain.
     """
-    seen = []
     while m := SPECIAL.search(page, at):
-        k = m.start()
-        if page[k] == ">":
-            return k + 1
-        if page[k] == "<" or k in dead:
-            break
-        seen.append(k)
-        at = page.find(page[k], k + 1) + 1
-        if not at:
-            break
-    dead.update(seen)
+        at = m.end()
+        if m[0] == ">":
+            return at
+        at = NEXT.match(page, at).end()
+        quote = page[at : at + 1]
+        if quote in ("'", '"') and quote not in unclosed:
+            end = page.find(quote, at + 1)
+            if end >= 0:
+                at = end + 1
+                continue
+            if page.find("<", at) < 0:  # the page ends within the value
+                return -1
+            unclosed.add(quote)
+        at = VALUE_END.search(page, at).start()
     return -1
 
 
+def is_dropped(names: str, paragraph: bool) -> bool:
+    """Whether class names and ids say that an element is no part of the text."""
+    for name in names.split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if paragraph:
+            if len(parts) == 1 and parts[0] in DROPPED_WORDS:
+                return True
+        elif any(x in DROPPED_WORDS for x in parts):
+            return True
+        elif any(x in DOUBTFUL_WORDS for x in parts) and all(x in DOUBTFUL_WORDS or x in PLACE_WORDS for x in parts):
+            return True
+    return False
+
+
 def parse(page: str) -> tuple[Element, list[Element]]:
     """The root element and all containers of a page; never fails, whatever the markup."""
     root = Element("html", None, "", frozenset(), False)
-    stack, containers, lower = Stack(root), [], None
-    at, match, dead = 0, TOKEN.match, set()
+    stack, containers = Stack(root), []
+    at, match, unclosed = 0, TOKEN.match, set()
     while at < len(page):
         m = match(page, at)
         at = m.end()
@@ -122,14 +147,9 @@ def parse(page: str) -> tuple[Element, list[Element]]:
         if tag is None:
             continue  # comment, declaration
         name = at
-        at = tag_end(page, name, dead)
-        while at < 0 and (cut := max(tag.rfind('"'), tag.rfind("'"))) > 0:  # a quote that follows the name at once
-            tag, name = tag[:cut], m.start(2) + cut
-            at = tag_end(page, name, dead)
-        if at < 0:  # an unclosed tag is text
-            stack[-1].items.append("<")
-            at = m.start() + 1
-            continue
+        at = tag_end(page, name, unclosed)
+        if at < 0:  # cut off inside a tag
+            break
         attributes = page[name : at - 1]
         tag = tag.lower()
         if m[1]:
@@ -142,12 +162,18 @@ def parse(page: str) -> tuple[Element, list[Element]]:
         if tag in ("html", "head"):
             continue
         if tag in RAW:
-            if not attributes.rstrip().endswith("/"):
-                lower = page.lower() if lower is None else lower
-                end = lower.find(f"</{tag}", at)
-                close = page.find(">", end) if end >= 0 else -1
+            if tag != "svg" or not attributes.rstrip().endswith("/"):
+                end = END_OF[tag].search(page, at)
+                close = page.find(">", end.end()) if end else -1
                 at = close + 1 if close >= 0 else len(page)
             continue
+        if tag == "xmp":
+            end = END_OF[tag].search(page, at)
+            stop = end.start() if end else len(page)
+            stack[-1].items.extend((" ", page[at:stop].replace("&", "&amp;"), " "))
+            close = page.find(">", end.end()) if end else -1
+            at = close + 1 if close >= 0 else len(page)
+            continue
         if tag == "body" and stack.last("body"):
             continue
         if tag in P_CLOSERS and stack.blocks and stack[stack.blocks[-1]].tag == "p":
@@ -173,7 +199,7 @@ def parse(page: str) -> tuple[Element, list[Element]]:
             words = frozenset(re.split(r"[^a-z]+", names)) if names.strip() else words
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
             role = frozenset(found.get("role", "").lower().split())
-            dropped = dropped or bool(hidden or role & DROPPED_ROLES or (block and tag != "body" and words & DROPPED_WORDS))
+            dropped = dropped or bool(hidden or role & DROPPED_ROLES or (block and tag != "body" and is_dropped(names, tag in PARAGRAPHS)))
             path = "." + ".".join(sorted({re.sub(r"\d+", "0", c) for c in found["class"].lower().split()})) if found.get("class", "").strip() else ""
         path = f"{parent.path}>{tag}{path}" if block else parent.path
         if block and len(stack) >= MAX_DEPTH:
@@ -248,15 +274,19 @@ def vote(page: str) -> tuple[str, float] | None:
     return (e.path, e.score) if e else None
 
 
+#: A winning path counts on a page if it holds this share of the text of the page's own best container.
+LEAST_SHARE = 0.4
+
+
 def extract(page: str, paths: list[str] | None) -> str:
-    """Main text by the first of the host's winning paths that holds text here, else by the page's own best container."""
+    """Main text by the first of the host's winning paths that holds enough text here, else by the page's own best container."""
     root, containers = parse(page)
-    for path in paths or ():
-        found = [e for e in containers if e.path == path]
-        if text := found and text_of(found):
-            return text
     _measure(root)
     e = best_container(containers)
+    for path in paths or ():
+        found = [x for x in containers if x.path == path]
+        if sum(x.own for x in found) >= LEAST_SHARE * (e.own if e else 0) and (text := found and text_of(found)):
+            return text
     return text_of([e]) if e else text_of([root])
 
 
@@ -264,7 +294,7 @@ def host_paths(pages: DataFrame, top: int = 3) -> DataFrame:
     """(host, paths): the ``top`` paths of each host by votes, then score, then name.  Votes are summed before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [(h, *v) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (v := vote(x or ""))]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.string(), pa.float64()))], ["host", "path", "score"])
 

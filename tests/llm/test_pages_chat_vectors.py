@@ -4,6 +4,7 @@ import html as entities
 import itertools
 import re
 import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -89,6 +90,100 @@ def test_unclosed_quotes_take_linear_time(part):
     assert time.process_time() - began < 10
 
 
+BODY = "<body><nav><p>menu home about and more</p></nav><div class=page>%s</div><footer>foot</footer></body>"
+LINES = "<p>The first paragraph of the page.</p><p>And the second one.</p>"
+PLAIN = "The first paragraph of the page. And the second one."
+
+
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        (LINES, PLAIN),
+        ('<img src="data:image/png;base64,' + "A" * 70_000 + '">' + LINES, PLAIN),  # a long attribute
+        ("\u0130" * 300 + " <script>var a = 1;</script>" + LINES, "\u0130" * 300 + " " + PLAIN),  # lower case is longer
+        ('<script src=/a/b/>alert("leak")</script>' + LINES, PLAIN),  # does not close itself
+        ("<svg viewBox='0 0 1 1'/>" + LINES + "<svg><text>drawn</text></svg>", PLAIN),
+        ("<p><a title=it's>A link</a> first.</p>" + LINES, "A link first. " + PLAIN),  # an apostrophe in a bare value
+        ("<p title = 'a > b' data-x=\"c > d\">Values hold signs.</p>" + LINES, "Values hold signs. " + PLAIN),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>" + LINES, "Let x=2 be. " + PLAIN),
+        ("<xmp><b>shown &amp; as is</b></xmp>" + LINES, "<b>shown &amp; as is</b> " + PLAIN),
+        ('<p class="social-science">Of society.</p><p class="form">Of form.</p>' + LINES, "Of society. Of form. " + PLAIN),
+        ('<div class="content-header"><h1>The title</h1></div>' + LINES, "The title " + PLAIN),
+        ('<div class="social-share"><p>Like it</p></div><div class="post-comments"><p>Reader: fine</p></div>' + LINES + "<p class=ad>Buy</p>", PLAIN),
+        ('<div class="cookie-notice"><p>Cookies</p></div><div id="sidebar-left"><p>Aside</p></div><div class="page-header"><p>Site</p></div>' + LINES, PLAIN),
+        ("<textarea>typed</textarea><STYLE>p{}</STYLE><Script>x</sCript >" + LINES, PLAIN),
+        ("<p>1 < 2 and a <b>bold</b> one, 3 > 2.</p>" + LINES, "1 < 2 and a bold one, 3 > 2. " + PLAIN),
+        ("<!-- <p>no</p> -->" + LINES + "<!-- to the end", PLAIN),
+    ],
+)
+def test_ordinary_markup(inner, want):
+    assert html.extract(BODY % inner, None) == want
+    path = html.vote(BODY % inner)[0]
+    assert path == ">body>div.page" and html.extract(BODY % inner, [path]) == want
+
+
+@pytest.mark.parametrize("cut", ['<div class="cut off', "<div class='a>b", "<a href=x", "</di", "<!-- cut", "<!doctype"])
+def test_pages_cut_off_inside_a_tag(cut):
+    assert html.extract(f"<body><div>{LINES}{cut}", None) == PLAIN
+
+
+@pytest.mark.parametrize("part", ["<!", "<a x=", "<a x='", '<a x="y" ', "</", "<script/", "<p a = ", "<xmp"])
+def test_broken_tags_take_linear_time(part):
+    began = time.process_time()
+    html.extract(part * 100_000, None)
+    assert time.process_time() - began < 10
+
+
+def test_a_path_with_little_text_does_not_win():
+    page = f"<body><div class=note><p>tiny</p></div><div class=main>{LINES * 5}</div></body>"
+    assert html.extract(page, [">body>div.note", ">body>div.main"]) == " ".join([PLAIN] * 5)
+
+
+class Tree(HTMLParser):
+    """The text of a marked element by the standard library's parser, without the elements to drop."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.dropped, self.out = 0, 0, []
+
+    def handle_starttag(self, tag, attrs):
+        names = dict(attrs)
+        self.dropped += bool(self.dropped) or tag in ("nav", "aside", "form", "script", "footer") or names.get("class") in ("ad", "comments", "cookie-notice")
+        self.inside += bool(self.inside) or "data-main" in names
+        if tag in html.BLOCKS:
+            self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        self.dropped -= bool(self.dropped)
+        self.inside -= bool(self.inside)
+        if tag in html.BLOCKS:
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if self.inside and not self.dropped:
+            self.out.append(data)
+
+
+WORDS = st.lists(st.sampled_from("some words of a text &amp; more &lt;of&gt; them é 日本 x.".split()), min_size=8, max_size=30).map(" ".join)
+PIECE = st.one_of(
+    WORDS.map("<p>{}</p>".format), WORDS.map("<h2>{}</h2>".format), WORDS.map("<ul><li>{0}</li><li>more {0}</li></ul>".format), WORDS.map("<blockquote><p><b>{0}</b> {0}</p></blockquote>".format),
+    WORDS.map("<div class='ad'><p>{}</p></div>".format), WORDS.map("<div class='part'><p>{}</p></div>".format), WORDS.map("<script>var s = '{}';</script>".format), WORDS.map("<aside><p>{}</p></aside>".format),
+    WORDS.map("<table><tr><td>{0}</td><td>{0}</td></tr></table>".format), WORDS.map("<form><p>{}</p></form>".format),
+)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(PIECE, min_size=1, max_size=6), WORDS, st.lists(WORDS, max_size=2), st.sampled_from(["div", "section", "main"]))
+def test_pages_without_an_article(pieces, text, comments, tag):
+    long = "".join(f"<p>{text} {text} {k}</p>" for k in range(8))
+    main = f"<{tag} class='story' data-main=1>{''.join(pieces)}{long}</{tag}>"
+    around = "".join(f"<div class='comments'><p>{c}</p></div>" for c in comments)
+    page = f"<html><body><nav><ul><li><a href=/>{text}</a></li></ul></nav><div class='wrap'>{main}{around}</div><footer><p>{text}</p></footer></body></html>"
+    tree = Tree()
+    tree.feed(page)
+    assert html.extract(page, None) == " ".join("".join(tree.out).split())
+
+
 # -- chat
 
 
