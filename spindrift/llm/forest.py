@@ -4,8 +4,9 @@ Each tree gives every vector a string of 64 hyperplane signs.  Rows are dealt in
 sorted array of its strings.  A query descends to its longest prefix match in every tree, then all trees ascend
 together, one bit at a time, until the strings that share the current prefix hold enough different vectors; these
 candidates are scored exactly.  Vectors are lifted by one coordinate to one length, so that hyperplane signs order
-inner products.  Uniformly random directions leave no structure to hash: on such data (the test tables) a recall of 0.9
-needs about 0.4 of a block as candidates, hence the default share; clustered data need far less.
+inner products.  How many candidates a recall takes depends on the data: clustered vectors need a few hundredths of a
+block, uniformly random directions (the test tables) leave nothing to hash and need over half.  So the share is measured
+first, against brute force on a bounded sample.
 """
 
 from __future__ import annotations
@@ -102,14 +103,37 @@ def usable(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     return rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
 
+SHARES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+
+
+def measured_share(vectors: np.ndarray, k: int, trees: int, recall: float, queries: int = 128) -> float:
+    """The smallest of SHARES at which a block of these vectors finds the k nearest with this mean recall."""
+    n = len(vectors)
+    if n <= k + 1:
+        return 1.0
+    planes, norms = hyperplanes(vectors.shape[1], trees), (vectors * vectors).sum(axis=1)
+    asked = np.arange(n)[:: max(1, n // queries)][:queries]
+    block = Block(np.arange(n), vectors, strings(vectors, np.sqrt(np.maximum(norms.max() - norms, 0)), planes))
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    true = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    codes = strings(vectors[asked], np.zeros(len(asked)), planes)
+    for share in SHARES:
+        found = {q: ids for q, ids, _ in block.search(asked, vectors[asked], codes, k, int(np.ceil(share * n)))}
+        if np.mean([len(np.intersect1d(found[q], t)) / k for q, t in zip(asked.tolist(), true, strict=True)]) >= recall:
+            return share
+    return 1.0
+
+
 def nearest(
-    embeddings: DataFrame, every: int = 20, k: int = 20, trees: int = 32, share: float = 0.5, least: int = 1024,
+    embeddings: DataFrame, every: int = 20, k: int = 20, trees: int = 32, share: float | None = None, recall: float = 0.95, sample: int = 4096,
     block_rows: int = 8192, query_rows: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by ``every``.
 
     Nearness is the inner product in double precision; only vectors of one length are compared.  A query gets at least
-    max(``least``, ``share`` of the block) candidates in every block (all, if fewer).  Vectors that are null, zero, or
+    ``share`` of every block as candidates.  Without a share it is the smallest that reaches ``recall`` among about
+    ``sample`` vectors, chosen by a hash of their ids; all rows are indexed and searched.  Vectors that are null, zero, or
     hold null or non-finite components, and rows without an id, take no part; rows that share an id are one row (the
     smallest of their vectors).  Other columns are ignored; an empty table gives no rows.
 
@@ -119,6 +143,11 @@ def nearest(
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     sizes = {r["dim"]: (r["n"], r["norm"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("norm")).collect()}
     norms = {dim: x for dim, (_, x) in sizes.items()}
+    shares = dict.fromkeys(sizes, share)
+    for dim, (n, _) in sizes.items() if share is None else ():
+        chosen = F.pmod(F.xxhash64("vec_id"), F.lit(n)) < sample
+        drawn = [r["v"] for r in rows.where((F.col("dim") == dim) & chosen).select("v").orderBy(F.xxhash64("vec_id")).limit(sample).collect()]
+        shares[dim] = measured_share(np.array(drawn, np.float64).reshape(len(drawn), dim), k, trees, recall) if drawn else 1.0
 
     def encode(lifted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +189,7 @@ def nearest(
             dim, stack = int(own.dim.iloc[0]), lambda c, kind: np.frombuffer(b"".join(c), kind)
             unpack = lambda x: (x.vec_id.to_numpy(), stack(x.v, np.float64).reshape(-1, dim), stack(x.codes, np.uint64).reshape(-1, trees))
             block = Block(*unpack(own))
-            wanted = max(least, int(np.ceil(share * len(own))))
+            wanted = max(k + 1, int(np.ceil(shares[dim] * len(own))))
             out = [(np.full(len(i), q), i, s) for q, i, s in block.search(*unpack(asked), k, wanted)]
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))

@@ -258,12 +258,13 @@ def brute_nearest(rows, every, k):
     return out
 
 
-def test_recall_and_scores(spark):
+@pytest.mark.parametrize("blocks", [{}, {"block_rows": 128, "query_rows": 8}, {"share": 0.7}])
+def test_recall_and_scores(spark, blocks):
     df = spark.read.parquet(f"{DATA}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
     want = brute_nearest(rows, 20, 20)
     found = {}
-    for r in forest.nearest(df, least=64, block_rows=128, query_rows=8).orderBy("query_id", "rank").collect():
+    for r in forest.nearest(df, **blocks).orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert set(found) == set(want)
     vectors = dict(rows)
@@ -274,6 +275,20 @@ def test_recall_and_scores(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_clustered_vectors_need_few_candidates(spark):
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(150, 32))
+    x = np.repeat(centers, 20, axis=0) + 0.15 * rng.normal(size=(3000, 32))
+    assert forest.measured_share(x, 10, 32, 0.95) <= 0.1
+    assert forest.measured_share(rng.normal(size=(1000, 64)), 20, 32, 0.95) >= 0.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute_nearest([(i, v) for i, v in enumerate(x)], 50, 10)
+    found = {}
+    for r in forest.nearest(df, every=50, k=10).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(found[q] & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
 def test_forest_walk():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 8))
