@@ -120,14 +120,14 @@ def components(edges: DataFrame) -> DataFrame:
     smallest node.
 
     Alternates large-star and small-star rounds, each a join and an aggregate on node keys, until every node has one edge,
-    to a root.  Each step shortens paths or ends, so no limit on rounds is needed.  Two rounds are written at a time, and
-    only whether they are done reaches the driver.
+    to a root.  Each step shortens paths or ends, so no limit on rounds is needed.  Every round is written to the shared
+    folder; only whether it is the last reaches the driver.
     """
 
     def round_of(cur: DataFrame) -> DataFrame:
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         return small.where("a <> b").distinct()
@@ -140,7 +140,7 @@ def components(edges: DataFrame) -> DataFrame:
     cur = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     parts, ours = 1 + cur.count() // ROWS_A_TASK, False  # few links need no more tasks and files than that
     while True:
-        new = materialize(round_of(round_of(cur)).coalesce(parts), "links")
+        new = materialize(round_of(cur).coalesce(parts), "links")
         if ours:
             discard(cur)
         cur, ours = new, True
