@@ -54,8 +54,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def in_fewer_files(df: DataFrame) -> DataFrame:
-    """df in a quarter of the session's shuffle partitions, for a table to write: fewer and larger files."""
-    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+    """df in a third of the session's shuffle partitions, for a table to write: fewer and larger files."""
+    return df.coalesce(max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3))
 
 
 def hold(df: DataFrame) -> DataFrame:
