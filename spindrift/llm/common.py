@@ -92,8 +92,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of an Arrow batch of texts or pages.  Spark's 10,000 rows of some KB each would be held several times over, by
+#: the JVM outside its heap and by each Python worker.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Let Python workers of this session get at most BATCH_ROWS rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def doc_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, data binary): the two columns an operator reads, whatever else df carries."""
+    in_small_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("data"))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import in_small_batches, materialize, slices
 
 #: A tag up to the end of its name; tag_end finds the rest.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)|([^<]+|<)", re.S)
@@ -311,6 +311,7 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     Broken, unclosed or truncated markup is read as far as it goes.  Other columns are ignored.  The winning paths are
     written first, so that Spark knows their size when it chooses between a broadcast and a shuffled join.
     """
+    in_small_batches(df.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     pages = df.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), host.alias("host"))
     winners = materialize(host_paths(pages), "paths")

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 UNDETERMINED = "und"
 HAS_LETTER = r"\p{L}"
 
@@ -226,6 +228,7 @@ def sample_stretches(labelled: DataFrame, per_class: int, span: int, each: int =
 
 def train(labelled: DataFrame, per_class: int = 1200, hidden: int = 16, span: int = 96, steps: int = 500, **cols) -> ByteTagger | None:
     """A tagger fitted to a bounded sample of labelled rows; None if no row has a label."""
+    in_small_batches(labelled.sparkSession)
     samples = sample_stretches(labelled, per_class, span, **cols)
     if not samples:
         return None

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_A_TASK, components, discard, doc_texts, hold, holding, materialize, slices
+from .common import ROWS_A_TASK, components, discard, doc_texts, hold, holding, in_small_batches, materialize, slices
 
 SEED = 42
 #: Parts of a document's shingles, shingles in each, and 64-bit words of the wide fingerprint.
@@ -449,6 +449,7 @@ def distinct_documents(df: DataFrame, similarity: float = 0.8, words: int = 5, d
     """
     text = df[f"`{text_col}`"].cast("string")
     ids, t = df[f"`{id_col}`"].cast("long"), F.xxhash64(F.coalesce(text, F.lit("")))
+    in_small_batches(df.sparkSession)
     verdicts = _verdicts(df.select(ids.alias("doc_id"), t.alias("t"), text.cast("binary").alias("data")), similarity, words, distance)
     same = lambda v: ids.eqNullSafe(v["__id"]) & (t == v["__t"])
     single = df.join(verdicts, same(verdicts), "left_anti")

@@ -29,7 +29,7 @@ MINIMIZER_WORDS = 5
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 _BYTE = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_STRETCH = 1 << 20
+_STRETCH = 1 << 19
 _POWERS: list[np.ndarray] = []
 
 
@@ -130,7 +130,7 @@ def _shared_minimizers(docs: DataFrame, window: int) -> DataFrame:
     minimizer; so one that very many documents share arrives once a slice.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 2 << 20):
+        for batch in slices(batches, 1, 1 << 20):
             rows = _Rows(batch.column(1).to_pylist(), window)
             start, _, mini = rows.runs(window)
             t = batch.column(0).to_numpy()[rows.row[start]]
@@ -165,7 +165,7 @@ def _edges(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 2 << 20):
+        for batch in slices(batches, 2, 1 << 20):
             rows = _Rows(batch.column(2).to_pylist(), window)
             start, length, mini = rows.runs(window)
             lists = batch.column(3)
