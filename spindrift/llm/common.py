@@ -66,6 +66,17 @@ def hold(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """A table of df in as few files as its rows need, though df is computed in all its tasks.
+
+    Plans of what reads it stay small, as they would not over a chain of held tables.
+    """
+    held = hold(df)
+    out = materialize(held.coalesce(1 + held.count() // ROWS_A_TASK), label)
+    held.unpersist()
+    return out
+
+
 @contextmanager
 def holding() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """``hold`` within a with statement, at whose end all is given up."""

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_A_TASK, components, discard, doc_texts, hold, holding, in_small_batches, materialize, slices
+from .common import ROWS_A_TASK, components, discard, doc_texts, hold, holding, in_small_batches, materialize, settle, slices
 
 SEED = 42
 #: Parts of a document's shingles, shingles in each, and 64-bit words of the wide fingerprint.
@@ -255,10 +255,10 @@ def _tasks(rows: int) -> int:
     return min(MOST_TASKS, 1 + rows // ROWS_A_TASK)
 
 
-def links(fps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT, n_fps: int | None = None, hold: Callable = hold) -> DataFrame:
+def links(fps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT, n_fps: int | None = None) -> DataFrame:
     """(a, b): links whose components are those of all pairs of distinct fps (column fp) within ``distance`` bits.
 
-    They are held, for the caller to give up.  n_fps, at most so many fingerprints, sets the number of tasks: each becomes 64 rows.
+    They are written.  n_fps, at most so many fingerprints, sets the number of tasks: each becomes 64 rows.
     """
     segments = distance // 2 + 1
     edges = [64 * i // segments for i in range(segments + 1)]
@@ -270,7 +270,7 @@ def links(fps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT, n_f
     single = fps.select("fp").distinct()  # before it is dealt: copies are one row a task
     keyed = (single.repartition(_tasks(64 * n_fps), "fp") if n_fps else single).select(signatures, "fp").select("s.bit", "s.sig", "fp")
     first = keyed.repartition("bit", "sig").sortWithinPartitions("bit", "sig").mapInArrow(_signature_links(2, distance, group_limit), LINKS)
-    first = hold(first)
+    first = settle(first, "near")
     over = first.where("b is null")
     if over.isEmpty():
         return first.drop("bit")
@@ -288,7 +288,9 @@ def links(fps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT, n_f
     again = again.select("bit", "sig", F.col("p.k").alias("k"), F.col("p.val").alias("val"), "fp")
     # Such a group agrees on 39 bits or more, so it has at most 2 ** 25 members of eight bytes.
     second = again.repartition("bit", "sig", "k", "val").sortWithinPartitions("bit", "sig", "k", "val").mapInArrow(_signature_links(4, distance, None), LINKS)
-    return hold(first.where("b is not null").select("a", "b").unionByName(second.select("a", "b")))
+    out = settle(first.where("b is not null").select("a", "b").unionByName(second.select("a", "b")), "near")
+    discard(first)
+    return out
 
 
 # -- similarity of whole documents ----------------------------------------------------------------------------------------
@@ -356,7 +358,7 @@ def part_links(docs: DataFrame, similarity: float, chunk: int = CHUNK, hold: Cal
     shared = counts.where("n > 1").select("part", "key", F.ceil(F.col("n") / chunk).cast("long").alias("salts"))
     met = keyed.join(shared, ["part", "key"]).withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")))
     first = met.select(*names, "fp", "wide").repartition(*names).sortWithinPartitions(*names).mapInArrow(_wide_links(4, similarity, chunk), WIDE_LINKS)
-    first = hold(first)
+    first = settle(first, "near")
     over, found = first.where("b is null"), first.where("b is not null").select("a", "b", "sure")
     if over.isEmpty():
         return found
@@ -364,7 +366,9 @@ def part_links(docs: DataFrame, similarity: float, chunk: int = CHUNK, hold: Cal
     names = ["part", "key", "other"]
     packed = pairs.where("part2 <> part").select("part", "key", F.xxhash64("part2", "key2").alias("other"), "fp", "wide")
     second = packed.repartition(*names).sortWithinPartitions(*names).mapInArrow(_wide_links(3, similarity, chunk), WIDE_LINKS)
-    return found.unionByName(second.select("a", "b", "sure"))
+    out = settle(found.unionByName(second.select("a", "b", "sure")), "near")
+    discard(first)
+    return out
 
 
 def _similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -373,13 +377,12 @@ def _similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def verified(links: DataFrame, sketched: DataFrame, texts: DataFrame, similarity: float, words: int, hold: Callable = hold) -> DataFrame:
+def verified(links: DataFrame, sketched: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
     """(a, b): the links (a, b, sure) that are sure, or whose texts have this similarity.
 
     sketched has (doc_id, t, fp), texts (doc_id, t, data).  A fingerprint's text is that of its smallest document.
     """
-    links = hold(links)
-    doubtful = links.where("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    doubtful = settle(links.where("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "doubtful")
     wanted = doubtful.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
     holders = sketched.join(wanted, "fp").groupBy("fp").agg(F.min(place).alias("p")).select("fp", F.col("p.id").alias("id"), F.col("p.t").alias("pt"))
@@ -392,9 +395,11 @@ def verified(links: DataFrame, sketched: DataFrame, texts: DataFrame, similarity
             near = np.array([_similarity(shingles(x), shingles(y)) >= similarity for x, y in rows], bool)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], ["a", "b"])
 
-    left = doubtful.join(held.select(F.col("fp").alias("b"), F.col("data").alias("data_b")), "b")
-    both = left.join(held.select(F.col("fp").alias("a"), F.col("data").alias("data_a")), "a").select("a", "b", "data_a", "data_b")
-    return hold(links.where("sure").select("a", "b").unionByName(both.mapInArrow(run, "a long, b long")))
+    sides = doubtful.select("a", "b", F.explode(F.array("a", "b")).alias("fp")).join(held, "fp")
+    both = sides.groupBy("a", "b").agg(F.max(F.when(F.col("fp") == F.col("a"), F.col("data"))).alias("data_a"), F.max(F.when(F.col("fp") == F.col("b"), F.col("data"))).alias("data_b"))
+    out = settle(links.where("sure").select("a", "b").unionByName(both.mapInArrow(run, "a long, b long")), "near")
+    discard(doubtful)
+    return out
 
 
 # -- documents --------------------------------------------------------------------------------------------------------------
@@ -408,8 +413,9 @@ def near_duplicates(df: DataFrame, distance: int = 3, words: int = 3, id_col: st
     it has none).  Other columns of df are ignored; an empty df gives no rows.
     """
     docs = materialize(fingerprints(df, words, id_col, text_col), "fingerprints")
-    with holding() as hold:
-        roots = components(links(docs.select("fp"), distance, group_limit, docs.count(), hold))
+    near = links(docs.select("fp"), distance, group_limit, docs.count())
+    roots = components(near)
+    discard(near)
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("low"))
     owned = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -422,8 +428,9 @@ def _verdicts(docs: DataFrame, similarity: float, words: int, distance: int) ->
     with holding() as hold:
         texts, docs = docs, hold(sketches(docs, words))
         n = docs.count()
-        met = links(docs.select("fp"), distance, n_fps=n, hold=hold).withColumn("sure", F.lit(False)).unionByName(part_links(docs, similarity, CHUNK, hold))
-        roots = components(verified(met, docs, texts, similarity, words, hold))
+        near = [links(docs.select("fp"), distance, n_fps=n), part_links(docs, similarity, CHUNK, hold)]
+        near.append(verified(near[0].withColumn("sure", F.lit(False)).unionByName(near[1]), docs, texts, similarity, words))
+        roots = components(near[2])
         place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
         nodes = docs.groupBy("fp").agg(F.min(place).alias("low"))
         owned = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
@@ -432,7 +439,8 @@ def _verdicts(docs: DataFrame, similarity: float, words: int, distance: int) ->
         rows = docs.groupBy("doc_id", "t", "fp").agg(F.count("*").alias("n")).join(named, "fp")
         found = rows.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), (place == F.col("low")).alias("first"), "n").where("n > 1 or not first")
         found = materialize(found.coalesce(_tasks(n)), "verdicts")
-    discard(roots)
+    for table in (roots, *near):
+        discard(table)
     return found
 
 
