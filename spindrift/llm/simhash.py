@@ -30,7 +30,7 @@ SEED = 42
 #: Parts of a document's shingles, shingles in each, and 64-bit words of the wide fingerprint.
 PARTS, PART_SIZE, WIDE = 8, 4, 16
 #: Fingerprints that one group of a signature, or one chunk of the wide ones, may hold before it is dealt out again.
-GROUP_LIMIT, CHUNK = 8192, 2048
+GROUP_LIMIT, CHUNK = 8192, 512
 MOST_TASKS = 100_000
 
 

@@ -255,7 +255,7 @@ def check_distinct(before, after, least=0.8, missed=0.0):
     assert sum(len(stay & c) - 1 for c in classes) <= missed * len(sets)
 
 
-@pytest.mark.parametrize("chunk", [2048, 3])
+@pytest.mark.parametrize("chunk", [512, 3])
 def test_similar_documents(spark, docs_of, monkeypatch, chunk):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
     rng = np.random.default_rng(8)
