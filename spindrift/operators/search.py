@@ -76,7 +76,7 @@ def bm25(docs: DataFrame, key: str, columns: list[str], query: str, limit: int |
     idf = idf.select("term", F.when(F.col("x") > 0, F.col("x")).otherwise(F.lit(LEAST_IDF)).alias("idf"))  # one row per query term
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean))))
     scored = hits.join(F.broadcast(idf), "term").groupBy("key").agg(F.sum(part).alias("score"))
-    ranked = scored.orderBy(F.desc("score"), "key")
+    ranked = scored.orderBy(F.desc(F.round("score", 9)), "key")  # equal terms score equally, whatever the order of a sum
     return ranked.limit(limit) if limit else ranked
 
 

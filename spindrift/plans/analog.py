@@ -16,6 +16,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+PLAIN_NAME = "concat(CASE WHEN p_partkey % 11 = 0 THEN '_' ELSE '' END, replace(p_name, ' ', '_'), '_', p_partkey % 97)"
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey AS file_id",
@@ -39,7 +42,7 @@ def symbols(spark: SparkSession, sf_dir: str, n_files: int) -> DataFrame:
         f"p_partkey % {n_files} AS file_id",
         f"CASE WHEN p_partkey >= {n_files} AND p_partkey % 3 <> 0 THEN p_partkey % {n_files} END AS parent_id",
         f"CASE WHEN p_partkey < {n_files} THEN 'class' WHEN p_partkey % 3 = 0 THEN 'function' ELSE 'method' END AS kind",
-        "concat(CASE WHEN p_partkey % 11 = 0 THEN '_' ELSE '' END, replace(p_name, ' ', '_'), '_', p_partkey % 97) AS name",
+        f"{PLAIN_NAME} || CASE WHEN p_partkey % 9 = 4 THEN '_idle' ELSE '' END AS name",
         """concat('[{"name":"', p_brand, '","type":"', p_type, '"},{"name":"n","default":"', p_size, '"}]') AS params_json""",
         "p_type AS return_type",
         """CASE WHEN p_partkey % 13 = 0 THEN '["property"]' ELSE '[]' END AS decorators_json""",
@@ -54,18 +57,17 @@ def symbols(spark: SparkSession, sf_dir: str, n_files: int) -> DataFrame:
 
 SYMBOLS = """symbols AS (SELECT p_partkey AS symbol_id, p_partkey % nf AS file_id, CASE WHEN p_partkey >= nf AND p_partkey % 3 <> 0 THEN p_partkey % nf END AS parent_id,
   CASE WHEN p_partkey < nf THEN 'class' WHEN p_partkey % 3 = 0 THEN 'function' ELSE 'method' END AS kind,
-  concat(CASE WHEN p_partkey % 11 = 0 THEN '_' ELSE '' END, replace(p_name, ' ', '_'), '_', p_partkey % 97) AS name,
+  concat(CASE WHEN p_partkey % 11 = 0 THEN '_' ELSE '' END, replace(p_name, ' ', '_'), '_', p_partkey % 97, CASE WHEN p_partkey % 9 = 4 THEN '_idle' ELSE '' END) AS name,
   concat('[{"name":"', p_brand, '","type":"', p_type, '"},{"name":"n","default":"', p_size, '"}]') AS params_json, p_type AS return_type,
   CASE WHEN p_partkey % 13 = 0 THEN '["property"]' ELSE '[]' END AS decorators_json, CASE WHEN p_partkey % 4 <> 0 THEN concat(p_type, ' ', p_brand) END AS docstring,
   CAST(p_size * 10 AS int) AS line_start, CAST(p_size * 10 + p_partkey % 70 AS int) AS line_end, CAST(p_partkey % 23 AS int) AS complexity, CAST(p_partkey % 2 AS int) AS is_async
   FROM part, (SELECT count(*) AS nf FROM supplier))"""
 
 
-def calls(spark: SparkSession, sf_dir: str, n_parts: int, thin: int = 1) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem")
-    lines = lines.where(F.col("l_orderkey") % thin == 0) if thin > 1 else lines
-    names = read(spark, sf_dir, "part").selectExpr("p_partkey AS target", "concat(CASE WHEN p_partkey % 11 = 0 THEN '_' ELSE '' END, replace(p_name, ' ', '_'), '_', p_partkey % 97) AS target_name")
-    return lines.withColumn("target", F.col("l_orderkey") % n_parts).join(names, "target").selectExpr(
+def calls(spark: SparkSession, sf_dir: str, n_parts: int) -> DataFrame:
+    """Every line item is a call.  No call names an idle symbol, so some symbols are dead at any density."""
+    names = read(spark, sf_dir, "part").selectExpr("p_partkey AS target", f"{PLAIN_NAME} AS target_name")
+    return read(spark, sf_dir, "lineitem").withColumn("target", F.col("l_orderkey") % n_parts).join(names, "target").selectExpr(
         "l_orderkey * 10 + l_linenumber AS call_id",
         "l_suppkey AS file_id",
         "CASE WHEN l_partkey % 3 = 0 THEN l_partkey END AS caller_id",
@@ -75,31 +77,35 @@ def calls(spark: SparkSession, sf_dir: str, n_parts: int, thin: int = 1) -> Data
 
 
 CALLS = """calls AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey AS file_id, CASE WHEN l_partkey % 3 = 0 THEN l_partkey END AS caller_id,
-  concat(CASE l_returnflag WHEN 'A' THEN 'self.' WHEN 'N' THEN 'obj.attr.' ELSE '' END, s.name) AS callee_expr, CAST(l_linenumber AS int) AS line_no
-  FROM lineitem JOIN (SELECT count(*) AS np FROM part) ON true JOIN symbols s ON s.symbol_id = l_orderkey % np WHERE l_orderkey % {thin} = 0)"""
+  concat(CASE l_returnflag WHEN 'A' THEN 'self.' WHEN 'N' THEN 'obj.attr.' ELSE '' END, CASE WHEN p.p_partkey % 11 = 0 THEN '_' ELSE '' END, replace(p.p_name, ' ', '_'), '_', p.p_partkey % 97) AS callee_expr, CAST(l_linenumber AS int) AS line_no
+  FROM lineitem JOIN (SELECT count(*) AS np FROM part) ON true JOIN part p ON p.p_partkey = l_orderkey % np)"""
 
 
 def imports(spark: SparkSession, sf_dir: str, n_files: int) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").where("l_linenumber <= 2 AND l_orderkey % 50 = 0")
-    lines = lines.selectExpr("l_suppkey AS file_id", f"l_orderkey % {n_files} AS target", "l_linenumber % 2 AS is_from", "l_linenumber AS line_no").distinct()
+    """Every customer is an import: mostly of a file some places on, one in 311 of a file some places back."""
+    src, step = f"(1 + c_custkey % {n_files})", "(1 + (c_nationkey * 7 + c_custkey) % 23)"
+    made = read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS import_id", f"{src} AS file_id", f"CASE WHEN c_custkey % 311 = 0 THEN greatest(1, {src} - {step}) ELSE least({n_files}, {src} + {step}) END AS target",
+        "CAST(c_custkey % 2 AS int) AS is_from", "CAST(1 + c_custkey % 7 AS int) AS line_no",
+    )
     named = files(spark, sf_dir).selectExpr("file_id AS target", "replace(replace(rel_path, '/', '.'), '.py', '') AS module")
-    return lines.join(named, "target").selectExpr("file_id * 1000000 + target * 10 + line_no AS import_id", "file_id", "module", "CAST(NULL AS string) AS name", "CAST(NULL AS string) AS alias", "CAST(is_from AS int) AS is_from", "CAST(line_no AS int) AS line_no")
+    return made.join(named, "target").selectExpr("import_id", "file_id", "module", "CAST(NULL AS string) AS name", "CAST(NULL AS string) AS alias", "is_from", "line_no")
 
 
-IMPORTS = """imports AS (SELECT DISTINCT l_suppkey * 1000000 + f.file_id * 10 + l_linenumber AS import_id, l_suppkey AS file_id, replace(replace(f.rel_path, '/', '.'), '.py', '') AS module,
-  CAST(NULL AS varchar) AS name, CAST(l_linenumber % 2 AS int) AS is_from, CAST(l_linenumber AS int) AS line_no
-  FROM lineitem JOIN (SELECT count(*) AS nf FROM supplier) ON true JOIN files f ON f.file_id = l_orderkey % nf WHERE l_linenumber <= 2 AND l_orderkey % 50 = 0)"""
+IMPORTS = """imports AS (SELECT c_custkey AS import_id, c.file_id, replace(replace(f.rel_path, '/', '.'), '.py', '') AS module, CAST(NULL AS varchar) AS name, CAST(c_custkey % 2 AS int) AS is_from, CAST(1 + c_custkey % 7 AS int) AS line_no
+  FROM (SELECT c_custkey, src AS file_id, CASE WHEN c_custkey % 311 = 0 THEN greatest(1, src - step) ELSE least(nf, src + step) END AS target
+    FROM (SELECT c_custkey, nf, 1 + c_custkey % nf AS src, 1 + (c_nationkey * 7 + c_custkey) % 23 AS step FROM customer, (SELECT count(*) AS nf FROM supplier))) c JOIN files f ON f.file_id = c.target)"""
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").selectExpr(
+    return read(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey * 10 + l_linenumber AS ref_id", "l_suppkey AS file_id", "l_partkey AS symbol_id", "'read' AS ref_kind",
         "concat('self.', l_returnflag, '_', l_linestatus) AS target", "concat(l_returnflag, '_', l_linestatus) AS name", "CAST(l_linenumber AS int) AS line_no",
     )
 
 
 REFS = """refs AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, l_suppkey AS file_id, l_partkey AS symbol_id, 'read' AS ref_kind, concat('self.', l_returnflag, '_', l_linestatus) AS target,
-  concat(l_returnflag, '_', l_linestatus) AS name, CAST(l_linenumber AS int) AS line_no FROM lineitem WHERE l_orderkey % 20 = 0)"""
+  concat(l_returnflag, '_', l_linestatus) AS name, CAST(l_linenumber AS int) AS line_no FROM lineitem)"""
 
 
 def diagnostics(spark: SparkSession, sf_dir: str, n_files: int) -> DataFrame:
@@ -136,10 +142,10 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHANGES = """changes AS (SELECT event_id AS change_id, user_id AS session_id, CAST(event_id % 100 AS varchar) AS rel_path,
   CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS change_type, ts AS changed_at, props FROM events)"""
 
-_VIEWS = {"files": ((), FILES), "symbols": ((), SYMBOLS), "calls": (("symbols",), CALLS), "imports": (("files",), IMPORTS), "refs": ((), REFS), "diagnostics": ((), DIAGNOSTICS), "commits": (("files",), COMMITS), "changes": ((), CHANGES)}
+_VIEWS = {"files": ((), FILES), "symbols": ((), SYMBOLS), "calls": ((), CALLS), "imports": (("files",), IMPORTS), "refs": ((), REFS), "diagnostics": ((), DIAGNOSTICS), "commits": (("files",), COMMITS), "changes": ((), CHANGES)}
 
 
-def oracle(body: str, *views: str, thin: int = 1) -> str:
+def oracle(body: str, *views: str) -> str:
     """SQL of a query over the named relations, for the driver's tables."""
     needed: list[str] = []
 
@@ -151,8 +157,10 @@ def oracle(body: str, *views: str, thin: int = 1) -> str:
 
     for view in views:
         add(view)
-    ctes = ",\n".join(_VIEWS[v][1].replace("{thin}", str(thin)) for v in needed)
+    ctes = ",\n".join(_VIEWS[v][1] for v in needed)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     return f"WITH {ctes},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes}\n{body}"
 
 
@@ -167,6 +175,6 @@ def rows_of(spark: SparkSession, sf_dir: str, name: str) -> int:
     return _SIZES[key]
 
 
-def index(spark: SparkSession, sf_dir: str, thin: int = 1) -> Index:
+def index(spark: SparkSession, sf_dir: str) -> Index:
     n_files, n_parts = rows_of(spark, sf_dir, "supplier"), rows_of(spark, sf_dir, "part")
-    return Index(files(spark, sf_dir), symbols(spark, sf_dir, n_files), calls(spark, sf_dir, n_parts, thin), refs(spark, sf_dir), imports(spark, sf_dir, n_files), diagnostics(spark, sf_dir, n_files))
+    return Index(files(spark, sf_dir), symbols(spark, sf_dir, n_files), calls(spark, sf_dir, n_parts), refs(spark, sf_dir), imports(spark, sf_dir, n_files), diagnostics(spark, sf_dir, n_files))

@@ -17,11 +17,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, *views: str, thin: int = 1) -> Callable[[Query], Query]:
+def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = oracle(sql, *views, thin=thin) if views else sql.strip()
+            ORACLE_SQL[f.__name__] = oracle(sql, *views) if views else sql.strip()
         return f
 
     return add
@@ -32,7 +32,7 @@ SITES = """sites AS (SELECT c.*, f.rel_path, s.name AS caller_name, s.kind AS ca
   FROM calls c JOIN files f USING (file_id) LEFT JOIN symbols s ON s.symbol_id = c.caller_id LEFT JOIN symbols p ON p.symbol_id = s.parent_id)"""
 SITE_COLUMNS = "rel_path, line_no, callee_expr, caller_name, caller_kind, caller_class"
 SITE_SORT = "rel_path, line_no, callee_expr, caller_name NULLS FIRST, call_id"
-WIDGET, GEAR, KLASS = "red_widget_5", "hot_gear_3", 7
+KLASS = 7
 
 # -- symbols and call sites -----------------------------------------------------------------------------------------------
 
@@ -48,9 +48,10 @@ def callers(spark, sf_dir):
     return lookup.callers(ix, _name_of(ix, KLASS))
 
 
-@query(f"WITH {SITES} SELECT {SITE_COLUMNS} FROM sites WHERE callee_expr ILIKE '%.{WIDGET}' OR callee_last = '{WIDGET}'", "files", "symbols", "calls")
+@query(f"WITH {SITES} SELECT {SITE_COLUMNS} FROM sites WHERE callee_expr ILIKE concat('%.', (SELECT name FROM symbols WHERE symbol_id = {KLASS})) OR callee_last = (SELECT name FROM symbols WHERE symbol_id = {KLASS})", "files", "symbols", "calls")
 def callers_compat(spark, sf_dir):
-    return lookup.callers(index(spark, sf_dir), WIDGET, None, compat=True)
+    ix = index(spark, sf_dir)
+    return lookup.callers(ix, _name_of(ix, KLASS), None, compat=True)
 
 
 @query(f"""WITH {SITES}, seeds AS (SELECT name AS seed FROM symbols WHERE parent_id = {KLASS} GROUP BY name),
@@ -173,9 +174,9 @@ def class_impact_transitive(spark, sf_dir):
 @query(f"""WITH {SITES}, e AS (SELECT DISTINCT callee_last AS name, caller_name FROM sites WHERE caller_name IS NOT NULL), h0 AS (SELECT name FROM symbols WHERE symbol_id = {KLASS}),
 h1 AS (SELECT DISTINCT caller_name AS name FROM e JOIN h0 USING (name) WHERE caller_name NOT IN (SELECT name FROM h0)),
 h2 AS (SELECT DISTINCT caller_name AS name FROM e JOIN h1 USING (name) WHERE caller_name NOT IN (SELECT name FROM h0 UNION SELECT name FROM h1))
-SELECT name, 0 AS hop FROM h0 UNION ALL SELECT name, 1 FROM h1 UNION ALL SELECT name, 2 FROM h2""", "files", "symbols", "calls", thin=5)
+SELECT name, 0 AS hop FROM h0 UNION ALL SELECT name, 1 FROM h1 UNION ALL SELECT name, 2 FROM h2""", "files", "symbols", "calls")
 def impact_reach(spark, sf_dir):
-    ix = index(spark, sf_dir, thin=5)
+    ix = index(spark, sf_dir)
     return impact.reach(ix, _name_of(ix, KLASS), 2)
 
 
@@ -214,16 +215,37 @@ def bm25_fields(spark, sf_dir):
     return found.select("key", F.round("score", 6).alias("score"))
 
 
-@query()
+# Words of the tables that stem to the query's terms: SQL has no stemmer.
+STEMS = "(VALUES ('gear', ['gear', 'gears']), ('economi', ['economy', 'economies'])) AS q(term, words)"
+PORTER = r"""{located}, tok AS (SELECT symbol_id AS key, regexp_extract_all(translate(lower(concat_ws(' ', name, qualified_name, coalesce(docstring, ''))), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{{L}}\p{{N}}]+') AS t FROM located),
+facts AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tok),
+hits AS (SELECT key, len(t) AS length, term, len(list_filter(t, lambda x: list_contains(words, x))) AS tf FROM tok, {stems} WHERE list_has_any(t, words)),
+idf AS (SELECT term, CASE WHEN ln((n - c + 0.5) / (c + 0.5)) > 0 THEN ln((n - c + 0.5) / (c + 0.5)) ELSE 1e-6 END AS idf FROM (SELECT term, count(*) AS c FROM hits GROUP BY term), facts),
+scored AS (SELECT key AS symbol_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM hits JOIN idf USING (term), facts GROUP BY key)""".format(located=LOCATED, stems=STEMS)
+
+
+@query(f"WITH {PORTER} SELECT symbol_id, name, round(score, 6) AS score FROM scored JOIN located USING (symbol_id) ORDER BY scored.score DESC, symbol_id LIMIT 30", "files", "symbols")
 def bm25_porter(spark, sf_dir):
     return search.search_symbols(index(spark, sf_dir), "gears economies", 30).select("symbol_id", "name", F.round("score", 6).alias("score"))
 
 
-@query()
+FOUND = "'symbol' AS type, symbol_id, kind, name, parent_name, rel_path, line_start"
+
+
+@query(f"""WITH {LOCATED}, t AS (SELECT unnest(['gear', 'hot']) AS token), h AS (SELECT symbol_id, row_number() OVER (PARTITION BY token ORDER BY rel_path, line_start, symbol_id) AS k FROM located JOIN t ON name ILIKE concat('%', token, '%')),
+s AS (SELECT {FOUND}, c.score FROM located JOIN (SELECT symbol_id, count(*) * CAST(20 AS double) AS score FROM h WHERE k <= 60 GROUP BY symbol_id) c USING (symbol_id))
+SELECT * FROM s WHERE (SELECT count(*) FROM s) >= 20 ORDER BY score DESC, rel_path, line_start, symbol_id LIMIT 20""", "files", "symbols")
 def search_all(spark, sf_dir):
+    """No name holds the whole query and enough hold its words, so texts are not asked."""
     return search.search(index(spark, sf_dir), "hot gear")
 
 
+@query(f"WITH {PORTER}, best AS (SELECT symbol_id, score * 0.8 AS score FROM scored ORDER BY scored.score DESC, symbol_id LIMIT 20) SELECT {FOUND}, round(best.score, 6) AS score FROM best JOIN located USING (symbol_id)", "files", "symbols")
+def search_stemmed(spark, sf_dir):
+    """No name holds a word of the query, so the stemmed texts of symbols answer."""
+    return search.search(index(spark, sf_dir), "gears economies").withColumn("score", F.round("score", 6))
+
+
 @query("SELECT file_id, rel_path, string_agg(name, ' ' ORDER BY symbol_id) AS symbol_names FROM files JOIN symbols USING (file_id) GROUP BY file_id, rel_path", "files", "symbols")
 def file_documents(spark, sf_dir):
     return search.file_documents(index(spark, sf_dir)).where("symbol_names is not null").select("file_id", "rel_path", "symbol_names")
@@ -289,15 +311,15 @@ def imports_graph(spark, sf_dir):
 
 
 @query("""SELECT s.symbol_id, s.name, s.kind, s.line_start, f.rel_path, f.file_id FROM symbols s JOIN files f USING (file_id) WHERE s.kind IN ('function', 'method') AND NOT starts_with(s.name, '_') AND s.decorators_json NOT LIKE '%property%'
-AND s.symbol_id NOT IN (SELECT caller_id FROM calls WHERE caller_id IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM calls c WHERE regexp_extract(c.callee_expr, '([^.]*)$', 1) = s.name)""", "files", "symbols", "calls", thin=7)
+AND s.symbol_id NOT IN (SELECT caller_id FROM calls WHERE caller_id IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM calls c WHERE regexp_extract(c.callee_expr, '([^.]*)$', 1) = s.name)""", "files", "symbols", "calls")
 def rule_dead(spark, sf_dir):
-    return rules.dead_symbols(index(spark, sf_dir, thin=7))
+    return rules.dead_symbols(index(spark, sf_dir))
 
 
 @query("""SELECT s.symbol_id, s.name, s.kind, s.line_start, f.rel_path, f.file_id FROM symbols s JOIN files f USING (file_id) WHERE s.kind IN ('function', 'method') AND NOT starts_with(s.name, '_') AND s.decorators_json NOT LIKE '%property%'
-AND s.symbol_id NOT IN (SELECT caller_id FROM calls WHERE caller_id IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.callee_expr = s.name OR lower(c.callee_expr) LIKE concat('%.', lower(replace(s.name, '_', '\\_'))) ESCAPE '\\')""", "files", "symbols", "calls", thin=7)
+AND s.symbol_id NOT IN (SELECT caller_id FROM calls WHERE caller_id IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.callee_expr = s.name OR lower(c.callee_expr) LIKE concat('%.', lower(replace(s.name, '_', '\\_'))) ESCAPE '\\')""", "files", "symbols", "calls")
 def rule_dead_compat(spark, sf_dir):
-    return rules.dead_symbols(index(spark, sf_dir, thin=7), compat=True)
+    return rules.dead_symbols(index(spark, sf_dir), compat=True)
 
 
 @query(f"WITH {LOCATED} SELECT symbol_id, name, kind, line_start, line_end, complexity, rel_path, file_id, parent_name FROM located WHERE kind IN ('function', 'method') AND (line_end - line_start > 50 OR complexity > 15)", "files", "symbols")
@@ -318,9 +340,8 @@ def rule_circular_compat(spark, sf_dir):
     return rules.circular_imports(index(spark, sf_dir), compat=True)
 
 
-@query("""WITH k AS (SELECT file_id, rel_path, replace(replace(rel_path, '/', '.'), '.py', '') AS module FROM files), e AS (SELECT DISTINCT i.file_id AS src, k.file_id AS dst FROM imports i JOIN k USING (module) WHERE i.file_id <> k.file_id),
-p2 AS (SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src), p3 AS (SELECT DISTINCT a.src, b.dst FROM p2 a JOIN e b ON a.dst = b.src)
-SELECT rel_path FROM files WHERE file_id IN (SELECT src FROM p2 WHERE src = dst UNION SELECT src FROM p3 WHERE src = dst)""", "files", "imports")
+@query("""WITH RECURSIVE k AS (SELECT file_id, rel_path, replace(replace(rel_path, '/', '.'), '.py', '') AS module FROM files), e AS (SELECT DISTINCT i.file_id AS src, k.file_id AS dst FROM imports i JOIN k USING (module) WHERE i.file_id <> k.file_id),
+r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT rel_path FROM files WHERE file_id IN (SELECT src FROM r WHERE src = dst)""", "files", "imports")
 def import_cycles(spark, sf_dir):
     return rules.import_cycles(index(spark, sf_dir))
 
@@ -342,9 +363,9 @@ def rule_messages(spark, sf_dir):
 @query("""SELECT 'DEAD_SYMBOL' AS rule_id, CAST(count(*) AS int) AS findings_count FROM symbols s WHERE s.kind IN ('function', 'method') AND NOT starts_with(s.name, '_') AND s.decorators_json NOT LIKE '%property%'
 AND s.symbol_id NOT IN (SELECT caller_id FROM calls WHERE caller_id IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM calls c WHERE regexp_extract(c.callee_expr, '([^.]*)$', 1) = s.name)
 UNION ALL SELECT 'LARGE_SYMBOL', CAST(count(*) AS int) FROM symbols WHERE kind IN ('function', 'method') AND (line_end - line_start > 50 OR complexity > 15)
-UNION ALL SELECT 'CIRCULAR_IMPORT', CAST(count(*) AS int) FROM (""" + CIRCULAR + ")", "files", "symbols", "calls", "imports", thin=7)
+UNION ALL SELECT 'CIRCULAR_IMPORT', CAST(count(*) AS int) FROM (""" + CIRCULAR + ")", "files", "symbols", "calls", "imports")
 def rule_runs(spark, sf_dir):
-    return rules.run_rules(index(spark, sf_dir, thin=7), [*rules.BUILTIN, rules.Rule("BROKEN", "Broken", "SELECT nothing FROM nowhere")])[1]
+    return rules.run_rules(index(spark, sf_dir), [*rules.BUILTIN, rules.Rule("BROKEN", "Broken", "SELECT nothing FROM nowhere")])[1]
 
 
 @query("""SELECT rel_path, rule_id, severity, message, line_no FROM diagnostics JOIN files USING (file_id) WHERE is_resolved = 0 AND rel_path ILIKE '%pkg%' AND NOT rel_path ILIKE '%pkg2%'
@@ -356,21 +377,21 @@ def diagnostics_sorted(spark, sf_dir):
 
 def _rule_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     listed = read(spark, sf_dir, "part").selectExpr("p_brand AS rule_id", "concat('rule ', p_brand) AS name").distinct()
-    runs = read(spark, sf_dir, "part").where("p_partkey % 3 = 0").selectExpr("CAST(p_partkey AS long) AS run_id", "p_brand AS rule_id", "CAST(p_size AS int) AS findings_count", "CAST(p_partkey % 4 AS int) AS useful_count")
+    runs = read(spark, sf_dir, "part").selectExpr("CAST(p_partkey AS long) AS run_id", "p_brand AS rule_id", "CAST(p_size AS int) AS findings_count", "CAST(p_partkey % 4 AS int) AS useful_count")
     return listed, runs
 
 
 @query("""SELECT r.rule_id, r.name, count(run_id) AS runs, CAST(coalesce(sum(f), 0) AS bigint) AS total_findings, CAST(coalesce(sum(u), 0) AS bigint) AS total_useful FROM (SELECT DISTINCT p_brand AS rule_id, concat('rule ', p_brand) AS name FROM part) r
-LEFT JOIN (SELECT p_partkey AS run_id, p_brand AS rule_id, p_size AS f, p_partkey % 4 AS u FROM part WHERE p_partkey % 3 = 0) x USING (rule_id) GROUP BY 1, 2""")
+LEFT JOIN (SELECT p_partkey AS run_id, p_brand AS rule_id, p_size AS f, p_partkey % 4 AS u FROM part) x USING (rule_id) GROUP BY 1, 2""")
 def effectiveness(spark, sf_dir):
     return rules.effectiveness(*_rule_tables(spark, sf_dir))
 
 
-@query("""WITH runs AS (SELECT CAST(p_partkey AS bigint) AS run_id, p_brand AS rule_id, CAST(p_size AS int) AS findings_count, p_partkey % 4 AS useful FROM part WHERE p_partkey % 3 = 0),
-last AS (SELECT rule_id, max(run_id) AS run_id FROM runs GROUP BY rule_id), c AS (SELECT p_brand AS rule_id, sum(CASE WHEN p_partkey % 2 = 1 THEN 1 ELSE -1 END) AS change FROM part WHERE p_partkey % 7 = 0 GROUP BY 1)
+@query("""WITH runs AS (SELECT CAST(p_partkey AS bigint) AS run_id, p_brand AS rule_id, CAST(p_size AS int) AS findings_count, p_partkey % 4 AS useful FROM part),
+last AS (SELECT rule_id, max(run_id) AS run_id FROM runs GROUP BY rule_id), c AS (SELECT p_brand AS rule_id, sum(CASE WHEN p_partkey % 2 = 1 THEN 1 ELSE -1 END) AS change FROM part GROUP BY 1)
 SELECT runs.run_id, runs.rule_id, findings_count, CAST(useful + CASE WHEN last.run_id IS NULL THEN 0 ELSE coalesce(change, 0) END AS bigint) AS useful_count FROM runs LEFT JOIN last ON runs.run_id = last.run_id LEFT JOIN c ON c.rule_id = runs.rule_id""")
 def rate_latest(spark, sf_dir):
-    ratings = read(spark, sf_dir, "part").where("p_partkey % 7 = 0").selectExpr("p_brand AS rule_id", "CAST(p_partkey % 2 AS int) AS useful")
+    ratings = read(spark, sf_dir, "part").selectExpr("p_brand AS rule_id", "CAST(p_partkey % 2 AS int) AS useful")
     return rules.rate(_rule_tables(spark, sf_dir)[1], ratings).withColumn("useful_count", F.col("useful_count").cast("long"))
 
 
@@ -408,7 +429,7 @@ def incremental_counts(spark, sf_dir):
 
 
 def _states(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    ix = index(spark, sf_dir, thin=5)
+    ix = index(spark, sf_dir)
     old = ix.with_tables(symbols=ix.symbols.where("symbol_id % 10 <> 0"), calls=ix.calls.where("call_id % 10 <> 1"))
     new = ix.with_tables(symbols=ix.symbols.where("symbol_id % 13 <> 0").withColumn("file_id", F.when(F.col("symbol_id") % 17 == 0, F.lit(0)).otherwise(F.col("file_id"))), calls=ix.calls.where("call_id % 10 <> 2"))
     return history.symbol_state(old), history.call_state(old), history.symbol_state(new), history.call_state(new)
@@ -443,14 +464,14 @@ FROM calls c JOIN files f USING (file_id) JOIN {side}s s ON s.symbol_id = c.call
 ALL_EDGES = BOTH + ",\n" + EDGES.format(side="old", cut=1) + ",\n" + EDGES.format(side="new", cut=2)
 
 
-@query(f"WITH {ALL_EDGES} SELECT cr AS caller, ce AS callee, f AS rel_path, l AS line_no FROM newe n WHERE NOT EXISTS (SELECT 1 FROM olde o WHERE o.cr = n.cr AND o.ce = n.ce)", "files", "symbols", "calls", thin=5)
+@query(f"WITH {ALL_EDGES} SELECT cr AS caller, ce AS callee, f AS rel_path, l AS line_no FROM newe n WHERE NOT EXISTS (SELECT 1 FROM olde o WHERE o.cr = n.cr AND o.ce = n.ce)", "files", "symbols", "calls")
 def calls_added(spark, sf_dir):
     _, old, _, new = _states(spark, sf_dir)
     return history.calls_added(old, new)
 
 
 @query(f"""WITH {ALL_EDGES} SELECT cr AS caller, ce AS callee, f AS rel_path, l AS line_no, CAST(regexp_extract(ce, '([^.]*)$', 1) IN (SELECT name FROM news) AS int) AS callee_still_exists
-FROM olde o WHERE NOT EXISTS (SELECT 1 FROM newe n WHERE o.cr = n.cr AND o.ce = n.ce) AND cr IN (SELECT name FROM news)""", "files", "symbols", "calls", thin=5)
+FROM olde o WHERE NOT EXISTS (SELECT 1 FROM newe n WHERE o.cr = n.cr AND o.ce = n.ce) AND cr IN (SELECT name FROM news)""", "files", "symbols", "calls")
 def calls_broken(spark, sf_dir):
     _, old, symbols, new = _states(spark, sf_dir)
     return history.calls_broken(old, new, symbols)
@@ -463,13 +484,13 @@ def retention(spark, sf_dir):
 
 
 def _session_events(spark, sf_dir) -> DataFrame:
-    events = read(spark, sf_dir, "events").where("user_id % 3 = 0")
+    events = read(spark, sf_dir, "events")
     starts = events.groupBy(F.col("user_id").alias("session_id")).agg(F.min("ts").alias("at")).select("session_id", F.lit("start").alias("event"), "at", F.lit(None).cast("string").alias("transcript_path"), F.lit(None).cast("string").alias("summary"))
-    ends = events.where("event_type = 'purchase' and user_id % 2 = 0").groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("at")).select("session_id", F.lit("end").alias("event"), "at", F.lit(None).cast("string").alias("transcript_path"), F.lit("done").alias("summary"))
+    ends = events.where("event_type = 'purchase' and user_id % 2 = 1").groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("at")).select("session_id", F.lit("end").alias("event"), "at", F.lit(None).cast("string").alias("transcript_path"), F.lit("done").alias("summary"))
     return starts.unionByName(ends)
 
 
-SESSIONS = """st AS (SELECT user_id AS session_id, min(ts) AS started FROM events WHERE user_id % 3 = 0 GROUP BY user_id), en AS (SELECT user_id AS session_id, max(ts) AS own_end FROM events WHERE user_id % 3 = 0 AND event_type = 'purchase' AND user_id % 2 = 0 GROUP BY user_id),
+SESSIONS = """st AS (SELECT user_id AS session_id, min(ts) AS started FROM events GROUP BY user_id), en AS (SELECT user_id AS session_id, max(ts) AS own_end FROM events WHERE event_type = 'purchase' AND user_id % 2 = 1 GROUP BY user_id),
 sess AS (SELECT session_id, started, own_end, lead(started) OVER (ORDER BY started, session_id) AS nxt FROM st LEFT JOIN en USING (session_id))"""
 
 
