@@ -1,7 +1,7 @@
 """The store: each relation a Parquet table, all of them swapped at once by a version pointer.
 
-A transaction writes the relations it changes under a new version and then replaces one small pointer file, which names
-the folder of every relation.  Readers see the old pointer or the new one.  There is one writer at a time.
+A transaction writes what it changes or adds under a new version and then replaces one small pointer file, which names
+the folders of every relation.  Readers see the old pointer or the new one.  There is one writer at a time.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,18 +32,25 @@ class Store:
 
     def read(self, name: str) -> DataFrame:
         """A relation as of now; empty if it was never written.  Columns that an older version lacks are null."""
-        folder = self._pointer()["tables"].get(name)
-        if folder is None:
+        folders = _listed(self._pointer()["tables"].get(name))
+        if not folders:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{folder}")
-
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Replace these relations together.  If any write fails, nothing changes."""
-        pointer, version = self._pointer(), uuid.uuid4().hex
-        for name, df in tables.items():
-            typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
-            typed.write.parquet(f"{self.root}/{name}/{version}")
-        pointer["tables"] |= {name: f"{name}/{version}" for name in tables}
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{folder}" for folder in folders])
+
+    def commit(self, tables: dict[str, DataFrame], added: dict[str, DataFrame] | None = None, label: str = "", dropped: tuple[str, ...] = ()) -> None:
+        """Replace relations and add rows to others, together.  If any write fails, nothing changes.
+
+        Rows added under a label are a folder of their own, which a later commit may drop by that label.
+        """
+        pointer, version, added = self._pointer(), uuid.uuid4().hex, added or {}
+        for name, df in [*tables.items(), *added.items()]:
+            typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
+            typed.write.parquet(f"{self.root}/{name}/{label}-{version}")
+        stays = lambda folder: folder.rsplit("/", 1)[1].split("-")[0] not in dropped
+        for name in tables:
+            pointer["tables"][name] = [f"{name}/{label}-{version}"]
+        for name in added:
+            pointer["tables"][name] = [*filter(stays, _listed(pointer["tables"].get(name))), f"{name}/{label}-{version}"]
         temp = self._path(f".CURRENT-{version}.json")
         out = self._fs.create(temp)
         out.write(bytearray(json.dumps(pointer).encode()))
@@ -56,7 +64,7 @@ class Store:
 
     def vacuum(self) -> int:
         """Delete the folders that the pointer does not name; how many."""
-        live, gone = set(self._pointer()["tables"].values()), 0
+        live, gone = {folder for folders in self._pointer()["tables"].values() for folder in _listed(folders)}, 0
         for name in SCHEMAS:
             if self._fs.exists(self._path(name)):
                 for status in self._fs.listStatus(self._path(name)):
@@ -69,14 +77,41 @@ class Store:
         return Index.of({name: self.read(name) for name in ("files", "symbols", "calls", "refs", "imports", "diagnostics", "annotations")})
 
     def append(self, name: str, rows: DataFrame, key: str | None = None) -> None:
-        """Add rows; a key column that they lack counts on from the largest there is."""
+        """Add rows in a folder of their own; a key column that they lack counts on from the largest there is.
+
+        After MOST_FOLDERS of them the relation is written anew as one.
+        """
         old = self.read(name)
         if key and key not in rows.columns:
-            from pyspark.sql import Window
-
             last = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("m")).first()["m"]
-            rows = rows.withColumn(key, F.row_number().over(Window.orderBy(*rows.columns[:2])).cast("long") + last)
-        self.commit({name: old.unionByName(rows, allowMissingColumns=True)})
+            rows = numbered(rows, key, *rows.columns[:2], start=last)
+        if len(_listed(self._pointer()["tables"].get(name))) >= MOST_FOLDERS:
+            self.commit({name: old.unionByName(rows, allowMissingColumns=True)})
+        else:
+            self.commit({}, {name: rows})
+
+
+MOST_FOLDERS = 50
+
+
+def _listed(folders: str | list[str] | None) -> list[str]:
+    return [folders] if isinstance(folders, str) else folders or []
+
+
+def numbered(df: DataFrame, name: str, *order: str, start: int = 0) -> DataFrame:
+    """df with ids start + 1, start + 2, ... in the given order, by sorted ranges: no task sees more than its range.
+
+    The driver receives the size of each range.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    part = F.shiftright("__at", 33)
+    sizes = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    bases, total = [], start
+    for p in sorted(sizes):
+        bases += [F.lit(p), F.lit(total + 1)]
+        total += sizes[p]
+    base = F.create_map(*bases)[part] if bases else F.lit(0)
+    return ranged.withColumn(name, (base + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__at")
 
 
 def without_files(ix: Index, paths: DataFrame) -> Index:

@@ -14,7 +14,7 @@ from ..sources import config as project_config
 from ..sources import files as source_files
 from ..sources import git
 from . import history, impact, layers, lookup, rules, search, summary
-from .catalog import Store, merged, without_files
+from .catalog import Store, merged, numbered, without_files
 from .index import Index
 
 TABLES = ("files", "symbols", "calls", "refs", "imports")
@@ -108,8 +108,7 @@ class Project:
         counted = {r["rule_id"]: r["findings_count"] for r in runs.collect()}
         old = self.store.read("diagnostics")
         kept = rules.replace_findings(old, found, [r.rule_id for r in chosen]) if rule_id else found
-        ids = F.row_number().over(_order("rule_id", "context", "line_no", "message")).cast("long")
-        self.store.commit({"diagnostics": kept.withColumn("diag_id", ids)})
+        self.store.commit({"diagnostics": numbered(kept.drop("diag_id"), "diag_id", "rule_id", "context", "line_no", "message")})
         rows = self.spark.createDataFrame([(k, n, 0, now) for k, n in sorted(counted.items())], "rule_id string, findings_count int, useful_count int, ran_at timestamp_ntz")
         self.store.append("rule_runs", rows, "run_id")
         return counted
@@ -169,17 +168,19 @@ class Project:
     def snapshot(self, name: str | None = None, git_commit: str | None = None, now: datetime | None = None, keep: int = 20) -> str:
         now, ix = now or datetime.now(), self.index
         name = name or history.snapshot_name(now)
-        packed = lambda df: df.agg(F.coalesce(F.collect_list(F.struct("*")), F.array()).alias("x"))
-        row = packed(history.symbol_state(ix)).select(F.col("x").alias("symbols")).crossJoin(packed(history.call_state(ix)).select(F.col("x").alias("calls")))
+        states = {"snapshot_symbols": history.symbol_state(ix), "snapshot_calls": history.call_state(ix)}
+        size = sum(df.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct("*"))) + 1), F.lit(1)) + 1).first()[0] for df in states.values()) / 1024  # as JSON
         old = self.store.read("snapshots")
         sid = (old.agg(F.max("snapshot_id").alias("m")).first()["m"] or 0) + 1
-        row = row.select(F.lit(sid).cast("long").alias("snapshot_id"), F.lit(name).alias("name"), F.lit(git_commit).cast("string").alias("git_commit"), F.lit(now).cast("timestamp_ntz").alias("created_at"), "symbols", "calls")
-        self.store.commit({"snapshots": history.keep_newest(old.unionByName(row), keep)})
+        row = self.spark.createDataFrame([(sid, name, git_commit, now, round(size, 1))], SCHEMAS["snapshots"])
+        kept = history.keep_newest(old.unionByName(row), keep)
+        stay = {r["snapshot_id"] for r in kept.select("snapshot_id").collect()}  # at most ``keep``
+        gone = tuple(str(r["snapshot_id"]) for r in old.select("snapshot_id").collect() if r["snapshot_id"] not in stay)
+        self.store.commit({"snapshots": kept}, {k: df.withColumn("snapshot_id", F.lit(sid)) for k, df in states.items()}, label=str(sid), dropped=gone)
         return name
 
     def snapshots(self, limit: int = 20) -> DataFrame:
-        size = F.round((F.length(F.to_json("symbols")) + F.length(F.to_json("calls"))) / 1024, 1)
-        return self.store.read("snapshots").orderBy(F.desc("created_at")).limit(limit).select("snapshot_id", "name", "git_commit", "created_at", size.alias("size_kb"))
+        return self.store.read("snapshots").orderBy(F.desc("created_at")).limit(limit).select("snapshot_id", "name", "git_commit", "created_at", "size_kb")
 
     def diff(self, snapshot: str | int | None = None, commit: str | None = None) -> dict[str, DataFrame]:
         """Structural changes since a snapshot (by name or id), or since a commit: by its snapshot, or else by parsing
@@ -191,9 +192,9 @@ class Project:
         else:
             chosen = taken.where((F.col("name") == str(snapshot)) | (F.col("snapshot_id").cast("string") == str(snapshot)))
         # Of several snapshots of a commit the first is nearest to it: later ones hold edits on top.
-        chosen = chosen.orderBy("created_at" if commit else F.desc("created_at")).limit(1)
-        if not chosen.isEmpty():
-            old = chosen.select(F.explode("symbols").alias("x")).select("x.*"), chosen.select(F.explode("calls").alias("x")).select("x.*")
+        if found := chosen.orderBy("created_at" if commit else F.desc("created_at")).first():
+            own = F.col("snapshot_id") == found["snapshot_id"]
+            old = tuple(self.store.read(k).where(own).drop("snapshot_id") for k in ("snapshot_symbols", "snapshot_calls"))
         elif commit:
             paths = git.changed_files(self.root, commit)
             texts = [(p, t, "") for p in paths if "." in p and "." + p.rsplit(".", 1)[1].lower() in source_files.PARSERS and (t := git.file_at(self.root, commit, p)) is not None]
@@ -251,9 +252,3 @@ class Project:
             "recent_changes": lambda limit=20: self.commits(limit=limit), "snapshots": lambda **a: self.snapshots(**a),
         }
         return actions[action](**args)
-
-
-def _order(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*columns)

@@ -23,12 +23,13 @@ DDL = {
     "change_log": "change_id long, session_id long, rel_path string, change_type string, old_hash string, new_hash string, changed_at timestamp_ntz",
     "annotations": "annotation_id long, rel_path string, qualified_name string, text string, author string, created_at timestamp_ntz",
     "knowledge": "key string, value_json string, updated_at timestamp_ntz",
-    "snapshots": "snapshot_id long, name string, git_commit string, created_at timestamp_ntz, "
-    "symbols array<struct<n:string,k:string,f:string,ls:int,le:int,p:string>>, calls array<struct<cr:string,ce:string,f:string,l:int>>",
+    "snapshots": "snapshot_id long, name string, git_commit string, created_at timestamp_ntz, size_kb double",
+    "snapshot_symbols": "snapshot_id long, n string, k string, f string, ls int, le int, p string",
+    "snapshot_calls": "snapshot_id long, cr string, ce string, f string, l int",
     "meta": "key string, value string",
 }
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 _PLAIN = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "timestamp_ntz": T.TimestampNTZType()}
 
 

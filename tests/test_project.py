@@ -271,3 +271,45 @@ def test_server_and_command_line(project, spark, capsys):
     assert len(replies[1]["result"]["tools"]) == 12
     main(["--root", project.root, "--store", project.store.root, "search", "main"], spark)
     assert json.loads(capsys.readouterr().out)[0]["name"] == "main"
+
+
+def test_appends_are_folders_and_ids_count_on(spark, tmp_path, monkeypatch):
+    from spindrift.operators import catalog
+
+    store = catalog.Store(spark, f"file://{tmp_path}/store")
+    rows = lambda *paths: spark.createDataFrame([(1, p, "added") for p in paths], "session_id long, rel_path string, change_type string")
+    store.append("change_log", rows("b", "a"), "change_id")
+    first = store._pointer()["tables"]["change_log"]
+    store.append("change_log", rows("d", "c"), "change_id")
+    assert store._pointer()["tables"]["change_log"][0] == first[0] and len(first) == 1
+    listed = lambda: sorted((r["change_id"], r["rel_path"]) for r in store.read("change_log").collect())
+    assert listed() == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    monkeypatch.setattr(catalog, "MOST_FOLDERS", 2)
+    store.append("change_log", rows("e"), "change_id")
+    assert len(store._pointer()["tables"]["change_log"]) == 1 and listed()[-1] == (5, "e")
+    assert store.vacuum() == 2 and len(listed()) == 5
+    many = spark.range(1000).selectExpr("cast(id * 7 % 1000 as string) as k")
+    ids = {r["k"]: r["i"] for r in catalog.numbered(many, "i", "k", start=10).collect()}
+    assert [ids[k] for k in sorted(ids)] == list(range(11, 1011))
+
+
+def test_snapshots_are_rows_and_old_ones_go(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from spindrift.operators.project import Project
+
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "a.py").write_text("def f():\n    g()\n")
+    project = Project(spark, str(tmp_path / "tree"), f"file://{tmp_path}/store")
+    project.rebuild()
+    began = datetime(2024, 1, 1)
+    for k in range(4):
+        project.snapshot(f"s{k}", now=began + timedelta(days=10_000 + k), keep=2)
+    assert [r["name"] for r in project.snapshots().collect()] == ["s3", "s2"]
+    kept = {r["snapshot_id"] for r in project.store.read("snapshots").collect()}
+    for name, n in (("snapshot_symbols", 1), ("snapshot_calls", 1)):
+        assert {r["snapshot_id"]: r["count"] for r in project.store.read(name).groupBy("snapshot_id").count().collect()} == dict.fromkeys(kept, n)
+    assert all(r["size_kb"] > 0 for r in project.snapshots().collect())
+    (tmp_path / "tree" / "a.py").write_text("def f():\n    pass\n\n\ndef new():\n    pass\n")
+    project.update()
+    assert [r["name"] for r in project.diff("s3")["symbols_added"].collect()] == ["new"]
