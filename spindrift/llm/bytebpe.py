@@ -72,6 +72,10 @@ class PerfectHash:
         return np.where(d < 0, -1 - d, self._slot(h, np.maximum(d, 0)))
 
 
+#: Longer pre-tokens are not remembered, so that the memo's limit also bounds its bytes.
+MEMO_CHARS = 64
+
+
 class ByteBpe:
     """Ranks of byte strings as ids; encode gives what greedy lowest-rank merging of each pre-token gives."""
 
@@ -159,7 +163,11 @@ class ByteBpe:
                 memo.clear()
                 missing = list(distinct)
             self._learn(missing)
-        return list(chain.from_iterable(map(self.memo.__getitem__, words)))
+        ids = list(chain.from_iterable(map(memo.__getitem__, words)))
+        for w in missing:
+            if len(w) > MEMO_CHARS:
+                del memo[w]
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

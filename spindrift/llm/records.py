@@ -1,6 +1,6 @@
 """Token sequences as length-delimited binary records, with an offset index for shuffled reads.
 
-A shard (``shard-00007.rec``) is a run of records, each
+A shard (``shard-00007-31.rec``, by partition and attempt) is a run of records, each
     uint64 length of the payload | uint32 masked crc of those 8 bytes | payload | uint32 masked crc of the payload
 with payload = uint8 flags (1: no id, 2: 4-byte ids) | int64 id | the sequence's ids as uint16 or uint32.
 Its index (``shard-00007.idx``) is a run of (uint64 offset, uint64 ids) per record and a uint32 masked crc of them.
@@ -60,11 +60,15 @@ def deserialize(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 class ShardWriter:
-    """Writes one shard and its index under temporary names; both appear at once when it is closed."""
+    """Writes one shard and its index under temporary names; both appear at once when it is closed.
 
-    def __init__(self, folder: str, part: int, attempt: str):
+    An attempt has names of its own, so no file is ever replaced; the manifest names the attempt that counts.
+    """
+
+    def __init__(self, folder: str, part: int, attempt: int):
         self.fs, root = pafs.FileSystem.from_uri(folder)
-        self.final, self.temp = f"{root}/shard-{part:05d}", f"{root}/.shard-{part:05d}-{attempt}"
+        self.name = f"shard-{part:05d}-{attempt}"
+        self.final, self.temp = f"{root}/{self.name}", f"{root}/.{self.name}"
         self.out = self.fs.open_output_stream(f"{self.temp}.rec")
         self.index, self.at, self.ids = [], 0, 0
 
@@ -123,7 +127,8 @@ def write_records(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
     """Encode every text, append end_id, write all sequences in ascending id order; the manifest, a row per shard.
 
     Ids that are null come first; rows of one id are ordered by a hash of their texts.  Null and empty texts are the
-    end id alone.  A task that runs again replaces its shard by equal bytes.  The manifest has one row per partition.
+    end id alone.  A task that runs again writes another shard of equal
+    bytes, and the manifest, a row per partition, names one of them.  An empty df has no shards; other columns are ignored.
     """
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
@@ -133,12 +138,12 @@ def write_records(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
         bpe, task, writer = WordBpe.load(tokenizer), TaskContext.get(), None
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in slices(batches, 1):
-            writer = writer or ShardWriter(folder, task.partitionId(), str(task.taskAttemptId()))
+            writer = writer or ShardWriter(folder, task.partitionId(), task.taskAttemptId())
             for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.encode_many(batch.column(1).to_pylist()), strict=True):
                 writer.write(doc_id, np.frombuffer(ids + end, "<u4"))
         if writer:
             writer.close()
-            rows = [[f"shard-{task.partitionId():05d}"], [len(writer.index)], [writer.ids], [task.partitionId()]]
+            rows = [[writer.name], [len(writer.index)], [writer.ids], [task.partitionId()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names)
 
     docs = doc_texts(df, id_col, text_col)

@@ -32,8 +32,11 @@ def _byte_alphabet() -> dict[int, str]:
     return table
 
 
+MEMO_CHARS = 64
+
+
 class _Memo(dict):
-    """Pre-token to its ids as bytes, learned when first asked for."""
+    """Pre-token to its ids as bytes, learned when first asked for; long ones are not kept, so that entries bound bytes."""
 
     def __init__(self, model):
         super().__init__()
@@ -41,7 +44,9 @@ class _Memo(dict):
 
     def __missing__(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
-        ids = self[piece] = np.array([t.id for t in self.tokenize(spelled)], "<u4").tobytes()
+        ids = np.array([t.id for t in self.tokenize(spelled)], "<u4").tobytes()
+        if len(piece) <= MEMO_CHARS:
+            self[piece] = ids
         return ids
 
 

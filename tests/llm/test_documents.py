@@ -369,12 +369,37 @@ def test_word_hashes():
 
 def test_queries_have_the_contract_columns(spark):
     want = {
-        "op2_quality_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
-        "op6_substring_dedup": {"doc_id", "n_words", "n_removed", "kept_sha256"},
-        "op8_simhash": {"doc_id", "fingerprint", "component_id"},
+        "op1_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+        "op2_quality_rules": dict.fromkeys(["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], "bigint") | {"base_failed": "boolean", "kept": "boolean"},
+        "op3_byte_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+        "op5_best_fit_packing": {"piece": "int"} | dict.fromkeys(["doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"], "bigint"),
+        "op6_substring_dedup": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+        "op7_token_records": dict.fromkeys(["doc_id", "start", "n_tokens", "ids_crc32"], "bigint"),
+        "op8_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+        "op9_main_text": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+        "op10_nearest": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
     }
     for name, columns in want.items():
-        assert columns <= set(queries.QUERIES[name](spark, DATA).columns)
+        assert columns.items() <= dict(queries.QUERIES[name](spark, DATA).dtypes).items(), name
+
+
+def test_language_query(spark, documents):
+    found = queries.op1_language_id(spark, DATA).collect()
+    truth = {r["doc_id"]: (r["lang"], r["fold"] == 2) for r in documents.selectExpr("doc_id", "lang", "crc32(cast(doc_id as string)) % 4 as fold").collect()}
+    assert len(found) == len(truth) and all(r["held_out"] == truth[r["doc_id"]][1] and 0 <= r["score"] <= 1 for r in found)
+    judged = [r["lang_pred"] == truth[r["doc_id"]][0] for r in found if r["held_out"] and truth[r["doc_id"]][0]]
+    assert np.mean(judged) >= 0.95
+
+
+def test_clashing_and_repeated_rows(spark, docs_of):
+    text = "the thing and the whole of that with words in it " * 4
+    df = docs_of([(1, text), (1, text), (2, text), (3, None)]).withColumn("lang", F.lit("en"))
+    for name in ("score", "held_out", "p", "lang_pred", "fp", "root", "node", "fingerprint", "component_id", "data"):
+        df = df.withColumn(name, F.lit(name))
+    found = rows_of(langid.identify(df).select("doc_id", "lang_pred"))
+    assert found == sorted([(1, "en"), (1, "en"), (2, "en"), (3, "und")], key=repr)
+    near = rows_of(simhash.near_duplicates(df).select("doc_id", "component_id"))
+    assert near == [(1, 1), (1, 1), (2, 1), (3, 3)]
 
 
 def test_pipeline(spark, documents, docs_of):

@@ -186,3 +186,12 @@ def test_clashing_columns(spark, byte_model, library):
     df = spark.createDataFrame([(1, "a b", 5, "x", 7)], "doc_id long, text string, length long, data string, part int")
     assert packing.pack(df, WORDS).first()["length"] == len(library("a b")) + 1
     assert bytebpe.round_trip(df, byte_model).count() == 1
+
+
+def test_records_and_long_pre_tokens_with_clashing_columns(spark, byte_model, tmp_path):
+    df = spark.createDataFrame([(2, "a b"), (1, "x" * 5000)], "doc_id long, text string").selectExpr("*", "'s' AS shard", "1 AS start", "2 AS ids", "3 AS data")
+    found = records.encode_to_records(df, WORDS, folder=f"file://{tmp_path}/r").orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [1, 2] and found[1]["start"] == found[0]["n_tokens"]
+    before = len(byte_model.memo)
+    assert byte_model.decode(byte_model.encode("y" * 5000)) == b"y" * 5000
+    assert all(len(w) <= bytebpe.MEMO_CHARS for w in byte_model.memo) and len(byte_model.memo) >= before
