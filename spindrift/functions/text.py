@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -84,23 +85,38 @@ def query_tokens(query: str) -> list[str]:
     return [t.lower() for t in query.replace("_", " ").split()]
 
 
+def _accented() -> dict[str, str]:
+    """Letters up to U+1EFF that Unicode decomposes into one ASCII letter and one mark, with that letter, and the long s."""
+    split = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x1F00)}
+    return {c: d[0] for c, d in split.items() if len(d) == 2 and d[0].isascii() and d[0].isalpha()} | {"\u017f": "s", "\u1e9b": "s"}
+
+
+ACCENTED = _accented()
+MARKS = "".join(sorted({d[1] for d in (unicodedata.normalize("NFD", c) for c in ACCENTED) if len(d) == 2 and d[0].isascii()}))
+
+
 def word_tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits, without the accents of Latin letters."""
+    """Lower-case runs of letters and digits, without the accents of Latin letters, whether composed or combining."""
     return F.regexp_extract_all(F.lower(fold_accents(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def token_count(text: Column) -> Column:
-    """How many tokens word_tokens finds; neither case nor folded accents move their bounds."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))
+    """How many tokens word_tokens finds; neither case nor folded accents move their bounds, and marks stay inside."""
+    return F.regexp_count(text, F.lit(rf"[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}{MARKS}]*"))
 
 
 def fold_accents(text: Column) -> Column:
     """Latin letters without accents; texts that have none are not walked through."""
-    return F.when(text.rlike("[À-ÿ]"), _folded(text)).otherwise(text)
+    return F.when(text.rlike(f"[À-ɏḀ-ỿ{MARKS}]"), _folded(text)).otherwise(text)
 
 
 def _folded(text: Column) -> Column:
-    return F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
+    return F.translate(text, "".join(ACCENTED) + MARKS, "".join(ACCENTED.values()))  # a mark has no letter: it goes
+
+
+def fold_word(word: str) -> str:
+    """What fold_accents makes of a word of a query."""
+    return word.translate(str.maketrans(ACCENTED) | dict.fromkeys(map(ord, MARKS)))
 
 
 def preview(text: Column, n: int) -> Column:

@@ -85,7 +85,7 @@ def _tokens_of(query: str) -> list[str]:
     tokens = text.query_tokens(query)
     if any(re.search(r"[^A-Za-z0-9_\x80-\U0010ffff]", t) for t in tokens):
         return []
-    return [t for t in tokens if t not in ("or", "and", "not")]
+    return [text.fold_word(t) for t in tokens if t not in ("or", "and", "not")]
 
 
 def search_symbols(ix: Index, query: str, limit: int = 30, stemmed: bool = True) -> DataFrame:

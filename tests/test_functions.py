@@ -1,4 +1,5 @@
 import re
+import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,18 @@ def test_module_keys_q5(spark):
     assert one(spark, text.module_key_compat(F.col("p")), p="pkg/pyutils.py") == "pkgutils"
 
 
+@pytest.mark.parametrize("word", ["Café", "cafe\u0301s", "Łódź", "Ångström", "ệ", "ạb", "Ǽon", "ſo", "Žižek", "naïve"])
+def test_folding_is_that_of_sqlite(spark, word):
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(x, tokenize='unicode61')")
+    db.execute("create virtual table v using fts5vocab(t, 'instance')")
+    db.execute("insert into t values (?)", (word,))
+    expected = [r[0] for r in db.execute("select term from v order by offset")]
+    assert one(spark, text.word_tokens(F.col("t")), t=word) == expected
+    assert one(spark, text.token_count(F.col("t")), t=word) == len(expected)
+    assert [text.fold_word(word.lower())] == expected
+
+
 def test_source_slice(spark):
     assert one(spark, text.source_slice(F.col("t"), F.lit(2), F.lit(3)), t="a\nb\nc\nd") == "b\nc"
 
