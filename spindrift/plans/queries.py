@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import patterns, text
 from ..operators import history, impact, layers, lookup, rules, search, summary
 from . import analog
 from .analog import index, oracle, read
@@ -586,3 +586,16 @@ def parse_python(spark, sf_dir):
     )
     parsed = source_files.parse(made)
     return parsed["symbols"].where("kind <> 'class'").select("rel_path", "name", "kind", "line_start", "complexity", "is_async")
+
+
+IGNORED = ["# made by hand", "", "gen/", "*.tmp", "/economy/cold", "economy/**/f?.py", "!keep_*.tmp"]
+PART_PATH = """concat(CASE p_size % 5 WHEN 0 THEN 'dist/' WHEN 1 THEN 'src/gen/' WHEN 2 THEN 'x.egg-info/' ELSE '' END, lower(p_type), '/', replace(p_name, ' ', '/'), '/',
+CASE WHEN p_size % 4 = 0 THEN 'keep_' ELSE 'f' END, p_partkey, CASE WHEN p_size % 3 = 0 THEN '.tmp' ELSE '.py' END)"""
+
+
+@query(f"""SELECT p_partkey, path, CASE WHEN regexp_matches(path, '(^|/)keep_[^/]*[.]tmp$') THEN false
+WHEN regexp_matches(path, '^economy/(.*/)?f[^/][.]py$') OR starts_with(path, 'economy/cold/') OR ends_with(path, '.tmp') OR concat('/', path) LIKE '%/gen/%' THEN true ELSE false END AS ignored,
+starts_with(path, 'dist/') OR starts_with(path, 'x.egg-info/') AS skipped FROM (SELECT p_partkey, {PART_PATH} AS path FROM part)""")
+def ignored_paths(spark, sf_dir):
+    paths = read(spark, sf_dir, "part").select("p_partkey", F.expr(PART_PATH).alias("path"))
+    return paths.select("p_partkey", "path", patterns.is_ignored(F.col("path"), IGNORED).alias("ignored"), patterns.in_skipped_folder(F.col("path")).alias("skipped"))

@@ -235,6 +235,19 @@ def test_config():
     assert config.load("/nonexistent") == config.ProjectConfig()
 
 
+def test_instruction_files_become_knowledge(spark, tmp_path):
+    tree = tmp_path / "tree"
+    (tree / ".claude").mkdir(parents=True)
+    (tree / "CONTRIBUTING.md").write_text("Write tests.\n")
+    (tree / ".claude" / "CLAUDE.md").write_text("é")
+    facts = config.instruction_facts(tree)
+    assert facts == {"instructions_file:.claude/CLAUDE.md": {"path": ".claude/CLAUDE.md", "size": 2}, "instructions_file:CONTRIBUTING.md": {"path": "CONTRIBUTING.md", "size": 13}}
+    (tree / "a.py").write_text("x = 1\n")
+    p = Project(spark, str(tree), f"file://{tmp_path}/store")
+    p.rebuild()
+    assert set(facts) <= {r["key"] for r in p.store.read("knowledge").collect()}
+
+
 def test_unknown_tool_and_empty_index(spark, tmp_path):
     empty = Project(spark, str(tmp_path), f"file://{tmp_path}/store")
     assert "warning" in empty.call("overview")
