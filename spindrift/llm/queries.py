@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, forest, html, langid, packing, quality, records, simhash, substrings
+from . import alignment, bytebpe, chat, forest, html, langid, merkle, packing, quality, records, simhash, substrings
 from .common import table
 
 
@@ -54,6 +54,14 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_text(F.col("doc_id"), F.col("text")))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_quality_rules, op3_byte_bpe, op4_chat_format, op5_best_fit_packing, op6_substring_dedup,
-        op7_token_records, op8_simhash, op9_main_text, op10_nearest, pipeline,
+        op7_token_records, op8_simhash, op9_main_text, op10_nearest, op12_merkle_manifest, op13_alignment, pipeline,
     )
 }
 
@@ -79,4 +87,4 @@ kept AS (SELECT w.doc_id, len(words) AS n, coalesce(len(ks), 0) AS r,
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept
 """
 
-ORACLE_SQL = {"op2_quality_rules": quality.ORACLE, "op6_substring_dedup": OP6_SQL}
+ORACLE_SQL = {"op2_quality_rules": quality.ORACLE, "op6_substring_dedup": OP6_SQL, "op12_merkle_manifest": merkle.ORACLE}

@@ -22,7 +22,7 @@ _PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_²³¹¼½¾]+|[\\d²
 _SPACE = re.compile("[\t-\r ]+")
 
 
-def _byte_alphabet() -> dict[int, str]:
+def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte: itself, or the next from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     table, spare = {b: chr(b) for b in own}, 0x100
@@ -40,7 +40,7 @@ class _Memo(dict):
 
     def __init__(self, model):
         super().__init__()
-        self.tokenize, self.alphabet = model.tokenize, _byte_alphabet()
+        self.tokenize, self.alphabet = model.tokenize, byte_alphabet()
 
     def __missing__(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
