@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bytebpe, chat, forest, html, langid, merkle, packing, quality, records, simhash, substrings
+from . import alignment, bytebpe, chat, forest, html, langid, merkle, packing, pathjoin, quality, records, simhash, substrings
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pathjoin.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_text(F.col("doc_id"), F.col("text")))
 
@@ -72,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_quality_rules, op3_byte_bpe, op4_chat_format, op5_best_fit_packing, op6_substring_dedup,
-        op7_token_records, op8_simhash, op9_main_text, op10_nearest, op12_merkle_manifest, op13_alignment, pipeline,
+        op7_token_records, op8_simhash, op9_main_text, op10_nearest, op11_similar_documents, op12_merkle_manifest, op13_alignment, pipeline,
     )
 }
 
