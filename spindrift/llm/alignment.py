@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_texts, in_fewer_files, materialize, slices
-from .wordbpe import byte_alphabet
+from .wordbpe import _byte_alphabet
 
 #: Bytes of texts, and rows, after which a task begins a new chunk.
 CHUNK_BYTES, CHUNK_ROWS = 16 << 20, 8000
@@ -49,7 +49,7 @@ class ByteTokens:
             declared = json.load(lines)["pre_tokenizer"]
         if declared["type"] != "ByteLevel" or declared.get("add_prefix_space") or library.normalizer is not None:
             raise ValueError("a byte-level vocabulary without normaliser and added space is needed")
-        self.alphabet, self.memo, self.tokenize = byte_alphabet(), {}, library.model.tokenize
+        self.alphabet, self.memo, self.tokenize = _byte_alphabet(), {}, library.model.tokenize
         from public_tokenizers import PATTERN
 
         self.find = regex.compile(PATTERN).findall

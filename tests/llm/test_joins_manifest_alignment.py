@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from spindrift.llm import alignment, merkle, pathjoin
-from spindrift.llm.wordbpe import byte_alphabet
+from spindrift.llm.wordbpe import _byte_alphabet
 from tokenizers import Tokenizer
 
 A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -230,7 +230,7 @@ def libraries():
 
 def expected_alignment(rows, libraries):
     one, two = libraries
-    byte_of = {c: b for b, c in byte_alphabet().items()}
+    byte_of = {c: b for b, c in _byte_alphabet().items()}
     found = []
     for doc_id, text in rows:
         a_ids = one.encode(" " + text, add_special_tokens=False).ids if text else []
