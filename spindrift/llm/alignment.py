@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +35,47 @@ FOUND = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links lon
 COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+#: Texts of other characters than these are cut by the pattern itself, all others by its equivalent in the re module.
+_OTHER = re.compile("[^\t-\r -~¡-įı-ɏ]")
+_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+class _Memo(dict):
+    """Pieces of text to their ids as int32 bytes.  ``learn`` encodes many at once: (ids of all, in order; pieces' ends).
+
+    Long pieces are not kept, so that entries bound bytes.
+    """
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def all(self, pieces: list[str]) -> np.ndarray:
+        if missing := [p for p in set(pieces) if p not in self]:
+            if len(self) + len(missing) > MEMO_LIMIT:
+                self.clear()
+                missing = list(set(pieces))
+            ids, ends = self.learn(missing)
+            raw, at = np.asarray(ids, np.int32).tobytes(), 0
+            for piece, end in zip(missing, ends, strict=True):
+                self[piece], at = raw[4 * at : 4 * end], end
+        found = np.frombuffer(b"".join(map(self.__getitem__, pieces)), np.int32)
+        for piece in missing:
+            if len(piece) > MEMO_CHARS:
+                del self[piece]
+        return found
+
+
 class ByteTokens:
     """A: byte-level BPE of a tokenizers file; special strings in a text are plain text.
 
-    The library merges each pre-token by itself, so one that was met before needs no merging.
+    The library merges each pre-token by itself, so one that was met before needs no merging.  Tokens spell the text, as
+    the vocabulary has every byte and nothing is normalised.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
@@ -49,9 +83,7 @@ class ByteTokens:
             declared = json.load(lines)["pre_tokenizer"]
         if declared["type"] != "ByteLevel" or declared.get("add_prefix_space") or library.normalizer is not None:
             raise ValueError("a byte-level vocabulary without normaliser and added space is needed")
-        self.alphabet, self.memo, self.tokenize = _byte_alphabet(), {}, library.model.tokenize
-        from public_tokenizers import PATTERN
-
+        self.alphabet, self.tokenize, self.memo = _byte_alphabet(), library.model.tokenize, _Memo(self._learn)
         self.find = regex.compile(PATTERN).findall
         of_char = {c: b for b, c in self.alphabet.items()}
         vocab = library.get_vocab(with_added_tokens=False)
@@ -60,33 +92,54 @@ class ByteTokens:
             self.bytes_of[i] = bytes(map(of_char.__getitem__, spelled))
         self.lengths = np.fromiter(map(len, self.bytes_of), np.int64)
 
-    def _ids(self, piece: str) -> bytes:
-        spelled = piece.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
-        ids = np.array([t.id for t in self.tokenize(spelled)], np.int32).tobytes()
-        if len(piece) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_LIMIT:
-                self.memo.clear()
-            self.memo[piece] = ids
-        return ids
+    def _learn(self, pieces: list[str]) -> tuple[list[int], list[int]]:
+        ids, ends = [], []
+        for piece in pieces:
+            ids += [t.id for t in self.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet))]
+            ends.append(len(ids))
+        return ids, ends
 
     def encode(self, text: str) -> np.ndarray:
-        memo = self.memo
-        return np.frombuffer(b"".join([memo.get(w) or self._ids(w) for w in self.find(text)]), np.int32)
+        return self.memo.all(self.find(text) if _OTHER.search(text) else _PLAIN.findall(text))
 
 
 class PieceTokens:
-    """B: a sentencepiece model, which adds the space itself."""
+    """B: a sentencepiece model, which adds the space itself.
+
+    If no piece holds a space after another character, and none a line feed, then nothing is merged across the beginning of
+    a run of spaces or a line feed, and what stands between is encoded by itself, once.  Other models, and texts in which
+    the space's own sign stands, are encoded whole.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        spelled = lambda i, p: bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode()
-        self.bytes_of = [spelled(i, self.library.id_to_piece(i)) for i in range(self.library.get_piece_size())]
+        self.library = library = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [library.id_to_piece(i) for i in range(library.get_piece_size())]
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.lengths = np.fromiter(map(len, self.bytes_of), np.int64)
+        plain = [p for i, p in enumerate(pieces) if not library.is_byte(i)]
+        alone, space = library.encode("\n"), library.piece_to_id("▁")
+        self.by_parts = not any(re.search("[^▁]▁|\n", p) for p in plain) and alone[:1] == [space] and library.encode("  a\n  b") == [*library.encode("  a"), *library.encode("\n")[1:], *library.encode(" b")]
+        self.memo = _Memo(self._learn)
+        self.find = re.compile(" +[^ \n]*|\n[^ \n]*").findall
+
+    def _learn(self, parts: list[str]) -> tuple[list[int], list[int]]:
+        """All in one text, after the part `` a`` (the library adds its space); mere spaces stand before a line feed, which goes."""
+        joined = [p + "\n" if p.isspace() and p[0] == " " else p for p in parts]
+        ids = self.library.encode("a" + "".join(joined))
+        ends = np.cumsum(self.lengths[ids]).tolist()
+        sizes = np.cumsum([2, *(len(p.encode("utf-8", "replace")) for p in joined)])
+        cuts, out, stops = (np.searchsorted(ends, sizes) + 1).tolist(), [], []
+        for part, spelled, lo, hi in zip(parts, joined, cuts, cuts[1:], strict=False):
+            out += ids[lo : hi - (part is not spelled)]
+            stops.append(len(out))
+        return out, stops
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text), np.int32)
+        if not self.by_parts or "▁" in text:
+            return np.array(self.library.encode(text), np.int32)
+        return self.memo.all(self.find(" " + text)) if text else np.zeros(0, np.int32)
 
 
 def overlaps(a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,15 +153,27 @@ def overlaps(a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[np.ndarray,
     return a[at], b[at], (new_a & new_b)[at]
 
 
-def groups_text(a_ids: list[int], b_ids: list[int], a: np.ndarray, b: np.ndarray, cut: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-    first = np.flatnonzero(cut)
-    a_from, b_from = [*a[first].tolist(), len(a_ids)], [*b[first].tolist(), len(b_ids)]
-    join = lambda ids, lo, hi: ",".join(map(str, ids[lo:hi]))
-    return ";".join([join(a_ids, i, j) + "|" + join(b_ids, k, m) for i, j, k, m in zip(a_from, a_from[1:], b_from, b_from[1:], strict=False)])
+class Speller:
+    """The text ``a1,a2|b1;a3|b2,b3`` of groups, by one table of ids with the sign that follows them."""
+
+    def __init__(self, n_a: int, n_b: int):
+        numbers = list(map(str, range(max(n_a, n_b))))
+        self.table = [numbers[i] + sign for n, sign in ((n_a, ","), (n_a, "|"), (n_b, ","), (n_b, ";")) for i in range(n)]
+        self.n_a, self.n_b = n_a, n_b
+
+    def spell(self, a_ids: np.ndarray, b_ids: np.ndarray, a: np.ndarray, b: np.ndarray, cut: np.ndarray) -> str:
+        first = np.flatnonzero(cut)
+        a_from, b_from = np.append(a[first], len(a_ids)), np.append(b[first], len(b_ids))
+        code = np.empty(len(a_ids) + len(b_ids), np.int64)
+        a_size, b_size = np.diff(a_from), np.diff(b_from)
+        last_a, last_b = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
+        last_a[a_from[1:] - 1] = last_b[b_from[1:] - 1] = 1
+        code[np.arange(len(a_ids)) + np.repeat(b_from[:-1], a_size)] = a_ids + last_a * self.n_a
+        code[np.arange(len(b_ids)) + np.repeat(a_from[1:], b_size)] = b_ids + last_b * self.n_b + 2 * self.n_a
+        return "".join(map(self.table.__getitem__, code.tolist()))[:-1]
 
 
-def align(text: str | None, one: ByteTokens, two: PieceTokens) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+def align(text: str | None, one: ByteTokens, two: PieceTokens, speller: Speller) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
     """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times): pairs are distinct a * |B| + b, ascending.
 
     All zero for a text that is null, empty, or not spelled byte for byte by both.
@@ -116,24 +181,24 @@ def align(text: str | None, one: ByteTokens, two: PieceTokens) -> tuple[int, int
     none = 0, 0, 0, 0, "", np.zeros(0, PAIR), np.zeros(0, np.uint32)
     if not text:
         return none
-    spaced = " " + text
-    a_ids, b_ids, want = one.encode(spaced), two.encode(text), spaced.encode("utf-8", "replace")
-    x, y = a_ids.tolist(), b_ids.tolist()
-    if b"".join(map(one.bytes_of.__getitem__, x)) != want or b"".join(map(two.bytes_of.__getitem__, y)) != want:
+    a_ids, b_ids, want = one.encode(" " + text), two.encode(text), (" " + text).encode("utf-8", "replace")
+    a_lengths, b_lengths = one.lengths[a_ids], two.lengths[b_ids]
+    if a_lengths.sum() != len(want) or b_lengths.sum() != len(want) or b"".join(map(two.bytes_of.__getitem__, b_ids.tolist())) != want:
         return none
-    a, b, cut = overlaps(one.lengths[a_ids], two.lengths[b_ids])
+    a, b, cut = overlaps(a_lengths, b_lengths)
     pairs, times = np.unique(a_ids[a].astype(PAIR) * len(two.bytes_of) + b_ids[b], return_counts=True)
-    digest = hashlib.sha256(groups_text(x, y, a, b, cut).encode()).hexdigest()
-    return len(x), len(y), int(cut.sum()), len(a), digest, pairs.astype(PAIR), times.astype(np.uint32)
+    digest = hashlib.sha256(speller.spell(a_ids, b_ids, a, b, cut).encode()).hexdigest()
+    return len(a_ids), len(b_ids), int(cut.sum()), len(a), digest, pairs.astype(PAIR), times.astype(np.uint32)
 
 
-_LOADED: dict[tuple[str, str], tuple[ByteTokens, PieceTokens]] = {}
+_LOADED: dict[tuple[str, str], tuple[ByteTokens, PieceTokens, Speller]] = {}
 
 
-def _models(a_path: str, b_path: str) -> tuple[ByteTokens, PieceTokens]:
+def _models(a_path: str, b_path: str) -> tuple[ByteTokens, PieceTokens, Speller]:
     """One of each per Python worker."""
     if (a_path, b_path) not in _LOADED:
-        _LOADED[a_path, b_path] = ByteTokens(a_path), PieceTokens(b_path)
+        one, two = ByteTokens(a_path), PieceTokens(b_path)
+        _LOADED[a_path, b_path] = one, two, Speller(len(one.bytes_of), len(two.bytes_of))
     return _LOADED[a_path, b_path]
 
 
@@ -186,7 +251,7 @@ def alignments(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     n: the documents (rows) that hold the pair linked; best: no pair of the A id has more.  There are no more pairs than
     the vocabularies have, whatever the corpus.
     """
-    one, two = _models(a_path, b_path)
+    one, two, _ = _models(a_path, b_path)
     size = len(two.bytes_of)
     if len(one.bytes_of) * size > np.iinfo(PAIR).max:
         raise ValueError("the vocabularies have too many pairs")
