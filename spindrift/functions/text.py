@@ -100,14 +100,18 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(fold_accents(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+#: All marks lie in one range, which is asked first: a class of single characters is tried one by one.
+_ANY_MARK = "\u0300-\u036f"
+
+
 def token_count(text: Column) -> Column:
     """How many tokens word_tokens finds; neither case nor folded accents move their bounds, and marks stay inside."""
-    return F.regexp_count(text, F.lit(rf"[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}{MARKS}]*"))
+    return F.regexp_count(text, F.lit(rf"[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}[{_ANY_MARK}&&[{MARKS}]]]*"))
 
 
 def fold_accents(text: Column) -> Column:
     """Latin letters without accents; texts that have none are not walked through."""
-    return F.when(text.rlike(f"[À-ɏḀ-ỿ{MARKS}]"), _folded(text)).otherwise(text)
+    return F.when(text.rlike(f"[À-ɏ{_ANY_MARK}Ḁ-ỿ]"), _folded(text)).otherwise(text)
 
 
 def _folded(text: Column) -> Column:

@@ -2,18 +2,25 @@
 
 A transaction writes what it changes or adds under a new version and then replaces one small pointer file, which names
 the folders of every relation.  Readers see the old pointer or the new one.  There is one writer at a time.
+
+A file that changes is a new file with a new id: its rows are added in folders of their own, and the old id joins
+``gone_files``, which every reading of a relation leaves out.  So a change writes what changed, and nothing else, until the
+project compacts.  The pointer also keeps the highest id ever given of each kind.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import FILE_RELATIONS, SCHEMA_VERSION, SCHEMAS
+from ..schema import FILE_RELATIONS, FOLDERS_BY, SCHEMA_VERSION, SCHEMAS
+from . import postings
 from .index import Index
 
 
@@ -31,21 +38,43 @@ class Store:
         return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/CURRENT.json").collect()))
 
     def read(self, name: str) -> DataFrame:
-        """A relation as of now; empty if it was never written.  Columns that an older version lacks are null."""
-        folders = _listed(self._pointer()["tables"].get(name))
+        """A relation as of now, without what belongs to files that are gone; empty if it was never written.  Columns that
+        an older version lacks are null."""
+        return self._read(self._pointer()["tables"], name)
+
+    def _read(self, tables: dict, name: str) -> DataFrame:
+        folders = _listed(tables.get(name))
         if not folders:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{folder}" for folder in folders])
+        reader, paths = self.spark.read.schema(SCHEMAS[name]), [f"{self.root}/{folder}" for folder in folders]
+        # Each folder of folders has its own partition columns.
+        found = reduce(DataFrame.unionByName, map(reader.parquet, paths)) if name in FOLDERS_BY else reader.parquet(*paths)
+        if tables.get("gone_files") and name in ("files", *FILE_RELATIONS):
+            found = found.join(self._read(tables, "gone_files"), "file_id", "left_anti").select(*SCHEMAS[name].names)
+        return found
+
+    def folders(self, name: str) -> list[str]:
+        return _listed(self._pointer()["tables"].get(name))
 
-    def commit(self, tables: dict[str, DataFrame], added: dict[str, DataFrame] | None = None, label: str = "", dropped: tuple[str, ...] = ()) -> None:
-        """Replace relations and add rows to others, together.  If any write fails, nothing changes.
+    def top(self) -> dict[str, int]:
+        """The highest id given so far, by key."""
+        return dict.fromkeys(KEYS.values(), 0) | self._pointer().get("top", {})
+
+    def commit(self, tables: dict[str, DataFrame], added: dict[str, DataFrame] | None = None, label: str = "", dropped: tuple[str, ...] = (), cleared: tuple[str, ...] = ()) -> None:
+        """Replace relations, add rows to others and clear yet others, together.  If any write fails, nothing changes.
 
         Rows added under a label are a folder of their own, which a later commit may drop by that label.
         """
         pointer, version, added = self._pointer(), uuid.uuid4().hex, added or {}
+        top = pointer.setdefault("top", {})
         for name, df in [*tables.items(), *added.items()]:
             typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
-            typed.write.parquet(f"{self.root}/{name}/{label}-{version}")
+            writer = typed.write.partitionBy(FOLDERS_BY[name]) if name in FOLDERS_BY else typed.write
+            writer.parquet(folder := f"{self.root}/{name}/{label}-{version}")
+            if name in KEYS:  # of what was written, which has its statistics
+                top[KEYS[name]] = max(top.get(KEYS[name], 0), self.spark.read.schema(SCHEMAS[name]).parquet(folder).agg(F.max(KEYS[name])).first()[0] or 0)
+        for name in cleared:
+            pointer["tables"].pop(name, None)
         stays = lambda folder: folder.rsplit("/", 1)[1].split("-")[0] not in dropped
         for name in tables:
             pointer["tables"][name] = [f"{name}/{label}-{version}"]
@@ -62,19 +91,25 @@ class Store:
         options[0] = rename.OVERWRITE
         context.rename(self._fs.makeQualified(temp), self._fs.makeQualified(final), options)
 
-    def vacuum(self) -> int:
-        """Delete the folders that the pointer does not name; how many."""
+    def vacuum(self, hours: float = 0) -> int:
+        """Delete the folders that the pointer does not name and that are older than so many hours; how many."""
+        before = (time.time() - 3600 * hours) * 1000
         live, gone = {folder for folders in self._pointer()["tables"].values() for folder in _listed(folders)}, 0
         for name in SCHEMAS:
             if self._fs.exists(self._path(name)):
                 for status in self._fs.listStatus(self._path(name)):
-                    if f"{name}/{status.getPath().getName()}" not in live:
+                    if f"{name}/{status.getPath().getName()}" not in live and status.getModificationTime() <= before:
                         self._fs.delete(status.getPath(), True)
                         gone += 1
         return gone
 
     def index(self) -> Index:
-        return Index.of({name: self.read(name) for name in ("files", "symbols", "calls", "refs", "imports", "diagnostics", "annotations")})
+        tables = self._pointer()["tables"]
+        ix = Index.of({name: self._read(tables, name) for name in ("files", "symbols", "calls", "refs", "imports", "diagnostics", "annotations")})
+        if tables.get("text_postings"):
+            gone = self._read(tables, "gone_files") if tables.get("gone_files") else None
+            ix.text_index = postings.TextIndex({name: self._read(tables, name) for name in postings.RELATIONS}, gone)
+        return ix
 
     def append(self, name: str, rows: DataFrame, key: str | None = None) -> None:
         """Add rows in a folder of their own; a key column that they lack counts on from the largest there is.
@@ -92,6 +127,8 @@ class Store:
 
 
 MOST_FOLDERS = 50
+#: The id of each relation that has one of its own in an index.
+KEYS = {"files": "file_id", "symbols": "symbol_id", "calls": "call_id", "refs": "ref_id", "imports": "import_id"}
 
 
 def _listed(folders: str | list[str] | None) -> list[str]:
@@ -124,14 +161,14 @@ def without_files(ix: Index, paths: DataFrame) -> Index:
     return ix.with_tables(**tables)
 
 
-def merged(old: Index, new: Index) -> Index:
-    """Two indexes of different files as one; the new one's ids count on from the old one's."""
-    keys = {"files": "file_id", "symbols": "symbol_id", "calls": "call_id", "refs": "ref_id", "imports": "import_id"}
-    top = {k: getattr(old, t).agg(F.coalesce(F.max(k), F.lit(0)).alias("m")).first()["m"] for t, k in keys.items()}
-    shift = {"file_id": top["file_id"], "symbol_id": top["symbol_id"], "parent_id": top["symbol_id"], "caller_id": top["symbol_id"], "call_id": top["call_id"], "ref_id": top["ref_id"], "import_id": top["import_id"]}
-    out = {}
-    for table in keys:
-        df = getattr(new, table)
-        moved = df.withColumns({c: F.col(c) + F.lit(n) for c, n in shift.items() if c in df.columns})
-        out[table] = getattr(old, table).unionByName(moved, allowMissingColumns=True)
-    return old.with_tables(**out)
+def of_files(ix: Index, file_ids: DataFrame, most: int = 1000) -> Index:
+    """The index of some files alone.  Of few files the ids enter as literals, by which a scan skips row groups."""
+    few = [r[0] for r in file_ids.limit(most + 1).collect()]
+    pick = (lambda df: df.where(F.col("file_id").isin(few))) if len(few) <= most else (lambda df: df.join(file_ids, "file_id", "left_semi").select(*df.columns))
+    return ix.with_tables(**{name: pick(getattr(ix, name)) for name in KEYS})
+
+
+def shifted(new: Index, top: dict[str, int]) -> Index:
+    """An index whose ids count on from the highest given so far."""
+    shift = top | {"parent_id": top["symbol_id"], "caller_id": top["symbol_id"]}
+    return new.with_tables(**{name: getattr(new, name).withColumns({c: F.col(c) + F.lit(n) for c, n in shift.items() if c in getattr(new, name).columns}) for name in KEYS})

@@ -21,6 +21,9 @@ class Index:
     diagnostics: DataFrame | None = None
     annotations: DataFrame | None = None
 
+    #: A stored text index of these relations, if there is one; other relations made from them have none.
+    text_index = None
+
     @property
     def spark(self) -> SparkSession:
         return self.files.sparkSession
@@ -44,11 +47,12 @@ class Index:
 
     # -- derived relations ---------------------------------------------------------------------------------------
 
-    def located_symbols(self) -> DataFrame:
-        """Symbols with the path of their file and the name of their parent."""
+    def located_symbols(self, only: DataFrame | None = None) -> DataFrame:
+        """Symbols (of the keys in only, if given) with the path of their file and the name of their parent."""
         parents = self.symbols.select(F.col("symbol_id").alias("parent_id"), F.col("name").alias("parent_name"))
         paths = self.files.select("file_id", "rel_path")
-        return self.symbols.join(paths, "file_id").join(parents, "parent_id", "left").withColumn("qualified_name", text.qualified(F.col("parent_name"), F.col("name")))
+        symbols = self.symbols if only is None else self.symbols.join(only.withColumnRenamed("key", "symbol_id"), "symbol_id", "left_semi")
+        return symbols.join(paths, "file_id").join(parents, "parent_id", "left").withColumn("qualified_name", text.qualified(F.col("parent_name"), F.col("name")))
 
     def call_sites(self) -> DataFrame:
         """Calls with their file, caller and the caller's class (null for calls outside any symbol)."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from .index import Index
+from .postings import trigrams_of_pattern
 
 SITE = ("rel_path", "line_no", "callee_expr", "caller_name", "caller_kind", "caller_class")
 #: One order for call sites, whatever the plan.
@@ -14,8 +17,17 @@ SITE_ORDER = ("rel_path", "line_no", "callee_expr", "caller_name", "call_id")
 SYMBOL = ("symbol_id", "rel_path", "parent_name", "kind", "name", "return_type", "docstring", "line_start", "line_end", "complexity", "is_async")
 
 
-def matching_symbols(ix: Index, name: str | None = None, kind: str | None = None, file_pattern: str | None = None, parent_name: str | None = None) -> DataFrame:
-    found = ix.located_symbols()
+def _candidates(ix: Index, needles: list[str]) -> DataFrame | None:
+    """(key): symbols whose names may contain one of the needles, by the stored trigrams; None if these cannot tell."""
+    if ix.text_index is None or not needles:
+        return None
+    parts = [ix.text_index.holders("name", trigrams_of_pattern(n)) for n in needles]
+    return None if any(p is None for p in parts) else reduce(DataFrame.unionByName, parts).distinct()
+
+
+def matching_symbols(ix: Index, name: str | None = None, kind: str | None = None, file_pattern: str | None = None, parent_name: str | None = None, near: list[str] | None = None) -> DataFrame:
+    """Symbols that meet every criterion.  near: what the caller will ask names to contain, any one of it."""
+    found = ix.located_symbols(only=_candidates(ix, [name] if name else near or []))
     if name:
         found = found.where(text.contains_like(F.col("name"), name))
     if kind:

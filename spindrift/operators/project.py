@@ -13,11 +13,13 @@ from ..schema import SCHEMAS
 from ..sources import config as project_config
 from ..sources import files as source_files
 from ..sources import git
-from . import history, impact, layers, lookup, rules, search, summary
-from .catalog import Store, merged, numbered, without_files
+from . import history, impact, layers, lookup, postings, rules, search, summary
+from .catalog import MOST_FOLDERS, Store, numbered, of_files, shifted
 from .index import Index
 
 TABLES = ("files", "symbols", "calls", "refs", "imports")
+#: Folders that no pointer names any more stay so long, for readers that began before.
+KEEP_HOURS = 24
 
 
 class Project:
@@ -32,10 +34,28 @@ class Project:
     def scan(self) -> DataFrame:
         return source_files.scan(self.spark, self.root, project_config.ignore_patterns(self.root, self.config))
 
-    def _write(self, ix: Index, run_rules: bool = True) -> None:
-        self.store.commit({name: getattr(ix, name) for name in TABLES})
-        if run_rules:
-            self.run_rules()
+    def _write(self, ix: Index) -> None:
+        """Every relation anew, and with them the text index."""
+        self.store.commit({name: getattr(ix, name) for name in TABLES} | postings.relations_of(search.text_rows(ix)), cleared=("gone_files",))
+
+    def _merge(self, new: Index, stale: DataFrame) -> None:
+        """Add the rows of new files and let those of stale paths go: what is written grows with these alone."""
+        old, new = self.index, shifted(new, self.store.top())
+        gone = old.files.join(stale, "rel_path", "left_semi").select("file_id")
+        added = {name: getattr(new, name) for name in TABLES} | postings.relations_of(search.text_rows(new))
+        for name, less in postings.relations_of(search.text_rows(of_files(old, gone)), sign=-1).items():
+            added[name] = added[name].unionByName(less)
+        self.store.commit({}, added | {"gone_files": gone})
+
+    def compact(self, most_folders: int = MOST_FOLDERS, gone_share: float = 0.2) -> bool:
+        """Write the relations anew if they lie in many folders, or many of their files are gone; whether it did."""
+        if not (gone := self.store.read("gone_files").count()) and len(self.store.folders("files")) <= most_folders:
+            return False
+        ix = self.index
+        if len(self.store.folders("files")) <= most_folders and gone <= gone_share * (gone + ix.files.count()):
+            return False
+        self._write(ix)
+        return True
 
     @contextmanager
     def _built(self, sources: DataFrame):
@@ -63,6 +83,8 @@ class Project:
         with self._built(sources) as ix:
             self._write(ix)
         sources.unpersist()
+        self.run_rules()
+        self.store.vacuum(KEEP_HOURS)
         facts = summary.stats(self.index).first().asDict() | {"elapsed_seconds": round(time.time() - began, 2)}
         self._after(facts, now)
         return facts | {"parse_error_sample": [r.asDict() for r in self.index.files.where("parse_error is not null").orderBy("rel_path").select("rel_path", "parse_error").limit(5).collect()]}
@@ -83,7 +105,10 @@ class Project:
             stale = found.where("change_type <> 'added'").select("rel_path")
             fresh = sources.join(found.where("change_type <> 'deleted'").select("rel_path"), "rel_path", "left_semi")
             with self._built(fresh) as ix:
-                self._write(merged(without_files(self.index, stale), ix))
+                self._merge(ix, stale)
+            self.compact()
+            self.run_rules()
+            self.store.vacuum(KEEP_HOURS)
             self._after(counts, now or datetime.now())
         found.unpersist()
         sources.unpersist()
@@ -111,6 +136,7 @@ class Project:
         self.store.commit({"diagnostics": numbered(kept.drop("diag_id"), "diag_id", "rule_id", "context", "line_no", "message")})
         rows = self.spark.createDataFrame([(k, n, 0, now) for k, n in sorted(counted.items())], "rule_id string, findings_count int, useful_count int, ran_at timestamp_ntz")
         self.store.append("rule_runs", rows, "run_id")
+        found.unpersist()
         return counted
 
     def findings(self, **criteria) -> DataFrame:

@@ -1,8 +1,7 @@
-"""Ranked search: the name ladder, token counts and BM25 over postings."""
+"""Ranked search: the name ladder, token counts, and BM25 over texts or over a stored index of them."""
 
 from __future__ import annotations
 
-import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.porter import stem, stem_tokens
+from . import postings
 from .index import Index
 from .lookup import matching_symbols
+from .postings import K1, LEAST_IDF, B
 
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 HIT = ("type", "symbol_id", "kind", "name", "parent_name", "rel_path", "line_start", "score")
 
 
@@ -29,7 +29,7 @@ def by_tokens(ix: Index, query: str, kind: str | None = None, limit: int = 60) -
     if not tokens:
         return matching_symbols(ix).limit(0).withColumn("score", F.lit(0.0))
     hits = F.array_compact(F.array(*[F.when(text.contains_like(F.col("name"), t), F.lit(t)) for t in tokens]))
-    found = matching_symbols(ix, kind=kind).withColumn("token", F.explode(hits))
+    found = matching_symbols(ix, kind=kind, near=tokens).withColumn("token", F.explode(hits))
     rank = F.row_number().over(Window.partitionBy("token").orderBy("rel_path", "line_start", "symbol_id"))
     counted = found.withColumn("k", rank).where(F.col("k") <= limit).groupBy("symbol_id").agg((F.count("*") * 20.0).alias("score"))
     return ix.located_symbols().join(counted, "symbol_id")
@@ -38,14 +38,6 @@ def by_tokens(ix: Index, query: str, kind: str | None = None, limit: int = 60) -
 # -- BM25 ---------------------------------------------------------------------------------------------------------------
 
 
-def postings(docs: DataFrame, key: str, columns: list[str], stemmed: bool = True) -> DataFrame:
-    """(key, term, tf, length): term counts over all columns together, and the number of tokens of the row."""
-    tokens: Column = F.concat(*[text.word_tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns])
-    tokens = stem_tokens(tokens) if stemmed else tokens
-    listed = docs.select(F.col(key).alias("key"), tokens.alias("t")).select("key", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return listed.groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
 def collection(docs: DataFrame, columns: list[str]) -> dict:
     """Number of rows and their average length in tokens, as one small row."""
     length = sum((text.token_count(F.coalesce(F.col(c), F.lit(""))) for c in columns), F.lit(0))
@@ -88,10 +80,31 @@ def _tokens_of(query: str) -> list[str]:
     return [text.fold_word(t) for t in tokens if t not in ("or", "and", "not")]
 
 
+SYMBOL_TEXT, FILE_TEXT = ["name", "qualified_name", "docstring"], ["rel_path", "symbol_names", "docstrings"]
+
+
+def text_rows(ix: Index) -> dict[str, DataFrame]:
+    """What a stored text index of ix has: words of symbols and of files, by their stems, and trigrams of symbol names."""
+    return {
+        "symbol": postings.word_lists(ix.located_symbols(), "symbol_id", "file_id", SYMBOL_TEXT, True),
+        "file": postings.word_lists(file_documents(ix), "file_id", "file_id", FILE_TEXT, True),
+        "name": postings.trigram_lists(ix.symbols, "symbol_id", "file_id", "name"),
+    }
+
+
+def _stored(ix: Index, kind: str, query: str, limit: int, stemmed: bool) -> DataFrame | None:
+    """Scores from the stored index, which has stems."""
+    if ix.text_index is None or not stemmed:
+        return None
+    return ix.text_index.scores(kind, sorted({stem(t) for t in _tokens_of(query)}), limit)
+
+
 def search_symbols(ix: Index, query: str, limit: int = 30, stemmed: bool = True) -> DataFrame:
-    """BM25 over names, qualified names and docstrings of symbols."""
-    docs = ix.located_symbols()
-    return docs.join(bm25(docs, "symbol_id", ["name", "qualified_name", "docstring"], query, limit, stemmed).withColumnRenamed("key", "symbol_id"), "symbol_id")
+    """BM25 over names, qualified names and docstrings of symbols; from the stored index, or else from the texts."""
+    found = _stored(ix, "symbol", query, limit, stemmed)
+    docs = ix.located_symbols() if found is None else ix.located_symbols(only=found.select("key"))
+    found = bm25(docs, "symbol_id", SYMBOL_TEXT, query, limit, stemmed) if found is None else found
+    return docs.join(found.withColumnRenamed("key", "symbol_id"), "symbol_id")
 
 
 def file_documents(ix: Index) -> DataFrame:
@@ -102,9 +115,11 @@ def file_documents(ix: Index) -> DataFrame:
 
 
 def search_files(ix: Index, query: str, limit: int = 20, stemmed: bool = True) -> DataFrame:
-    docs = file_documents(ix)
-    found = bm25(docs, "file_id", ["rel_path", "symbol_names", "docstrings"], query, limit, stemmed).withColumnRenamed("key", "file_id")
-    return docs.select("file_id", "rel_path").join(found, "file_id")
+    """BM25 over paths, symbol names and docstrings of files; from the stored index, or else from the texts."""
+    found = _stored(ix, "file", query, limit, stemmed)
+    if found is None:
+        found = bm25(file_documents(ix), "file_id", FILE_TEXT, query, limit, stemmed)
+    return ix.files.select("file_id", "rel_path").join(found.withColumnRenamed("key", "file_id"), "file_id")
 
 
 def search(ix: Index, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
@@ -130,9 +145,3 @@ def search(ix: Index, query: str, kind: str | None = None, limit: int = 20) -> D
     before = F.aggregate(F.sequence(F.lit(0), F.col("step") - 1), F.lit(0).cast("long"), lambda a, s: a + F.coalesce(F.col("n")[s], F.lit(0)))
     gated = once.unionByName(files).crossJoin(counts).where(before < limit)  # counts: one row
     return gated.orderBy(F.desc("score"), "step", "rel_path", "line_start", "symbol_id").limit(limit).select(*HIT)
-
-
-def idf_weight(n: int, n_term: int) -> float:
-    """The weight of a term found in n_term of n rows."""
-    x = math.log((n - n_term + 0.5) / (n_term + 0.5))
-    return x if x > 0 else LEAST_IDF

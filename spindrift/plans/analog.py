@@ -6,9 +6,14 @@ expressions.  SQL of the same mapping, for the oracle, stands beside each relati
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.catalog import Store
 from ..operators.index import Index
 
 
@@ -175,6 +180,24 @@ def rows_of(spark: SparkSession, sf_dir: str, name: str) -> int:
     return _SIZES[key]
 
 
+_STORES: dict[tuple[str, str, str], Store] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, what: str, build: Callable[[Store], None]) -> Store:
+    """A store over the driver's tables, built once per application in the folder that driver and executors share."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _STORES:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="spindrift-")
+        store = Store(spark, f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}")
+        build(store)
+        _STORES[key] = store
+    return _STORES[key]
+
+
 def index(spark: SparkSession, sf_dir: str) -> Index:
     n_files, n_parts = rows_of(spark, sf_dir, "supplier"), rows_of(spark, sf_dir, "part")
     return Index(files(spark, sf_dir), symbols(spark, sf_dir, n_files), calls(spark, sf_dir, n_parts), refs(spark, sf_dir), imports(spark, sf_dir, n_files), diagnostics(spark, sf_dir, n_files))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text
-from ..operators import history, impact, layers, lookup, rules, search, summary
+from ..operators import history, impact, layers, lookup, postings, rules, search, summary
+from ..operators.catalog import Store, of_files, shifted
+from ..operators.index import Index
 from . import analog
 from .analog import index, oracle, read
 
@@ -215,6 +217,42 @@ def bm25_fields(spark, sf_dir):
     return found.select("key", F.round("score", 6).alias("score"))
 
 
+TOP = "SELECT key, score FROM ({inner}) ORDER BY score DESC, key LIMIT {limit}"
+
+
+def _documents_index(spark, sf_dir) -> postings.TextIndex:
+    def build(store: Store) -> None:
+        rows = postings.word_lists(read(spark, sf_dir, "documents"), "doc_id", None, ["text"], stemmed=False)
+        store.commit(postings.relations_of({"text": rows}))
+
+    store = analog.stored(spark, sf_dir, "documents", build)
+    return postings.TextIndex({name: store.read(name) for name in postings.RELATIONS})
+
+
+@query(BM25.format(key="doc_id", text="coalesce(text, '')", table="documents", terms="['license', 'version', 'thing']"))
+def bm25_stored(spark, sf_dir):
+    """All scores from stored postings, of which only the buckets of the three terms are read."""
+    found = _documents_index(spark, sf_dir).scores("text", ["license", "thing", "version"])
+    return found.select("key", F.round("score", 6).alias("score"))
+
+
+@query(TOP.format(inner=BM25.format(key="doc_id", text="coalesce(text, '')", table="documents", terms="['license', 'software', 'the', 'data']"), limit=25))
+def bm25_stored_top(spark, sf_dir):
+    """The best 25, by the bounds of blocks."""
+    found = _documents_index(spark, sf_dir).scores("text", ["data", "license", "software", "the"], 25)
+    return found.select("key", F.round("score", 6).alias("score"))
+
+
+def _stored_index(spark, sf_dir) -> Index:
+    """The mapping's files and symbols as a stored index with its texts; its other relations as they are."""
+
+    def build(store: Store) -> None:
+        ix = index(spark, sf_dir)
+        store.commit({"files": ix.files, "symbols": ix.symbols} | postings.relations_of(search.text_rows(ix)))
+
+    return analog.stored(spark, sf_dir, "index", build).index()
+
+
 # Words of the tables that stem to the query's terms: SQL has no stemmer.
 STEMS = "(VALUES ('gear', ['gear', 'gears']), ('economi', ['economy', 'economies'])) AS q(term, words)"
 PORTER = r"""{located}, tok AS (SELECT symbol_id AS key, regexp_extract_all(translate(lower(concat_ws(' ', name, qualified_name, coalesce(docstring, ''))), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{{L}}\p{{N}}]+') AS t FROM located),
@@ -229,6 +267,53 @@ def bm25_porter(spark, sf_dir):
     return search.search_symbols(index(spark, sf_dir), "gears economies", 30).select("symbol_id", "name", F.round("score", 6).alias("score"))
 
 
+PORTER_FILES = PORTER.replace("symbol_id AS key", "file_id AS key").replace("AS symbol_id, round", "AS file_id, round").replace("concat_ws(' ', name, qualified_name, coalesce(docstring, ''))", "concat_ws(' ', rel_path, names, docs)").replace(
+    "FROM located)", "FROM (SELECT f.file_id, f.rel_path, string_agg(s.name, ' ') AS names, string_agg(s.docstring, ' ') AS docs FROM files f LEFT JOIN symbols s USING (file_id) GROUP BY 1, 2))"
+)
+BY_FILE = f"WITH {PORTER_FILES} SELECT file_id, rel_path, round(score, 6) AS score FROM scored JOIN files USING (file_id) ORDER BY scored.score DESC, file_id LIMIT 20"
+
+
+@query(BY_FILE, "files", "symbols")
+def search_files(spark, sf_dir):
+    return search.search_files(index(spark, sf_dir), "gears economies").select("file_id", "rel_path", F.round("score", 6).alias("score"))
+
+
+@query(BY_FILE, "files", "symbols")
+def search_files_stored(spark, sf_dir):
+    return search.search_files(_stored_index(spark, sf_dir), "gears economies").select("file_id", "rel_path", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {PORTER} SELECT symbol_id, name, round(score, 6) AS score FROM scored JOIN located USING (symbol_id) ORDER BY scored.score DESC, symbol_id LIMIT 30", "files", "symbols")
+def bm25_porter_stored(spark, sf_dir):
+    return search.search_symbols(_stored_index(spark, sf_dir), "gears economies", 30).select("symbol_id", "name", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {LOCATED} SELECT symbol_id, name, rel_path FROM located WHERE name ILIKE '%widget%gear%' OR ends_with(name, '_idle')", "files", "symbols")
+def find_symbols_stored(spark, sf_dir):
+    """Two patterns with wildcards, whose candidates the stored trigrams give."""
+    ix = _stored_index(spark, sf_dir)
+    both = [lookup.matching_symbols(ix, name=n) for n in ("widget%gear", "_idle")]
+    return both[0].union(both[1].where(F.col("name").endswith("_idle"))).select("symbol_id", "name", "rel_path").distinct()
+
+
+@query("""WITH s AS (SELECT * FROM symbols UNION ALL SELECT * REPLACE (concat(name, '_two') AS name) FROM symbols WHERE file_id % 20 = 3),
+live AS (SELECT s.* FROM s WHERE file_id % 20 <> 3 AND file_id % 20 <> 7 OR file_id % 20 = 3 AND ends_with(name, '_two'))
+SELECT rel_path, count(*) AS n, min(name) AS first_name, max(name) AS last_name FROM live JOIN files USING (file_id) GROUP BY rel_path""", "files", "symbols")
+def store_merge(spark, sf_dir):
+    """An index is stored; then a twentieth of its files comes in a new version and another twentieth goes."""
+
+    def build(store: Store) -> None:
+        ix = index(spark, sf_dir)
+        store.commit({"files": ix.files, "symbols": ix.symbols})
+        part = of_files(ix, ix.files.where("file_id % 20 = 3").select("file_id"))
+        new = shifted(part.with_tables(symbols=part.symbols.withColumn("name", F.concat("name", F.lit("_two")))), store.top())
+        store.commit({}, {"files": new.files, "symbols": new.symbols, "gone_files": ix.files.where("file_id % 20 in (3, 7)").select("file_id")})
+
+    ix = analog.stored(spark, sf_dir, "merge", build).index()
+    named = ix.located_symbols().groupBy("rel_path")
+    return named.agg(F.count("*").alias("n"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+
+
 FOUND = "'symbol' AS type, symbol_id, kind, name, parent_name, rel_path, line_start"
 
 

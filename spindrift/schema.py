@@ -26,6 +26,10 @@ DDL = {
     "snapshots": "snapshot_id long, name string, git_commit string, created_at timestamp_ntz, size_kb double",
     "snapshot_symbols": "snapshot_id long, n string, k string, f string, ls int, le int, p string",
     "snapshot_calls": "snapshot_id long, cr string, ce string, f string, l int",
+    "text_postings": "kind string, term string, slot long, max_tf int, min_length int, rows array<struct<key:long,tf:int,length:int,file_id:long>>, bucket int",
+    "text_terms": "kind string, term string, n long, bucket int",
+    "text_sizes": "kind string, n long, tokens long",
+    "gone_files": "file_id long",
     "meta": "key string, value string",
 }
 
@@ -50,6 +54,8 @@ def _schema(ddl: str) -> T.StructType:
 SCHEMAS: dict[str, T.StructType] = {name: _schema(ddl) for name, ddl in DDL.items()}
 #: Relations that belong to a file and go when it goes.
 FILE_RELATIONS = ("symbols", "calls", "refs", "imports", "diagnostics")
+#: Relations whose rows lie in folders by a column.
+FOLDERS_BY = {"text_postings": "bucket", "text_terms": "bucket"}
 
 PARAMS_DDL = "array<struct<name:string,type:string,default:string,modifiers:array<string>>>"
 STRINGS_DDL = "array<string>"
