@@ -135,12 +135,15 @@ def _listed(folders: str | list[str] | None) -> list[str]:
     return [folders] if isinstance(folders, str) else folders or []
 
 
-def numbered(df: DataFrame, name: str, *order: str, start: int = 0) -> DataFrame:
+def numbered(df: DataFrame, name: str, *order: str, start: int = 0, held: list[DataFrame] | None = None) -> DataFrame:
     """df with ids start + 1, start + 2, ... in the given order, by sorted ranges: no task sees more than its range.
 
-    The driver receives the size of each range.
+    The driver receives the size of each range.  The ranges stay on the executors' disks, for the rows must not be dealt
+    anew; ``held`` receives them for a caller that gives them up.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    if held is not None:
+        held.append(ranged)
     part = F.shiftright("__at", 33)
     sizes = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     bases, total = [], start

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import SCHEMAS
+from .catalog import numbered
 from .impact import direct_callers, transitive_callers
 from .index import Index
 
@@ -32,8 +33,7 @@ def snapshot_name(now: datetime) -> str:
 
 
 def keep_newest(snapshots: DataFrame, keep: int = 20) -> DataFrame:
-    rank = F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("snapshot_id")))
-    kept = snapshots.select("snapshot_id", "created_at").withColumn("k", rank).where(F.col("k") <= keep)  # ids and times only meet in one task
+    kept = snapshots.select("snapshot_id", "created_at").orderBy(F.desc("created_at"), F.desc("snapshot_id")).limit(keep)  # the best of each task meet
     return snapshots.join(kept.select("snapshot_id"), "snapshot_id", "left_semi")
 
 
@@ -131,8 +131,10 @@ def session_state(events: DataFrame) -> DataFrame:
     """
     started = events.where("event = 'start'").groupBy("session_id").agg(F.min("at").alias("started_at"), F.max("transcript_path").alias("transcript_path"))
     ended = events.where("event = 'end'").groupBy("session_id").agg(F.max("at").alias("own_end"), F.max_by("summary", "at").alias("own_summary"))
-    following = F.lead("started_at").over(Window.orderBy("started_at", "session_id"))  # sessions of one project: a short list
-    joined = started.join(ended, "session_id", "left").withColumn("next_start", following)
+    # Sessions of all users may be many: each finds the next by its number in sorted ranges, not in one window.
+    ranked = numbered(started, "k", "started_at", "session_id")
+    following = ranked.select((F.col("k") - 1).alias("k"), F.col("started_at").alias("next_start"))
+    joined = ranked.join(following, "k", "left").drop("k").join(ended, "session_id", "left")
     cut = F.col("own_end").isNull() & F.col("next_start").isNotNull()
     return joined.select("session_id", "started_at", F.coalesce("own_end", "next_start").alias("ended_at"), "transcript_path", F.when(cut, F.lit(AUTO_END)).otherwise(F.col("own_summary")).alias("summary"))
 

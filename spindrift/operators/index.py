@@ -56,8 +56,15 @@ class Index:
 
     def call_sites(self) -> DataFrame:
         """Calls with their file, caller and the caller's class (null for calls outside any symbol)."""
+        return self.with_callers(self.placed_calls())
+
+    def placed_calls(self) -> DataFrame:
+        """Calls with the last segment of their expression and the path of their file."""
+        calls = self.calls.withColumn("callee_last", text.last_segment(F.col("callee_expr")))
+        return calls.join(self.files.select("file_id", "rel_path"), "file_id")
+
+    def with_callers(self, calls: DataFrame) -> DataFrame:
+        """calls with the name and kind of their caller and the name of its class."""
         callers = self.symbols.select(F.col("symbol_id").alias("caller_id"), F.col("name").alias("caller_name"), F.col("kind").alias("caller_kind"), F.col("parent_id").alias("class_id"))
         classes = self.symbols.select(F.col("symbol_id").alias("class_id"), F.col("name").alias("caller_class"))
-        calls = self.calls.withColumn("callee_last", text.last_segment(F.col("callee_expr")))
-        paths = self.files.select("file_id", "rel_path")
-        return calls.join(paths, "file_id").join(callers, "caller_id", "left").join(classes, "class_id", "left").drop("class_id")
+        return calls.join(callers, "caller_id", "left").join(classes, "class_id", "left").drop("class_id")

@@ -61,11 +61,11 @@ class Project:
     def _built(self, sources: DataFrame):
         """An index of sources; they and their parsed rows are kept only while it is in use, or later scans would see
         these files again."""
-        parsed = {k: v.persist() for k, v in source_files.parse(sources).items()}
+        parsed, held = {k: v.persist() for k, v in source_files.parse(sources).items()}, []
         try:
-            yield source_files.build(sources, parsed)
+            yield source_files.build(sources, parsed, held)
         finally:
-            for df in parsed.values():
+            for df in [*held, *parsed.values()]:
                 df.unpersist()
 
     def _after(self, facts: dict, now: datetime) -> None:
@@ -133,7 +133,10 @@ class Project:
         counted = {r["rule_id"]: r["findings_count"] for r in runs.collect()}
         old = self.store.read("diagnostics")
         kept = rules.replace_findings(old, found, [r.rule_id for r in chosen]) if rule_id else found
-        self.store.commit({"diagnostics": numbered(kept.drop("diag_id"), "diag_id", "rule_id", "context", "line_no", "message")})
+        ranges: list[DataFrame] = []
+        self.store.commit({"diagnostics": numbered(kept.drop("diag_id"), "diag_id", "rule_id", "context", "line_no", "message", held=ranges)})
+        for df in ranges:
+            df.unpersist()
         rows = self.spark.createDataFrame([(k, n, 0, now) for k, n in sorted(counted.items())], "rule_id string, findings_count int, useful_count int, ran_at timestamp_ntz")
         self.store.append("rule_runs", rows, "run_id")
         found.unpersist()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -53,14 +53,32 @@ def key_classes(ix: Index, top: int = 5) -> DataFrame:
 
 
 def module_dependencies(ix: Index) -> DataFrame:
-    """(module, depends_on): from-imports whose module contains another module's name.
-
-    Only distinct (module, imported) pairs meet the distinct module names, which are few: folders at the root.
-    """
+    """(module, depends_on): from-imports whose module contains another module's name."""
     named = ix.files.select("file_id", text.top_module(F.col("rel_path")).alias("module"))
     pairs = ix.imports.where("is_from = 1 and module is not null").select("file_id", F.col("module").alias("imported")).join(named, "file_id").select("module", "imported").distinct()
     targets = named.select(F.col("module").alias("depends_on")).where("depends_on <> '(root)'").distinct()
-    return pairs.join(targets, F.contains("imported", "depends_on") & (F.col("module") != F.col("depends_on"))).select("module", "depends_on").distinct()
+    held = containing(pairs.select("imported").distinct(), "imported", targets, "depends_on")
+    return pairs.join(held, "imported").where("module <> depends_on").select("module", "depends_on").distinct()
+
+
+def containing(texts: DataFrame, text_col: str, names: DataFrame, name_col: str) -> DataFrame:
+    """(text, name): texts that contain a name, by an equi join.
+
+    Every name waits under the one of its grams (three characters, or all of a shorter name) that fewest texts hold, and a
+    text asks under each of its grams.  So names that share a beginning do not meet every text; what meets is compared.
+    """
+
+    def grams(column: str, sizes: Column) -> Column:
+        long = F.length(column)
+        at = lambda n: F.when(long >= n, F.transform(F.sequence(F.lit(1), long - n + 1), lambda i: F.substring(F.col(column), i, n))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.flatten(F.transform(sizes, at)))
+
+    asked = texts.select(text_col, F.explode(grams(text_col, F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("gram"))
+    counts = asked.groupBy("gram").agg(F.count("*").alias("n"))
+    own = names.where(F.length(name_col) > 0).select(name_col, F.explode(grams(name_col, F.array(F.least(F.length(name_col), F.lit(3))))).alias("gram"))
+    sized = own.join(counts, "gram", "left").groupBy(name_col).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    waiting = sized.where("g.n > 0").select(name_col, F.col("g.gram").alias("gram"))
+    return asked.join(waiting, "gram").where(F.contains(text_col, name_col)).select(text_col, name_col)
 
 
 def imports_graph(ix: Index, file_pattern: str | None = None) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.patterns import in_skipped_folder, is_ignored
+from ..operators.catalog import numbered
 from ..operators.index import Index
 from ..schema import SCHEMAS
 from . import brace_source, python_source
@@ -71,24 +72,17 @@ def parse(sources: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _numbered(df: DataFrame, *order: str, name: str) -> DataFrame:
-    """Ids 1.. in the given order: counts per path first, so that no single task sees more than one row a path."""
-    first, *rest = order
-    if not rest:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(first)).cast("long"))
-    sizes = df.groupBy(first).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1))
-    bases = sizes.select(first, F.coalesce(before, F.lit(0)).alias("__base"))
-    local = F.row_number().over(Window.partitionBy(first).orderBy(*rest))
-    return df.withColumn("__k", local).join(bases, first).withColumn(name, (F.col("__base") + F.col("__k")).cast("long")).drop("__k", "__base")
-
-
-def build(sources: DataFrame, parsed: dict[str, DataFrame] | None = None) -> Index:
+def build(sources: DataFrame, parsed: dict[str, DataFrame] | None = None, held: list[DataFrame] | None = None) -> Index:
     """An index of sources (rel_path, content, file_hash): parents, callers and owners are linked by (path, ordinal).
 
-    A caller that writes several relations persists sources and parsed for that long, or each relation parses anew.
+    Ids follow the order of (path, ordinal) by sorted ranges.  A caller that writes several relations persists sources and
+    parsed for that long, or each relation parses anew; the numbered ranges are kept too, and ``held`` receives them.
     """
     parsed = parsed or parse(sources)
+
+    def _numbered(df: DataFrame, *order: str, name: str) -> DataFrame:
+        return numbered(df, name, *order, held=held)
+
     suffix = F.lower(F.regexp_extract("rel_path", r"(\.[^./]+)$", 1))
     language = F.create_map(*[F.lit(x) for s, (name, _) in PARSERS.items() for x in (s, name)])[suffix]
     lines = (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).cast("int")
