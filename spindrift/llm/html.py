@@ -3,6 +3,9 @@
 Every page is parsed into elements; containers are scored by the text of the paragraphs in them.  A page votes for the
 generalised tag-class path of its best container, Spark sums the votes per host, and every page is extracted again
 through its host's winning paths, or through its own best container where none of them occurs.
+
+Names of classes and ids only cast doubt on an element unless they have nothing but words for what is not the text; a doubted
+element stays if little of the page's text is outside it.
 """
 
 from __future__ import annotations
@@ -20,33 +23,38 @@ from pyspark.sql import functions as F
 from .common import in_small_batches, materialize, slices
 
 #: A tag up to the end of its name; tag_end finds the rest.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)|([^<]+|<)", re.S)
 SPECIAL, NEXT, VALUE_END = re.compile("[=>]"), re.compile(r"\s*"), re.compile(r"[\s>]|\Z")
 ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'][^\s]*)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without text of the page; only those of another markup may close themselves.
 RAW = frozenset("script style noscript template textarea title iframe svg object noframes".split())
 END_OF = {tag: re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I) for tag in (*RAW, "xmp")}
+NESTED = {tag: re.compile(f"<(/?){tag}(?=[\\s/>])[^>]*?(/?)>", re.I) for tag in ("svg", "object")}
+#: Elements that are meant to hold the text: names only cast doubt on them.
+WHOLE = frozenset("article main".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option optgroup p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article main section div td body center".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td dd dt figcaption".split())
-DROPPED = frozenset("nav header footer aside form menu button select dialog input label fieldset".split())
+DROPPED = frozenset("nav header footer aside menu button select dialog input fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-#: A container of which a class or id has one of these words is dropped; a paragraph only if the word is all of it.
+#: A container with a class or id of nothing but these and the next two lists' words is dropped, and one with a word of
+#: these among others unless it holds the page's text (see decide); a paragraph only if such a word is all of it.
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox sponsored sponsors nav navbar navigation navi menu menus breadcrumb breadcrumbs "
     "footer topbar sidebar sidebars widget widgets related recommended recommendations sharing comment comments commentlist disqus replies "
     "cookie cookies consent gdpr newsletter pagination pager pagenav toolbar".split()
 )
-#: These words may also be about the text, so they count only in names of nothing but such words and words for places.
+#: These words may also be about the text, so they count only in names of nothing but listed words.
 DOUBTFUL_WORDS = frozenset(
     "sponsor promo promotion foot header masthead aside share social respond reply notice notices alert banner popup modal overlay subscribe subscription signup login "
     "search searchform skip copyright disclaimer form".split()
 )
 PLACE_WORDS = frozenset("top bottom left right upper lower first last outer inner site page global main box bar area block wrap wrapper container section list links link buttons button icons icon media strip panel group row col message messages".split())
+READER_WORDS = frozenset("comment comments commentlist disqus replies".split())
 FAVOURED_WORDS = frozenset("article content post entry story main text body page blog news".split())
 #: Elements that an opening tag closes, up to the nearest ancestor that contains them.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -57,10 +65,10 @@ P_CLOSERS = BLOCKS - {"br", "option", "body", "html", "caption", "td", "th", "tr
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "words", "dropped", "items", "score", "own", "linked")
+    __slots__ = ("tag", "parent", "path", "words", "dropped", "doubted", "items", "score", "own", "linked")
 
-    def __init__(self, tag: str, parent: Element | None, path: str, words: frozenset, dropped: bool):
-        self.tag, self.parent, self.path, self.words, self.dropped = tag, parent, path, words, dropped
+    def __init__(self, tag: str, parent: Element | None, path: str, words: frozenset, dropped: bool, doubted: bool = False):
+        self.tag, self.parent, self.path, self.words, self.dropped, self.doubted = tag, parent, path, words, dropped, doubted
         self.items: list = []  # texts and elements, in page order
         self.score = 0.0
         self.own = self.linked = 0  # characters of text below (not in dropped elements), and of those inside links
@@ -117,24 +125,41 @@ def tag_end(page: str, at: int, unclosed: set[str]) -> int:
     return -1
 
 
-def is_dropped(names: str, paragraph: bool) -> bool:
-    """Whether class names and ids say that an element is no part of the text."""
+def named(names: str, paragraph: bool) -> str:
+    """What class names and ids say of an element: ``dropped`` is no part of the text, ``doubted`` may not be, or nothing."""
+    said = ""
     for name in names.split():
         parts = [x for x in re.split(r"[^a-z]+", name) if x]
         if paragraph:
             if len(parts) == 1 and parts[0] in DROPPED_WORDS:
-                return True
-        elif any(x in DROPPED_WORDS for x in parts):
-            return True
-        elif any(x in DOUBTFUL_WORDS for x in parts) and all(x in DOUBTFUL_WORDS or x in PLACE_WORDS for x in parts):
-            return True
-    return False
+                return "dropped"
+            continue
+        listed = [x in DROPPED_WORDS or x in DOUBTFUL_WORDS for x in parts]
+        if any(listed) and all(is_listed or x in PLACE_WORDS for is_listed, x in zip(listed, parts, strict=True)):
+            return "dropped"
+        if any(x in DROPPED_WORDS for x in parts):
+            said = "doubted"
+    return said
+
+
+def past_end(page: str, tag: str, at: int) -> int:
+    """The position after the end tag of an element without text; elements of its own kind may be nested in svg and object."""
+    if tag not in ("svg", "object"):
+        end = END_OF[tag].search(page, at)
+        close = page.find(">", end.end()) if end else -1
+        return close + 1 if close >= 0 else len(page)
+    depth = 1
+    for m in NESTED[tag].finditer(page, at):
+        depth += -1 if m[1] else (0 if m[2] else 1)
+        if not depth:
+            return m.end()
+    return len(page)
 
 
 def parse(page: str) -> tuple[Element, list[Element]]:
     """The root element and all containers of a page; never fails, whatever the markup."""
     root = Element("html", None, "", frozenset(), False)
-    stack, containers = Stack(root), []
+    stack, containers, doubts = Stack(root), [], []
     at, match, unclosed = 0, TOKEN.match, set()
     while at < len(page):
         m = match(page, at)
@@ -163,9 +188,7 @@ def parse(page: str) -> tuple[Element, list[Element]]:
             continue
         if tag in RAW:
             if tag != "svg" or not attributes.rstrip().endswith("/"):
-                end = END_OF[tag].search(page, at)
-                close = page.find(">", end.end()) if end else -1
-                at = close + 1 if close >= 0 else len(page)
+                at = past_end(page, tag, at)
             continue
         if tag == "xmp":
             end = END_OF[tag].search(page, at)
@@ -191,7 +214,9 @@ def parse(page: str) -> tuple[Element, list[Element]]:
             if tag in BLOCKS:
                 stack[-1].items.append(" ")
             continue
-        parent, words, path, dropped = stack[-1], frozenset(), "", stack[-1].dropped or tag in DROPPED
+        parent, words, path, dropped, doubted = stack[-1], frozenset(), "", stack[-1].dropped or tag in DROPPED, tag == "form"
+        if tag == "label":  # of a control, unless it stands in a paragraph
+            dropped = dropped or not (stack.blocks and stack[stack.blocks[-1]].tag in PARAGRAPHS)
         block = tag in BLOCKS
         if attributes.strip(" /\n\t\r"):
             found = {a[0].lower(): entities.unescape(a[1] or a[2] or a[3]) for a in ATTRIBUTE.findall(attributes)}
@@ -199,19 +224,58 @@ def parse(page: str) -> tuple[Element, list[Element]]:
             words = frozenset(re.split(r"[^a-z]+", names)) if names.strip() else words
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
             role = frozenset(found.get("role", "").lower().split())
-            dropped = dropped or bool(hidden or role & DROPPED_ROLES or (block and tag != "body" and is_dropped(names, tag in PARAGRAPHS)))
+            said = named(names, tag in PARAGRAPHS) if block and tag != "body" else ""
+            dropped = dropped or bool(hidden or role & DROPPED_ROLES or (said == "dropped" and tag not in WHOLE))
+            doubted = doubted or bool(said)
             path = "." + ".".join(sorted({re.sub(r"\d+", "0", c) for c in found["class"].lower().split()})) if found.get("class", "").strip() else ""
         path = f"{parent.path}>{tag}{path}" if block else parent.path
         if block and len(stack) >= MAX_DEPTH:
             path = "#" + blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-        element = Element(tag, parent, path, words, dropped)
+        element = Element(tag, parent, path, words, dropped, doubted)
         parent.items.append(element)
         stack.push(element)
+        if doubted and not dropped:
+            doubts.append(element)
         if tag in CONTAINERS and not dropped:
             containers.append(element)
+    if doubts:
+        decide(root, doubts)
+        containers = [e for e in containers if not e.dropped]
     return root, containers
 
 
+#: A doubted element stays if it has so many characters outside links, and those outside of all that is doubted are less
+#: than this share of its own; one named for readers' comments only if there are hardly any.
+LEAST_TEXT, OUTSIDE, HARDLY_ANY = 250, 0.25, 140
+
+
+def decide(root: Element, doubts: list[Element]) -> None:
+    """Drop doubted elements, but for those that hold the page's text; of several the one with most text decides first."""
+    whole: dict[int, int] = {}  # characters outside links, below an element
+    clear: dict[int, int] = {}  # of these, outside doubted elements below it
+    order, todo = [], [(root, False)]
+    while todo:
+        e, linked = todo.pop()
+        order.append((e, linked))
+        todo.extend((x, linked or x.tag == "a") for x in e.items if x.__class__ is Element and not x.dropped)
+    for e, linked in reversed(order):
+        own = 0 if linked else sum(len(x) for x in e.items if x.__class__ is str and not x.isspace())
+        below = [x for x in e.items if x.__class__ is Element and not x.dropped]
+        whole[id(e)] = own + sum(whole[id(x)] for x in below)
+        clear[id(e)] = own + sum(clear[id(x)] for x in below if not x.doubted)
+    outside, gone = clear[id(root)], set()
+    for e in sorted((e for e in doubts if id(e) in whole), key=lambda e: -whole[id(e)]):
+        text = whole[id(e)]
+        stays = text >= LEAST_TEXT and outside < OUTSIDE * text and not (e.words & READER_WORDS and outside >= HARDLY_ANY)
+        if stays:
+            outside += clear[id(e)]
+        else:
+            gone.add(id(e))
+    for e, _ in order:  # parents come before what is in them
+        if id(e) in gone or (e.parent and e.parent.dropped):
+            e.dropped = True
+
+
 def _measure(root: Element) -> None:
     """Characters below each element and container scores; iterative, so depth is no limit."""
     order, todo = [], [(root, False)]
@@ -237,7 +301,7 @@ def _measure(root: Element) -> None:
 
 
 def _weight(e: Element) -> float:
-    return {"article": 3.0, "main": 2.0, "body": 0.5}.get(e.tag, 1.0) * (1.5 if e.words & FAVOURED_WORDS else 1.0)
+    return {"article": 3.0, "main": 2.0, "body": 0.5}.get(e.tag, 1.0) * (1.5 if e.words & FAVOURED_WORDS else 1.0) * (0.9 if e.doubted else 1.0)
 
 
 def best_container(containers: list[Element]) -> Element | None:
@@ -308,7 +372,8 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     """page_id, url, text, n_chars of every row.
 
     A null or empty page has an empty text; a null url is a host of its own; repeated rows vote as often as they occur.
-    Broken, unclosed or truncated markup is read as far as it goes.  Other columns are ignored.  The winning paths are
+    Broken, unclosed or truncated markup is read as far as it goes, and pages of any length or depth whole.  Other columns
+    are ignored; an empty df gives no rows.  The winning paths are
     written first, so that Spark knows their size when it chooses between a broadcast and a shuffled join.
     """
     in_small_batches(df.sparkSession)

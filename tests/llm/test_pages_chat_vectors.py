@@ -2,6 +2,7 @@
 
 import html as entities
 import itertools
+import random
 import re
 import time
 from html.parser import HTMLParser
@@ -310,3 +311,36 @@ def test_odd_vectors(spark):
     found = [tuple(r) for r in forest.nearest(df).orderBy("query_id", "rank").collect()]
     assert found == [(0, 1, 20, 4.0), (0, 2, 1, 3.0), (0, 3, 2, 3.0), (20, 1, 0, 4.0), (20, 2, 1, 3.0), (20, 3, 2, 3.0)]
     assert forest.nearest(df.limit(0)).count() == 0
+
+
+ARTICLE = "A long sentence of the article, which goes on for quite some time. " * 6
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div class="content-sidebar-wrap"><main>{}</main></div>', '<div id="page" class="has-sidebar">{}</div>', '<main class="site-main no-sidebar">{}</main>',
+        '<div class="wrapper nav-fixed">{}</div>', '<div id="page" class="menu-closed">{}</div>', '<article class="post tag-cookies">{}</article>', '<article class="post comments-open">{}</article>',
+        '<form id="aspnetForm"><input type="hidden" value="x"><div>{}</div></form>', "<body><!-->{}", "<body><!--->{}", "<body><!-- x --!>{}", "<body><svg><svg><text>in</text></svg><text>out</text></svg>{}",
+        '<div class="page-with-sidebar"><div class="sidebar-inner"><p>Some words beside it.</p></div>{}<div class="blog-comments"><p>' + "A reader writes much. " * 60 + "</p></div></div>",
+        '{}<form class="search"><label>Find</label><input></form><div class="cookie-banner"><p>We use cookies. ' + "And more. " * 40 + "</p></div>",
+    ],
+)
+def test_names_do_not_drop_the_article(page):
+    assert html.extract(page.format(f"<p>{ARTICLE}</p>"), None) == " ".join(ARTICLE.split())
+
+
+def test_random_names_on_the_wrapper():
+    """Whatever a wrapper's state classes say, the text in it stays, and boxes of nothing but such words go."""
+    rng = random.Random(4)
+    listed = sorted(html.DROPPED_WORDS)
+    for _ in range(200):
+        state = f"{rng.choice(['has', 'no', 'with', 'is', 'tag'])}-{rng.choice(listed)}"
+        box = f"{rng.choice(listed)}-{rng.choice(sorted(html.PLACE_WORDS))}"
+        wrapper = rng.choice(["div", "section", "main", "article"])
+        page = f'<body><{wrapper} class="{state}"><p>{ARTICLE}</p><div class="{box}"><p>Not this.</p></div></{wrapper}>'
+        assert html.extract(page, None) == " ".join(ARTICLE.split()), page
+
+
+def test_labels_stay_in_sentences():
+    assert html.extract(f"<p>{ARTICLE}Press <label>Enter</label> twice.</p><label for=x>Name</label>", None).endswith("time. Press Enter twice.")
