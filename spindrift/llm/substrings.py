@@ -154,14 +154,16 @@ def _shared_minimizers(docs: DataFrame, window: int) -> DataFrame:
     return found.groupBy("t").agg(F.collect_set("mini").alias("minis"))
 
 
-EDGES = "edge long, nodes long, doc_id long, at long, members array<struct<doc_id: long, at: long>>"
+#: The bits of a node that count; all of them, but in tests of what collisions do.
+NODE_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+EDGES = "edge long, src long, dst long, doc_id long, at long, members array<struct<doc_id: long, at: long>>"
 
 
 def _edges(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     """EDGES: windows under shared minimizers, one row for each edge of a slice of rows.
 
-    doc_id and at (the tag and the place of the first word) are the least, members the others of the slice.  nodes has
-    32 bits of either node: enough to see where the graph branches, as a collision only parts a path in two.
+    doc_id and at (the tag and the place of the first word) are the least, members the others of the slice.  src and dst
+    are the nodes' hashes: two nodes of one hash only part a path in two.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,16 +180,16 @@ def _edges(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
             grams = gram_hashes(rows.hashes, window - 1, 2)
             src, dst = grams[first], grams[first + 1]
             edge = _mix(src * np.uint64(_BASE) ^ (dst + (src >> np.uint64(32)))).view(np.int64)
-            nodes = (src & np.uint64(0xFFFFFFFF00000000) | dst >> np.uint64(32)).view(np.int64)
+            src, dst = (src & NODE_MASK).view(np.int64), (dst & NODE_MASK).view(np.int64)
             row = rows.row[first]
             doc_id, at = batch.column(0).to_numpy()[row], (batch.column(1).to_numpy()[row].astype(np.int64) << 32) + first - rows.first[row]
             order = np.lexsort((at, doc_id, edge))
-            edge, nodes, doc_id, at = edge[order], nodes[order], doc_id[order], at[order]
+            edge, src, dst, doc_id, at = edge[order], src[order], dst[order], doc_id[order], at[order]
             new = np.append(True, edge[1:] != edge[:-1])[: len(edge)]
             others = np.append(0, np.cumsum(np.diff(np.append(np.flatnonzero(new), len(edge))) - 1)).astype(np.int32)
             rest = pa.StructArray.from_arrays([pa.array(doc_id[~new]), pa.array(at[~new])], ["doc_id", "at"])
             members = pa.ListArray.from_arrays(pa.array(others), rest)
-            yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (edge, nodes, doc_id, at)] + [members], ["edge", "nodes", "doc_id", "at", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (edge, src, dst, doc_id, at)] + [members], ["edge", "src", "dst", "doc_id", "at", "members"])
 
     return docs.join(shared, ["doc_id", "t"]).select("doc_id", "tag", "data", "minis").mapInArrow(run, EDGES)
 
@@ -228,10 +230,10 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     met = Window.partitionBy("edge")
     own, high = F.min(F.struct("doc_id", "at")).over(met), F.max(F.greatest("doc_id", F.array_max("members")["doc_id"])).over(met)
     kept = _edges(docs, shared, window).withColumns({"own": own, "high": high}).where("own.doc_id < high")
-    kept = materialize(in_fewer_files(kept.select("nodes", "doc_id", "at", "members", F.col("own.doc_id").alias("odoc"), F.col("own.at").alias("oat"))), "edges")
+    kept = materialize(in_fewer_files(kept.select("src", "dst", "doc_id", "at", "members", F.col("own.doc_id").alias("odoc"), F.col("own.at").alias("oat"))), "edges")
     discard(shared)
     # Nonbranching nodes: one way in, one way out, and consecutive source coordinates.
-    graph = kept.where("doc_id = odoc and at = oat").select(F.shiftrightunsigned("nodes", 32).alias("src"), F.col("nodes").bitwiseAND(F.lit(0xFFFFFFFF)).alias("dst"), "odoc", "oat").distinct()
+    graph = kept.where("doc_id = odoc and at = oat").select("src", "dst", "odoc", "oat").distinct()
     ways_out = graph.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("odoc"), F.min("oat").alias("oat")).where("n = 1")
     ways_in = graph.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("odoc").alias("idoc"), F.min("oat").alias("iat")).where("n = 1")
     inner = ways_out.join(ways_in.drop("n"), "node").where("odoc = idoc and oat = iat + 1").select("odoc", "oat", F.lit(0).alias("head"))
