@@ -31,6 +31,8 @@ SEED = 42
 PARTS, PART_SIZE, WIDE = 8, 4, 16
 #: Fingerprints that one group of a signature, or one chunk of the wide ones, may hold before it is dealt out again.
 GROUP_LIMIT, CHUNK = 8192, 512
+#: Chunks that one task takes of a pair of parts, one after another.
+PIECES = 8
 MOST_TASKS = 100_000
 
 
@@ -303,31 +305,43 @@ def wide_distance(similarity: float, deviations: float = 0.0) -> int:
     return max(0, round(n * p + deviations * math.sqrt(n * p * (1 - p))))
 
 
-WIDE_LINKS = "a long, b long, part long, key long, sure boolean"
+WIDE_LINKS = "a long, b long, group long, sure boolean"
+#: Of fingerprints within so many bits of each other one stays for the next chunk.
+NET = 30
 
 
-def _wide_links(n_keys: int, similarity: float, chunk: int):
-    """Rows (key..., fp, wide) sorted by key: links of each group; with a salted key also its roots, b null.
+def net_of(bits: np.ndarray, root: np.ndarray, within: int = NET) -> np.ndarray:
+    """Places, roots first, of which none is within so many bits of another, while every other place is of one of them."""
+    own = root == np.arange(len(root))
+    rest, kept = np.concatenate([np.flatnonzero(own), np.flatnonzero(~own)]), []
+    while len(rest):
+        kept.append(rest[0])
+        rest = rest[1:][np.bitwise_count(bits[rest[1:]] ^ bits[rest[0]]).sum(axis=1) > within]
+    return np.array(kept, np.int64)
+
 
-    A group is taken in chunks, and the roots of a chunk stay for the next one.
+def _wide_links(similarity: float, chunk: int):
+    """Rows (group, salt, salts, fp, wide) sorted by these: links of each group; of a salted one also its net, b null.
+
+    A group is taken in chunks, and a net over the chunk stays for the next one: what is near a text that went is nearly as
+    near to one that stays.
     """
     sure, loose = wide_distance(similarity, -3), wide_distance(similarity, 2.5)
     heads = [f.split()[0] for f in WIDE_LINKS.split(", ")]
 
-    def batch(a, b, key, certain) -> pa.RecordBatch:
+    def batch(a, b, group, certain) -> pa.RecordBatch:
         n, long = len(a), pa.int64()
-        keys = [pa.array(np.full(n, k), long) for k in key[:2]] if b is None else [pa.nulls(n, long)] * 2
-        return pa.RecordBatch.from_arrays([pa.array(a, long), pa.nulls(n, long) if b is None else pa.array(b, long), *keys, pa.array(np.full(n, certain))], heads)
+        return pa.RecordBatch.from_arrays([pa.array(a, long), pa.nulls(n, long) if b is None else pa.array(b, long), pa.array(np.full(n, group), long), pa.array(np.full(n, certain))], heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, kept_key = None, None
-        salted = lambda: kept is not None and n_keys == 4 and kept_key[3] > 1
-        for key, rows, _ in _runs(batches, n_keys, chunk):
-            fps = rows.column(n_keys).to_numpy()
-            bits = np.frombuffer(b"".join(rows.column(n_keys + 1).to_pylist()), np.uint64).reshape(-1, WIDE)
+        salted = lambda: kept is not None and kept_key[2] > 1
+        for key, rows, _ in _runs(batches, 3, chunk):
+            fps = rows.column(3).to_numpy()
+            bits = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(-1, WIDE)
             if key != kept_key:
                 if salted():
-                    yield batch(kept[0], None, kept_key, False)
+                    yield batch(kept[0], None, kept_key[0], False)
                 kept, kept_key = None, key
             if kept is not None:
                 fps, bits = np.concatenate([kept[0], fps]), np.concatenate([kept[1], bits])
@@ -335,11 +349,11 @@ def _wide_links(n_keys: int, similarity: float, chunk: int):
             for a, b, certain in ((found, by, True), (*doubtful_links(bits, root, loose), False)):
                 other = fps[a] != fps[b]
                 if other.any():
-                    yield batch(fps[a][other], fps[b][other], key, certain)
-            roots = root == np.arange(len(root))
-            kept = fps[roots], bits[roots]
+                    yield batch(fps[a][other], fps[b][other], key[0], certain)
+            net = net_of(bits, root)
+            kept = fps[net], bits[net]
         if salted():
-            yield batch(kept[0], None, kept_key, False)
+            yield batch(kept[0], None, kept_key[0], False)
 
     return run
 
@@ -348,26 +362,36 @@ def part_links(docs: DataFrame, similarity: float, chunk: int = CHUNK, hold: Cal
     """(a, b, sure): links between fingerprints of docs (fp, keys, wide) that share a part and are similar by the wide bits.
 
     Parts are counted before any group meets.  One that many documents hold is salted into chunks of about ``chunk``
-    rows; then only the chunks' roots meet, again by every pair of parts.  Nothing is dropped from large groups.  Links
-    that are not sure lie within a few standard deviations of the similarity.
+    rows, and all its documents meet again by every pair of parts.  A pair of parts that very many hold is salted once
+    more, and of each of its pieces a net meets the others.  Links that are not sure lie within a few standard deviations
+    of the similarity.
     """
-    names = ["part", "key", "salt", "salts"]
+    names = ["group", "salt", "salts"]
     nodes = hold(docs.select("fp", "keys", "wide").distinct())
-    keyed = nodes.select("fp", "wide", F.posexplode("keys").alias("part", "key")).withColumn("part", F.col("part").cast("long"))
-    counts = nodes.select(F.posexplode("keys").alias("part", "key")).groupBy(F.col("part").cast("long").alias("part"), "key").agg(F.count("*").alias("n"))
-    shared = counts.where("n > 1").select("part", "key", F.ceil(F.col("n") / chunk).cast("long").alias("salts"))
-    met = keyed.join(shared, ["part", "key"]).withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")))
-    first = met.select(*names, "fp", "wide").repartition(*names).sortWithinPartitions(*names).mapInArrow(_wide_links(4, similarity, chunk), WIDE_LINKS)
-    first = settle(first, "near")
-    over, found = first.where("b is null"), first.where("b is not null").select("a", "b", "sure")
-    if over.isEmpty():
+    part = lambda keys: F.posexplode(keys).alias("part", "key")
+
+    def sized(rows: DataFrame, most: int) -> DataFrame:
+        """rows (group, fp) of groups of two or more, with salts, the pieces of about ``most`` rows in a group."""
+        counts = rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+        return rows.join(counts.select("group", F.ceil(F.col("n") / most).cast("long").alias("salts")), "group")
+
+    def met(rows: DataFrame) -> DataFrame:
+        dealt = rows.join(nodes.select("fp", "wide"), "fp").select("group", F.pmod(F.xxhash64("fp", "group"), F.col("salts")).alias("salt"), "salts", "fp", "wide")
+        return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(_wide_links(similarity, chunk), WIDE_LINKS)
+
+    by_part = sized(nodes.select("fp", part("keys")).select(F.xxhash64("part", "key").alias("group"), "fp"), chunk)
+    first = settle(met(by_part), "near")
+    found = first.where("b is not null").select("a", "b", "sure")
+    if first.where("b is null").isEmpty():
         return found
-    pairs = over.select(F.col("a").alias("fp"), "part", "key").distinct().join(nodes, "fp").select("part", "key", F.posexplode("keys").alias("part2", "key2"), "fp", "wide")
-    names = ["part", "key", "other"]
-    packed = pairs.where("part2 <> part").select("part", "key", F.xxhash64("part2", "key2").alias("other"), "fp", "wide")
-    second = packed.repartition(*names).sortWithinPartitions(*names).mapInArrow(_wide_links(3, similarity, chunk), WIDE_LINKS)
-    out = settle(found.unionByName(second.select("a", "b", "sure")), "near")
+    over = by_part.where("salts > 1").select("group", "fp").join(nodes.select("fp", "keys"), "fp")
+    pairs = over.select(F.col("group").alias("one"), "fp", part("keys")).withColumn("two", F.xxhash64("part", "key")).where("one <> two")
+    second = settle(met(sized(pairs.select(F.xxhash64("one", "two").alias("group"), "fp"), PIECES * chunk)), "near")
+    nets = second.where("b is null").select("group", F.col("a").alias("fp")).distinct().withColumn("salts", F.lit(1).cast("long"))
+    parts = [found, second.where("b is not null").select("a", "b", "sure"), met(nets).where("b is not null").select("a", "b", "sure")]
+    out = settle(parts[0].unionByName(parts[1]).unionByName(parts[2]), "near")
     discard(first)
+    discard(second)
     return out
 
 
