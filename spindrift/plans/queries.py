@@ -113,6 +113,51 @@ def class_callers(spark, sf_dir):
     return lookup.class_callers(ix, KLASS, _name_of(ix, KLASS))
 
 
+METHOD = "(SELECT min(symbol_id) FROM symbols WHERE kind = 'method')"
+PARTS = f"""me AS (SELECT * FROM located WHERE symbol_id = (SELECT min(symbol_id) FROM symbols WHERE name = (SELECT name FROM symbols WHERE symbol_id = {{symbol}})))"""
+
+
+@query(f"""WITH {LOCATED}, {SITES}, {PARTS.format(symbol=METHOD)},
+cal AS (SELECT * FROM sites WHERE callee_last = (SELECT name FROM me) ORDER BY {SITE_SORT} LIMIT 30)
+SELECT 'symbol' AS part, qualified_name AS label, CAST(line_start AS int) AS line FROM me
+UNION ALL SELECT 'sibling', name, line_start FROM (SELECT s.* FROM symbols s, me WHERE s.parent_id = me.parent_id AND s.symbol_id <> me.symbol_id ORDER BY s.line_start, s.symbol_id LIMIT 20)
+UNION ALL SELECT 'caller', concat_ws(' ', rel_path, callee_expr), line_no FROM cal
+UNION ALL SELECT 'callee', c.callee_expr, c.line_no FROM calls c JOIN files f USING (file_id), me WHERE c.caller_id = me.symbol_id
+UNION ALL SELECT 'finding', d.message, d.line_no FROM diagnostics d, me WHERE d.file_id = me.file_id AND d.line_no BETWEEN me.line_start AND me.line_end AND d.is_resolved = 0
+UNION ALL SELECT 'ref', r.target, r.line_no FROM refs r, me WHERE r.symbol_id = me.symbol_id""", "files", "symbols", "calls", "refs", "diagnostics")
+def context_symbol(spark, sf_dir):
+    """All that get_context tells of a function or method, as rows."""
+    ix = index(spark, sf_dir)
+    found = lookup.context(ix, ix.symbols.where("kind = 'method'").orderBy("symbol_id").first()["name"])
+    return _context_rows(spark, found, {"siblings": ("sibling", "name", "line_start"), "callees": ("callee", "callee_expr", "line_no"), "diagnostics": ("finding", "message", "line_no"), "refs": ("ref", "target", "line_no")})
+
+
+@query(f"""WITH {LOCATED}, {SITES}, {PARTS.format(symbol=KLASS)}, {CLASS_SITES.format(kinds='', limit=30)}
+SELECT 'symbol' AS part, qualified_name AS label, CAST(line_start AS int) AS line FROM me
+UNION ALL SELECT 'member', concat_ws(' ', s.kind, s.name), s.line_start FROM symbols s WHERE s.parent_id = {KLASS}
+UNION ALL SELECT 'sibling', name, line_start FROM (SELECT s.* FROM symbols s, me WHERE s.file_id = me.file_id AND s.parent_id IS NULL AND s.symbol_id <> me.symbol_id ORDER BY s.line_start, s.symbol_id LIMIT 20)
+UNION ALL SELECT 'caller', concat_ws(' ', rel_path, callee_expr), line_no FROM direct
+UNION ALL SELECT 'callee', concat_ws(' ', s.name, c.callee_expr), c.line_no FROM calls c JOIN symbols s ON s.symbol_id = c.caller_id WHERE s.parent_id = {KLASS}
+UNION ALL SELECT 'finding', d.message, d.line_no FROM diagnostics d, me WHERE d.file_id = me.file_id AND d.line_no BETWEEN me.line_start AND me.line_end AND d.is_resolved = 0""", "files", "symbols", "calls", "diagnostics")
+def context_class(spark, sf_dir):
+    """All that get_context tells of a class, as rows."""
+    ix = index(spark, sf_dir)
+    found = lookup.context(ix, _name_of(ix, KLASS))
+    found["members"] = found["members"].withColumn("name", F.concat_ws(" ", "kind", "name"))
+    found["callees"] = found["callees"].withColumn("callee_expr", F.concat_ws(" ", "from_method", "callee_expr"))
+    return _context_rows(spark, found, {"members": ("member", "name", "line_start"), "siblings": ("sibling", "name", "line_start"), "callees": ("callee", "callee_expr", "line_no"), "diagnostics": ("finding", "message", "line_no")})
+
+
+def _context_rows(spark, found: dict, parts: dict[str, tuple[str, str, str]]) -> DataFrame:
+    symbol = found["symbol"]
+    out = spark.range(1).select(F.lit("symbol").alias("part"), F.lit(symbol["qualified_name"]).alias("label"), F.lit(symbol["line_start"]).cast("int").alias("line"))
+    out = out.unionByName(found["callers"].select(F.lit("caller").alias("part"), F.concat_ws(" ", "rel_path", "callee_expr").alias("label"), F.col("line_no").alias("line")))
+    for key, (part, label, line) in parts.items():
+        if found.get(key) is not None:
+            out = out.unionByName(found[key].select(F.lit(part).alias("part"), F.col(label).alias("label"), F.col(line).alias("line")))
+    return out
+
+
 # -- impact ---------------------------------------------------------------------------------------------------------------
 
 HOPS = f"""direct AS (SELECT {SITE_COLUMNS} FROM sites WHERE callee_last = (SELECT name FROM symbols WHERE symbol_id = {KLASS}) ORDER BY {SITE_SORT} LIMIT 50),
@@ -439,6 +484,17 @@ def custom_rule(spark, sf_dir):
     return rules.findings(index(spark, sf_dir), rules.Rule("LONG_GEAR", "Long gear", USER_RULE, "error")).drop("first_seen", "last_seen")
 
 
+DIALECT_RULE = """SELECT file_id, sum(complexity) / count(*) AS mean, total(line_start) / 4 AS lines, max(min(line_start), 120) AS low, ifnull(7 / (count(*) - 1), -1) AS odd, count(*) AS n
+FROM symbols WHERE name GLOB '*_g[ei]*_?[0-4]' AND NOT name LIKE 'HOT%' GROUP BY file_id"""
+
+
+@query("""SELECT file_id, CAST(sum(complexity) // count(*) AS bigint) AS mean, CAST(sum(line_start) AS double) / 4 AS lines, CAST(greatest(min(line_start), 120) AS int) AS low, CASE WHEN count(*) > 1 THEN 7 // (count(*) - 1) ELSE -1 END AS odd, count(*) AS n
+FROM symbols WHERE regexp_matches(name, '_g[ei].*_.[0-4]$') AND NOT name ILIKE 'hot%' GROUP BY file_id""", "files", "symbols")
+def rule_dialect(spark, sf_dir):
+    """A user's rule with SQLite's whole division, total, max of two values and GLOB."""
+    return rules.query_sql(index(spark, sf_dir), DIALECT_RULE)
+
+
 @query(f"""WITH {LOCATED} SELECT file_id, 'LARGE_SYMBOL' AS rule_id, concat(qualified_name, ': ', concat_ws(', ', CASE WHEN line_end - line_start > 50 THEN concat(line_end - line_start, ' lines') END, CASE WHEN complexity > 15 THEN concat('complexity ', complexity) END)) AS message
 FROM located WHERE kind IN ('function', 'method') AND (line_end - line_start > 50 OR complexity > 15)""", "files", "symbols")
 def rule_messages(spark, sf_dir):
@@ -562,6 +618,47 @@ def calls_broken(spark, sf_dir):
     return history.calls_broken(old, new, symbols)
 
 
+ADDED = "SELECT f AS path FROM newk WHERE key NOT IN (SELECT key FROM oldk)"
+REMOVED = "SELECT f AS path FROM oldk WHERE key NOT IN (SELECT key FROM newk)"
+MODIFIED = "SELECT a.f AS path, b.f AS path2 FROM oldk a JOIN newk b USING (key) WHERE a.f <> b.f OR a.k <> b.k"
+
+
+@query(f"""WITH {ALL_EDGES} SELECT 'symbols_added' AS what, count(*) AS n FROM ({ADDED}) UNION ALL SELECT 'symbols_removed', count(*) FROM ({REMOVED}) UNION ALL SELECT 'symbols_modified', count(*) FROM ({MODIFIED})
+UNION ALL SELECT 'calls_added', count(*) FROM newe n WHERE NOT EXISTS (SELECT 1 FROM olde o WHERE o.cr = n.cr AND o.ce = n.ce)
+UNION ALL SELECT 'calls_broken', count(*) FROM olde o WHERE NOT EXISTS (SELECT 1 FROM newe n WHERE o.cr = n.cr AND o.ce = n.ce) AND cr IN (SELECT name FROM news)
+UNION ALL SELECT 'files_changed', count(DISTINCT path) FROM ({ADDED} UNION ALL {REMOVED} UNION ALL SELECT path FROM ({MODIFIED}) UNION ALL SELECT path2 FROM ({MODIFIED})) WHERE path <> ''""", "files", "symbols", "calls")
+def diff_summary(spark, sf_dir):
+    old_symbols, old_calls, new_symbols, new_calls = _states(spark, sf_dir)
+    return history.diff(old_symbols, old_calls, new_symbols, new_calls)["summary"]
+
+
+@query(f"""WITH {LOCATED}, now AS (SELECT rel_path AS f, name AS n, kind AS k FROM located), old AS (SELECT rel_path AS f, concat('was_', name) AS n, kind AS k FROM located WHERE rel_path IN ('mod_10.py', 'pkg3/mod_12.py', 'mod_20.py'))
+SELECT f, count(*) AS symbols, min(n) AS first_name FROM (SELECT * FROM now WHERE f NOT IN ('mod_10.py', 'pkg3/mod_12.py', 'mod_20.py') UNION ALL SELECT * FROM old) GROUP BY f""", "files", "symbols")
+def state_with_files(spark, sf_dir):
+    """An earlier state: some files as they were then, all others as they are."""
+    now, paths = history.symbol_state(index(spark, sf_dir)), ["mod_10.py", "pkg3/mod_12.py", "mod_20.py"]
+    then = now.where(F.col("f").isin(paths)).withColumn("n", F.concat(F.lit("was_"), "n"))
+    return history.state_with_files(now, then, paths).groupBy("f").agg(F.count("*").alias("symbols"), F.min("n").alias("first_name"))
+
+
+@query("""WITH r AS (SELECT DISTINCT p_brand AS rule_id, p_type AS severity FROM (SELECT p_brand, min(p_type) AS p_type FROM part GROUP BY p_brand)) SELECT rule_id, concat('rule ', rule_id) AS name, CASE WHEN rule_id LIKE '%1' THEN 'error' ELSE severity END AS severity,
+CASE WHEN rule_id LIKE '%1' THEN 'new' ELSE 'old' END AS sql, CAST(1 AS int) AS is_builtin FROM r UNION ALL SELECT 'OWN', 'own', 'info', 'new', CAST(0 AS int)""")
+def rules_upsert(spark, sf_dir):
+    """Rules that exist get what is new but keep whether they are built in; others come in."""
+    old = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("rule_id")).agg(F.min("p_type").alias("severity")).selectExpr("rule_id", "concat('rule ', rule_id) AS name", "severity", "'old' AS sql", "1 AS is_builtin")
+    new = old.where("rule_id like '%1'").withColumns({"severity": F.lit("error"), "sql": F.lit("new"), "is_builtin": F.lit(0)})
+    own = spark.range(1).selectExpr("'OWN' AS rule_id", "'own' AS name", "'info' AS severity", "'new' AS sql", "0 AS is_builtin")
+    return history.upsert(old, new.unionByName(own), ["rule_id"], keep=["is_builtin"]).withColumn("is_builtin", F.coalesce("is_builtin", F.lit(0)))
+
+
+@query("""SELECT rule_id, count(*) AS n, min(message) AS first_message FROM (SELECT rule_id, message FROM diagnostics WHERE rule_id NOT IN ('1-URGENT', '2-HIGH') UNION ALL SELECT rule_id, concat('again ', message) FROM diagnostics WHERE rule_id = '2-HIGH' AND file_id % 3 = 0) GROUP BY rule_id""", "diagnostics")
+def findings_replaced(spark, sf_dir):
+    """Two rules ran again: one finds less, the other nothing."""
+    old = index(spark, sf_dir).diagnostics
+    again = old.where("rule_id = '2-HIGH' and file_id % 3 = 0").withColumn("message", F.concat(F.lit("again "), "message"))
+    return rules.replace_findings(old, again, ["1-URGENT", "2-HIGH"]).groupBy("rule_id").agg(F.count("*").alias("n"), F.min("message").alias("first_message"))
+
+
 @query("SELECT o_orderkey AS snapshot_id, o_orderpriority AS name FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
 def retention(spark, sf_dir):
     taken = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS snapshot_id", "o_orderpriority AS name", "o_orderdate AS created_at")
