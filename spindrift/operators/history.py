@@ -28,6 +28,26 @@ def call_state(ix: Index) -> DataFrame:
     return ix.call_sites().select(F.col("caller_name").alias("cr"), F.col("callee_expr").alias("ce"), F.col("rel_path").alias("f"), F.col("line_no").alias("l"))
 
 
+#: Buckets of a state, by the hash of what a diff matches rows by; so each bucket can be compared by itself.
+STATE_BUCKETS = 16
+STATE_KEYS = {"snapshot_symbols": ("p", "n"), "snapshot_calls": ("cr", "ce")}
+
+
+def bucketed(what: str, state: DataFrame) -> DataFrame:
+    key = [text.qualified(F.col("p"), F.col("n"))] if what == "snapshot_symbols" else [F.col(c) for c in STATE_KEYS[what]]
+    return state.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(STATE_BUCKETS)).cast("int"))
+
+
+def state_digests(states: dict[str, DataFrame]) -> DataFrame:
+    """(what, bucket, digest) of bucketed states: a sum over row hashes, whatever their order."""
+    out = None
+    for what, df in states.items():
+        row = F.xxhash64(*[c for c in df.columns if c != "bucket"]).cast("decimal(38,0)")
+        part = df.groupBy("bucket").agg(F.concat_ws(":", F.count("*"), F.sum(row)).alias("digest")).select(F.lit(what).alias("what"), "bucket", "digest")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def snapshot_name(now: datetime) -> str:
     return f"snapshot_{now:%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:6]}"
 
@@ -79,11 +99,14 @@ def calls_broken(old: DataFrame, new: DataFrame, new_symbols: DataFrame) -> Data
     return gone.withColumn("last", text.last_segment(F.col("callee"))).join(there, "last", "left").select("caller", "callee", "rel_path", "line_no", F.coalesce("there", F.lit(0)).alias("callee_still_exists"))
 
 
-def diff(old_symbols: DataFrame, old_calls: DataFrame, new_symbols: DataFrame, new_calls: DataFrame) -> dict[str, DataFrame]:
-    """The five kinds of structural change, the files they touch, and their counts."""
+def diff(old_symbols: DataFrame, old_calls: DataFrame, new_symbols: DataFrame, new_calls: DataFrame, names: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The five kinds of structural change, the files they touch, and their counts.
+
+    Of both sides all buckets that are equal may be left out; names then has all new symbols, for calls that broke.
+    """
     out = {
         "symbols_added": symbols_added(old_symbols, new_symbols), "symbols_removed": symbols_removed(old_symbols, new_symbols), "symbols_modified": symbols_modified(old_symbols, new_symbols),
-        "calls_broken": calls_broken(old_calls, new_calls, new_symbols), "calls_added": calls_added(old_calls, new_calls),
+        "calls_broken": calls_broken(old_calls, new_calls, new_symbols if names is None else names), "calls_added": calls_added(old_calls, new_calls),
     }
     touched = out["symbols_added"].select("rel_path").union(out["symbols_removed"].select("rel_path"))
     touched = touched.union(out["symbols_modified"].select(F.explode(F.array("old_file", "new_file"))))

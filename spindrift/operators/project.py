@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..schema import SCHEMAS
 from ..sources import config as project_config
 from ..sources import files as source_files
@@ -204,10 +205,37 @@ class Project:
         row = self.spark.createDataFrame([(sid, name, git_commit, now, round(size, 1))], SCHEMAS["snapshots"])
         kept = history.keep_newest(old.unionByName(row), keep)
         stay = {r["snapshot_id"] for r in kept.select("snapshot_id").collect()}  # at most ``keep``
-        gone = tuple(str(r["snapshot_id"]) for r in old.select("snapshot_id").collect() if r["snapshot_id"] not in stay)
-        self.store.commit({"snapshots": kept}, {k: df.withColumn("snapshot_id", F.lit(sid)) for k, df in states.items()}, label=str(sid), dropped=gone)
+        # A bucket that the newest snapshot has too stays where it is; its rows are written once.
+        states = {k: history.bucketed(k, df) for k, df in states.items()}
+        listed = self.store.read("snapshot_buckets")
+        last = old.agg(F.max_by("snapshot_id", F.struct("created_at", "snapshot_id")).alias("m")).first()["m"]
+        before = listed.where(F.col("snapshot_id") == F.lit(last)).select("what", "bucket", "digest", "home")
+        own = history.state_digests(states).join(before, ["what", "bucket", "digest"], "left").select(F.lit(sid).cast("long").alias("snapshot_id"), "what", "bucket", "digest", F.coalesce("home", F.lit(sid).cast("long")).alias("home"))
+        rows = [tuple(r) for r in own.collect()]  # a row a bucket
+        fresh = {k: [r[2] for r in rows if r[1] == k and r[4] == sid] for k in states}
+        buckets = listed.where(F.col("snapshot_id").isin(*stay)).unionByName(self.spark.createDataFrame(rows, SCHEMAS["snapshot_buckets"]))
+        homes = {r["home"] for r in buckets.select("home").distinct().collect()}
+        label = lambda folder: folder.rsplit("/", 1)[1].split("-")[0]
+        gone = tuple({x for k in states for x in map(label, self.store.folders(k)) if int(x) not in stay | homes})
+        added = {k: df.where(F.col("bucket").isin(fresh[k])).withColumn("snapshot_id", F.lit(sid)).sortWithinPartitions("bucket") for k, df in states.items()}
+        self.store.commit({"snapshots": kept, "snapshot_buckets": buckets}, added, label=str(sid), dropped=gone)
         return name
 
+    def _against(self, snapshot_id: int, ix: Index) -> dict[str, DataFrame]:
+        """Changes since a snapshot: only buckets whose digests differ are read, on either side."""
+        now = {"snapshot_symbols": history.bucketed("snapshot_symbols", history.symbol_state(ix)), "snapshot_calls": history.bucketed("snapshot_calls", history.call_state(ix))}
+        then = self.store.read("snapshot_buckets").where(F.col("snapshot_id") == snapshot_id)
+        there = {(r["what"], r["bucket"]): (r["digest"], r["home"]) for r in then.collect()}
+        here = {(r["what"], r["bucket"]): r["digest"] for r in history.state_digests(now).collect()}
+        differ = [key for key in {*there, *here} if here.get(key) != there.get(key, (None,))[0]]
+        sides = []
+        for what in now:
+            places = [(b, there[what, b][1]) for w, b in differ if w == what and (what, b) in there]
+            mine = text.any_of([(F.col("bucket") == b) & (F.col("snapshot_id") == home) for b, home in places])
+            sides.append(self.store.read(what).where(mine).drop("snapshot_id", "bucket"))
+        sides += [now[what].where(F.col("bucket").isin([b for w, b in differ if w == what])).drop("bucket") for what in now]
+        return history.diff(*sides, names=now["snapshot_symbols"])
+
     def snapshots(self, limit: int = 20) -> DataFrame:
         return self.store.read("snapshots").orderBy(F.desc("created_at")).limit(limit).select("snapshot_id", "name", "git_commit", "created_at", "size_kb")
 
@@ -222,8 +250,7 @@ class Project:
             chosen = taken.where((F.col("name") == str(snapshot)) | (F.col("snapshot_id").cast("string") == str(snapshot)))
         # Of several snapshots of a commit the first is nearest to it: later ones hold edits on top.
         if found := chosen.orderBy("created_at" if commit else F.desc("created_at")).first():
-            own = F.col("snapshot_id") == found["snapshot_id"]
-            old = tuple(self.store.read(k).where(own).drop("snapshot_id") for k in ("snapshot_symbols", "snapshot_calls"))
+            return self._against(found["snapshot_id"], ix)
         elif commit:
             paths = git.changed_files(self.root, commit)
             texts = [(p, t, "") for p in paths if "." in p and "." + p.rsplit(".", 1)[1].lower() in source_files.PARSERS and (t := git.file_at(self.root, commit, p)) is not None]

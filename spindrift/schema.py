@@ -24,8 +24,9 @@ DDL = {
     "annotations": "annotation_id long, rel_path string, qualified_name string, text string, author string, created_at timestamp_ntz",
     "knowledge": "key string, value_json string, updated_at timestamp_ntz",
     "snapshots": "snapshot_id long, name string, git_commit string, created_at timestamp_ntz, size_kb double",
-    "snapshot_symbols": "snapshot_id long, n string, k string, f string, ls int, le int, p string",
-    "snapshot_calls": "snapshot_id long, cr string, ce string, f string, l int",
+    "snapshot_symbols": "snapshot_id long, n string, k string, f string, ls int, le int, p string, bucket int",
+    "snapshot_calls": "snapshot_id long, cr string, ce string, f string, l int, bucket int",
+    "snapshot_buckets": "snapshot_id long, what string, bucket int, digest string, home long",
     "text_postings": "kind string, term string, slot long, max_tf int, min_length int, rows array<struct<key:long,tf:int,length:int,file_id:long>>, bucket int",
     "text_terms": "kind string, term string, n long, bucket int",
     "text_sizes": "kind string, n long, tokens long",

@@ -6,7 +6,7 @@ from pathlib import Path
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
-from spindrift.operators import lookup, postings, search
+from spindrift.operators import history, lookup, postings, search
 from spindrift.operators.project import Project
 
 WORDS = ["load", "loader", "loading", "store", "stored", "reader", "row", "fold", "queue", "parse", "token", "naïve"]
@@ -98,6 +98,29 @@ def test_compaction_and_vacuum(tree):
     assert p.index.files.where("rel_path = 'm9.py'").first()["file_id"] > top
 
 
+def test_snapshots_share_what_did_not_change(tree):
+    p, root, rng = tree
+    folder = Path(p.store.root.removeprefix("file://")) / "snapshot_symbols"
+    count = lambda: sum(pq.read_metadata(f).num_rows for f in folder.rglob("*.parquet"))
+    p.snapshot("one")
+    whole = count()
+    assert whole == p.index.symbols.count()
+    p.snapshot("two")
+    assert count() == whole
+    (root / "m11.py").write_text("def only_one_left():\n    return only_one_left()\n")
+    p.update()
+    found = p.diff("two")
+    then = {r["n"]: r for r in p.store.read("snapshot_symbols").collect()}
+    full = history.diff(p.store.read("snapshot_symbols").drop("snapshot_id", "bucket"), p.store.read("snapshot_calls").drop("snapshot_id", "bucket"), history.symbol_state(p.index), history.call_state(p.index))
+    assert len(then) and {k: rows(v) for k, v in found.items()} == {k: rows(v) for k, v in full.items()}
+    assert [r["name"] for r in found["symbols_added"].collect()] == ["only_one_left"] and found["symbols_removed"].count() == 7
+    p.snapshot("three")
+    assert whole < count() < 2 * whole
+    assert all(v.isEmpty() for k, v in p.diff("three").items() if k != "summary")
+    p.snapshot("four", keep=1)  # what it shares with those that go stays
+    assert all(v.isEmpty() for k, v in p.diff("four").items() if k != "summary")
+
+
 def test_only_slots_that_can_reach_the_best_are_scored(spark, tmp_path):
     """Many slots of weak rows and one of strong ones: the bound of a slot keeps the weak ones out, and ties stay right."""
     from spindrift.operators.catalog import Store
