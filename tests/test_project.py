@@ -321,7 +321,10 @@ def test_snapshots_are_rows_and_old_ones_go(spark, tmp_path):
     assert [r["name"] for r in project.snapshots().collect()] == ["s3", "s2"]
     kept = {r["snapshot_id"] for r in project.store.read("snapshots").collect()}
     for name, n in (("snapshot_symbols", 1), ("snapshot_calls", 1)):
-        assert {r["snapshot_id"]: r["count"] for r in project.store.read(name).groupBy("snapshot_id").count().collect()} == dict.fromkeys(kept, n)
+        # Nothing changed, so all snapshots share the rows of the first, which stay though that one went.
+        assert project.store.read(name).count() == n
+        homes = {(r["snapshot_id"], r["home"]) for r in project.store.read("snapshot_buckets").where(F.col("what") == name).collect()}
+        assert {s for s, _ in homes} == kept and {h for _, h in homes} == {r["snapshot_id"] for r in project.store.read(name).collect()}
     assert all(r["size_kb"] > 0 for r in project.snapshots().collect())
     (tmp_path / "tree" / "a.py").write_text("def f():\n    pass\n\n\ndef new():\n    pass\n")
     project.update()
