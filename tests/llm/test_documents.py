@@ -429,3 +429,39 @@ def test_pipeline_stages_on_odd_rows(spark, odd, docs_of):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, DATA).collect()
         assert stage(spark, docs_of([]), DATA).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [512, 16])
+def test_a_drifting_series_in_a_hot_part_is_one_class(docs_of, monkeypatch, chunk):
+    """Versions of one document, each a small edit of the one before, around a passage that other texts hold too."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    passage, step, rows = words(200), words(150), []
+    for i in range(300):
+        rows.append((i, " ".join(step[:75] + passage + step[75:])))
+        step = list(step)
+        for at in rng.integers(0, 150, 2):
+            step[at] = f"e{rng.integers(10**7)}"
+    rows += [(1000 + i, " ".join(words(300) + passage)) for i in range(100)]
+    assert sorted(r["doc_id"] for r in simhash.distinct_documents(docs_of(rows)).collect()) == [0, *range(1000, 1100)]
+
+
+def test_a_net_is_near_to_all():
+    rng = np.random.default_rng(1)
+    bits = rng.integers(0, 1 << 62, (200, simhash.WIDE), dtype=np.uint64)
+    bits[100:] = bits[:100]
+    bits[100:, 0] ^= np.uint64(7)
+    net = simhash.net_of(bits, np.arange(200) % 100)
+    assert sorted(net.tolist()) == list(range(100))
+
+
+def test_nodes_that_collide_change_no_result(documents):
+    """With nodes of eight bits almost every node seems to branch: paths part, and what is removed stays the same."""
+    key = lambda df: sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in df.collect())
+    whole = key(substrings.substring_dedup(documents))
+    old, substrings.NODE_MASK = substrings.NODE_MASK, np.uint64(0xFF)
+    try:
+        assert key(substrings.substring_dedup(documents)) == whole
+    finally:
+        substrings.NODE_MASK = old
