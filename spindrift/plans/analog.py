@@ -70,20 +70,21 @@ SYMBOLS = """symbols AS (SELECT p_partkey AS symbol_id, p_partkey % nf AS file_i
 
 
 def calls(spark: SparkSession, sf_dir: str, n_parts: int) -> DataFrame:
-    """Every line item is a call.  No call names an idle symbol, so some symbols are dead at any density."""
+    """Every line item is a call.  No call names an idle symbol, so some symbols are dead at any density; some names are called
+    in capitals always or at times, which only LIKE would match."""
     names = read(spark, sf_dir, "part").selectExpr("p_partkey AS target", f"{PLAIN_NAME} AS target_name")
     return read(spark, sf_dir, "lineitem").withColumn("target", F.col("l_orderkey") % n_parts).join(names, "target").selectExpr(
         "l_orderkey * 10 + l_linenumber AS call_id",
         "l_suppkey AS file_id",
         "CASE WHEN l_partkey % 3 = 0 THEN l_partkey END AS caller_id",
-        "concat(CASE l_returnflag WHEN 'A' THEN 'self.' WHEN 'N' THEN 'obj.attr.' ELSE '' END, target_name) AS callee_expr",
+        "concat(CASE l_returnflag WHEN 'A' THEN 'self.' WHEN 'N' THEN 'obj.attr.' ELSE '' END, CASE WHEN target % 41 = 5 OR target % 41 = 7 AND l_linenumber = 3 THEN upper(target_name) ELSE target_name END) AS callee_expr",
         "CAST(l_linenumber AS int) AS line_no",
     )
 
 
 CALLS = """calls AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey AS file_id, CASE WHEN l_partkey % 3 = 0 THEN l_partkey END AS caller_id,
-  concat(CASE l_returnflag WHEN 'A' THEN 'self.' WHEN 'N' THEN 'obj.attr.' ELSE '' END, CASE WHEN p.p_partkey % 11 = 0 THEN '_' ELSE '' END, replace(p.p_name, ' ', '_'), '_', p.p_partkey % 97) AS callee_expr, CAST(l_linenumber AS int) AS line_no
-  FROM lineitem JOIN (SELECT count(*) AS np FROM part) ON true JOIN part p ON p.p_partkey = l_orderkey % np)"""
+  concat(CASE l_returnflag WHEN 'A' THEN 'self.' WHEN 'N' THEN 'obj.attr.' ELSE '' END, CASE WHEN p.p_partkey % 41 = 5 OR p.p_partkey % 41 = 7 AND l_linenumber = 3 THEN upper(target_name) ELSE target_name END) AS callee_expr, CAST(l_linenumber AS int) AS line_no
+  FROM lineitem JOIN (SELECT count(*) AS np FROM part) ON true JOIN (SELECT *, concat(CASE WHEN p_partkey % 11 = 0 THEN '_' ELSE '' END, replace(p_name, ' ', '_'), '_', p_partkey % 97) AS target_name FROM part) p ON p.p_partkey = l_orderkey % np)"""
 
 
 def imports(spark: SparkSession, sf_dir: str, n_files: int) -> DataFrame:
