@@ -1,9 +1,9 @@
 """Token sequences as length-delimited binary records, with an offset index for shuffled reads.
 
-A shard (``shard-00007-31.rec``, by partition and attempt) is a run of records, each
+A shard (``shard-00007-31-2.rec``, by partition, attempt and place in it) is a run of records, each
     uint64 length of the payload | uint32 masked crc of those 8 bytes | payload | uint32 masked crc of the payload
 with payload = uint8 flags (1: no id, 2: 4-byte ids) | int64 id | the sequence's ids as uint16 or uint32.
-Its index (``shard-00007.idx``) is a run of (uint64 offset, uint64 ids) per record and a uint32 masked crc of them.
+Its index (``shard-00007-31-2.idx``) is a run of (uint64 offset, uint64 ids) per record and a uint32 masked crc of them.
 All numbers are little-endian; a masked checksum is the CRC-32 turned right by 15 bits plus 0xa282ead8.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import doc_texts, new_path, slices
 from .wordbpe import WordBpe
 
-MANIFEST = "shard string, records long, ids long, part int"
+MANIFEST = "shard string, records long, ids long, part int, roll int"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
+#: Bytes of records after which a task begins another shard, whatever the number of partitions.
+SHARD_BYTES = 256 << 20
 
 
 def masked(data: bytes) -> int:
@@ -65,16 +68,16 @@ class ShardWriter:
     An attempt has names of its own, so no file is ever replaced; the manifest names the attempt that counts.
     """
 
-    def __init__(self, folder: str, part: int, attempt: int):
+    def __init__(self, folder: str, part: int, attempt: int, roll: int = 0):
         self.fs, root = pafs.FileSystem.from_uri(folder)
-        self.name = f"shard-{part:05d}-{attempt}"
+        self.name = f"shard-{part:05d}-{attempt}-{roll}"
         self.final, self.temp = f"{root}/{self.name}", f"{root}/.{self.name}"
         self.out = self.fs.open_output_stream(f"{self.temp}.rec")
-        self.index, self.at, self.ids = [], 0, 0
+        self.index, self.at, self.ids = array("Q"), 0, 0
 
     def write(self, doc_id: int | None, ids: np.ndarray) -> None:
         record = frame(serialize(doc_id, ids))
-        self.index.append((self.at, len(ids)))
+        self.index.extend((self.at, len(ids)))
         self.out.write(record)
         self.at += len(record)
         self.ids += len(ids)
@@ -123,32 +126,40 @@ class ShardReader:
                     yield deserialize(unframe(head + f.read(struct.unpack_from("<Q", head)[0] + 4))[0])
 
 
-def write_records(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
+def write_records(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> list[dict]:
     """Encode every text, append end_id, write all sequences in ascending id order; the manifest, a row per shard.
 
     Ids that are null come first; rows of one id are ordered by a hash of their texts.  Null and empty texts are the
-    end id alone.  A task that runs again writes another shard of equal
-    bytes, and the manifest, a row per partition, names one of them.  An empty df has no shards; other columns are ignored.
+    end id alone; a text of any length is one record.  A task begins another shard after ``shard_bytes``, so a shard and its
+    index are bounded but for one text.  A task that runs again writes other shards of equal bytes, and the manifest names
+    those of one attempt.  An empty df has no shards; other columns are ignored.
     """
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     names = [f.split()[0] for f in MANIFEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, task, writer = WordBpe.load(tokenizer), TaskContext.get(), None
+        bpe, task, writer, roll = WordBpe.load(tokenizer), TaskContext.get(), None, 0
         end = np.asarray([end_id], "<u4").tobytes()
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            rows = [[writer.name], [len(writer.index) // 2], [writer.ids], [task.partitionId()], [roll]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
+
         for batch in slices(batches, 1):
-            writer = writer or ShardWriter(folder, task.partitionId(), task.taskAttemptId())
             for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.encode_many(batch.column(1).to_pylist()), strict=True):
+                writer = writer or ShardWriter(folder, task.partitionId(), task.taskAttemptId(), roll)
                 writer.write(doc_id, np.frombuffer(ids + end, "<u4"))
+                if writer.at >= shard_bytes:
+                    yield closed()
+                    writer, roll = None, roll + 1
         if writer:
-            writer.close()
-            rows = [[writer.name], [len(writer.index)], [writer.ids], [task.partitionId()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names)
+            yield closed()
 
     docs = doc_texts(df, id_col, text_col)
     dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("data"))
-    return sorted((r.asDict() for r in dealt.mapInArrow(run, MANIFEST).collect()), key=lambda m: m["part"])
+    return sorted((r.asDict() for r in dealt.mapInArrow(run, MANIFEST).collect()), key=lambda m: (m["part"], m["roll"]))
 
 
 def read_records(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:

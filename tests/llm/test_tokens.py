@@ -160,6 +160,21 @@ def test_records_read_back(request, spark, library, tmp_path, source):
     assert [i for i, _ in epoch] == [i for i, _ in records.shuffled(folder, manifest, 5)]
 
 
+def test_shards_roll_over_by_bytes(odd, spark, tmp_path):
+    """Small shards read back as one large shard does, and only a text's last bytes may exceed the limit."""
+    whole = records.encode_to_records(odd, WORDS, folder=f"file://{tmp_path}/one").orderBy("start").collect()
+    folder = f"file://{tmp_path}/many"
+    manifest = records.write_records(odd, folder, WORDS, 2, shard_bytes=64)
+    assert records.read_records(spark, folder, manifest).orderBy("start").collect() == whole
+    assert len(manifest) > len({m["part"] for m in manifest}) and len({m["shard"] for m in manifest}) == len(manifest)
+    assert sum(m["records"] for m in manifest) == len(whole) and sum(m["ids"] for m in manifest) == sum(r["n_tokens"] for r in whole)
+    last = {m["part"]: m["roll"] for m in manifest}
+    for m in manifest:
+        offsets = records.ShardReader(folder, m["shard"]).index[:, 0].tolist()
+        size = (tmp_path / "many" / f"{m['shard']}.rec").stat().st_size
+        assert offsets[-1] < 64 and (size >= 64 or m["roll"] == last[m["part"]])
+
+
 @given(st.binary(max_size=40), st.integers(0, 60))
 def test_damage_is_noticed(payload, at):
     data = bytearray(records.frame(payload))
