@@ -176,8 +176,9 @@ class ByteBpe:
 def round_trip(df: DataFrame, model: ByteBpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, decode its ids, and digest both (columns COLUMNS), one row per row of df.
 
-    A null text counts as empty: no ids, and the digests of nothing.  Repeated rows come back as often as they occur;
-    other columns of df are ignored.  The model (the vocabulary's size, whatever the corpus) is broadcast.
+    A null text counts as empty: no ids, and the digests of nothing.  Texts and pre-tokens of any length are encoded whole.
+    Repeated rows come back as often as they occur, and rows without an id too; other columns of df are ignored; an empty
+    df gives no rows.  The model (the vocabulary's size, whatever the corpus) is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = [f.split()[0] for f in COLUMNS.split(", ")]

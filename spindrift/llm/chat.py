@@ -149,7 +149,8 @@ def repair(df: DataFrame, costs: Costs | None = None, conv_col: str = "conv_id",
 
     Turns are ordered by turn number (null first), then by a hash of role and text; repeated rows are turns of their own.
     Null and empty texts are empty turns; null or unknown roles are relabelled.  Rows without a conversation id form one
-    conversation.  Other columns are ignored; an empty table gives no rows.  Texts are rendered as they are: one that holds
+    conversation.  Turns of any length and conversations of any number of turns are repaired whole.
+    Other columns are ignored; an empty table gives no rows.  Texts are rendered as they are: one that holds
     ``<|im_start|>`` or ``<|im_end|>`` itself must be encoded without special tokens, as ops 3, 5 and 7 do by default.
     """
     costs = costs or Costs()

@@ -259,8 +259,9 @@ def identify(df: DataFrame, per_class: int = 1200, id_col: str = "doc_id", text_
     """doc_id, held_out, lang_pred, score of every row, learned from the labelled rows that are not held out.
 
     held_out: crc32 of the id as text, modulo 4, is 2.  Rows without an id are neither held out nor learned from.
-    Only the text enters a prediction.  Null texts and texts without a letter are ``und`` with score 0.  Repeated
-    rows come back as often as they occur; other columns are ignored; without labels every text is ``und``.
+    Only the text enters a prediction, and all of it, however long.  Null texts and texts without a letter are ``und`` with
+    score 0; of equal probabilities the first language by name counts.  Repeated rows come back as often as they occur;
+    other columns are ignored; without labels every text is ``und``; an empty df gives no rows.
     """
     fold = F.crc32(F.col(id_col).cast("string")) % 4
     model = train(df.where(fold.isNotNull() & (fold != 2)), per_class, id_col=id_col, text_col=text_col, lang_col=lang_col)

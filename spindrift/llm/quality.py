@@ -89,7 +89,7 @@ def judge(
     """df with one more column, named prefix: struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_kept_words, kept), and with held also held_lines, the hashes of the frequent lines in the text.
 
-    Null and empty texts have no words and fail the base rules.  A null host is a host of its own.  Repeated rows are one
+    Null and empty texts have no words and fail the base rules; long texts and lines are read whole.  A null host is a host of its own.  Repeated rows are one
     document in the line counts and keep one verdict; an empty df gives no rows.  The per-host lists of frequent lines are written first, so that
     Spark knows their size when it chooses between a broadcast and a shuffled join.
     """

@@ -306,15 +306,17 @@ def deduplicate(df: DataFrame, window: int = 13, layout: bool = False, id_col: s
     """df with one more column, named result: struct(n_words, n_removed, kept).
 
     Every word covered by a window whose words also start in a document of smaller id is removed; windows are judged on
-    the input.  Null and empty texts have no words; texts of fewer words than the window keep all.  A row without an id
-    owns nothing and loses nothing.  Rows that share an id are one document: none removes the other's words.
+    the input.  Null and empty texts have no words; texts of fewer words than the window keep all, and texts of any length
+    are read whole.  A row without an id owns nothing and loses nothing.  Rows that share an id are one document: none
+    removes the other's words.  An empty df gives no rows.  A column of df that has the result's name is replaced; other
+    columns keep their values, whatever their names.
     """
     spans = repeated_spans(_coordinates(df, id_col, text_col), window).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"), F.col("copy").alias("__copy"))
     text = df[f"`{text_col}`"].cast("string").cast("binary")
-    same = (df[f"`{id_col}`"].cast("long") == F.col("__id")) & (F.shiftright(F.xxhash64(text), 34).cast("int") == F.col("__tag"))
+    same = (df[f"`{id_col}`"].cast("long") == spans["__id"]) & (F.shiftright(F.xxhash64(text), 34).cast("int") == spans["__tag"])
     joined = df.join(spans, same, "left")
-    value: Column = _trim(window, layout)(text, F.col("__spans"), F.coalesce("__copy", F.lit(False)))
-    return joined.select(*[df[f"`{c}`"] for c in df.columns], value.alias(result))
+    value: Column = _trim(window, layout)(text, spans["__spans"], F.coalesce(spans["__copy"], F.lit(False)))
+    return joined.select(*[df[f"`{c}`"] for c in df.columns if c.lower() != result.lower()], value.alias(result))
 
 
 def substring_dedup(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

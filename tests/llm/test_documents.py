@@ -359,6 +359,16 @@ def test_layout_and_columns(docs_of):
     assert found[3]["substrings"]["kept"] == "  kept   as it is \n" and found[1]["substrings"]["n_removed"] == 0
 
 
+def test_names_of_its_own_columns_may_clash(docs_of):
+    text = " ".join(f"a{k}" for k in range(20))
+    df = docs_of([(1, text), (2, f"{text} more"), (3, None)]).withColumns({c: F.lit(c) for c in ("__id", "__tag", "__spans", "__copy", "substrings", "spans")})
+    found = substrings.deduplicate(df)
+    assert found.columns == [*[c for c in df.columns if c != "substrings"], "substrings"]
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert {i: r["substrings"]["n_removed"] for i, r in rows.items()} == {1: 0, 2: 20, 3: 0}
+    assert all(r[c] == c for r in rows.values() for c in ("__id", "__tag", "__spans", "__copy", "spans"))
+
+
 def test_word_hashes():
     data = b"  alpha beta\talpha\n\nbeta\x0bgamma  " + b"x" * 10 + b" alpha"
     h, start = substrings.word_hashes(data)
@@ -423,12 +433,23 @@ def test_pipeline(spark, documents, docs_of):
     assert {r["doc_id"] for r in whole.select("doc_id").distinct().collect()} == {r["doc_id"] for r in after}
 
 
-def test_pipeline_stages_on_odd_rows(spark, odd, docs_of):
+def test_pipeline_stages_on_odd_rows(spark, odd, docs_of, tagger):
     import corpus_pipeline
 
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, odd, DATA).collect()
+    found = {}
+    for name, stage in corpus_pipeline.STAGES:
+        found[name] = stage(spark, odd.withColumn("extra", F.lit(1)).withColumn("data", F.lit("x")), DATA).collect()
         assert stage(spark, docs_of([]), DATA).count() == 0
+    assert found["quality rules"] == []  # null, short, or one word 60,000 times
+    assert found["language id"] == []  # no row has a label to learn from
+    ids = lambda name: sorted((r["doc_id"] for r in found[name]), key=repr)
+    assert len(ids("substring dedup")) == len(ODD)
+    texts = {(r["doc_id"], r["text"]) for r in found["substring dedup"]}
+    assert texts == {(i, t) for i, t in ODD}  # nothing repeats a smaller id's window
+    assert all(r["n_chars"] == len(r["text"] or "") for r in found["substring dedup"])
+    assert set(ids("best-fit packing")) == {i for i, _ in ODD}
+    pieces = [r for r in found["best-fit packing"] if r["doc_id"] == 7]
+    assert len(pieces) > 1 and all(r["length"] == 4096 for r in pieces if r["piece"] < len(pieces) - 1)
 
 
 @pytest.mark.parametrize("chunk", [512, 16])
