@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +41,21 @@ class Index:
     def with_tables(self, **tables: DataFrame) -> Index:
         return replace(self, **tables)
 
-    def register(self) -> None:
-        """Temp views under the relations' names, for rule SQL."""
-        for f in fields(self):
-            if (df := getattr(self, f.name)) is not None:
-                df.createOrReplaceTempView(f.name)
+    @contextmanager
+    def registered(self) -> Iterator[None]:
+        """Temp views under the relations' names while rule SQL is analysed; then the session has its own views again."""
+        views = {f.name: df for f in fields(self) if (df := getattr(self, f.name)) is not None}
+        catalog = self.spark.catalog
+        before = {t.name: self.spark.table(t.name) for t in catalog.listTables(pattern="|".join(views)) if t.isTemporary}
+        try:
+            for name, df in views.items():
+                df.createOrReplaceTempView(name)
+            yield
+        finally:
+            for name in views:
+                catalog.dropTempView(name)
+                if name in before:
+                    before[name].createOrReplaceTempView(name)
 
     # -- derived relations ---------------------------------------------------------------------------------------
 

@@ -28,6 +28,7 @@ class Rule:
     learned_from: str | None = None
 
 
+#: Ids, names and descriptions that findings are reported under.
 BUILTIN = [
     Rule("DEAD_SYMBOL", "Dead symbol", None, "info", "Symbol never referenced in any call site", 1),
     Rule("LARGE_SYMBOL", "Large symbol", None, "warning", "Function/method exceeds 50 lines or complexity > 15", 1),
@@ -119,8 +120,9 @@ NATIVE = {"DEAD_SYMBOL": dead_symbols, "LARGE_SYMBOL": large_symbols, "CIRCULAR_
 
 def query_sql(ix: Index, sql: str) -> DataFrame:
     """A user's SELECT over the index; anything but one reading statement is refused."""
-    ix.register()
-    return ix.spark.sql(to_spark_sql(sql))
+    statement = to_spark_sql(sql)
+    with ix.registered():
+        return ix.spark.sql(statement)
 
 
 def try_rule(ix: Index, sql: str, rows: int = 50) -> list[dict]:

@@ -4,6 +4,8 @@ import sqlite3
 
 import pytest
 from spindrift.functions.dialect import RuleSqlError, to_spark_sql
+from spindrift.operators.index import Index
+from spindrift.operators.rules import query_sql, try_rule
 
 ROWS = [(1, 1, "run_a", 10, 35, 3), (2, 1, "Run_b", 20, 27, 0), (3, 2, "x'y", 5, 6, 7), (4, 2, None, 1, 100, None)]
 STATEMENTS = [
@@ -35,3 +37,19 @@ def test_rows_are_those_of_sqlite(both, sql):
 def test_what_is_refused(sql):
     with pytest.raises(RuleSqlError):
         to_spark_sql(sql)
+
+
+def test_rules_leave_the_views_of_the_session(spark):
+    own = spark.createDataFrame([("mine",)], "name string")
+    own.createOrReplaceTempView("symbols")
+    spark.sql("CREATE OR REPLACE TEMP VIEW calls AS SELECT 7 AS seven")
+    ix = Index.empty(spark).with_tables(files=spark.createDataFrame([(5, "a.py")], "file_id long, rel_path string"))
+    try:
+        found = query_sql(ix, "SELECT f.file_id, count(s.symbol_id) AS n FROM files f LEFT JOIN symbols s ON s.file_id = f.file_id GROUP BY f.file_id")
+        assert spark.table("symbols").collect() == own.collect() and spark.table("calls").first()["seven"] == 7
+        assert not any(t.name in ("files", "imports", "refs") and t.isTemporary for t in spark.catalog.listTables())
+        assert [tuple(r) for r in found.collect()] == [(5, 0)]  # read after its views are gone
+        assert "error" in try_rule(ix, "SELECT nothing FROM symbols")[0] and spark.table("symbols").columns == ["name"]
+    finally:
+        spark.catalog.dropTempView("symbols")
+        spark.catalog.dropTempView("calls")
