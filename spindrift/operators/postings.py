@@ -92,10 +92,11 @@ class TextIndex:
         rows = blocks.select("term", F.explode("rows").alias("x")).select("term", "x.*")
         return rows if self.gone is None else rows.join(self.gone.select("file_id"), "file_id", "left_anti")
 
-    def scores(self, kind: str, terms: list[str], limit: int | None = None) -> DataFrame:
+    def scores(self, kind: str, terms: list[str], limit: int | None = None, digits: int = 9) -> DataFrame:
         """(key, score) by BM25 of the rows that hold any of the terms; the best ``limit``, first the best, or all.
 
-        Terms in half of the rows or more weigh next to nothing, but not nothing.
+        Scores that agree to so many digits are equal, and the smaller key goes first.  Terms in half of the rows or more
+        weigh next to nothing, but not nothing.
         """
         seen, (n, mean) = self.frequencies(kind, terms), self.collection(kind)
         idf = {t: _idf(n, m) for t, m in seen.items()}
@@ -105,7 +106,7 @@ class TextIndex:
 
         def exact(some: DataFrame) -> DataFrame:
             found = self._exploded(some).groupBy("key").agg(F.sum(part(F.col("tf"), F.col("length"))).alias("score"))
-            ranked = found.orderBy(F.desc(F.round("score", 9)), "key")  # equal terms score equally, whatever the order of a sum
+            ranked = found.orderBy(F.desc(F.round("score", digits)), "key")  # equal terms score equally, whatever the order of a sum
             return ranked.limit(limit) if limit else ranked
 
         if not limit:
@@ -113,7 +114,7 @@ class TextIndex:
         bounds = blocks.groupBy("slot").agg(F.sum(part(F.col("max_tf"), F.col("min_length"))).alias("bound"))
         first = bounds.orderBy(F.desc("bound"), "slot").limit(limit)  # a slot that counts has a row at least
         least = exact(blocks.join(F.broadcast(first.select("slot")), "slot", "left_semi")).agg(F.count("*").alias("n"), F.min("score").alias("s")).first()
-        reached = least["s"] - 1e-6 if least["n"] == limit else 0.0
+        reached = least["s"] - 2 * 10.0**-digits if least["n"] == limit else 0.0  # what rounds to the least is within one
         return exact(blocks.join(bounds.where(F.col("bound") >= reached).select("slot"), "slot", "left_semi"))
 
     def holders(self, kind: str, terms: list[str], most: int = 3) -> DataFrame | None:
