@@ -47,3 +47,9 @@ def test_the_best_are_those_of_the_rounded_scores(spark, tmp_path):
     ix = postings.TextIndex({n: store.read(n) for n in postings.RELATIONS})
     every = sorted(((-round(r["score"], 6), r["key"]) for r in ix.scores("t", ["common"]).collect()))
     assert [r["key"] for r in ix.scores("t", ["common"], 30, digits=6).collect()] == [k for _, k in every[:30]]
+
+
+def test_context_symbol_of_a_name_that_a_class_has(spark, tables):
+    """The first symbol of the first method's name is a class."""
+    replaced(tables, "part", f"select * replace (case when p_partkey = 100 then (select p_name from '{DATA}/part.parquet' where p_partkey = 3) else p_name end as p_name) from '{DATA}/part.parquet'")
+    assert ("symbol" in {r[0] for r in same_as_sql(spark, tables, "context_symbol")})
