@@ -1,7 +1,7 @@
 """Source files as relations: scan, hash, decode, parse, and number.
 
-A scan reads files through Spark's binaryFile source; parsing is one pass of mapInArrow that yields tagged rows of all
-four relations; ids come from the order of (path, ordinal), so that equal input gives equal ids.
+A scan reads files through Spark's binaryFile source; parsing deals the files out by path, for they may come in few
+tasks, and is one pass of mapInArrow that yields tagged rows of all four relations; ids come from the order of (path, ordinal), so that equal input gives equal ids.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from . import brace_source, python_source
 
 #: Parsers by file suffix: source text and path to the tagged rows of python_source.ROW.
 PARSERS: dict[str, tuple[str, Callable[[str, str], list[dict]]]] = {".py": ("python", python_source.parse), **brace_source.PARSERS}
+#: Tagged rows that a task holds before it gives them on.
+ROWS_A_BATCH = 10_000
 
 
 def register_parser(suffix: str, language: str, parse: Callable[[str, str], list[dict]]) -> None:
@@ -50,6 +52,8 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> Dat
 def parse(sources: DataFrame) -> dict[str, DataFrame]:
     """The relations symbols, calls, refs, imports and errors, still keyed by path, of sources (rel_path, content)."""
     parsers = dict(PARSERS)
+    spark = sources.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     kinds = pa.schema([(n, pa.int32() if k == "int" else pa.string()) for n, k in (f.split() for f in python_source.ROW.split(", "))])
 
@@ -59,9 +63,12 @@ def parse(sources: DataFrame) -> dict[str, DataFrame]:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, parser = parsers["." + path.rsplit(".", 1)[-1].lower()]
                 rows.extend(r | {"rel_path": path} for r in parser(content or "", path))
+                if len(rows) >= ROWS_A_BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, kinds)
+                    rows = []
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    tagged = sources.select("rel_path", "content").mapInArrow(run, python_source.ROW)
+    tagged = sources.select("rel_path", "content").repartition(tasks, "rel_path").mapInArrow(run, python_source.ROW)
     pick = lambda tag, *columns: tagged.where(F.col("tag") == tag).select("rel_path", "ordinal", *columns)
     return {
         "symbols": pick("symbol", "parent", "kind", "name", "params_json", "return_type", "decorators_json", "bases_json", "docstring", "line_start", "line_end", "complexity", "is_async"),

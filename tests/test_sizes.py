@@ -53,3 +53,11 @@ def test_context_symbol_of_a_name_that_a_class_has(spark, tables):
     """The first symbol of the first method's name is a class."""
     replaced(tables, "part", f"select * replace (case when p_partkey = 100 then (select p_name from '{DATA}/part.parquet' where p_partkey = 3) else p_name end as p_name) from '{DATA}/part.parquet'")
     assert ("symbol" in {r[0] for r in same_as_sql(spark, tables, "context_symbol")})
+
+
+def test_sources_of_one_task_are_parsed_in_many(spark):
+    from spindrift.sources import files as source_files
+
+    made = spark.range(400).coalesce(1).selectExpr("concat('m_', id, '.py') AS rel_path", "concat('def f_', id, '(): pass') AS content")
+    parsed = source_files.parse(made)["symbols"].select("name", F.spark_partition_id().alias("p")).collect()
+    assert len(parsed) == 400 and len({r["p"] for r in parsed}) == 4
