@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -60,14 +61,16 @@ class Store:
         """The highest id given so far, by key."""
         return dict.fromkeys(KEYS.values(), 0) | self._pointer().get("top", {})
 
-    def commit(self, tables: dict[str, DataFrame], added: dict[str, DataFrame] | None = None, label: str = "", dropped: tuple[str, ...] = (), cleared: tuple[str, ...] = ()) -> None:
+    def commit(self, tables: dict[str, DataFrame | Callable], added: dict[str, DataFrame | Callable] | None = None, label: str = "", dropped: tuple[str, ...] = (), cleared: tuple[str, ...] = ()) -> None:
         """Replace relations, add rows to others and clear yet others, together.  If any write fails, nothing changes.
 
-        Rows added under a label are a folder of their own, which a later commit may drop by that label.
+        A relation may be a function of a reader of those that this commit wrote before it.  Rows added under a label are a folder of their own, which a later commit may drop by that label.
         """
         pointer, version, added = self._pointer(), uuid.uuid4().hex, added or {}
         top = pointer.setdefault("top", {})
+        written = lambda name: self._read({name: f"{name}/{label}-{version}"}, name)
         for name, df in [*tables.items(), *added.items()]:
+            df = df(written) if callable(df) else df
             typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
             writer = typed.write.partitionBy(FOLDERS_BY[name]) if name in FOLDERS_BY else typed.write
             writer.parquet(folder := f"{self.root}/{name}/{label}-{version}")

@@ -45,7 +45,7 @@ class Project:
         gone = old.files.join(stale, "rel_path", "left_semi").select("file_id")
         added = {name: getattr(new, name) for name in TABLES} | postings.relations_of(search.text_rows(new))
         for name, less in postings.relations_of(search.text_rows(of_files(old, gone)), sign=-1).items():
-            added[name] = added[name].unionByName(less)
+            added[name] = lambda written, more=added[name], less=less: more(written).unionByName(less)
         self.store.commit({}, added | {"gone_files": gone})
 
     def compact(self, most_folders: int = MOST_FOLDERS, gone_share: float = 0.2) -> bool:

@@ -142,3 +142,41 @@ def test_only_slots_that_can_reach_the_best_are_scored(spark, tmp_path):
 def test_patterns_give_trigrams_that_every_match_holds():
     assert postings.trigrams_of_pattern("a_bcd%xyzw") == ["bcd", "xyz", "yzw"]
     assert postings.trigrams_of_pattern("ab") == [] and postings.trigrams_of_pattern("ABC") == ["abc"]
+
+
+def test_postings_are_made_without_a_shuffle_of_words(spark, tmp_path):
+    """Blocks come from the task of their slot; repeated and null keys, empty texts and slots over many batches included."""
+    from spindrift.operators.catalog import Store
+
+    ids = F.when(F.col("id") % 500 == 3, F.lit(None)).when(F.col("id") % 100 == 4, F.lit(7)).otherwise(F.col("id"))
+    docs = spark.range(9000).select(ids.alias("id"), F.when(F.col("id") % 3 > 0, F.concat_ws(" ", F.lit("all all"), F.concat(F.lit("w"), F.col("id") % 50))).alias("text")).repartition(7)
+    made = postings.relations_of({"t": postings.word_lists(docs, "id", None, ["text"], stemmed=False)})
+    assert "Aggregate" not in made["text_postings"]._jdf.queryExecution().executedPlan().toString()
+    store = Store(spark, f"file://{tmp_path}/ix")
+    store.commit(made)
+    blocks = store.read("text_postings")
+    assert blocks.groupBy("term", "slot").count().where("count > 1").isEmpty()
+    held = blocks.select("term", "slot", F.explode("rows").alias("x")).select("term", "slot", "x.*")
+    want = docs.where("text is not null").select("id", F.explode(F.split("text", " ")).alias("term"))
+    assert {(r["term"], r["id"]): r["n"] for r in want.groupBy("term", "id").agg(F.count("*").alias("n")).collect()} == {(r["term"], r["key"]): r["n"] for r in held.groupBy("term", "key").agg(F.sum("tf").alias("n")).collect()}
+    assert held.where("length <> 3 or slot <> floor(key / 1024)").isEmpty()
+    ix = postings.TextIndex({n: store.read(n) for n in postings.RELATIONS})
+    assert ix.frequencies("t", ["all", "w7"]) == {"all": 6000, "w7": 120} and ix.collection("t") == (9000, 2.0)
+
+
+def test_symbols_without_a_parent_are_not_one_task(spark):
+    from spindrift.operators.index import Index
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ix = Index.empty(spark)
+        symbols = spark.range(400).selectExpr("id AS symbol_id", "0L AS file_id", "CASE WHEN id % 10 = 1 THEN 0L END AS parent_id", "concat('s', id) AS name")
+        found = ix.with_tables(symbols=symbols, files=spark.range(1).selectExpr("id AS file_id", "'a.py' AS rel_path")).located_symbols()
+        rows = found.select("symbol_id", "qualified_name", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert {r["symbol_id"]: r["qualified_name"] for r in rows} == {i: f"s0.s{i}" if i % 10 == 1 else f"s{i}" for i in range(400)}
+    assert len({r["p"] for r in rows if r["symbol_id"] % 10 != 1}) == 4
