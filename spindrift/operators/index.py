@@ -60,11 +60,15 @@ class Index:
     # -- derived relations ---------------------------------------------------------------------------------------
 
     def located_symbols(self, only: DataFrame | None = None) -> DataFrame:
-        """Symbols (of the keys in only, if given) with the path of their file and the name of their parent."""
-        parents = self.symbols.select(F.col("symbol_id").alias("parent_id"), F.col("name").alias("parent_name"))
+        """Symbols (of the keys in only, if given) with the path of their file and the name of their parent.
+
+        Symbols without a parent look up a key of their own that none has, or one task would get them all.
+        """
+        parents = self.symbols.select(F.col("symbol_id").alias("__up"), F.col("name").alias("parent_name"))
+        up = F.coalesce(F.col("parent_id"), -1 - F.col("symbol_id"))
         paths = self.files.select("file_id", "rel_path")
         symbols = self.symbols if only is None else self.symbols.join(only.withColumnRenamed("key", "symbol_id"), "symbol_id", "left_semi")
-        return symbols.join(paths, "file_id").join(parents, "parent_id", "left").withColumn("qualified_name", text.qualified(F.col("parent_name"), F.col("name")))
+        return symbols.join(paths, "file_id").withColumn("__up", up).join(parents, "__up", "left").drop("__up").withColumn("qualified_name", text.qualified(F.col("parent_name"), F.col("name")))
 
     def call_sites(self) -> DataFrame:
         """Calls with their file, caller and the caller's class (null for calls outside any symbol)."""
