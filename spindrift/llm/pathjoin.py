@@ -4,7 +4,8 @@ Equal sets are one record.  In every tree a record chooses a path: at a node it
 tokens, which tokens depending on the node alone, so similar records choose alike.  Nodes of at most ``NODE`` records are
 compared exhaustively, by a wide fingerprint that measures the similarity; larger ones branch again, to a stated depth.
 A node that is still large there (it must be dense: its records agree on many minwise tokens) is compared in chunks, and
-each of its records with the node's pivots, the records closest to the others of their chunk.  Trees are repeated until
+each of its records with the node's pivots, the records closest to the others of their chunk; what is then outside the
+node's largest class meets every record of the node, in cells of two chunks (``cells``).  Trees are repeated until
 the stated similarity is found with the target recall (``trees_for``).
 
 What is near by fingerprint is only a candidate.  The candidates' components are confirmed on full sets: small components
@@ -256,17 +257,44 @@ def _with_pivots(similarity: float):
     return run
 
 
+def cells(chunked: DataFrame, classes: DataFrame, node_limit: int) -> DataFrame:
+    """(key, fp): of the nodes in chunked (node, salt, fp), cells in which every two records of different classes meet.
+
+    One of two such records is outside the largest class of the node: these are dealt in chunks of their own, and each of
+    them meets each chunk of the node, so a cell holds about two chunks.  A node of one class has no cell.  classes has
+    (fp, class); a record without one is its own.
+    """
+    named = chunked.select("node", "salt", "fp").join(classes, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
+    sized = named.groupBy("node", "class").agg(F.count("*").alias("n"))
+    largest = sized.groupBy("node").agg(F.max(F.struct("n", "class")).alias("m"), F.sum("n").alias("n"))
+    parts = largest.select("node", F.col("m.class").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / node_limit).cast("long").alias("parts")).where("parts > 0")
+    salts = chunked.groupBy("node").agg(F.max("salt").alias("last"))
+    met = named.join(parts, "node").join(salts, "node")
+    key = F.xxhash64("node", "salt", "part").alias("key")
+    every = met.select("node", "salt", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    own = F.pmod(F.xxhash64("fp", "node", F.lit(1)), F.col("parts"))
+    minor = met.where("class <> main").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("salt"), "fp", own.alias("part"))
+    return every.unionByName(minor).select(key, "fp").distinct()
+
+
 def candidates(recs: DataFrame, similarity: float, recall: float, node_limit: int, depth: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(near, meetings, written tables) of records (fp, n, mins, wide), themselves written.
 
-    near (a, b, d): candidate links a > b, d bits apart; written.  meetings (key, fp): the records that are compared with
-    each other, in nodes and in chunks with pivots.
+    near (a, b, d): candidate links a > b, d bits apart; written.  Their components are those of all near pairs of a node.
+    meetings (key, fp, node, salt): the records that are compared with each other, in nodes and in chunks with pivots; a
+    record of a chunk has its node and salt.
     """
     small, large, tables = leaves(recs.select("fp", "mins"), trees_for(similarity, recall), node_limit, depth)
     shape = recs.select("fp", F.col("n").alias("size"), "wide")
-    meetings = small.select(F.col("node").alias("key"), "fp")
-    dealt = meetings.join(shape, "fp").select("key", "fp", "size", "wide")
-    near = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(similarity, 1, False), NEAR)
+    nothing = F.lit(None).cast("long")
+    meetings = small.select(F.col("node").alias("key"), "fp", nothing.alias("node"), nothing.alias("salt"))
+
+    def compared(met: DataFrame) -> DataFrame:
+        dealt = met.join(shape, "fp").select("key", "fp", "size", "wide")
+        return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(similarity, 1, False), NEAR)
+
+    paired = lambda df: settle(df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "d").distinct(), "candidates")
+    near = compared(meetings)
     if large is not None:
         salted = materialize(in_fewer_files(large.select("node", "fp", F.pmod(F.xxhash64("fp", "node"), F.ceil(F.col("n") / node_limit).cast("long")).alias("salt"))), "chunks")
         members = salted.select("node", "salt", "fp").join(shape, "fp").select("node", "salt", "fp", "size", "wide")
@@ -279,10 +307,17 @@ def candidates(recs: DataFrame, similarity: float, recall: float, node_limit: in
         both = members.withColumn("pivot", F.lit(0)).select(*shaped.columns).unionByName(shaped)
         met = both.repartition("node", "salt").sortWithinPartitions("node", "salt", "pivot").mapInArrow(_with_pivots(similarity), NEAR)
         near = near.unionByName(chunks.where("b is not null")).unionByName(met)
-        chunked = salted.select("node", "salt", "fp").unionByName(held).distinct()
-        meetings = meetings.unionByName(chunked.select(F.xxhash64("node", "salt").alias("key"), "fp"))
-    pairs = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "d").distinct()
-    return settle(pairs, "candidates"), meetings, tables
+        key = F.xxhash64("node", "salt").alias("key")
+        own = salted.select(key, "fp", "node", "salt")
+        meetings = meetings.unionByName(own).unionByName(held.join(salted, ["node", "salt", "fp"], "left_anti").select(key, "fp", nothing.alias("node"), nothing.alias("salt")))
+        first = paired(near)
+        roots = components(first)
+        rest = compared(cells(salted, roots.select(F.col("node").alias("fp"), F.col("root").alias("class")), node_limit))
+        near = paired(first.unionByName(rest.select("a", "b", "d")))
+        discard(first)
+        discard(roots)
+        return near, meetings, tables
+    return paired(near), meetings, tables
 
 
 # -- confirming ------------------------------------------------------------------------------------------------------------
@@ -388,7 +423,7 @@ def _labelled(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return named.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
 
 
-def links(near: DataFrame, meetings: DataFrame, recs: DataFrame, texts: DataFrame, words: int, percent: int, whole: int = WHOLE) -> DataFrame:
+def links(near: DataFrame, meetings: DataFrame, recs: DataFrame, texts: DataFrame, words: int, percent: int, whole: int = WHOLE, node_limit: int = NODE) -> DataFrame:
     """(a, b): links with the classes of all candidates that full sets confirm; written."""
     members = components(near)
     sized = members.join(recs.select(F.col("fp").alias("node"), "n"), "node")
@@ -412,6 +447,8 @@ def links(near: DataFrame, meetings: DataFrame, recs: DataFrame, texts: DataFram
     roots = components(found)
     classes = large.join(roots, large["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("class"))
     shape = recs.select("fp", F.col("n").alias("size"), "wide").join(classes, "fp")
+    chunked = meetings.where("node is not null").select("node", "salt", "fp").join(classes.select("fp"), "fp")
+    meetings = meetings.select("key", "fp").unionByName(cells(chunked, classes, node_limit))
     met = meetings.join(shape, "fp").select("key", "fp", "size", "wide", "class")
     crossing = met.repartition("key").sortWithinPartitions("key").mapInArrow(_crossing(percent / 100), "key long, fp long")
     return settle(found.unionByName(_confirmed_together(crossing, texts, words, percent)), "links")
@@ -444,7 +481,7 @@ def similar_documents(
     holders = first.join(wanted, "fp").select("fp", F.col("p.id").alias("id"))
     named = texts.join(holders, F.col("doc_id").eqNullSafe(F.col("id"))).select("fp", "data")
     held = materialize(_of_the_set(named, words), "texts")
-    linked = links(near, meetings, recs, held, words, percent, whole)
+    linked = links(near, meetings, recs, held, words, percent, whole, node_limit)
     roots = components(linked)
     lows = docs.groupBy("fp").agg(F.min("doc_id").alias("low"))
     owned = lows.join(roots, lows["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
