@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, discard, doc_texts, in_fewer_files, materialize, settle, slices
-from .simhash import WIDE, _mixed, _odd, _runs, shingle_hashes
+from .simhash import WIDE, _mixed, _odd, _runs, cells, classes_of, confirmed_together, shingle_set, similar
 
 #: Minwise tokens of a record; records of a node compared at once; levels; and the chance of a second branch below the first.
 MINS, NODE, DEPTH, SECOND = 32, 1024, 4, 0.5
@@ -44,11 +44,6 @@ LINKS_A_TASK = 2048
 # -- records ---------------------------------------------------------------------------------------------------------------
 
 
-def shingle_set(data: bytes | None, words: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the word shingles, ascending."""
-    return np.unique(shingle_hashes(data, words))
-
-
 def digest_of(hashes: np.ndarray) -> int:
     """A signed 64-bit name of a set of hashes; sets are taken as equal if their names are."""
     import xxhash
@@ -257,26 +252,6 @@ def _with_pivots(similarity: float):
     return run
 
 
-def cells(chunked: DataFrame, classes: DataFrame, node_limit: int) -> DataFrame:
-    """(key, fp): of the nodes in chunked (node, salt, fp), cells in which every two records of different classes meet.
-
-    One of two such records is outside the largest class of the node: these are dealt in chunks of their own, and each of
-    them meets each chunk of the node, so a cell holds about two chunks.  A node of one class has no cell.  classes has
-    (fp, class); a record without one is its own.
-    """
-    named = chunked.select("node", "salt", "fp").join(classes, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
-    sized = named.groupBy("node", "class").agg(F.count("*").alias("n"))
-    largest = sized.groupBy("node").agg(F.max(F.struct("n", "class")).alias("m"), F.sum("n").alias("n"))
-    parts = largest.select("node", F.col("m.class").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / node_limit).cast("long").alias("parts")).where("parts > 0")
-    salts = chunked.groupBy("node").agg(F.max("salt").alias("last"))
-    met = named.join(parts, "node").join(salts, "node")
-    key = F.xxhash64("node", "salt", "part").alias("key")
-    every = met.select("node", "salt", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    own = F.pmod(F.xxhash64("fp", "node", F.lit(1)), F.col("parts"))
-    minor = met.where("class <> main").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("salt"), "fp", own.alias("part"))
-    return every.unionByName(minor).select(key, "fp").distinct()
-
-
 def candidates(recs: DataFrame, similarity: float, recall: float, node_limit: int, depth: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(near, meetings, written tables) of records (fp, n, mins, wide), themselves written.
 
@@ -323,73 +298,6 @@ def candidates(recs: DataFrame, similarity: float, recall: float, node_limit: in
 # -- confirming ------------------------------------------------------------------------------------------------------------
 
 
-def similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | bool:
-    """Whether 100 * intersection >= percent * union, in whole numbers."""
-    return 100 * common >= percent * (a + b - common)
-
-
-def classes_of(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the first place of its class: components of all pairs that are similar.
-
-    A set that is reached is compared with those that are not yet; in a class where most are near this is few.
-    """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    own = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    root, rest, mark = np.arange(len(sets)), np.arange(len(sets)), np.zeros(len(values), np.int32)
-    while len(rest):
-        first, rest = rest[0], rest[1:]
-        frontier = [first]
-        while frontier and len(rest):
-            at = frontier.pop()
-            fit = rest[100 * np.minimum(sizes[rest], sizes[at]) >= percent * np.maximum(sizes[rest], sizes[at])]
-            if not len(fit):
-                continue
-            mark[own[at]] = 1
-            common = np.add.reduceat(mark[np.concatenate([own[i] for i in fit])], np.concatenate([[0], np.cumsum(sizes[fit])[:-1]]))
-            mark[own[at]] = 0
-            new = fit[similar(common.astype(np.int64), sizes[fit], sizes[at], percent)]
-            if len(new):
-                root[new] = first
-                frontier.extend(new.tolist())
-                rest = rest[~np.isin(rest, new)]
-    return root
-
-
-def _confirm_whole(words: int, percent: int):
-    """Rows (key, fp, data) sorted by key: (a, b) links of the classes in every group, as stars."""
-
-    def stars(fps: list[int], texts: list[bytes]) -> pa.RecordBatch:
-        sets = [shingle_set(t, words) for t in texts]
-        root = classes_of(sets, percent)
-        names = np.array(fps, np.int64)
-        low = {r: names[root == r].min() for r in np.unique(root)}
-        b = np.array([low[r] for r in root], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(names[names != b]), pa.array(b[names != b])], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, fps, texts = None, [], []
-        for batch in batches:
-            for key, fp, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if key != held:
-                    if len(fps) > 1:
-                        yield stars(fps, texts)
-                    held, fps, texts = key, [], []
-                fps.append(fp)
-                texts.append(text)
-        if len(fps) > 1:
-            yield stars(fps, texts)
-
-    return run
-
-
-def _confirmed_together(groups: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links with the classes of full sets within every group of groups (key, fp)."""
-    dealt = groups.join(texts, "fp").select("key", "fp", "data")
-    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_confirm_whole(words, percent), "a long, b long")
-
-
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b, linked): whether the full sets of each pair of records are similar.  texts has (fp, data).
 
@@ -429,7 +337,7 @@ def links(near: DataFrame, meetings: DataFrame, recs: DataFrame, texts: DataFram
     sized = members.join(recs.select(F.col("fp").alias("node"), "n"), "node")
     weight = sized.groupBy("root").agg(F.sum("n").alias("weight"))
     dealt = materialize(in_fewer_files(members.join(weight, "root").select(F.col("root").alias("key"), F.col("node").alias("fp"), (F.col("weight") > whole).alias("large"))), "members")
-    found = settle(_confirmed_together(dealt.where("not large"), texts, words, percent), "links")
+    found = settle(confirmed_together(dealt.where("not large"), texts, words, percent), "links")
     large = dealt.where("large").select("fp")
     if large.isEmpty():
         return found
@@ -451,7 +359,7 @@ def links(near: DataFrame, meetings: DataFrame, recs: DataFrame, texts: DataFram
     meetings = meetings.select("key", "fp").unionByName(cells(chunked, classes, node_limit))
     met = meetings.join(shape, "fp").select("key", "fp", "size", "wide", "class")
     crossing = met.repartition("key").sortWithinPartitions("key").mapInArrow(_crossing(percent / 100), "key long, fp long")
-    return settle(found.unionByName(_confirmed_together(crossing, texts, words, percent)), "links")
+    return settle(found.unionByName(confirmed_together(crossing, texts, words, percent)), "links")
 
 
 # -- documents -------------------------------------------------------------------------------------------------------------

@@ -10,7 +10,8 @@ the rest differs in k bits at most, so of its k + 1 pieces one is equal.
 Three of 64 bits are far stricter than a similarity of 0.8, whose pairs differ in ten bits on average.  For a stated
 similarity (``distinct_documents``) a document therefore also has a wide fingerprint (1,024 bits, which measure the
 similarity) and several fingerprints of parts of its shingles, the parts chosen by hash; documents with an equal part
-meet and are verified on the wide fingerprint, and on their shingles where it is too near the threshold to tell.
+meet, however many hold it, and are verified on the wide fingerprint, and on their shingles where it is too near the
+threshold to tell.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ SEED = 42
 PARTS, PART_SIZE, WIDE = 8, 4, 16
 #: Fingerprints that one group of a signature, or one chunk of the wide ones, may hold before it is dealt out again.
 GROUP_LIMIT, CHUNK = 8192, 512
-#: Chunks that one task takes of a pair of parts, one after another.
+#: Chunks of a large part that meet as many others in one cell.
 PIECES = 8
+#: Shingles of full sets that one task compares (or those of one pair).
+WHOLE = 1_000_000
 MOST_TASKS = 100_000
 
 
@@ -50,6 +53,11 @@ def shingle_hashes(data: bytes | None, words: int, seed: int = SEED) -> np.ndarr
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
 
 
+def shingle_set(data: bytes | None, words: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the word shingles, ascending."""
+    return np.unique(shingle_hashes(data, words))
+
+
 def majority(hashes: np.ndarray) -> np.ndarray:
     """Bits set in over half of the rows of hashes (n, w) of 64-bit words: w words."""
     n, counts = len(hashes), np.zeros(64 * hashes.shape[1], np.int64)
@@ -76,15 +84,15 @@ def _mixed(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def sketch(data: bytes | None, words: int) -> tuple[int, np.ndarray, bytes]:
-    """(64-bit fingerprint, part fingerprints, wide fingerprint).
+def sketch(data: bytes | None, words: int) -> tuple[int, int, np.ndarray, bytes]:
+    """(distinct shingles, 64-bit fingerprint, part fingerprints, wide fingerprint).
 
     Part p is the PART_SIZE shingles of least p-th hash, so texts of Jaccard similarity s share it with probability
     s ** PART_SIZE; its fingerprint is its own SimHash.
     """
     hashes = shingle_hashes(data, words)
     if not len(hashes):
-        return 0, np.zeros(PARTS, np.uint64), bytes(8 * WIDE)
+        return 0, 0, np.zeros(PARTS, np.uint64), bytes(8 * WIDE)
     wide = np.zeros(64 * WIDE, np.int64)
     for at in range(0, len(hashes), 255):
         block = _mixed(hashes[at : at + 255], _odd(WIDE, 3)).view(np.uint8)
@@ -95,7 +103,7 @@ def sketch(data: bytes | None, words: int) -> tuple[int, np.ndarray, bytes]:
     size = min(PART_SIZE, len(single))
     low = np.argpartition(order, size - 1, axis=0)[:size]  # (size, PARTS)
     keys = majority(single[low])
-    return int(majority(hashes[:, None])[0]), keys, wide.tobytes()
+    return len(single), int(majority(hashes[:, None])[0]), keys, wide.tobytes()
 
 
 def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,16 +118,16 @@ def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, t, fp, keys, wide) of docs (doc_id, t, data)."""
+    """(doc_id, t, size, fp, keys, wide) of docs (doc_id, t, data)."""
+    columns = "doc_id long, t long, size long, fp long, keys array<long>, wide binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            found = [sketch(x.as_py(), words) for x in batch.column(2)]
-            keys = pa.array([k.view(np.int64) for _, k, _ in found], pa.list_(pa.int64()))
-            fps = np.array([f for f, _, _ in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), keys, pa.array([w for _, _, w in found], pa.binary())], ["doc_id", "t", "fp", "keys", "wide"])
+            sizes, fps, keys, wides = zip(*[sketch(x.as_py(), words) for x in batch.column(2)], strict=True)
+            made = [pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())), pa.array(wides, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], [f.split()[0] for f in columns.split(", ")])
 
-    return docs.mapInArrow(run, "doc_id long, t long, fp long, keys array<long>, wide binary")
+    return docs.mapInArrow(run, columns)
 
 
 # -- links within a group -------------------------------------------------------------------------------------------------
@@ -146,22 +154,44 @@ def spanning_links(bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(found), np.concatenate(by), root) if found else (empty, empty, root)
 
 
-def doubtful_links(bits: np.ndarray, root: np.ndarray, distance: int, stretch: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): for each tree but the first, its closest pair with any earlier tree, if within ``distance`` bits."""
-    order = np.argsort(root, kind="stable")
-    cuts = np.flatnonzero(np.diff(root[order])) + 1
-    a, b = [], []
-    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=False):
-        before, best = bits[order[:lo]], (distance + 1, 0, 0)
-        for at in range(lo, hi, stretch):
-            own = order[at : min(hi, at + stretch)]
-            d = np.bitwise_count(bits[own][:, None] ^ before[None]).sum(axis=2)
-            k = int(d.argmin())
-            best = min(best, (int(d.flat[k]), int(own[k // lo]), int(order[k % lo])))
-        if best[0] <= distance:
-            a.append(best[1])
-            b.append(best[2])
-    return np.array(a, np.int64), np.array(b, np.int64)
+def bits_between(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """(len(one), len(other)): bits in which fingerprints of w words each differ."""
+    d = np.zeros((len(one), len(other)), np.uint16)
+    for k in range(one.shape[1]):
+        d += np.bitwise_count(one[:, k, None] ^ other[None, :, k])
+    return d
+
+
+def class_links(bits: np.ndarray, label: np.ndarray, distance: int, stretch: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(found, by, label): links at most ``distance`` bits long that join the classes of all such pairs, and the labels then."""
+    label, found, by = label.copy(), [], []
+    for at in range(0, len(bits), stretch):
+        near = bits_between(bits[at : at + stretch], bits[at:]) <= distance
+        for i in range(len(near)):
+            others = at + np.flatnonzero(near[i] & (label[at:] != label[at + i]))
+            if len(others):
+                classes, first = np.unique(label[others], return_index=True)
+                found.append(others[first])
+                by.append(np.full(len(first), at + i))
+                label[np.isin(label, classes)] = label[at + i]
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(found), np.concatenate(by), label) if found else (empty, empty, label)
+
+
+def crossing(bits: np.ndarray, sizes: np.ndarray, label: np.ndarray, distance: int, similarity: float, stretch: int = 16) -> np.ndarray:
+    """Which fingerprints have one of another label within ``distance`` bits, the set sizes of both allowing the similarity."""
+    hit = np.zeros(len(bits), bool)
+    if (label == label[0]).all():
+        return hit
+    order = np.argsort(sizes, kind="stable")
+    bits, sizes, label = np.ascontiguousarray(bits[order]), sizes[order], label[order]
+    for at in range(0, len(order), stretch):
+        own = slice(at, min(at + stretch, len(order)))
+        fit = slice(at, int(np.searchsorted(sizes, sizes[own.stop - 1] / similarity + 1e-6, side="right")))
+        near = (bits_between(bits[own], bits[fit]) <= distance) & (label[own, None] != label[None, fit])
+        hit[order[own]] |= near.any(axis=1)
+        hit[order[fit]] |= near.any(axis=0)
+    return hit
 
 
 def exact_links(fps: np.ndarray, distance: int, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -305,8 +335,7 @@ def wide_distance(similarity: float, deviations: float = 0.0) -> int:
     return max(0, round(n * p + deviations * math.sqrt(n * p * (1 - p))))
 
 
-WIDE_LINKS = "a long, b long, group long, sure boolean"
-#: Of fingerprints within so many bits of each other one stays for the next chunk.
+#: Of fingerprints within so many bits of each other a net keeps one.
 NET = 30
 
 
@@ -320,108 +349,186 @@ def net_of(bits: np.ndarray, root: np.ndarray, within: int = NET) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _wide_links(similarity: float, chunk: int):
-    """Rows (group, salt, salts, fp, wide) sorted by these: links of each group; of a salted one also its net, b null.
+WIDE_LINKS = "a long, b long, key long, size long"
 
-    A group is taken in chunks, and a net over the chunk stays for the next one: what is near a text that went is nearly as
-    near to one that stays.
-    """
-    sure, loose = wide_distance(similarity, -3), wide_distance(similarity, 2.5)
-    heads = [f.split()[0] for f in WIDE_LINKS.split(", ")]
 
-    def batch(a, b, group, certain) -> pa.RecordBatch:
-        n, long = len(a), pa.int64()
-        return pa.RecordBatch.from_arrays([pa.array(a, long), pa.nulls(n, long) if b is None else pa.array(b, long), pa.array(np.full(n, group), long), pa.array(np.full(n, certain))], heads)
+def _wide_links(similarity: float, classed: bool):
+    """Rows (key, fp, size, wide[, class]) sorted by key: (a, b) of sure links that join all such pairs of a group (of
+    different classes), and (a, key, size) of what then still has a near fingerprint of another class there."""
+    sure, loose = wide_distance(similarity, -3), wide_distance(similarity, 2.5)
+    heads, long = [f.split()[0] for f in WIDE_LINKS.split(", ")], pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, kept_key = None, None
-        salted = lambda: kept is not None and kept_key[2] > 1
-        for key, rows, _ in _runs(batches, 3, chunk):
-            fps = rows.column(3).to_numpy()
-            bits = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(-1, WIDE)
-            if key != kept_key:
-                if salted():
-                    yield batch(kept[0], None, kept_key[0], False)
-                kept, kept_key = None, key
-            if kept is not None:
-                fps, bits = np.concatenate([kept[0], fps]), np.concatenate([kept[1], bits])
-            found, by, root = spanning_links(bits, sure)
-            for a, b, certain in ((found, by, True), (*doubtful_links(bits, root, loose), False)):
-                other = fps[a] != fps[b]
-                if other.any():
-                    yield batch(fps[a][other], fps[b][other], key[0], certain)
-            net = net_of(bits, root)
-            kept = fps[net], bits[net]
-        if salted():
-            yield batch(kept[0], None, kept_key[0], False)
+        for key, rows, _ in _runs(batches, 1, None):
+            fps, sizes = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+            bits = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(-1, WIDE)
+            found, by, label = class_links(bits, rows.column(4).to_numpy(), sure) if classed else spanning_links(bits, sure)
+            other = fps[found] != fps[by]
+            if other.any():
+                a, b, none = fps[found][other], fps[by][other], pa.nulls(int(other.sum()), long)
+                yield pa.RecordBatch.from_arrays([pa.array(a, long), pa.array(b, long), none, none], heads)
+            hit = crossing(bits, sizes, label, loose, similarity)
+            if hit.any():
+                n = int(hit.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(fps[hit], long), pa.nulls(n, long), pa.array(np.full(n, key[0]), long), pa.array(sizes[hit], long)], heads)
 
     return run
 
 
+def cells(chunked: DataFrame, classes: DataFrame, node_limit: int) -> DataFrame:
+    """(key, fp): of the nodes in chunked (node, salt, fp), cells in which every two records of different classes meet.
+
+    One of two such records is outside the largest class of the node: these are dealt in chunks of their own, and each of
+    them meets each chunk of the node, so a cell holds about two chunks.  A node of one class has no cell.  classes has
+    (fp, class); a record without one is its own.
+    """
+    named = chunked.select("node", "salt", "fp").join(classes, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
+    sized = named.groupBy("node", "class").agg(F.count("*").alias("n"))
+    largest = sized.groupBy("node").agg(F.max(F.struct("n", "class")).alias("m"), F.sum("n").alias("n"))
+    parts = largest.select("node", F.col("m.class").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / node_limit).cast("long").alias("parts")).where("parts > 0")
+    salts = chunked.groupBy("node").agg(F.max("salt").alias("last"))
+    met = named.join(parts, "node").join(salts, "node")
+    key = F.xxhash64("node", "salt", "part").alias("key")
+    every = met.select("node", "salt", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    own = F.pmod(F.xxhash64("fp", "node", F.lit(1)), F.col("parts"))
+    minor = met.where("class <> main").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("salt"), "fp", own.alias("part"))
+    return every.unionByName(minor).select(key, "fp").distinct()
+
+
 def part_links(docs: DataFrame, similarity: float, chunk: int = CHUNK, hold: Callable = hold) -> DataFrame:
-    """(a, b, sure): links between fingerprints of docs (fp, keys, wide) that share a part and are similar by the wide bits.
+    """(a, b, key, size) of docs (fp, size, keys, wide): links, and what full sets must tell; written.
 
-    Parts are counted before any group meets.  One that many documents hold is salted into chunks of about ``chunk``
-    rows, and all its documents meet again by every pair of parts.  A pair of parts that very many hold is salted once
-    more, and of each of its pieces a net meets the others.  Links that are not sure lie within a few standard deviations
-    of the similarity.
+    Fingerprints that share a part meet, all of them.  Links (a, b) are within three standard deviations of the
+    similarity by the wide bits, and their classes are those of all such pairs.  Pairs too near to the threshold to tell
+    are between fingerprints a of one key, b null.  Parts are counted before any group meets: one that many hold meets in
+    chunks of about ``chunk`` first, and then all its fingerprints of different classes meet in cells.
     """
-    names = ["group", "salt", "salts"]
-    nodes = hold(docs.select("fp", "keys", "wide").distinct())
-    part = lambda keys: F.posexplode(keys).alias("part", "key")
-
-    def sized(rows: DataFrame, most: int) -> DataFrame:
-        """rows (group, fp) of groups of two or more, with salts, the pieces of about ``most`` rows in a group."""
-        counts = rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-        return rows.join(counts.select("group", F.ceil(F.col("n") / most).cast("long").alias("salts")), "group")
-
-    def met(rows: DataFrame) -> DataFrame:
-        dealt = rows.join(nodes.select("fp", "wide"), "fp").select("group", F.pmod(F.xxhash64("fp", "group"), F.col("salts")).alias("salt"), "salts", "fp", "wide")
-        return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(_wide_links(similarity, chunk), WIDE_LINKS)
-
-    by_part = sized(nodes.select("fp", part("keys")).select(F.xxhash64("part", "key").alias("group"), "fp"), chunk)
-    first = settle(met(by_part), "near")
-    found = first.where("b is not null").select("a", "b", "sure")
-    if first.where("b is null").isEmpty():
-        return found
-    over = by_part.where("salts > 1").select("group", "fp").join(nodes.select("fp", "keys"), "fp")
-    pairs = over.select(F.col("group").alias("one"), "fp", part("keys")).withColumn("two", F.xxhash64("part", "key")).where("one <> two")
-    second = settle(met(sized(pairs.select(F.xxhash64("one", "two").alias("group"), "fp"), PIECES * chunk)), "near")
-    nets = second.where("b is null").select("group", F.col("a").alias("fp")).distinct().withColumn("salts", F.lit(1).cast("long"))
-    parts = [found, second.where("b is not null").select("a", "b", "sure"), met(nets).where("b is not null").select("a", "b", "sure")]
-    out = settle(parts[0].unionByName(parts[1]).unionByName(parts[2]), "near")
+    nodes = hold(docs.select("fp", "size", "keys", "wide").distinct())
+    parted = nodes.select("fp", F.posexplode("keys").alias("part", "one")).select(F.xxhash64("part", "one").alias("node"), "fp").distinct()
+    counts = parted.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    groups = parted.join(counts, "node")
+    shape = nodes.select("fp", "size", "wide")
+
+    def salted(most: int) -> DataFrame:
+        return groups.select("node", F.pmod(F.xxhash64("fp", "node"), F.ceil(F.col("n") / most).cast("long")).alias("salt"), "fp", "n")
+
+    def met(rows: DataFrame, *classes: str) -> DataFrame:
+        dealt = rows.join(shape, "fp").select("key", "fp", "size", "wide", *classes)
+        return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_links(similarity, bool(classes)), WIDE_LINKS)
+
+    first = settle(met(salted(chunk).select(F.xxhash64("node", "salt").alias("key"), "fp")), "near")
+    if counts.where(F.col("n") > chunk).isEmpty():
+        return first
+    roots = components(first.where("b is not null").select("a", "b"))
+    classes = hold(nodes.select("fp").distinct().join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("class")))
+    large = salted(PIECES * chunk).where(F.col("n") > chunk).select("node", "salt", "fp")
+    second = met(cells(large, classes, PIECES * chunk).join(classes, "fp"), "class")
+    out = settle(first.unionByName(second), "near")
     discard(first)
-    discard(second)
+    discard(roots)
     return out
 
 
-def _similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets, each without repeats."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
+# -- full sets ----------------------------------------------------------------------------------------------------------------
+
 
+def similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: float) -> np.ndarray | bool:
+    """Whether 100 * intersection >= percent * union, in whole numbers."""
+    return 100 * common >= percent * (a + b - common)
 
-def verified(links: DataFrame, sketched: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(a, b): the links (a, b, sure) that are sure, or whose texts have this similarity.
 
-    sketched has (doc_id, t, fp), texts (doc_id, t, data).  A fingerprint's text is that of its smallest document.
+def classes_of(sets: list[np.ndarray], percent: float) -> np.ndarray:
+    """For each set the first place of its class: components of all pairs that are similar.
+
+    A set that is reached is compared with those that are not yet; in a class where most are near this is few.
     """
-    doubtful = settle(links.where("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "doubtful")
-    wanted = doubtful.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
-    holders = sketched.join(wanted, "fp").groupBy("fp").agg(F.min(place).alias("p")).select("fp", F.col("p.id").alias("id"), F.col("p.t").alias("pt"))
-    held = texts.join(holders, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("pt"))).groupBy("fp").agg(F.first("data").alias("data"))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    root, rest, mark = np.arange(len(sets)), np.arange(len(sets)), np.zeros(len(values), np.int32)
+    while len(rest):
+        first, rest = rest[0], rest[1:]
+        frontier = [first]
+        while frontier and len(rest):
+            at = frontier.pop()
+            fit = rest[100 * np.minimum(sizes[rest], sizes[at]) >= percent * np.maximum(sizes[rest], sizes[at])]
+            if not len(fit):
+                continue
+            mark[own[at]] = 1
+            common = np.add.reduceat(mark[np.concatenate([own[i] for i in fit])], np.concatenate([[0], np.cumsum(sizes[fit])[:-1]]))
+            mark[own[at]] = 0
+            new = fit[similar(common.astype(np.int64), sizes[fit], sizes[at], percent)]
+            if len(new):
+                root[new] = first
+                frontier.extend(new.tolist())
+                rest = rest[~np.isin(rest, new)]
+    return root
+
+
+def _confirm_whole(words: int, percent: float):
+    """Rows (key, fp, data) sorted by key: (a, b) links of the classes in every group, as stars."""
+
+    def stars(fps: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        sets = [shingle_set(t, words) for t in texts]
+        root = classes_of(sets, percent)
+        names = np.array(fps, np.int64)
+        low = {r: names[root == r].min() for r in np.unique(root)}
+        b = np.array([low[r] for r in root], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names[names != b]), pa.array(b[names != b])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            shingles = lambda text: np.unique(shingle_hashes(text, words))
-            rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            near = np.array([_similarity(shingles(x), shingles(y)) >= similarity for x, y in rows], bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], ["a", "b"])
-
-    sides = doubtful.select("a", "b", F.explode(F.array("a", "b")).alias("fp")).join(held, "fp")
-    both = sides.groupBy("a", "b").agg(F.max(F.when(F.col("fp") == F.col("a"), F.col("data"))).alias("data_a"), F.max(F.when(F.col("fp") == F.col("b"), F.col("data"))).alias("data_b"))
-    out = settle(links.where("sure").select("a", "b").unionByName(both.mapInArrow(run, "a long, b long")), "near")
+        held, fps, texts = None, [], []
+        for batch in batches:
+            for key, fp, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if key != held:
+                    if len(fps) > 1:
+                        yield stars(fps, texts)
+                    held, fps, texts = key, [], []
+                fps.append(fp)
+                texts.append(text)
+        if len(fps) > 1:
+            yield stars(fps, texts)
+
+    return run
+
+
+def confirmed_together(groups: DataFrame, texts: DataFrame, words: int, percent: float) -> DataFrame:
+    """(a, b): links with the classes of full sets within every group of groups (key, fp)."""
+    dealt = groups.join(texts, "fp").select("key", "fp", "data")
+    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_confirm_whole(words, percent), "a long, b long")
+
+
+def full_set_cells(members: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """(key, fp) of members (key, fp, size): in each group all meet, in cells of about ``whole`` shingles.
+
+    Groups of the same members count once.  Of a larger group every two of its parts are a cell.
+    """
+    single = members.groupBy("key", "fp").agg(F.max("size").alias("size"))
+    content = F.struct(F.count("*"), F.bit_xor(F.xxhash64("fp")), F.bit_xor(F.xxhash64("fp", F.lit(1))))
+    groups = single.groupBy("key").agg(content.alias("content"), F.sum("size").alias("weight")).where("content.col1 > 1")
+    groups = groups.groupBy("content").agg(F.min(F.struct("key", "weight")).alias("g")).select("g.key", "g.weight")
+    parts = F.when(F.col("weight") <= whole, F.lit(1)).otherwise(F.ceil(2 * F.col("weight") / whole)).cast("long").alias("parts")
+    sized = single.join(groups.select("key", parts), "key").withColumn("own", F.pmod(F.xxhash64("fp", "key"), F.col("parts")))
+    sized = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("parts = 1 or own <> other")
+    return sized.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+
+
+def verified(near: DataFrame, met: DataFrame, sketched: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(a, b): the links of met, as ``part_links`` writes it, and all that full sets tell of its other fingerprints and of
+    the pairs of near (a, b); written.
+
+    sketched has (doc_id, t, size, fp, wide), texts (doc_id, t, data).  A fingerprint has a text for each wide fingerprint
+    that goes with it, that of its smallest document.
+    """
+    sizes = sketched.groupBy("fp").agg(F.max("size").alias("size"))
+    pairs = near.select(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("key"), F.explode(F.array("a", "b")).alias("fp")).join(sizes, "fp").select("key", "fp", "size")
+    doubtful = settle(full_set_cells(met.where("b is null").select("key", F.col("a").alias("fp"), "size").unionByName(pairs)), "doubtful")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
+    holders = sketched.join(doubtful.select("fp").distinct(), "fp").groupBy("fp", "wide").agg(F.min(place).alias("p")).select("fp", "wide", F.col("p.id").alias("id"), F.col("p.t").alias("pt"))
+    held = texts.join(holders, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("pt"))).groupBy("fp", "wide").agg(F.first("data").alias("data"))
+    told = confirmed_together(doubtful, held.select("fp", "data"), words, round(100 * similarity, 6))
+    out = settle(met.where("b is not null").select("a", "b").unionByName(told), "near")
     discard(doubtful)
     return out
 
@@ -453,7 +560,7 @@ def _verdicts(docs: DataFrame, similarity: float, words: int, distance: int) ->
         texts, docs = docs, hold(sketches(docs, words))
         n = docs.count()
         near = [links(docs.select("fp"), distance, n_fps=n), part_links(docs, similarity, CHUNK, hold)]
-        near.append(verified(near[0].withColumn("sure", F.lit(False)).unionByName(near[1]), docs, texts, similarity, words))
+        near.append(verified(*near, docs, texts, similarity, words))
         roots = components(near[2])
         place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
         nodes = docs.groupBy("fp").agg(F.min(place).alias("low"))
